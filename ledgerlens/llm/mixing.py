@@ -9,7 +9,7 @@ the two constraints (words and documents), until one is 0 or 1; so the words and
 the number of documents taken stay at their expectation. A source is dealt into
 buckets by a hash, each flies alone and leaves two fractional documents at most;
 these fly again together, until one bucket is left, whose at most two documents
-land on the outcome nearest to the totals. A hot source is many buckets, so no
+land on the outcome nearest to the totals (which may turn one other document). A hot source is many buckets, so no
 task holds more than ``bucket`` documents or so.
 
 Defined cases: null text has size 0; empty texts are taken as any other, with 0
@@ -25,6 +25,7 @@ import math
 import random
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,12 +89,25 @@ def flight(p: list[float], sizes: list[float], rng: random.Random) -> list[int]:
 
 
 def land(p: list[float], sizes: list[float], left: list[int]) -> None:
-    """Of the outcomes of the fractional places ``left`` (two at most), the nearest in words, then in documents."""
+    """Ends the fractional places ``left`` (two at most) on the outcome nearest in words, then in documents.
+
+    A long document left over would miss by its length, so an outcome may also turn one document already decided.
+    """
     words, docs = sum(p[i] * sizes[i] for i in left), sum(p[i] for i in left)
-    outcomes = [[(k >> j) & 1 for j in range(len(left))] for k in range(2 ** len(left))]
-    best = min(outcomes, key=lambda o: (abs(words - sum(x * sizes[i] for x, i in zip(o, left))), abs(docs - sum(o))))
-    for x, i in zip(best, left):
+    best, size = None, np.array(sizes)
+    settled = np.ones(len(p), bool)
+    settled[left] = False
+    turn = np.where(settled, np.where(np.array(p) > 0.5, -size, size), 0.0)
+    for k in range(2 ** len(left)):
+        o = [(k >> j) & 1 for j in range(len(left))]
+        off = sum(x * sizes[i] for x, i in zip(o, left)) - words
+        at = int(np.abs(off + turn).argmin())
+        found = min((abs(off), abs(sum(o) - docs), o, -1), (abs(off + turn[at]), abs(sum(o) - docs) + 1, o, at))
+        best = found if best is None else min(best, found)
+    for x, i in zip(best[2], left):
         p[i] = float(x)
+    if best[3] >= 0 and settled[best[3]]:
+        p[best[3]] = 1.0 - p[best[3]]
 
 
 def _fly(seed: int):
