@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_format, html_text, language_id, mixing, quality, toxicity
+from ledgerlens.llm import chat_format, html_text, language_id, mixing, quality, simhash, toxicity
 from ledgerlens.llm.store import small_batches
 
 
@@ -36,6 +36,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "expected_severity", "p_toxic", "severity", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -88,5 +94,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM lengths GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_mixing, op5_toxicity, op7_quality, op8_html_extraction, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_mixing, op5_toxicity, op6_simhash, op7_quality, op8_html_extraction, op9_chat_formatting)}
 ORACLE_SQL = {"op9_chat_formatting": _OP9_SQL}
