@@ -174,7 +174,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, segments:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3, segments: int = 2) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; of rows with one doc_id all stay or go."""
+    """``docs`` without the documents whose component has a smaller doc_id.
+
+    Rows of one doc_id stay or go together; rows without a doc_id stay.
+    """
     found = near_duplicates(docs, shingle, bits, segments)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
