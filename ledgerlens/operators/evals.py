@@ -1,0 +1,82 @@
+"""Scores of runs, gates, costs and quotas."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Thresholds of the gates, dollars for a million tokens in and out by model prefix.
+UNSUPPORTED_MOST, BOILERPLATE_MOST, AGREEMENT_LEAST, EVIDENCE_LEAST = 0.04, 0.25, 0.85, 0.6
+PRICES = {"gpt-5-mini": (0.25, 2.0), "gpt-5": (1.25, 10.0), "gpt-4o-mini": (0.15, 0.6), "gpt-4o": (2.5, 10.0)}
+UNKNOWN_PRICE = (3.0, 15.0)
+OPERATOR_RUNS = r"^(eval|fb_|smoke_)"
+
+
+def smoke_score(results: DataFrame, by: str) -> DataFrame:
+    """``results``: error, skipped, retrieval_hit, n_claims, n_unsupported. Passed: something scored, nothing crashed, rate within the limit."""
+    scored = ~F.col("error") & ~F.col("skipped")
+    out = results.groupBy(by).agg(
+        F.count("*").alias("n_questions"),
+        F.count_if(F.col("error")).alias("n_crashed"),
+        F.count_if(scored).alias("n_scored"),
+        F.count_if(scored & F.col("retrieval_hit")).alias("retrieval_hits"),
+        F.coalesce(F.sum(F.when(scored, F.col("n_claims"))), F.lit(0)).alias("total_claims"),
+        F.coalesce(F.sum(F.when(scored, F.col("n_unsupported"))), F.lit(0)).alias("unsupported_claims"),
+    )
+    rate = F.coalesce(F.try_divide("unsupported_claims", "total_claims"), F.lit(0.0))
+    return out.withColumns({"hit_rate": F.coalesce(F.try_divide("retrieval_hits", "n_scored"), F.lit(0.0)), "unsupported_rate": rate, "passed": (F.col("n_scored") > 0) & (F.col("n_crashed") == 0) & (rate <= UNSUPPORTED_MOST)})
+
+
+def benchmark_summary(graded: DataFrame) -> DataFrame:
+    """``graded``: question_type, grade. A row for each type and one for all (type null), by one rollup."""
+    n = {g: F.count_if(F.col("grade") == g) for g in ("correct", "incorrect", "abstain", "crash")}
+    out = graded.rollup("question_type").agg(F.count("*").alias("total"), *[c.alias(g) for g, c in n.items()])
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 3)
+    return out.withColumns({"accuracy": ratio(F.col("correct"), F.col("total")), "answered_accuracy": ratio(F.col("correct"), F.col("correct") + F.col("incorrect")), "hallucination_rate": ratio(F.col("incorrect"), F.col("total"))})
+
+
+def gate(rate: Column, numerics_wrong: Column, crashes: Column, boilerplate: Column) -> Column:
+    """The first reason to refuse a release, or pass."""
+    return (
+        F.when(rate > UNSUPPORTED_MOST, "unsupported").when(numerics_wrong > 0, "numeric").when(crashes > 0, "crash").when(boilerplate > BOILERPLATE_MOST, "boilerplate").otherwise("pass")
+    )
+
+
+def priced(models: DataFrame) -> DataFrame:
+    """Adds ``price_in, price_out`` by the longest prefix of the model's name after its provider."""
+    prices = models.sparkSession.createDataFrame([(k, *v) for k, v in PRICES.items()], "prefix string, price_in double, price_out double")
+    name = F.lower(F.regexp_replace("model", r"^[^:]*:", ""))
+    distinct = models.select("model").distinct()
+    met = distinct.join(F.broadcast(prices), name.startswith(F.col("prefix")), "left")
+    best = met.groupBy("model").agg(F.max_by(F.struct("price_in", "price_out"), F.length("prefix")).alias("p"))
+    best = best.select("model", F.coalesce("p.price_in", F.lit(UNKNOWN_PRICE[0])).alias("price_in"), F.coalesce("p.price_out", F.lit(UNKNOWN_PRICE[1])).alias("price_out"))
+    return models.join(best, "model")
+
+
+def llm_cost(log: DataFrame) -> DataFrame:
+    """Calls, tokens and estimated dollars by day, stage and model."""
+    calls = log.where("event = 'llm_call'").groupBy(F.to_date("ts").alias("day"), "stage", "model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    exact = ((F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) / 1e6).cast("decimal(28,8)")
+    dollars = F.round(exact, 4).cast("double")
+    return priced(calls).withColumn("est_cost_usd", dollars).drop("price_in", "price_out")
+
+
+def queries_per_day(log: DataFrame, budget: int) -> DataFrame:
+    """Visitors' queries by day and what is left of the budget; operators' runs don't count."""
+    own = log.where((F.col("event") == "query_received") & ~F.col("query_id").rlike(OPERATOR_RUNS))
+    return own.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("queries")).withColumn("budget_left", F.greatest(F.lit(0), budget - F.col("queries")))
+
+
+def visitor_queries(log: DataFrame) -> DataFrame:
+    return log.where("event = 'visitor_query'").groupBy(F.to_date("ts").alias("day"), "visitor").agg(F.count("*").alias("queries"))
+
+
+def agreement(judged: DataFrame) -> DataFrame:
+    """``judged``: a, b. The share of equal verdicts and whether it is enough."""
+    return judged.agg(F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("agreement")).withColumn("passed", F.col("agreement") >= AGREEMENT_LEAST)
+
+
+def sample(rows: DataFrame, key: str, by: str, n: int, seed: str) -> DataFrame:
+    """n rows for each ``by``, the same on every run: the smallest md5 of seed and key."""
+    w = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

@@ -133,10 +133,16 @@ class Points:
         annual = annual_candidates(deduped)
         self.periods = fiscal_periods(annual)
         instant = instant_candidates(deduped, self.periods)
-        self.years = by_year(annual).unionByName(by_year(instant)).persist()
-        self.newest = latest(annual).unionByName(latest_instants(deduped)).persist()
+        self.years = by_year(annual).unionByName(by_year(instant))
+        self.newest = latest(annual).unionByName(latest_instants(deduped))
+
+    def mapped(self, change) -> Points:
+        """The same points with ``change(name, table)`` for each table, as to store them."""
+        out = Points.__new__(Points)
+        for name in ("periods", "years", "newest"):
+            setattr(out, name, change(name, getattr(self, name)))
+        return out
 
 
 def points(facts: DataFrame) -> Points:
-    """Deduped facts and points are kept (in memory, else on disk), since every operation reads them more than once; equal plans share them."""
-    return Points(latest_filed(facts).persist())
+    return Points(latest_filed(facts))

@@ -9,14 +9,17 @@ from ledgerlens.functions import registry, render
 from ledgerlens.operators import facts as fx
 from ledgerlens.operators import numeric
 from ledgerlens.plans.projection import FACTS, as_sql, project
+from ledgerlens.sources.staging import ingested
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project(spark, sf_dir, FACTS)
+    return ingested(spark, sf_dir, "facts", lambda: project(spark, sf_dir, FACTS))
 
 
-def _points(spark: SparkSession, sf_dir: str) -> fx.Points:
-    return fx.points(facts(spark, sf_dir))
+def stored_points(spark: SparkSession, sf_dir: str) -> fx.Points:
+    """Points are computed once for all companies, metrics and years; operations are joins on them."""
+    made = fx.points(facts(spark, sf_dir))
+    return made.mapped(lambda name, table: ingested(spark, sf_dir, f"points-{name}", lambda: table))
 
 
 def r6(column: str):
@@ -54,54 +57,54 @@ def period_class(spark, sf_dir):
 
 
 def metric_by_year(spark, sf_dir):
-    return _points(spark, sf_dir).years.select(*_POINT)
+    return stored_points(spark, sf_dir).years.select(*_POINT)
 
 
 def metric_latest(spark, sf_dir):
-    return _points(spark, sf_dir).newest.select(*_POINT)
+    return stored_points(spark, sf_dir).newest.select(*_POINT)
 
 
 def instant_at_year_end(spark, sf_dir):
-    p = _points(spark, sf_dir)
+    p = stored_points(spark, sf_dir)
     return p.years.where("period_start is null").join(p.periods.select("cik", "fy", F.col("period_end").alias("year_end")), ["cik", "fy"], "left").select("cik", "metric", "fy", "value", "period_end", "year_end", F.abs(F.datediff("period_end", "year_end")).cast("bigint").alias("days_off"))
 
 
 def yoy(spark, sf_dir):
-    return numeric.yoy(_points(spark, sf_dir)).select("cik", "metric", "fy", "value", "prior", r6("growth"))
+    return numeric.yoy(stored_points(spark, sf_dir)).select("cik", "metric", "fy", "value", "prior", r6("growth"))
 
 
 def yoy_of_year(spark, sf_dir):
-    return numeric.yoy(_points(spark, sf_dir), 1999).select("cik", "metric", "fy", "value", "prior", r6("growth"))
+    return numeric.yoy(stored_points(spark, sf_dir), 1999).select("cik", "metric", "fy", "value", "prior", r6("growth"))
 
 
 def cagr(spark, sf_dir):
-    return numeric.cagr(_points(spark, sf_dir), 3).select("cik", "metric", "fy", "prior_fy", r6("cagr"))
+    return numeric.cagr(stored_points(spark, sf_dir), 3).select("cik", "metric", "fy", "prior_fy", r6("cagr"))
 
 
 def average(spark, sf_dir):
-    return numeric.average(_points(spark, sf_dir), 5).select("cik", "metric", F.round("average", 2).alias("average"), "n", "from_fy", "to_fy")
+    return numeric.average(stored_points(spark, sf_dir), 5).select("cik", "metric", F.round("average", 2).alias("average"), "n", "from_fy", "to_fy")
 
 
 def average_ratio(spark, sf_dir):
-    return numeric.average_ratio(_points(spark, sf_dir), 5).select("cik", "ratio", r6("average"), "n")
+    return numeric.average_ratio(stored_points(spark, sf_dir), 5).select("cik", "ratio", r6("average"), "n")
 
 
 def ratio_all(spark, sf_dir):
-    return numeric.ratios(_points(spark, sf_dir)).where("not newest").select("cik", "ratio", "fy", r6("value"), "num_accn", "den_accn")
+    return numeric.ratios(stored_points(spark, sf_dir)).where("not newest").select("cik", "ratio", "fy", r6("value"), "num_accn", "den_accn")
 
 
 def ratio_guarded(spark, sf_dir):
-    got = numeric.ratios(_points(spark, sf_dir)).where("newest").where(numeric.sane(F.col("value")))
+    got = numeric.ratios(stored_points(spark, sf_dir)).where("newest").where(numeric.sane(F.col("value")))
     return got.select("cik", "ratio", "fy", r6("value"), render.percent(F.col("value")).alias("text"))
 
 
 def ratio_series_pp(spark, sf_dir):
-    return numeric.ratio_series(_points(spark, sf_dir), 5).select("cik", "ratio", "fy", r6("value"), r6("change_pp"), r6("total_pp"))
+    return numeric.ratio_series(stored_points(spark, sf_dir), 5).select("cik", "ratio", "fy", r6("value"), r6("change_pp"), r6("total_pp"))
 
 
 def _derived(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = numeric.derived(_points(spark, sf_dir), name)
+        got = numeric.derived(stored_points(spark, sf_dir), name)
         return got.select("cik", "fy", F.round("value", 6).alias("value"), "unit")
 
     query.__name__ = {"days_payable_outstanding": "derived_dpo"}.get(name, f"derived_{name}")
@@ -110,35 +113,35 @@ def _derived(name: str):
 
 def q4_implied(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return numeric.fourth_quarter(f, fx.points(f)).select("cik", "metric", "fy", F.round("q4", 2).alias("q4"), "period_start", "period_end", "accn")
+    return numeric.fourth_quarter(f, stored_points(spark, sf_dir)).select("cik", "metric", "fy", (F.round("q4", 2) + F.lit(0.0)).alias("q4"), "period_start", "period_end", "accn")
 
 
 def series_growth(spark, sf_dir):
-    steps = numeric.series_steps(numeric.series(_points(spark, sf_dir), 6))
+    steps = numeric.series_steps(numeric.series(stored_points(spark, sf_dir), 6))
     return steps.select("cik", "metric", "fy", "value", "step", r6("growth"))
 
 
 def series_transitions(spark, sf_dir):
-    return numeric.series_steps(numeric.series(_points(spark, sf_dir), 10)).where("step is not null").select("cik", "metric", "fy", "step")
+    return numeric.series_steps(numeric.series(stored_points(spark, sf_dir), 10)).where("step is not null").select("cik", "metric", "fy", "step")
 
 
 def series_gaps(spark, sf_dir):
-    shape = numeric.series_shape(numeric.series(_points(spark, sf_dir), 10)).where(F.size("missing") > 0)
+    shape = numeric.series_shape(numeric.series(stored_points(spark, sf_dir), 10)).where(F.size("missing") > 0)
     return shape.select("cik", "metric", F.array_join(F.array_sort("missing"), ",").alias("missing"))
 
 
 def series_shape(spark, sf_dir):
-    shape = numeric.series_shape(numeric.series(_points(spark, sf_dir), 5))
+    shape = numeric.series_shape(numeric.series(stored_points(spark, sf_dir), 5))
     return shape.select("cik", "metric", "first_fy", "last_fy", "steps", r6("window_cagr"), "pace", F.array_join("declined", ",").alias("declined"))
 
 
 def compare_rank(spark, sf_dir):
-    return numeric.compare(_points(spark, sf_dir), "revenue").select("cik", "fy", "value", F.col("place").cast("bigint").alias("place"))
+    return numeric.compare(stored_points(spark, sf_dir), "revenue").select("cik", "fy", "value", F.col("place").cast("bigint").alias("place"))
 
 
 def card_text(spark, sf_dir):
     """The card of a value and of its growth."""
-    p = _points(spark, sf_dir)
+    p = stored_points(spark, sf_dir)
     got = numeric.yoy(p)
     return got.select(
         "cik",
@@ -150,7 +153,7 @@ def card_text(spark, sf_dir):
 
 def provenance_links(spark, sf_dir):
     """Every latest point with its filing's link, and its statement's page where it is known."""
-    p = _points(spark, sf_dir).newest
+    p = stored_points(spark, sf_dir).newest
     docs = spark.createDataFrame([(c, f"K-{c}-2000", f"d{c}.htm") for c in range(0, 25, 2)], "cik long, accn string, primary_doc string")
     pages = spark.createDataFrame([(c, f"K-{c}-2000", s, f"R{i}.htm") for c in range(0, 25, 3) for i, s in ((2, "income"), (4, "balance"))], "cik long, accn string, stmt string, html_file string")
     got = p.withColumn("stmt", render.statement_of(F.col("metric"))).join(docs, ["cik", "accn"], "left").join(pages, ["cik", "accn", "stmt"], "left")
@@ -159,7 +162,7 @@ def provenance_links(spark, sf_dir):
 
 def numeric_probes(spark, sf_dir):
     """Margin plausibility and staleness of each company's latest figures."""
-    p = _points(spark, sf_dir)
+    p = stored_points(spark, sf_dir)
     rev = p.newest.where("metric = 'revenue'").select("cik", "fy", F.col("value").alias("rev"))
     ni = p.years.where("metric = 'net_income'").select("cik", "fy", F.col("value").alias("ni"))
     both = rev.join(ni, ["cik", "fy"], "left").withColumn("margin", F.when(F.col("rev") > 0, F.col("ni") / F.col("rev")))
@@ -280,7 +283,7 @@ SQL = {
   FROM years AS y JOIN reports AS r ON r.cik = y.cik AND r.metric = y.metric AND r.start_date >= y.period_start AND r.end_date <= y.period_end
   GROUP BY ALL HAVING count(DISTINCT (r.start_date, r.end_date)) = 3
 )
-SELECT cik, metric, fy, round(value - total, 2) AS q4, last_end AS period_start, period_end, accn FROM sums QUALIFY row_number() OVER (PARTITION BY cik, metric, fy ORDER BY priority) = 1""",
+SELECT cik, metric, fy, round(value - total, 2) + 0.0 AS q4, last_end AS period_start, period_end, accn FROM sums QUALIFY row_number() OVER (PARTITION BY cik, metric, fy ORDER BY priority) = 1""",
     "series_growth": _with(BASE, POINTS, _series(6)) + "SELECT cik, metric, fy, value, step, round(growth, 6) AS growth FROM steps",
     "series_transitions": _with(BASE, POINTS, _series(10)) + "SELECT cik, metric, fy, step FROM steps WHERE step IS NOT NULL",
     "series_gaps": _with(BASE, POINTS, _series(10))
