@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import suffix_array as sa
@@ -193,12 +193,13 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = GROUP, shard: int = SHARD) -> DataFrame:
-    """``h1, h2, dk, runs``: for each text that loses bytes (dk: one of its documents) the byte runs [start, end) to remove, merged and ascending."""
+    """``h1, h2, dk, runs``: for each text that loses bytes (dk: one of its documents) the byte runs [start, end) to remove, not yet merged."""
     texts = identified(docs.select("doc_id", "text")).select("h1", "h2", "dk", "text").where(F.octet_length("text") >= width)
     anchors = staged(texts.mapInPandas(_anchored(width, gram), _TEXT + ", lo int, hi int, key long, region long"), "anchors")
     again = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("region").alias("a"), F.max("region").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
     common = staged(anchors.join(again, "key"), "anchors-again")
-    whole = common.where("not differ").select("h1", "h2", "dk", F.col("lo").alias("start"), (F.col("hi") + width).alias("end"))
+    span = F.struct(F.col("lo").alias("start"), (F.col("hi") + width).alias("end"))
+    whole = common.where("not differ").select("h1", "h2", "dk", F.array(span).alias("runs"))
     differ = common.where("differ").drop("differ")
     # one place for each distinct region
     distinct = differ.groupBy("key", "region").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2", "dk", "lo", "hi")).alias("at"))
@@ -213,15 +214,10 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
     seen = windows.groupBy("key", "hash").agg(F.sum("n").alias("times")).where("times > 1").select("key", "hash")
     covered = windows.join(seen, ["key", "hash"]).select("key", "region", F.array(F.array(F.col("at"), F.col("at") + width)).alias("spans"))
     spans = staged(spans.union(covered), "spans")
-    parts = differ.join(spans, ["key", "region"]).select("h1", "h2", "dk", "lo", F.explode("spans").alias("span"))
-    parts = parts.select("h1", "h2", "dk", (F.col("lo") + F.col("span")[0]).alias("start"), (F.col("lo") + F.col("span")[1]).alias("end"))
-    # equal texts say the same; then overlapping and touching runs become one
-    each = whole.union(parts).groupBy("h1", "h2", "start").agg(F.max("end").alias("end"), F.min("dk").alias("dk"))
-    text = Window.partitionBy("h1", "h2").orderBy("start")
-    before = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = each.withColumn("new", (before.isNull() | (before < F.col("start"))).cast("int")).withColumn("run", F.sum("new").over(text))
-    runs = numbered.groupBy("h1", "h2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("dk").alias("dk"))
-    return runs.groupBy("h1", "h2").agg(F.min("dk").alias("dk"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    placed = F.transform("spans", lambda s: F.struct((F.col("lo") + s[0]).alias("start"), (F.col("lo") + s[1]).alias("end")))
+    parts = differ.join(spans, ["key", "region"]).select("h1", "h2", "dk", placed.alias("runs"))
+    # equal texts say the same; a text's own runs are as many as its regions at most
+    return whole.union(parts).groupBy("h1", "h2").agg(F.min("dk").alias("dk"), F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def _few(keys: DataFrame, bound: int = 100_000) -> bool:
@@ -229,21 +225,28 @@ def _few(keys: DataFrame, bound: int = 100_000) -> bool:
     return keys.limit(bound + 1).count() <= bound
 
 
-def cut(b: bytes, runs) -> bytes:
-    kept, at = [], 0
-    for r in runs:
-        kept.append(b[at : r["start"]])
-        at = r["end"]
-    kept.append(b[at:])
-    return b"".join(kept)
+def merged(runs) -> list[list[int]]:
+    """Ascending runs, those that overlap or touch as one."""
+    out: list[list[int]] = []
+    for start, end in sorted((r["start"], r["end"]) for r in runs):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def cut(b: bytes, runs: list[list[int]]) -> bytes:
+    ends = [0, *(end for _, end in runs)]
+    return b"".join(b[at:start] for at, start in zip(ends, [*(start for start, _ in runs), len(b)]))
 
 
 def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for h1, h2, text, runs in zip(batch["h1"], batch["h2"], batch["text"], batch["runs"]):
+        for h1, h2, text, runs in zip(batch["h1"], batch["h2"], batch["text"], map(merged, batch["runs"])):
             kept = cut(text.encode("utf-8", "surrogatepass"), runs)
-            out.append((h1, h2, sum(r["end"] - r["start"] for r in runs), len(runs), hashlib.sha256(kept).hexdigest()))
+            out.append((h1, h2, sum(end - start for start, end in runs), len(runs), hashlib.sha256(kept).hexdigest()))
         yield pd.DataFrame(out, columns=["h1", "h2", "n_removed", "n_spans", "kept_sha256"])
 
 
@@ -268,7 +271,7 @@ def remove(docs: DataFrame, **how) -> DataFrame:
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None else cut(t.encode("utf-8", "surrogatepass"), r).decode("utf-8", "ignore") for t, r in zip(texts, runs)], dtype=object)
+        return pd.Series([t if r is None else cut(t.encode("utf-8", "surrogatepass"), merged(r)).decode("utf-8", "ignore") for t, r in zip(texts, runs)], dtype=object)
 
     runs = repeated_runs(docs, **how).drop("dk")
     text = F.coalesce("text", F.lit(""))
