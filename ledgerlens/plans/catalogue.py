@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerlens.plans import narrative_queries, numeric_queries
+from ledgerlens.plans import narrative_queries, numeric_queries, plan_queries
 
-_AREAS = (numeric_queries, narrative_queries)
+_AREAS = (numeric_queries, narrative_queries, plan_queries)
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 SQL = {k: v for area in _AREAS for k, v in area.SQL.items()}
