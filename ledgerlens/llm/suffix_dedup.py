@@ -197,6 +197,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
     texts = identified(docs.select("doc_id", "text")).select("h1", "h2", "dk", "text").where(F.octet_length("text") >= width)
     anchors = staged(texts.mapInPandas(_anchored(width, gram), _TEXT + ", lo int, hi int, key long, region long"), "anchors")
     again = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("region").alias("a"), F.max("region").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
+    again = staged(again, "anchor-keys")  # read back, both sides of the join are plain exchanges, and a hot anchor's rows can be split
     common = staged(anchors.join(again, "key"), "anchors-again")
     span = F.struct(F.col("lo").alias("start"), (F.col("hi") + width).alias("end"))
     whole = common.where("not differ").select("h1", "h2", "dk", F.array(span).alias("runs"))
