@@ -56,9 +56,9 @@ def _induced(t: np.ndarray, low: np.ndarray, is_s: np.ndarray, marks: int, lms:
     larger: list[list[np.ndarray]] = [[] for _ in range(257)]
     first: list[list[np.ndarray]] = [[] for _ in range(257)]
     _dealt(first, lms, low[lms])
-    ends = np.flatnonzero(low == 0)
+    ends = np.flatnonzero(low == 0).astype(np.int32)
     ends = ends[np.argsort(t[ends])]
-    done_larger: list[np.ndarray] = [np.empty(0, np.int64)] * 257
+    done_larger: list[np.ndarray] = [np.empty(0, np.int32)] * 257
 
     def before(p: np.ndarray, s: bool) -> np.ndarray:
         p = p[p > 0] - 1
@@ -96,7 +96,7 @@ def _induced(t: np.ndarray, low: np.ndarray, is_s: np.ndarray, marks: int, lms:
             _dealt(smaller, j[~same], low[j[~same]])
         j = before(done_larger[c][::-1], True)
         _dealt(smaller, j, low[j])
-        out.append(np.concatenate(own) if own else np.empty(0, np.int64))
+        out.append(np.concatenate(own) if own else np.empty(0, np.int32))
         out.append(done_larger[c][::-1])
     return np.concatenate([*out, ends[::-1]])[::-1]
 
@@ -114,8 +114,10 @@ def prefix_sums(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = t.astype(np.uint64) + np.uint64(1)
         x *= np.uint64(0xC2B2AE3D27D4EB4F)
         x ^= x >> np.uint64(29)
+        x *= power
+        del power
         s = np.zeros(n + 1, np.uint64)
-        np.cumsum(x * power, out=s[1:])
+        np.cumsum(x, out=s[1:])
     return s, inverse
 
 
@@ -124,7 +126,7 @@ def suffix_array(t: np.ndarray, marks: int) -> np.ndarray:
     n = len(t)
     low = np.where(t < marks, 0, t - (marks - 1)).astype(np.uint16)
     is_s = _types(t)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
     if len(lms) < 2:
         return _induced(t, low, is_s, marks, lms)
     # LMS substrings in order
@@ -141,6 +143,7 @@ def suffix_array(t: np.ndarray, marks: int) -> np.ndarray:
     new = np.concatenate([[True], (mark[1:] != mark[:-1]) | (length[1:] != length[:-1])])
     rank = np.empty(n, np.int64)
     rank[ordered] = np.cumsum(new) - 1
+    del sa, at_lms, end, s, inverse, mark, length, new, ordered
     return _induced(t, low, is_s, marks, lms[_sorted_names(rank[lms])])
 
 
@@ -178,7 +181,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, longest: int) -> tuple[np.nda
     other one has its left neighbour's prefix less one.
     """
     n = len(t)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32)
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = -1
     left = np.concatenate([[-1], t[:-1]])
@@ -197,7 +200,9 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, longest: int) -> tuple[np.nda
             same = fits & ((s[a + end] - s[a]) * inverse[a] == (s[b + end] - s[b]) * inverse[b])
             got += np.where(same, step, 0)
             step >>= 1
-    plcp = np.zeros(n, np.int64)
+    del s, inverse
+    plcp = np.zeros(n, np.int32)
     plcp[at] = got
-    last = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    return phi, np.maximum(plcp[last] - (np.arange(n) - last), 0)
+    here = np.arange(n, dtype=np.int32)
+    last = np.maximum.accumulate(np.where(start, here, np.int32(0)))
+    return phi, np.maximum(plcp[last] - (here - last), 0)

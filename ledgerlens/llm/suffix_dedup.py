@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import suffix_array as sa
 from ledgerlens.llm.store import staged
 
-WIDTH, GRAM, GROUP, SHARD = 400, 128, 10_000, 1 << 21
+WIDTH, GRAM, GROUP, SHARD = 400, 128, 5000, 1 << 20
 #: Windows of a text looked at together.
 BLOCK = 1 << 19
 _PLACES = np.uint64(20)
@@ -199,8 +199,6 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
     again = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("region").alias("a"), F.max("region").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
     again = staged(again, "anchor-keys")  # read back, both sides of the join are plain exchanges, and a hot anchor's rows can be split
     common = staged(anchors.join(again, "key"), "anchors-again")
-    span = F.struct(F.col("lo").alias("start"), (F.col("hi") + width).alias("end"))
-    whole = common.where("not differ").select("h1", "h2", "dk", F.array(span).alias("runs"))
     differ = common.where("differ").drop("differ")
     # one place for each distinct region
     distinct = differ.groupBy("key", "region").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2", "dk", "lo", "hi")).alias("at"))
@@ -213,12 +211,14 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
     spans = shards.repartition("key").sortWithinPartitions("key", "region").mapInPandas(_sharded(width, shard), "key long, region long, spans array<array<int>>")
     windows = fetched.join(crowded, "key").mapInPandas(_hashed(width), "key long, region long, n long, at int, hash long")
     seen = windows.groupBy("key", "hash").agg(F.sum("n").alias("times")).where("times > 1").select("key", "hash")
-    covered = windows.join(seen, ["key", "hash"]).select("key", "region", F.array(F.array(F.col("at"), F.col("at") + width)).alias("spans"))
+    covered = windows.join(seen, ["key", "hash"]).groupBy("key", "region").agg(F.collect_list(F.array(F.col("at"), F.col("at") + width)).alias("spans"))
     spans = staged(spans.union(covered), "spans")
+    # every occurrence: whole if its anchor has one region only, else what its region repeats
+    span = F.struct(F.col("lo").alias("start"), (F.col("hi") + width).alias("end"))
     placed = F.transform("spans", lambda s: F.struct((F.col("lo") + s[0]).alias("start"), (F.col("lo") + s[1]).alias("end")))
-    parts = differ.join(spans, ["key", "region"]).select("h1", "h2", "dk", placed.alias("runs"))
+    each = common.join(spans, ["key", "region"], "left").select("h1", "h2", "dk", F.when(F.col("differ"), placed).otherwise(F.array(span)).alias("runs")).where("runs is not null")
     # equal texts say the same; a text's own runs are as many as its regions at most
-    return whole.union(parts).groupBy("h1", "h2").agg(F.min("dk").alias("dk"), F.flatten(F.collect_set("runs")).alias("runs"))
+    return each.groupBy("h1", "h2").agg(F.min("dk").alias("dk"), F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def _few(keys: DataFrame, bound: int = 100_000) -> bool:
