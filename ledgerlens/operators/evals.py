@@ -80,3 +80,17 @@ def sample(rows: DataFrame, key: str, by: str, n: int, seed: str) -> DataFrame:
     """n rows for each ``by``, the same on every run: the smallest md5 of seed and key."""
     w = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def golden_check(cases: DataFrame) -> DataFrame:
+    """``cases``: case_id, texts, accns (arrays), expected_substrings, expected_accn. Adds whether the figures answer as pinned."""
+    joined, answered = F.array_join("texts", " "), F.size("texts") > 0
+    values = answered & F.forall(F.coalesce("expected_substrings", F.array().cast("array<string>")), lambda s: F.contains(joined, s))
+    accn = F.col("expected_accn").isNull() | F.array_contains("accns", F.col("expected_accn"))
+    return cases.select("case_id", answered.alias("answered"), values.alias("values_ok"), F.coalesce(accn, F.lit(False)).alias("accn_ok"), (values & F.coalesce(accn, F.lit(False))).alias("ok"))
+
+
+def rejudged(results: DataFrame) -> DataFrame:
+    """Stored results (n_crashed, unsupported_rate, numeric_ok) under the present rule; what old files lack counts against them, but for the probes."""
+    rule = (F.coalesce("n_crashed", F.lit(1)) == 0) & (F.coalesce("unsupported_rate", F.lit(1.0)) <= UNSUPPORTED_MOST) & F.coalesce("numeric_ok", F.lit(True))
+    return results.withColumn("passed", rule)

@@ -38,6 +38,9 @@ class Provider(Protocol):
     def generate(self, question: str, chunks: list[tuple[str, str]]) -> list[dict]: ...
     def verify(self, claims: list[dict]) -> list[dict]: ...
     def boilerplate(self, texts: list[str]) -> list[bool]: ...
+    def ask(self, chunks: list[tuple[str, str]]) -> list[dict]: ...
+    def grade(self, question: str, expected: str, got: str) -> str: ...
+    def condense(self, question: str, history: list[str]) -> str: ...
 
 
 class RuleProvider:
@@ -61,6 +64,15 @@ class RuleProvider:
     def boilerplate(self, texts: list[str]) -> list[bool]:
         return [len(t) < 40 for t in texts]
 
+    def ask(self, chunks: list[tuple[str, str]]) -> list[dict]:
+        return [{"chunk_id": c, "question": f"What is said of {' '.join(t.split()[:3])}?"} for c, t in chunks]
+
+    def grade(self, question: str, expected: str, got: str) -> str:
+        return "abstain" if not got else "correct" if expected.lower() in got.lower() else "incorrect"
+
+    def condense(self, question: str, history: list[str]) -> str:
+        return f"{question} (after: {history[-1]})"
+
 
 def is_numeric(question: Column) -> Column:
     return question.rlike(NUMERIC)
@@ -202,3 +214,56 @@ def boilerplate(claims: DataFrame, provider: Provider) -> DataFrame:
         return pd.Series(out, dtype=bool)
 
     return claims.withColumn("boilerplate", flags("text"))
+
+
+def questions_from(chunks: DataFrame, provider: Provider, longest: int = 2000) -> DataFrame:
+    """``ticker, chunk_id, question``: one call for each ticker's chunks; unknown chunks and numeric questions go."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            got = provider.ask([(c, t[:longest]) for c, t in zip(group["chunk_id"], group["text"])])
+        except Exception:  # noqa: BLE001
+            got = []
+        known = set(group["chunk_id"])
+        rows = [(group["ticker"].iloc[0], g["chunk_id"], g["question"].strip()) for g in got if g.get("chunk_id") in known and str(g.get("question", "")).strip()]
+        return pd.DataFrame(rows, columns=["ticker", "chunk_id", "question"])
+
+    got = chunks.select("ticker", "chunk_id", "text").groupBy("ticker").applyInPandas(run, "ticker string, chunk_id string, question string")
+    return got.where(~is_numeric(F.col("question")))
+
+
+def graded(answers_: DataFrame, provider: Provider) -> DataFrame:
+    """``answers_`` (question, expected, got) with ``grade``; an unknown grade is incorrect, a failing call a crash."""
+
+    @F.pandas_udf("string")
+    def grade(question: pd.Series, expected: pd.Series, got: pd.Series) -> pd.Series:
+        out = []
+        for q, e, g in zip(question, expected, got):
+            try:
+                word = provider.grade(q, e, g or "")
+                out.append(word if word in ("correct", "incorrect", "abstain") else "incorrect")
+            except Exception:  # noqa: BLE001
+                out.append("crash")
+        return pd.Series(out, dtype=object)
+
+    return answers_.withColumn("grade", grade("question", "expected", "got"))
+
+
+def condensed(turns: DataFrame, provider: Provider, history: int = 3) -> DataFrame:
+    """The last user turn of each conversation (conv_id, turn, role, text) as a question of its own, from up to three turns before; alone, or if the call fails, it stays as it is."""
+    last = turns.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"), F.max("turn").alias("asked"))
+    before = cl.last_turns(turns.join(last.select("conv_id", "asked"), "conv_id").where("turn < asked").drop("asked"), history)
+    told = before.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("history"))
+
+    @F.pandas_udf("string")
+    def condense(question: pd.Series, earlier: pd.Series) -> pd.Series:
+        out = []
+        for q, h in zip(question, earlier):
+            try:
+                out.append(provider.condense(q, list(h)) or q)
+            except Exception:  # noqa: BLE001
+                out.append(q)
+        return pd.Series(out, dtype=object)
+
+    met = last.join(told, "conv_id", "left")
+    return met.select("conv_id", F.when(F.size("history") > 0, condense("question", F.coalesce("history", F.array().cast("array<string>")))).otherwise(F.col("question")).alias("question"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import figures
+from ledgerlens.functions import figures, presentation
 from ledgerlens.operators import chunking, claims, evals, matching, retrieval
 from ledgerlens.plans.numeric_queries import BASE, POINTS, facts, stored_points
 from ledgerlens.plans.projection import FIGURES, FILINGS, JUDGED, LOG, as_sql, project
@@ -192,6 +192,27 @@ def number_hit_rates(spark, sf_dir):
     return c.groupBy("cik").agg(_r(F.avg(m)).alias("mean_match"), F.count_if(F.coalesce(m < 1, F.lit(False))).alias("flagged"))
 
 
+def golden_checks(spark, sf_dir):
+    """Cards against pinned substrings and filings."""
+    c = project(spark, sf_dir, FIGURES).select(F.concat("cik", F.lit("-"), "y").alias("case_id"), F.when(F.col("cik") % 6 == 5, F.array().cast("array<string>")).otherwise(F.array("claim", "evidence")).alias("texts"), F.array(F.concat(F.lit("K-"), "y")).alias("accns"), F.array(F.lit("million to $"), F.when(F.col("cik") % 2 == 0, "revenue").otherwise("777,123")).alias("expected_substrings"), F.when(F.col("cik") % 3 == 0, "K-1998").alias("expected_accn"))
+    return evals.golden_check(c)
+
+
+def kpi_tiles(spark, sf_dir):
+    c = project(spark, sf_dir, FIGURES).select("cik", "y", presentation.tile(F.concat(F.lit("ACME net income FY"), "y", F.lit(": $"), "cik", F.when(F.col("y") % 2 == 0, F.concat(F.lit(".5B, +"), "cik", F.lit(".1% YoY (FY1: $2B)"))).otherwise("M"))).alias("t"))
+    return c.select("cik", "y", "t.label", "t.fy", "t.value", "t.delta")
+
+
+def best_sentence(spark, sf_dir):
+    c = project(spark, sf_dir, FIGURES)
+    return c.select("cik", "y", presentation.best_sentence(F.col("claim"), F.concat(F.lit("Nothing of note. "), "evidence", F.lit("! Company revenue moved again, by millions. Words without meaning?"))).alias("sentence"))
+
+
+def visitor_ids(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("user_id").distinct()
+    return e.select("user_id", presentation.visitor_id(F.concat(F.lit("10.0.0."), "user_id", F.lit(", 10.1.1.1")), "salt").alias("visitor"))
+
+
 # --- logs
 
 def llm_cost(spark, sf_dir):
@@ -373,7 +394,18 @@ cards AS (
   UNION ALL SELECT cik, 'gross_profit:1999', 'old', [accn || '|' || tag || '|' || fy], [period_end], cik % 2 = 0 FROM years WHERE metric = 'gross_profit' AND fy = 1999)
 """
 
+_CARD = presentation.CARD
+_TILE = "'ACME net income FY' || y || ': $' || cik || CASE WHEN y % 2 = 0 THEN '.5B, +' || cik || '.1% YoY (FY1: $2B)' ELSE 'M' END"
 SQL = {
+    "golden_checks": _FIG + """SELECT cik || '-' || y AS case_id, cik % 6 <> 5 AS answered, cik % 6 <> 5 AND contains(claim || ' ' || evidence, 'million to $') AND contains(claim || ' ' || evidence, CASE WHEN cik % 2 = 0 THEN 'revenue' ELSE '777,123' END) AS values_ok,
+  cik % 3 <> 0 OR y = 1998 AS accn_ok, cik % 6 <> 5 AND contains(claim || ' ' || evidence, 'million to $') AND contains(claim || ' ' || evidence, CASE WHEN cik % 2 = 0 THEN 'revenue' ELSE '777,123' END) AND (cik % 3 <> 0 OR y = 1998) AS ok FROM c""",
+    "kpi_tiles": _FIG + f"SELECT cik, y, regexp_extract({_TILE}, '{_CARD}', 1) AS label, CAST(regexp_extract({_TILE}, '{_CARD}', 2) AS INT) AS fy, trim(regexp_extract({_TILE}, '{_CARD}', 3)) AS value, nullif(regexp_extract({_TILE}, '{_CARD}', 4), '') AS delta FROM c",
+    "best_sentence": _FIG.rstrip() + f""",
+s AS (SELECT cik, y, cw, string_split(regexp_replace('Nothing of note. ' || evidence || '! Company revenue moved again, by millions. Words without meaning?', '([.!?。？！])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM c),
+e AS (SELECT cik, y, cw, unnest(range(0, len(parts))) AS i, unnest(parts) AS p FROM s),
+r AS (SELECT cik, y, i, p, CASE WHEN len(cw) >= 3 THEN len(list_filter(cw, lambda x: list_contains({_words('p')}, x))) / len(cw) ELSE 0 END AS score FROM e)
+SELECT cik, y, CASE WHEN score >= 0.3 THEN p END AS sentence FROM r QUALIFY row_number() OVER (PARTITION BY cik, y ORDER BY score DESC, i) = 1""",
+    "visitor_ids": "SELECT DISTINCT user_id, substring(sha256('salt:10.0.0.' || user_id), 1, 16) AS visitor FROM events",
     "chunk_pack": _CHUNKS + "SELECT chunk_id, section, length(text) AS n, md5(text) AS digest FROM chunks",
     "chunk_sections": _CHUNKS + "SELECT corpus, section, count(*) AS chunks, count(DISTINCT doc_id) AS docs FROM chunks GROUP BY corpus, section",
     "chunk_noise": _CHUNKS + "SELECT doc_id, len(ps) AS paragraphs FROM split",
@@ -446,6 +478,6 @@ _FUNCTIONS = (
     chunk_pack, chunk_sections, chunk_noise, corpus_live, vector_topk, vector_topk_scoped, vector_mmr, refine_topup, claim_figures, claim_number_match, claim_arithmetic, claim_token_overlap,
     claim_check, fact_rescue, evidence_equivalent, risk_phrase, risk_echo_sections, claim_verdicts, claim_citations, credibility_report, verdict_distribution, gate_decision, boilerplate_rate,
     smoke_score, benchmark_summary, judge_agreement, number_hit_rates, llm_cost, longest_prefix_price, queries_per_day, visitor_budget, shingle_containment, shingle_suspects, name_to_entity,
-    mentioned_company, history_last3, sample_deterministic, upsert_latest, ingest_missing, replace_by_key, drop_stale_cards, subsume_cards,
+    mentioned_company, history_last3, sample_deterministic, upsert_latest, ingest_missing, replace_by_key, drop_stale_cards, subsume_cards, golden_checks, kpi_tiles, best_sentence, visitor_ids,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
