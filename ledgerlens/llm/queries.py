@@ -108,5 +108,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM lengths GROUP BY conv_id
 """
 
+_OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT u, w FROM pairs UNION SELECT r.u, p.w FROM reach AS r JOIN pairs AS p ON p.u = r.w
+)
+SELECT m.vec_id, (SELECT count(*) FROM pairs WHERE u = m.vec_id) AS n_links,
+  least(m.vec_id, coalesce((SELECT min(w) FROM reach WHERE u = m.vec_id), m.vec_id)) AS component_id,
+  m.vec_id <= coalesce((SELECT min(w) FROM reach WHERE u = m.vec_id), m.vec_id) AS kept
+FROM embeddings AS m
+"""
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_language_id, op4_mixing, op5_toxicity, op6_simhash, op7_quality, op8_html_extraction, op9_chat_formatting, op10_embedding_dedup)}
-ORACLE_SQL = {"op9_chat_formatting": _OP9_SQL}
+ORACLE_SQL = {"op9_chat_formatting": _OP9_SQL, "op10_embedding_dedup": _OP10_SQL}
