@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, mixing, quality, simhash, suffix_dedup
+from ledgerlens.llm import decontaminate, mixing, quality, similar_texts, suffix_dedup
 from ledgerlens.llm.queries import fold_of, table
 from ledgerlens.llm.store import small_batches, staged
 
@@ -28,9 +28,9 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the one of smallest doc_id stays."""
+    """Of documents linked by similarity 0.8 or more over five-word shingles, the one of smallest doc_id stays."""
     small_batches(spark)
-    return simhash.keep_one(docs).select(*COLUMNS)
+    return similar_texts.keep_one(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

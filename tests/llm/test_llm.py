@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_format, decontaminate, embedding_index, html_text, language_id, mixing, quality, queries, simhash, suffix_array, suffix_dedup, toxicity
+from ledgerlens.llm import chat_format, decontaminate, embedding_index, html_text, language_id, mixing, quality, queries, simhash, similar_texts, suffix_array, suffix_dedup, toxicity
 from ledgerlens.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h1 string, size int, fp string, label double, score string"
@@ -326,6 +326,56 @@ def test_simhash_links_in_one_large_bucket():
     assert brute_components(len(fp), lambda i, j: (j, i) in pairs or (i, j) in pairs) == want
 
 
+def test_similar_texts(spark):
+    """Exact and near copies of similarity 0.8 or more share a component; unrelated texts and those of 0.5 or less stay."""
+    rnd = random.Random(11)
+
+    def words(n):
+        return ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(n)]
+
+    rows, family = [(1, None), (2, ""), (3, " \t"), (4, "One two"), (5, "one TWO"), (6, "three")], {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    for g in range(40):
+        base = words(400)
+        for c in range(4):
+            at = 100 + 10 * g + c
+            w = list(base)
+            for place in rnd.sample(range(0, 400, 10), (0, 3, 6, 8)[c]):  # each word takes five shingles: similarity to the first is 0.82 to 1
+                w[place] = "other"
+            rows.append((at, " ".join(w)))
+            family[at] = 100 + 10 * g
+        rows.append((900 + g, " ".join(base[:200] + words(200))))
+        family[900 + g] = 900 + g
+    rows.append((5000, rows[-2][1]))
+    family[5000] = next(family[i] for i, t in rows if t == rows[-1][1])
+    got = by_id(similar_texts.near_duplicates(docs(spark, rows)))
+    assert {i: got[i].component_id for i in family} == family
+    kept = similar_texts.keep_one(docs(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(family.values())) and "fp" in kept.columns
+    assert similar_texts.keep_one(docs(spark, [])).count() == 0
+    assert similar_texts.keep_one(docs(spark, [(None, "a b c d e f")] * 2)).count() == 2
+
+
+def test_tables_meet_at_the_least_similarity():
+    """At any number of fingerprints, pairs exactly at 0.8 meet in some table; the distance bound is the one documented."""
+    rng, p = np.random.default_rng(5), similar_texts.apart(0.8)
+    for rows in (1, 50_000, 10**9):
+        places = similar_texts.tables(rows)
+        differ = rng.random((2000, 512)) < p
+        met = np.any([differ[:, own].sum(1) <= 1 for own in places], axis=0)
+        assert met.mean() > 0.975
+    assert (differ.sum(1) <= similar_texts.most_bits()).mean() > 0.96
+
+
+def test_forest_joins_what_is_linked():
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2, 512, np.uint8)
+    fps = np.array([np.packbits(bits ^ (rng.random(512) < 0.1)).view(np.uint64) for _ in range(200)])
+    u, v = similar_texts.forest(np.arange(200), fps, 94)
+    linked = {tuple(sorted(x)) for x in zip(u, v)}
+    want = brute_components(200, lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= 94)
+    assert len(u) < 200 and brute_components(200, lambda i, j: (j, i) in linked) == want
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 380)] + [(500, 500)]
