@@ -1,23 +1,28 @@
-"""Near-duplicates at a given shingle similarity: wide SimHash fingerprints under multi-index hashing.
+"""Near-duplicates at a given shingle similarity: SimHash candidates, verified by exact Jaccard similarity.
 
 Two texts whose word shingles have Jaccard similarity s differ, in a SimHash, in
-about ``acos(2s / (1 + s)) / pi`` of the bits: 15 % at 0.8. Sixty-four bits cannot
-tell 0.8 from 0.6, so the fingerprint has ``WORDS`` times 64. Fingerprints link if
-their complete distance is at most what ``similarity`` gives, plus two standard
-deviations.
-
-Candidates come from tables over segments of the fingerprint: each fingerprint
-is filed under every segment and asks the Hamming ball of radius 1 around it; of
-two that differ in one bit the smaller value asks. Segments are cut from
-permutations of the bits. Their width follows the logarithm of the number of
-fingerprints, so buckets stay small at any size, and their number follows from
-the width: two texts of exactly the least similarity meet in some table with
-probability ``recall``, those of higher similarity nearly always.
-
-A bucket gives a spanning forest of its links, never its pairs.
+about ``acos(2s / (1 + s)) / pi`` of the bits: 15 % at 0.8. The fingerprint has
+``WORDS`` times 64 bits. Bits only make candidates, within five standard deviations
+(``candidate_bits``); a link is a pair whose exact similarity is ``similarity`` or more.
+
+Candidates of texts of more than ``SHORT`` shingles come from tables over segments
+of the fingerprint: each fingerprint is filed under every segment and asks the
+Hamming ball of radius 1 around it; of two that differ in one bit the smaller value
+asks. Segments are cut from permutations of the bits. Their width follows the
+logarithm of the number of fingerprints, so buckets stay small at any size, and
+their number follows from the width: two texts of exactly the least similarity meet
+in some table with probability ``recall``, those of higher similarity nearly always.
+
+Short texts differ in more bits than that, so they are filed under the smallest of
+their shingle hashes instead: two sets of the least similarity share one of them.
+
+A bucket gives a spanning forest of its candidates, never its pairs. The components
+of the candidates hold every link; the distinct shingle sets of a component meet in
+one task, once each, where every pair that may reach ``similarity`` is looked at
+until both are known to be joined.
 
 Defined cases: null text is empty; texts with fewer words than a shingle hash the
-whole word sequence; texts without words have fingerprint zero and link with each
+whole word sequence; texts without words have no shingles and link with each
 other; repeated rows share a component; null doc_ids are kept as rows and never
 name a component; extra columns are ignored by ``near_duplicates`` and kept by
 ``keep_one``; no rows give no rows.
@@ -30,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +46,8 @@ from ledgerlens.llm.store import staged
 SHINGLE, SIMILARITY, WORDS, RECALL = 5, 0.8, 8, 0.99
 #: Shingles mixed at once; rows that are added up in one byte.
 BLOCK, _ADDED = 1 << 12, 255
+#: Texts of at most so many shingles are filed by shingle hashes.
+SHORT = 64
 
 
 def apart(similarity: float) -> float:
@@ -52,11 +60,25 @@ def most_bits(similarity: float = SIMILARITY, words: int = WORDS) -> int:
     return round(n * p + 2 * math.sqrt(n * p * (1 - p)))
 
 
+def candidate_bits(similarity: float = SIMILARITY, words: int = WORDS, short: bool = False) -> int:
+    """Five standard deviations; few shingles differ in up to 1.27 times the bits (four in five of them: 3/16)."""
+    n, p = 64 * words, min(0.5, apart(similarity) * (1.27 if short else 1))
+    return round(n * p + 5 * math.sqrt(n * p * (1 - p)))
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Ascending hashes of the distinct shingles."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
 def wide_fingerprint(text: str | None, shingle: int = SHINGLE, words: int = WORDS) -> bytes:
     """A bit is set if it is set in over half of the distinct shingles' hashes; zero without words."""
+    return set_fingerprint(shingle_set(text, shingle), words)
+
+
+def set_fingerprint(every: np.ndarray, words: int = WORDS) -> bytes:
     counts = np.zeros(64 * words, np.int64)
     step = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    every = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, shingle)]))
     for start in range(0, len(every), BLOCK):
         x = every[start : start + BLOCK, None] + step
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -141,16 +163,22 @@ def _linked(bits: int):
             v += b
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
+    return _grouped("bucket", solved)
+
+
+def _grouped(by: str, solved):
+    """Batches sorted by ``by``, as whole groups."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []  # rows of the last bucket so far
+        rest: list[pd.DataFrame] = []  # rows of the last group so far
         for now in batches:
             if not len(now):
                 continue
-            if rest and now["bucket"].iloc[-1] == rest[0]["bucket"].iloc[0]:
+            if rest and now[by].iloc[-1] == rest[0][by].iloc[0]:
                 rest.append(now)
                 continue
             now = pd.concat([*rest, now])
-            cut = np.searchsorted(now["bucket"].to_numpy(), now["bucket"].iloc[-1])
+            cut = np.searchsorted(now[by].to_numpy(), now[by].iloc[-1])
             if cut:
                 yield solved(now.iloc[:cut])
             rest = [now.iloc[cut:]]
@@ -160,22 +188,107 @@ def _linked(bits: int):
     return run
 
 
+def similar(sets: list[np.ndarray], fps: np.ndarray, similarity: float) -> np.ndarray:
+    """For each of these distinct sets the place of the first one it is joined to by links of ``similarity`` or more."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    mark = np.zeros(flat.max(initial=-1) + 1, bool)
+    wide, near = candidate_bits(similarity, short=True), candidate_bits(similarity)
+    least = SHORT / similarity
+    label, left, todo = np.arange(len(sets)), np.arange(len(sets)), []
+    while len(left):
+        if not todo:
+            todo, left, first = [left[0]], left[1:], left[0]
+        x = todo.pop()
+        bound = np.where(np.minimum(size[left], size[x]) <= least, wide, near)
+        may = (np.bitwise_count(fps[left] ^ fps[x]).sum(1, dtype=np.int64) <= bound) & (np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-9)
+        at = np.flatnonzero(may)
+        own = flat[start[x] : start[x] + size[x]]
+        mark[own] = True
+        found = np.zeros(len(left), bool)
+        for some in np.array_split(at, max(1, int(size[left[at]].sum()) >> 20)):
+            if len(some):
+                n = size[left[some]]
+                places = np.repeat(start[left[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.add.reduceat(mark[flat[places]], np.cumsum(n) - n, dtype=np.int64)
+                found[some] = both >= similarity * (n + size[x] - both) - 1e-9
+        mark[own] = False
+        label[left[found]] = first
+        todo += left[found].tolist()
+        left = left[~found]
+    return label
+
+
+def _verified(similarity: float):
+    """Rows (label, id, fp, hashes) sorted by label, as ``node, label``: the nodes that links of ``similarity`` or more join."""
+
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        label, ids = rows["label"].to_numpy(), rows["id"].to_numpy()
+        cuts = np.flatnonzero(label[1:] != label[:-1]) + 1
+        out = np.empty(len(rows), np.int64)
+        for lo, hi in zip([0, *cuts], [*cuts, len(rows)]):
+            part = rows.iloc[lo:hi]
+            fps = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(hi - lo, -1)
+            out[lo:hi] = ids[lo:hi][similar([np.frombuffer(x, np.uint64) for x in part["hashes"]], fps, similarity)]
+        return pd.DataFrame({"node": ids, "label": out})
+
+    return _grouped("label", solved)
+
+
+def _filed_short():
+    """Fingerprints (id, fp, least) as rows of buckets: one for each of the smallest hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            least = [np.frombuffer(x, np.int64) for x in batch["least"]]
+            who = np.repeat(np.arange(len(batch)), [len(x) for x in least])
+            if len(who):
+                yield pd.DataFrame({"bucket": np.concatenate(least), "probe": np.int8(0), "id": batch["id"].to_numpy()[who], "fp": batch["fp"].to_numpy()[who]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``doc_id, component_id`` of every row of ``docs`` (doc_id, text)."""
 
+    @F.pandas_udf("id long, n int, fp binary, least binary")
+    def prints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            out = []
+            for x in (shingle_set(t, shingle) for t in batch):
+                n = len(x)
+                few = x[: n - math.ceil(similarity * n - 1e-9) + 1] if n <= SHORT / similarity else x[:0]
+                out.append((np.uint64(xxhash.xxh64_intdigest(x.tobytes())).astype(np.int64), n, set_fingerprint(x), few.tobytes()))
+            yield pd.DataFrame(out, columns=["id", "n", "fp", "least"])
+
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), prints("text").alias("p"))
+    found = staged(found.select("doc_id", "h1", "h2", "p.*"), "wide-prints")
+    # a set's text: of those that have it the one of smallest hash
+    first = found.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("h1", "h2")).alias("h"), *(F.min(c).alias(c) for c in ("n", "fp", "least")))
+    first = staged(first.select("id", "first_id", "h.*", "n", "fp", "least"), "wide-distinct")
+    long, short = first.where(F.col("n") > SHORT), first.where(F.col("n") <= SHORT / similarity)
+    places = tables(long.count(), similarity, recall)
+    edges = []
+    for rows, bits in (
+        (long.select("id", "fp").mapInPandas(_asked(places), "bucket long, probe byte, id long, fp binary"), candidate_bits(similarity)),
+        (short.select("id", "fp", "least").mapInPandas(_filed_short(), "bucket long, probe byte, id long, fp binary"), candidate_bits(similarity, short=True)),
+    ):
+        edges.append(rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInPandas(_linked(bits), "u long, v long"))
+    maybe = components(edges[0].union(edges[1]))
+    maybe = staged(first.join(maybe, F.col("id") == F.col("node")).select("h1", "h2", "id", "label", "fp"), "wide-candidates")
+
     @F.pandas_udf("binary")
-    def prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([wide_fingerprint(t, shingle) for t in batch], dtype=object)
-
-    found = docs.select("doc_id", prints("text").alias("fp")).select("doc_id", "fp", F.xxhash64("fp").alias("id"))
-    found = staged(found, "wide-prints")
-    first = staged(found.groupBy("id", "fp").agg(F.min("doc_id").alias("first_id")), "wide-distinct")
-    places = tables(first.count(), similarity, recall)
-    rows = first.select("id", "fp").mapInPandas(_asked(places), "bucket long, probe byte, id long, fp binary")
-    edges = rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInPandas(_linked(most_bits(similarity)), "u long, v long")
-    labels = components(edges)
-    named = first.join(labels, F.col("id") == F.col("node"), "left").select("id", "first_id", F.coalesce("label", "id").alias("label"))
+            yield pd.Series([shingle_set(t, shingle).tobytes() for t in batch], dtype=object)
+
+    # equal texts collapse before they are dealt out by component
+    texts = docs.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), "text").join(maybe.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    sets = maybe.join(texts.groupBy("h1", "h2").agg(F.first("text").alias("text")), ["h1", "h2"]).select("label", "id", "fp", hashes("text").alias("hashes"))
+    labels = sets.repartition("label").sortWithinPartitions("label", "id").mapInPandas(_verified(similarity), "node long, label long")
+    named = first.join(staged(labels, "wide-verified"), F.col("id") == F.col("node"), "left").select("id", "first_id", F.coalesce("label", "id").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return found.join(named.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
 
