@@ -28,9 +28,9 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links of exact similarity 0.8 or more over five-word shingles, the one of smallest doc_id stays."""
+    """Of documents joined by links of exact similarity 0.8 or more over five-word shingles, one row stays: the smallest doc_id's."""
     small_batches(spark)
-    return similar_texts.keep_one(docs).select(*COLUMNS)
+    return similar_texts.keep_one_row(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ Defined cases: null text is empty; texts with fewer words than a shingle hash th
 whole word sequence; texts without words have no shingles and link with each
 other; repeated rows share a component; null doc_ids are kept as rows and never
 name a component; extra columns are ignored by ``near_duplicates`` and kept by
-``keep_one``; no rows give no rows.
+``keep_one`` and ``keep_one_row``; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -251,6 +251,13 @@ def _filed_short():
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``doc_id, component_id`` of every row of ``docs`` (doc_id, text)."""
+    found, named = _labelled(docs.select("doc_id", "text", F.lit(0).alias("rest")), shingle, similarity, recall)
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return found.join(named.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
+
+
+def _labelled(docs: DataFrame, shingle: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Every row of ``docs`` (doc_id, text, rest) with its shingle set's ``id``, and every id's ``label``."""
 
     @F.pandas_udf("id long, n int, fp binary, least binary")
     def prints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -263,8 +270,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
             yield pd.DataFrame(out, columns=["id", "n", "fp", "least"])
 
     text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), prints("text").alias("p"))
-    found = staged(found.select("doc_id", "h1", "h2", "p.*"), "wide-prints")
+    found = docs.select("doc_id", "rest", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), prints("text").alias("p"))
+    found = staged(found.select("doc_id", "rest", "h1", "h2", "p.*"), "wide-prints")
     # a set's text: of those that have it the one of smallest hash
     first = found.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("h1", "h2")).alias("h"), *(F.min(c).alias(c) for c in ("n", "fp", "least")))
     first = staged(first.select("id", "first_id", "h.*", "n", "fp", "least"), "wide-distinct")
@@ -288,9 +295,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     texts = docs.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), "text").join(maybe.select("h1", "h2"), ["h1", "h2"], "left_semi")
     sets = maybe.join(texts.groupBy("h1", "h2").agg(F.first("text").alias("text")), ["h1", "h2"]).select("label", "id", "fp", hashes("text").alias("hashes"))
     labels = sets.repartition("label").sortWithinPartitions("label", "id").mapInPandas(_verified(similarity), "node long, label long")
-    named = first.join(staged(labels, "wide-verified"), F.col("id") == F.col("node"), "left").select("id", "first_id", F.coalesce("label", "id").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return found.join(named.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
+    labels = staged(labels, "wide-verified")
+    return found, first.join(labels, F.col("id") == F.col("node"), "left").select("id", "first_id", F.coalesce("label", "id").alias("label"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -300,3 +306,23 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     gone = near_duplicates(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
+
+
+def keep_one_row(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """``docs`` with exactly one row of each component: the smallest doc_id's, nulls last, then by hashes of text and other columns.
+
+    Rows are told apart by their content, never by doc_id alone; of rows equal in all columns one stays.
+    """
+    key = ["_h1", "_h2", "_rest"]
+    text = F.coalesce("text", F.lit(""))
+    rest = F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in docs.columns if c != "text"], F.col("text").isNull())
+    keyed = docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text), "_rest": rest})
+    found, named = _labelled(keyed.select("doc_id", "text", F.col("_rest").alias("rest")), shingle, similarity, recall)
+    rows = found.groupBy("id", "doc_id", "h1", "h2", "rest").agg(F.count("*").alias("n"))
+    rows = rows.join(named.select("id", "label"), "id").withColumn("at", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2", "rest"))
+    best = rows.groupBy("label").agg(F.min("at").alias("best"))
+    chosen = rows.join(best, "label").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("rest").alias("_rest"), F.col("at").eqNullSafe(F.col("best")).alias("stays"), "n")
+    odd = staged(chosen.where("not stays or n > 1").select(*key, "stays"), "wide-odd")
+    once = keyed.join(odd, key, "left_anti")
+    again = keyed.join(odd.where("stays"), key, "left_semi").dropDuplicates(key)
+    return once.unionByName(again).select(docs.columns)

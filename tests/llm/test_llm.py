@@ -381,6 +381,22 @@ def test_similar_texts_are_verified(spark):
     assert len(wrong) <= 4  # of 120 longer pairs exactly at 0.8 the tables may miss 1 %
 
 
+def test_one_row_of_each_group_leaves_the_pipeline(spark):
+    """Repeated rows, copies without a doc_id and doc_ids of two texts: each text leaves once, whole."""
+    import corpus_pipeline
+
+    rnd = random.Random(14)
+    a, b, c, d, e, f = (" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(100)) for _ in range(6))
+    rows = [(1, a), (1, a), (None, b), (None, b), (3, c), (4, c), (4, d), (6, d), (7, e), (7, e), (None, e), (8, f), (8, f + " more"), (None, None), (9, "")]
+    kept = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = corpus_pipeline.drop_near_duplicates(spark, kept, "")
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert [(i, t) for i, t in got if i != 8] == sorted([(0, b), (1, a), (3, c), (4, d), (7, e), (9, "")])
+    assert [t in (f, f + " more") for i, t in got if i == 8] == [True]
+    left = sorted(r.text for r in corpus_pipeline.cut_repeats(spark, kept, "").collect())
+    assert left == sorted(t for _, t in got)
+
+
 def test_similar_sets_against_all_pairs():
     rnd = random.Random(13)
     sets = [np.unique(np.array([rnd.randrange(1 << 60) for _ in range(rnd.choice([1, 5, 60, 300]))], np.uint64)) for _ in range(20)]
