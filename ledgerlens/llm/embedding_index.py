@@ -5,8 +5,11 @@ codebook (k-means on a bounded sample of rows), so a vector's cell is a pair of
 codewords on a product grid. Every distinct vector is filed in its nearest cell
 and asks the cells that a multi-sequence traversal visits first: pairs of
 codewords in order of summed squared distances. How many it visits is set on
-the sample: enough that at least ``recall`` of the sample's true pairs are met,
-then doubled, as a margin. Every match's cosine is verified in double precision.
+the true partners that sampled vectors have among all rows: enough that of at least
+``recall`` of the groups every partner is met, then doubled, as a margin. A group
+weighs 1 whatever its size, so hot groups of copies do not hide small ones. Every
+match's cosine is verified in double precision, and a link that one side meets
+counts for both.
 
 Equal vectors collapse to one row with a count before anything is filed. A cell
 of many vectors is dealt into blocks of ``block``, each a group of its own, and a
@@ -22,6 +25,7 @@ vec_id is a row without a name; extra columns are ignored; no rows give no rows.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,10 +78,10 @@ class Index:
 
     def __init__(self, sample: np.ndarray, k: int = 32, recall: float = 0.99, cosine: float = COSINE, seed: int = 0):
         half = sample.shape[1] // 2
-        self.half, self.cosine = half, cosine
+        self.half, self.cosine, self.recall = half, cosine, recall
         self.books = [kmeans(sample[:, :half], k, seed), kmeans(sample[:, half:], k, seed + 1)]
         self.sizes = tuple(map(len, self.books))
-        self.cells = self._needed(sample, recall)
+        self.cells = self.sizes[0] * self.sizes[1]
 
     def cell(self, x: np.ndarray) -> np.ndarray:
         return nearest(x[:, : self.half], self.books[0]) * self.sizes[1] + nearest(x[:, self.half :], self.books[1])
@@ -87,18 +91,23 @@ class Index:
         d1, d2 = distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1])
         return np.array([[i * self.sizes[1] + j for i, j in visits(a, b, self.cells)] for a, b in zip(d1, d2)]).reshape(len(x), -1)
 
-    def _needed(self, sample: np.ndarray, recall: float, queries: int = 1000) -> int:
-        every = self.sizes[0] * self.sizes[1]
-        q, cell = sample[:queries], self.cell(sample)
-        ranks: list[int] = []
-        for x, sims in zip(q, q @ sample.T):
-            found = np.flatnonzero(sims >= self.cosine)
-            if len(found) > 1:
-                total = distances(x[None, : self.half], self.books[0])[0][:, None] + distances(x[None, self.half :], self.books[1])[0]
-                ranks += (total.ravel() < total.ravel()[cell[found]][:, None]).sum(1).tolist()
-        if not ranks:
-            return min(every, 16)
-        return min(every, max(4, 2 * (int(np.quantile(ranks, recall, method="higher")) + 1)))
+    def calibrate(self, queries: np.ndarray, met: pd.DataFrame) -> None:
+        """Sets ``cells``; ``met`` (query, cell, n): in which cells the true partners of ``queries`` are, without themselves."""
+        if not len(met):  # none at all: as if each had one at exactly the least cosine
+            noise = np.random.default_rng(0).normal(size=queries.shape)
+            noise -= (noise * queries).sum(1)[:, None] * queries
+            near = self.cosine * queries + math.sqrt(1 - self.cosine**2) * noise / np.maximum(np.linalg.norm(noise, axis=1), 1e-300)[:, None]
+            met = pd.DataFrame({"query": np.arange(len(queries)), "cell": self.cell(near), "n": 1})
+        worst, weight = [], []
+        for i, own in met.groupby("query"):
+            x = queries[i]
+            total = (distances(x[None, : self.half], self.books[0])[0][:, None] + distances(x[None, self.half :], self.books[1])[0]).ravel()
+            worst.append(int((total <= total[own["cell"]].max()).sum()))
+            weight.append(1 / (1 + own["n"].sum()))
+        order = np.argsort(worst, kind="stable")
+        share = np.cumsum(np.array(weight)[order])
+        needed = worst[order[np.searchsorted(share, self.recall * share[-1])]]
+        self.cells = min(self.sizes[0] * self.sizes[1], max(4, 2 * needed))
 
 
 def unit(vectors) -> np.ndarray | None:
@@ -116,8 +125,11 @@ def _filed(index: Index):
     return run
 
 
-def _compared(cosine: float, batch: int = 4096):
-    """Rows sorted by group, members before askers; counts (kind 0: vec, links) and forest edges (kind 1: u, v)."""
+def _compared(cosine: float, cells: int, batch: int = 4096):
+    """Rows sorted by group, members before askers; counts (kind 0: vec, links) and forest edges (kind 1: u, v).
+
+    A link counts for the asker, and for the member too if that does not ask the asker's own cell.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, members = None, None
@@ -133,13 +145,15 @@ def _compared(cosine: float, batch: int = 4096):
                 if not asks.all():
                     own = part[~asks]
                     x = unit(np.stack(own["vector"].to_numpy()).astype(np.float64))
-                    new = (own["vec"].to_numpy(), own["copies"].to_numpy(), x)
+                    new = (own["vec"].to_numpy(), own["copies"].to_numpy(), x, np.stack(own["wanted"].to_numpy()))
                     members = new if members is None else tuple(np.concatenate(p) for p in zip(members, new))
                 part = part[asks]
                 if members is None or not len(part):
                     continue
-                ids, copies, m = members
-                counts, us, vs = [], [], []
+                ids, copies, m, wanted = members
+                asked = np.zeros((len(ids), cells), bool)
+                np.put_along_axis(asked, wanted, True, axis=1)
+                counts, us, vs, back = [], [], [], np.zeros(len(ids), np.int64)
                 for at in range(0, len(part), batch):
                     q = part.iloc[at : at + batch]
                     qid = q["vec"].to_numpy()
@@ -147,11 +161,14 @@ def _compared(cosine: float, batch: int = 4096):
                     n = near @ copies
                     counts.append(pd.DataFrame({"a": qid, "b": n})[n > 0])
                     i, j = np.nonzero(near)
+                    alone = ~asked[j, q["own"].to_numpy()[i]]
+                    np.add.at(back, j[alone], q["copies"].to_numpy()[i[alone]])
                     us.append(qid[i])
                     vs.append(ids[j])
                     if sum(map(len, us)) > 1_000_000:
                         e = spanning(np.concatenate(us), np.concatenate(vs))
                         us, vs = [e["u"].to_numpy()], [e["v"].to_numpy()]
+                counts.append(pd.DataFrame({"a": ids, "b": back})[back > 0])
                 yield pd.concat(counts).assign(kind=0)[["kind", "a", "b"]]
                 if us and sum(map(len, us)):
                     e = spanning(np.concatenate(us), np.concatenate(vs))
@@ -160,6 +177,21 @@ def _compared(cosine: float, batch: int = 4096):
     return run
 
 
+def _partners(index: Index, ids: np.ndarray, queries: np.ndarray, block: int = 2000):
+    """How many partners each query has in each cell, by brute force over the rows (vec, vector)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), block):
+                part = batch.iloc[at : at + block]
+                x = unit(np.stack(part["vector"].to_numpy()).astype(np.float64))
+                q, row = np.nonzero((queries @ x.T >= index.cosine) & (ids[:, None] != part["vec"].to_numpy()))
+                found = pd.DataFrame({"query": q, "cell": index.cell(x)[row]})
+                yield found.groupby(["query", "cell"]).size().reset_index(name="n")
+
+    return run
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Adds ``linkable``: the vector is there, finite and not zero."""
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
@@ -168,9 +200,14 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def fit(distinct: DataFrame, dims: int, rows: int = 4000, k: int = 32, recall: float = 0.99, cosine: float = COSINE, seed: int = 42) -> Index:
-    """On at most ``rows`` distinct vectors, drawn by a hash of the vector and its neighbours by chance; they come to the driver."""
-    got = distinct.where(F.size("vector") == dims).orderBy(F.xxhash64("vec", F.lit(seed)), "vec").limit(rows).select("vector").collect()
-    return Index(unit(np.array([r[0] for r in got], np.float64)), k, recall, cosine)
+    """Codebooks on at most ``rows`` distinct vectors, drawn by a hash; they come to the driver. Their partners are looked for among all rows."""
+    some = distinct.where(F.size("vector") == dims)
+    got = some.orderBy(F.xxhash64("vec", F.lit(seed)), "vec").limit(rows).select("vec", "vector").collect()
+    sample = unit(np.array([r["vector"] for r in got], np.float64))
+    index = Index(sample, k, recall, cosine)
+    met = some.select("vec", "vector").mapInPandas(_partners(index, np.array([r["vec"] for r in got]), sample), "query int, cell int, n long")
+    index.calibrate(sample, met.groupBy("query", "cell").agg(F.sum("n").alias("n")).toPandas())
+    return index
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = 4000, k: int = 32, recall: float = 0.99, block: int = 2048) -> DataFrame:
@@ -184,14 +221,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = 40
         index = fit(some, dims, sample, k, recall, cosine)
         filed = staged(some.select("vec", "copies", "vector").mapInPandas(_filed(index), "vec long, copies long, vector array<double>, cell long, asks array<long>"), "filed")
         parts = filed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))  # a row for each cell of the grid at most
-        member = filed.join(parts, "cell").select("cell", F.pmod("vec", "parts").alias("part"), F.lit(False).alias("asks"), "vec", "copies", "vector")
+        member = filed.join(parts, "cell").select("cell", F.pmod("vec", "parts").alias("part"), F.lit(False).alias("asks"), "vec", "copies", "vector", F.lit(-1).cast("bigint").alias("own"), F.col("asks").alias("wanted"))
         asker = (
-            filed.select(F.explode("asks").alias("cell"), "vec", "copies", "vector")
+            filed.select(F.explode("asks").alias("cell"), "vec", "copies", "vector", F.col("cell").alias("own"))
             .join(parts, "cell")
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("cell", F.col("part").cast("bigint").alias("part"), F.lit(True).alias("asks"), "vec", "copies", "vector")
+            .select("cell", F.col("part").cast("bigint").alias("part"), F.lit(True).alias("asks"), "vec", "copies", "vector", "own", F.lit(None).cast("array<bigint>").alias("wanted"))
         )
-        met = member.unionByName(asker).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks").mapInPandas(_compared(cosine), "kind int, a long, b long")
+        met = member.unionByName(asker).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks").mapInPandas(_compared(cosine, index.sizes[0] * index.sizes[1]), "kind int, a long, b long")
         met = staged(met, "met")
         links.append(met.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links")))
         edges.append(met.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))

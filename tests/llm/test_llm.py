@@ -460,6 +460,26 @@ def test_embeddings(spark):
     assert embedding_index.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_small_groups_beside_hot_ones(spark):
+    """Three hot groups of near-equal vectors do not set the index for pairs just above the least cosine; links are symmetric."""
+    rng = np.random.default_rng(3)
+
+    def directions(n):
+        x = rng.normal(size=(n, 64))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    hot = np.repeat(directions(3), 400, axis=0) + rng.normal(size=(1200, 64)) * 1e-4
+    one, other = directions(200), directions(200)
+    other -= (one * other).sum(1)[:, None] * one
+    pairs = 0.953 * one + np.sqrt(1 - 0.953**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    x = np.concatenate([hot, one, pairs, directions(2400)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_id(embedding_index.near_duplicates(df), "vec_id")
+    assert all(got[i].n_links == 399 for i in range(1200))
+    assert all(got[1200 + i].n_links == got[1400 + i].n_links for i in range(200))
+    assert sum(got[i].n_links for i in range(1200, 1600)) >= 0.97 * 400
+
+
 def test_visits_come_in_order():
     rng = np.random.default_rng(4)
     a, b = rng.random(7), rng.random(5)
