@@ -2,10 +2,12 @@
 
 Induced sorting: every suffix is smaller (S) or larger (L) than the next one;
 leftmost S suffixes (LMS) are sorted, and all others follow from them in two
-sweeps over the first letters. Letters are bytes, so a sweep is a few hundred
-steps, each of them array operations on a whole bucket. LMS substrings are sorted
-by the same two sweeps, then named; the shortened text of names is sorted in turn
-(its alphabet is too large for sweeps by letter, so that level doubles ranks).
+sweeps over the first letters. Letters are bytes at first, so a sweep is a few
+hundred steps, each of them array operations on a whole bucket; LMS substrings
+are sorted by the same two sweeps, then named, and the shortened text of names is
+sorted by recursion. Its alphabet is too large for steps by letter: there LMS
+substrings are sorted letter by letter, all at once, and the two sweeps step by
+suffix. The recursion ends where all names differ.
 
 Texts are joined, each followed by an end mark of its own, smaller than any byte
 and equal to no other, so no common prefix runs over a text's end.
@@ -148,37 +150,79 @@ def suffix_array(t: np.ndarray, marks: int) -> np.ndarray:
 
 
 def _sorted_names(r: np.ndarray) -> np.ndarray:
-    """Suffix array of a text of names, by doubling; only names not yet alone are sorted again."""
-    n, k = len(r), 1
-    order = np.argsort(r, kind="stable")
-    sorted_r = r[order]
-    rank = np.empty(n, np.int64)
-    # ranks are places: the first of equals
-    head = np.concatenate([[True], sorted_r[1:] != sorted_r[:-1]])
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    while True:
-        alone = head & np.concatenate([head[1:], [True]])
-        places = np.flatnonzero(~alone)
-        if not len(places):
-            return order
+    """Suffix array of a text of names (dense ranks; the last is the smallest and occurs once), by recursion."""
+    n = len(r)
+    if int(r.max()) + 1 == n:
+        out = np.empty(n, np.int64)
+        out[r] = np.arange(n)
+        return out
+    is_s = _types(r)
+    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    if len(lms) > 1:
+        lms = lms[_sorted_names(_named(2 * r + is_s, lms))]
+    return _swept(r, is_s, lms)
+
+
+def _named(letters: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Ranks of the LMS substrings, which run to the next LMS place. ``letters`` hold the types too, so none is a prefix of another."""
+    m = len(lms)
+    size = np.append(np.diff(lms) + 1, 1)
+    order, head, places, column = np.arange(m), np.zeros(m, bool), np.arange(m), 0
+    head[0] = True
+    group = np.zeros(m, np.int64)
+    while len(places):
         items = order[places]
-        nxt = items + k
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], -1)
-        first = rank[items]
-        again = np.argsort(first * (n + 1) + second + 1, kind="stable")
-        items, first, second = items[again], first[again], second[again]
+        key = letters[lms[items] + column]
+        again = np.lexsort((key, group[places]))
+        items, key, own = items[again], key[again], group[places][again]
         order[places] = items
-        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        head[places] = new
-        rank[items] = np.maximum.accumulate(np.where(new, places, 0))
-        k *= 2
+        head[places] |= np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])])
+        group = np.cumsum(head) - 1
+        alone = head & np.append(head[1:], True)
+        column += 1
+        places = places[~alone[places] & (size[order[places]] > column)]
+    out = np.empty(m, np.int64)
+    out[order] = group
+    return out
+
+
+def _swept(r: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The suffix array that follows from ``lms``, the LMS places in their order, a suffix a step."""
+    n = len(r)
+    count = np.bincount(r)
+    ends = np.cumsum(count)
+    out = [-1] * n
+    letters = r.tolist()
+    larger, smaller = [*(~is_s).tolist(), False, False], [*is_s.tolist(), False, False]  # the last two: before place 0, and no place yet
+    tail = ends.tolist()
+    for j in lms[::-1].tolist():
+        c = letters[j]
+        tail[c] -= 1
+        out[tail[c]] = j
+    head = (ends - count).tolist()
+    for x in out:  # which grows ahead of the loop
+        j = x - 1
+        if larger[j]:
+            c = letters[j]
+            at = head[c]
+            out[at] = j
+            head[c] = at + 1
+    tail = ends.tolist()
+    for x in reversed(out):
+        j = x - 1
+        if smaller[j]:
+            c = letters[j]
+            at = tail[c] = tail[c] - 1
+            out[at] = j
+    return np.array(out, np.int64)
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+def common_prefixes(t: np.ndarray, sa: np.ndarray, longest: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Permuted: for each place the place before it in ``sa`` and their common prefix. ``longest``: a bound on prefixes.
 
     Only places whose left letter differs from their partner's are compared; every
-    other one has its left neighbour's prefix less one.
+    other one has its left neighbour's prefix less one. A prefix below ``least`` may
+    be reported as less than it is.
     """
     n = len(t)
     phi = np.empty(n, np.int32)
@@ -187,21 +231,25 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, longest: int) -> tuple[np.nda
     left = np.concatenate([[-1], t[:-1]])
     start = np.concatenate([[True], (phi[1:] <= 0) | (left[1:] != left[phi[1:]])])
     at = np.flatnonzero(start & (phi >= 0))
-    other = phi[at]
     s, inverse = prefix_sums(t)
-    got = np.zeros(len(at), np.int64)
-    step = 1 << max(0, longest.bit_length())
+
+    def equal(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+        fits = np.maximum(a, b) + size <= n
+        a, b = np.where(fits, a, 0), np.where(fits, b, 0)
+        end = np.where(fits, size, 0)
+        return fits & ((s[a + end] - s[a]) * inverse[a] == (s[b + end] - s[b]) * inverse[b])
+
+    plcp = np.zeros(n, np.int32)
     with np.errstate(over="ignore"):
+        if least:
+            at = at[equal(at, phi[at].astype(np.int64), least)]
+        other = phi[at].astype(np.int64)
+        got = np.full(len(at), least, np.int64)
+        step = 1 << max(0, longest.bit_length())
         while step:
-            a, b = at + got, other + got
-            fits = np.maximum(a, b) + step <= n
-            a, b = np.where(fits, a, 0), np.where(fits, b, 0)
-            end = np.where(fits, step, 0)
-            same = fits & ((s[a + end] - s[a]) * inverse[a] == (s[b + end] - s[b]) * inverse[b])
-            got += np.where(same, step, 0)
+            got += np.where(equal(at + got, other + got, step), step, 0)
             step >>= 1
     del s, inverse
-    plcp = np.zeros(n, np.int32)
     plcp[at] = got
     here = np.arange(n, dtype=np.int32)
     last = np.maximum.accumulate(np.where(start, here, np.int32(0)))
