@@ -19,7 +19,7 @@ def fold_of(doc_id, n: int):
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), passages=suffix_dedup.WORDS)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

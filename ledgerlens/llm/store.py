@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,7 +30,35 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/ledgerlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: all that follows from them is staged itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a sieve at most, each of 64 bits: its broadcast stays below 4 MB at any size of the data.
+SIEVE = 17
+
+
+def sieve(rows: DataFrame, on: list[str], wanted: DataFrame, out: bool = False) -> DataFrame:
+    """``rows`` whose columns ``on`` may be among the rows of ``wanted`` (as many columns); with ``out`` the others, never among them.
+
+    A bitmap of fixed size, broadcast, so rows that cannot match are left out of the
+    shuffle that the join proper needs. With many wanted rows it lets more through,
+    which changes no result.
+    """
+    word, bit = F.expr(f"shiftrightunsigned(_h, {64 - SIEVE})"), f"shiftleft(1L, cast(shiftrightunsigned(_h, {58 - SIEVE}) & 63 as int))"
+    marks = wanted.select(F.xxhash64(*wanted.columns).alias("_h")).groupBy(word.alias("_word")).agg(F.bit_or(F.expr(bit)).alias("_mask"))
+    both = rows.withColumn("_h", F.xxhash64(*on)).withColumn("_word", word).join(F.broadcast(marks), "_word", "left")
+    held = F.coalesce(F.expr(f"_mask & {bit}"), F.lit(0)) != 0
+    return both.where(~held if out else held).drop("_h", "_word", "_mask")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
