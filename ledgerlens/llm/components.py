@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.store import staged
+from ledgerlens.llm.store import forget, staged
 
 #: Nodes that a task holds while it contracts its own edges.
 HELD = 500_000
@@ -65,7 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = staged(small.distinct(), "components")
+        last, now = now, staged(small.distinct(), "components")
+        forget(last)
         before, seen = seen, _mark(now)
         if before == seen:
             break

@@ -1,31 +1,32 @@
-"""Near-duplicates at a given shingle similarity: SimHash candidates, verified by exact Jaccard similarity.
+"""Near-duplicates at a given shingle similarity: SimHash by multi-index hashing, verified by exact Jaccard similarity.
 
 Two texts whose word shingles have Jaccard similarity s differ, in a SimHash, in
-about ``acos(2s / (1 + s)) / pi`` of the bits: 15 % at 0.8. The fingerprint has
-``WORDS`` times 64 bits. Bits only make candidates, within five standard deviations
-(``candidate_bits``); a link is a pair whose exact similarity is ``similarity`` or more.
-
-Candidates of texts of more than ``SHORT`` shingles come from tables over segments
-of the fingerprint: each fingerprint is filed under every segment and asks the
-Hamming ball of radius 1 around it; of two that differ in one bit the smaller value
-asks. Segments are cut from permutations of the bits. Their width follows the
-logarithm of the number of fingerprints, so buckets stay small at any size, and
-their number follows from the width: two texts of exactly the least similarity meet
-in some table with probability ``recall``, those of higher similarity nearly always.
-
-Short texts differ in more bits than that, so they are filed under the smallest of
-their shingle hashes instead: two sets of the least similarity share one of them.
-
-A bucket gives a spanning forest of its candidates, never its pairs. The components
-of the candidates hold every link; the distinct shingle sets of a component meet in
-one task, once each, where every pair that may reach ``similarity`` is looked at
-until both are known to be joined.
+about ``acos(2s / (1 + s)) / pi`` of the bits: 15 % at 0.8, up to 1.27 times that for
+a few shingles. The fingerprint has ``WORDS`` times 64 bits. Bits only make
+candidates, within four standard deviations (``candidate_bits``); a link is a pair
+whose exact similarity is ``similarity`` or more.
+
+Multi-index hashing has two levels. Fingerprints meet in a task if they agree in a
+short coarse segment: its bits follow the logarithm of their number, so a task
+holds about ``HELD`` at any size, and their tables are as many as it takes for two
+texts of exactly the least similarity to meet with probability ``recall``. A task
+files what it holds under finer segments, looks up the Hamming ball of radius 1
+around each, and compares complete fingerprints of what it finds; those tables,
+which cost no shuffle, are set to the same probability. A task gives a spanning
+forest of its candidates, never its pairs.
+
+The components of the candidates hold every link. The distinct shingle sets of a
+component meet in one task, once each, where every pair that may reach
+``similarity`` is looked at until both are known to be joined. Coarse groups of over
+``HELD`` fingerprints and components of over ``SHINGLES`` shingles are dealt out in
+blocks that meet pairwise (``blocks``).
 
 Defined cases: null text is empty; texts with fewer words than a shingle hash the
 whole word sequence; texts without words have no shingles and link with each
-other; repeated rows share a component; null doc_ids are kept as rows and never
+other; texts of any length are read whole; ties go to the smallest doc_id, nulls
+last; repeated rows share a component; null doc_ids are kept as rows and never
 name a component; extra columns are ignored by ``near_duplicates`` and kept by
-``keep_one`` and ``keep_one_row``; no rows give no rows.
+``keep_one_row``; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -39,15 +40,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.components import components
+from ledgerlens.llm.blocks import dealt, groups
+from ledgerlens.llm.components import components, spanning
 from ledgerlens.llm.simhash import shingle_hashes
-from ledgerlens.llm.store import staged
+from ledgerlens.llm.store import forget, sieve, staged
 
-SHINGLE, SIMILARITY, WORDS, RECALL = 5, 0.8, 8, 0.99
+SHINGLE, SIMILARITY, WORDS, RECALL = 5, 0.8, 8, 0.999
 #: Shingles mixed at once; rows that are added up in one byte.
 BLOCK, _ADDED = 1 << 12, 255
-#: Texts of at most so many shingles are filed by shingle hashes.
-SHORT = 64
+#: Texts of at most so many shingles differ in up to ``SPREAD`` times the bits.
+SHORT, SPREAD = 64, 1.27
+#: Fingerprints, and shingles, that a task holds at once.
+HELD, SHINGLES = 1 << 15, 1 << 22
 
 
 def apart(similarity: float) -> float:
@@ -55,15 +59,31 @@ def apart(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def most_bits(similarity: float = SIMILARITY, words: int = WORDS) -> int:
-    n, p = 64 * words, apart(similarity)
-    return round(n * p + 2 * math.sqrt(n * p * (1 - p)))
+def candidate_bits(similarity: float = SIMILARITY, bits: int = 64 * WORDS, short: bool = False, deviations: float = 4) -> int:
+    """How many of ``bits`` may differ in a candidate."""
+    p = min(0.5, apart(similarity) * (SPREAD if short else 1))
+    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def candidate_bits(similarity: float = SIMILARITY, words: int = WORDS, short: bool = False) -> int:
-    """Five standard deviations; few shingles differ in up to 1.27 times the bits (four in five of them: 3/16)."""
-    n, p = 64 * words, min(0.5, apart(similarity) * (1.27 if short else 1))
-    return round(n * p + 5 * math.sqrt(n * p * (1 - p)))
+def meets(width: int, radius: int, similarity: float = SIMILARITY) -> float:
+    """The probability that segments of so many bits differ in ``radius`` at most."""
+    p = min(0.5, apart(similarity) * SPREAD)
+    return sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(radius + 1))
+
+
+def segments(width: int, radius: int, similarity: float, recall: float, seed: int, words: int = WORDS) -> list[np.ndarray]:
+    """Bit places of each table's segment, cut from permutations of the bits: as many as ``recall`` takes."""
+    number = max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(1 - 1e-12, meets(width, radius, similarity)))))
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < number:
+        places = rng.permutation(64 * words)
+        out += [places[i : i + width] for i in range(0, len(places) - width + 1, width)]
+    return out[:number]
+
+
+def coarse(rows: int, similarity: float = SIMILARITY, recall: float = RECALL, held: int = HELD) -> list[np.ndarray]:
+    """The segments by which ``rows`` fingerprints are dealt out to tasks."""
+    return segments(max(3, math.ceil(math.log2(max(1, rows) / held))), 0, similarity, recall, 42)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -90,100 +110,146 @@ def set_fingerprint(every: np.ndarray, words: int = WORDS) -> bytes:
     return np.packbits(2 * counts > len(every)).tobytes()
 
 
-def tables(rows: int, similarity: float = SIMILARITY, recall: float = RECALL, words: int = WORDS) -> list[np.ndarray]:
-    """The bit places of each table's segment, for ``rows`` fingerprints."""
-    width, p = min(40, max(10, math.ceil(math.log2(rows + 1)) - 5)), apart(similarity)
-    meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
-    number, rng, out = math.ceil(math.log(1 - recall) / math.log(1 - meets)), np.random.default_rng(42), []
-    while len(out) < number:
-        places = rng.permutation(64 * words)
-        out += [places[i : i + width] for i in range(0, len(places) - width + 1, width)]
-    return out[:number]
+def _bits(fps: np.ndarray) -> np.ndarray:
+    return np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1)
+
+
+def _values(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return bits[:, places].astype(np.int64) @ (np.int64(1) << np.arange(len(places), dtype=np.int64))
+
+
+def _fps(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+
+
+class Near:
+    """Fingerprints and set sizes; whether two are candidates."""
 
+    def __init__(self, fps: np.ndarray, size: np.ndarray, similarity: float):
+        self.fps, self.size, self.similarity = fps, size, similarity
+        self.wide, self.near = candidate_bits(similarity, short=True), candidate_bits(similarity)
+        self.first = candidate_bits(similarity, 128, short=True, deviations=6)
+        self.least = SHORT / similarity
 
-def _asked(places: list[np.ndarray]):
-    """Fingerprints (id, fp) as rows of buckets: probe 0 is filed there, probe 1 asks."""
+    def candidates(self, i: np.ndarray, j) -> np.ndarray:
+        """For each pair; ``j`` is an array too, or one place."""
+        a, b = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        ok = a >= self.similarity * b - 1e-9
+        at = np.flatnonzero(ok)
+        for cols, bound in ((slice(0, 2), self.first), (slice(0, None), None)):
+            other = self.fps[j, cols] if np.isscalar(j) else self.fps[j[at], cols]
+            apart_by = np.bitwise_count(self.fps[i[at], cols] ^ other).sum(1, dtype=np.int64)
+            fine = apart_by <= (np.where(a[at] <= self.least, self.wide, self.near) if bound is None else bound)
+            ok[at[~fine]] = False
+            at = at[fine]
+        return ok
+
+    def forest(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that join whatever candidates are among the places ``left``; looks at each place once for each other it finds no pair for."""
+        u, v, todo = [], [], []
+        while len(left):
+            if not todo:
+                todo, left = [int(left[0])], left[1:]
+                continue
+            x = todo.pop()
+            near = self.candidates(left, x)
+            found, left = left[near], left[~near]
+            todo += found.tolist()
+            u.append(np.full(len(found), x))
+            v.append(found)
+        return (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+#: Pairs compared at once; equal segments of more rows are joined as a forest.
+PAIRS, RUN = 400_000, 512
+
+
+def near(fps: np.ndarray, size: np.ndarray, similarity: float = SIMILARITY, recall: float = RECALL) -> pd.DataFrame:
+    """Places u, v that join all candidates among these fingerprints: exact segments filed, Hamming balls of radius 1 looked up."""
+    n, all_of = len(fps), Near(fps, size, similarity)
+    if n <= 48:
+        u, v = all_of.forest(np.arange(n))
+        return spanning(u, v)
+    width = min(20, max(4, math.ceil(math.log2(n)) - 1))
+    bits, label, us, vs = _bits(fps), np.arange(n), [], []
+
+    def joined() -> pd.DataFrame:
+        """What is joined so far; ``label`` says it for each place."""
+        e = spanning(np.concatenate([np.flatnonzero(label != np.arange(n)), *us]), np.concatenate([label[label != np.arange(n)], *vs]))
+        us.clear()
+        vs.clear()
+        label[e["u"]] = e["v"]
+        return e
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        us.append(i)
+        vs.append(j)
+
+    for own in segments(width, 1, similarity, recall, 7):
+        value = _values(bits, own)
+        order = np.argsort(value, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], value[order[1:]] != value[order[:-1]]]))
+        count, there = np.diff(np.append(first, n)), value[order[first]]
+        a, b = [np.flatnonzero(count > 1)], [np.flatnonzero(count > 1)]
+        for bit in (1 << np.arange(width)).tolist():
+            asks = np.flatnonzero(there & bit == 0)
+            at = np.minimum(np.searchsorted(there, there[asks] | bit), len(there) - 1)
+            hit = there[at] == there[asks] | bit
+            a.append(asks[hit])
+            b.append(at[hit])
+        a, b = np.concatenate(a), np.concatenate(b)
+        large = np.maximum(count[a], count[b]) > RUN  # a run itself comes before it meets others
+        for x, y in zip(a[large].tolist(), b[large].tolist()):
+            rows = np.concatenate([order[first[r] : first[r] + count[r]] for r in {x, y}])
+            if (label[rows] != label[rows[0]]).any():
+                keep(*all_of.forest(rows))
+                if x == y:
+                    joined()
+        a, b = a[~large], b[~large]
+        pairs = count[a] * count[b]
+        for some in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(pairs) // PAIRS)) + 1):
+            if not len(some):
+                continue
+            k = pairs[some]
+            at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            step = np.repeat(count[b[some]], k)
+            x, y = at // step, at % step
+            once = (x < y) | np.repeat(a[some] != b[some], k)
+            i, j = order[np.repeat(first[a[some]], k)[once] + x[once]], order[np.repeat(first[b[some]], k)[once] + y[once]]
+            new = label[i] != label[j]
+            i, j = i[new], j[new]
+            ok = all_of.candidates(i, j)
+            keep(i[ok], j[ok])
+        joined()
+    return joined()
+
+
+def _filed(places: list[np.ndarray], counted: bool):
+    """Fingerprints as rows of coarse groups, or how many each group gets."""
     width = len(places[0])
-    power = np.int64(1) << np.arange(width, dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(len(batch), -1), axis=1)
-            who, bucket, probe = [], [], []
-            every = np.arange(len(batch))
-            for i, own in enumerate(places):
-                value = bits[:, own].astype(np.int64) @ power
-                row, bit = np.nonzero(bits[:, own] == 0)
-                who += [every, row]
-                bucket += [value + (i << width), value[row] + power[bit] + (i << width)]
-                probe += [np.zeros(len(batch), np.int8), np.ones(len(row), np.int8)]
-            who = np.concatenate(who)
-            out = pd.DataFrame({"bucket": np.concatenate(bucket), "probe": np.concatenate(probe), "id": batch["id"].to_numpy()[who], "fp": batch["fp"].to_numpy()[who]})
-            for at in range(0, len(out), 20_000):
-                yield out.iloc[at : at + 20_000]
+            bits = _bits(_fps(batch["fp"]))
+            bucket = [_values(bits, own) + (i << width) for i, own in enumerate(places)]
+            if counted:
+                key, n = np.unique(np.concatenate(bucket), return_counts=True)
+                yield pd.DataFrame({"bucket": key, "n": n})
+            else:
+                for b in bucket:
+                    yield batch.assign(bucket=b)[["bucket", "id", "n", "fp"]]
 
     return run
 
 
-def forest(ids: np.ndarray, fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    """Links (u, v) that join whatever fingerprints of one bucket are linked."""
-    u, v, left, todo = [], [], np.arange(len(ids)), []
-    while len(left):
-        if not todo:
-            todo, left = [left[0]], left[1:]
-        x = todo.pop()
-        near = np.bitwise_count(fps[left] ^ fps[x]).sum(1, dtype=np.int64) <= bits
-        found, left = left[near], left[~near]
-        todo += found.tolist()
-        u += [int(ids[x])] * len(found)
-        v += ids[found].tolist()
-    return u, v
-
-
-def _linked(bits: int):
-    """Rows sorted by bucket and probe."""
-
-    def solved(rows: pd.DataFrame) -> pd.DataFrame:
-        key, probe, ids = (rows[c].to_numpy() for c in ("bucket", "probe", "id"))
-        fps = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([first, [len(key)]]))
-        u: list[int] = []
-        v: list[int] = []
-        useful = (size > 1) & (probe[first] == 0)
-        for at, n in zip(first[useful & (size == 2)], size[useful & (size == 2)]):
-            if np.bitwise_count(fps[at] ^ fps[at + 1]).sum(dtype=np.int64) <= bits:
-                u.append(int(ids[at]))
-                v.append(int(ids[at + 1]))
-        for at, n in zip(first[useful & (size > 2)], size[useful & (size > 2)]):
-            a, b = forest(ids[at : at + n], fps[at : at + n], bits)
-            u += a
-            v += b
-        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
-
-    return _grouped("bucket", solved)
-
-
-def _grouped(by: str, solved):
-    """Batches sorted by ``by``, as whole groups."""
-
+def _searched(similarity: float, recall: float, held: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []  # rows of the last group so far
-        for now in batches:
-            if not len(now):
-                continue
-            if rest and now[by].iloc[-1] == rest[0][by].iloc[0]:
-                rest.append(now)
-                continue
-            now = pd.concat([*rest, now])
-            cut = np.searchsorted(now[by].to_numpy(), now[by].iloc[-1])
-            if cut:
-                yield solved(now.iloc[:cut])
-            rest = [now.iloc[cut:]]
-        if rest:
-            yield solved(pd.concat(rest))
+        for rows in groups(batches, "bucket", held):
+            ids = rows["id"].to_numpy()
+            e = near(_fps(rows["fp"]), rows["n"].to_numpy(), similarity, recall)
+            yield pd.DataFrame({"u": ids[e["u"]], "v": ids[e["v"]]})
 
     return run
 
@@ -194,22 +260,24 @@ def similar(sets: list[np.ndarray], fps: np.ndarray, similarity: float) -> np.nd
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.cumsum(size) - size
     mark = np.zeros(flat.max(initial=-1) + 1, bool)
-    wide, near = candidate_bits(similarity, short=True), candidate_bits(similarity)
-    least = SHORT / similarity
-    label, left, todo = np.arange(len(sets)), np.arange(len(sets)), []
+    all_of = Near(fps, size, similarity)
+    label, left, todo, first = np.arange(len(sets)), np.arange(len(sets)), [], 0
     while len(left):
         if not todo:
-            todo, left, first = [left[0]], left[1:], left[0]
+            first = int(left[0])
+            todo, left = [first], left[1:]
+            continue
         x = todo.pop()
-        bound = np.where(np.minimum(size[left], size[x]) <= least, wide, near)
-        may = (np.bitwise_count(fps[left] ^ fps[x]).sum(1, dtype=np.int64) <= bound) & (np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-9)
-        at = np.flatnonzero(may)
         own = flat[start[x] : start[x] + size[x]]
         mark[own] = True
+        at = np.flatnonzero(all_of.candidates(left, x))
         found = np.zeros(len(left), bool)
         for some in np.array_split(at, max(1, int(size[left[at]].sum()) >> 20)):
             if len(some):
                 n = size[left[some]]
+                if not n.all():  # sets without shingles are equal
+                    found[some] = n == size[x]
+                    continue
                 places = np.repeat(start[left[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 both = np.add.reduceat(mark[flat[places]], np.cumsum(n) - n, dtype=np.int64)
                 found[some] = both >= similarity * (n + size[x] - both) - 1e-9
@@ -220,95 +288,65 @@ def similar(sets: list[np.ndarray], fps: np.ndarray, similarity: float) -> np.nd
     return label
 
 
-def _verified(similarity: float):
-    """Rows (label, id, fp, hashes) sorted by label, as ``node, label``: the nodes that links of ``similarity`` or more join."""
-
-    def solved(rows: pd.DataFrame) -> pd.DataFrame:
-        label, ids = rows["label"].to_numpy(), rows["id"].to_numpy()
-        cuts = np.flatnonzero(label[1:] != label[:-1]) + 1
-        out = np.empty(len(rows), np.int64)
-        for lo, hi in zip([0, *cuts], [*cuts, len(rows)]):
-            part = rows.iloc[lo:hi]
-            fps = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(hi - lo, -1)
-            out[lo:hi] = ids[lo:hi][similar([np.frombuffer(x, np.uint64) for x in part["hashes"]], fps, similarity)]
-        return pd.DataFrame({"node": ids, "label": out})
-
-    return _grouped("label", solved)
-
-
-def _filed_short():
-    """Fingerprints (id, fp, least) as rows of buckets: one for each of the smallest hashes."""
+def _verified(similarity: float, held: int):
+    """Blocks of components (label, id, fp, hashes) as ``node, label``: the nodes that links of ``similarity`` or more join."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            least = [np.frombuffer(x, np.int64) for x in batch["least"]]
-            who = np.repeat(np.arange(len(batch)), [len(x) for x in least])
-            if len(who):
-                yield pd.DataFrame({"bucket": np.concatenate(least), "probe": np.int8(0), "id": batch["id"].to_numpy()[who], "fp": batch["fp"].to_numpy()[who]})
+        for rows in groups(batches, "label", held):
+            ids = rows["id"].to_numpy()
+            at = similar([np.frombuffer(x, np.uint64) for x in rows["hashes"]], _fps(rows["fp"]), similarity)
+            yield pd.DataFrame({"node": ids, "label": ids[at], "split": rows["parts"].to_numpy() > 1})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, **how) -> DataFrame:
     """``doc_id, component_id`` of every row of ``docs`` (doc_id, text)."""
-    found, named = _labelled(docs.select("doc_id", "text", F.lit(0).alias("rest")), shingle, similarity, recall)
+    found, named = _labelled(docs.select("doc_id", "text", F.lit(0).alias("rest")), shingle, similarity, recall, **how)
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return found.join(named.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
-def _labelled(docs: DataFrame, shingle: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, shingle: int, similarity: float, recall: float, held: int = HELD, shingles: int = SHINGLES) -> tuple[DataFrame, DataFrame]:
     """Every row of ``docs`` (doc_id, text, rest) with its shingle set's ``id``, and every id's ``label``."""
 
-    @F.pandas_udf("id long, n int, fp binary, least binary")
+    @F.pandas_udf("id long, n long, fp binary")
     def prints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            out = []
-            for x in (shingle_set(t, shingle) for t in batch):
-                n = len(x)
-                few = x[: n - math.ceil(similarity * n - 1e-9) + 1] if n <= SHORT / similarity else x[:0]
-                out.append((np.uint64(xxhash.xxh64_intdigest(x.tobytes())).astype(np.int64), n, set_fingerprint(x), few.tobytes()))
-            yield pd.DataFrame(out, columns=["id", "n", "fp", "least"])
+            sets = [shingle_set(t, shingle) for t in batch]
+            yield pd.DataFrame([(np.uint64(xxhash.xxh64_intdigest(x.tobytes())).astype(np.int64), len(x), set_fingerprint(x)) for x in sets], columns=["id", "n", "fp"])
 
     text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", "rest", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), prints("text").alias("p"))
-    found = staged(found.select("doc_id", "rest", "h1", "h2", "p.*"), "wide-prints")
+    at = {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(7), text), "dk": F.xxhash64("doc_id")}
+    found = staged(docs.select("doc_id", "rest", *(v.alias(k) for k, v in at.items()), prints("text").alias("p")).select("doc_id", "rest", *at, "p.*"), "wide-prints")
     # a set's text: of those that have it the one of smallest hash
-    first = found.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("h1", "h2")).alias("h"), *(F.min(c).alias(c) for c in ("n", "fp", "least")))
-    first = staged(first.select("id", "first_id", "h.*", "n", "fp", "least"), "wide-distinct")
-    long, short = first.where(F.col("n") > SHORT), first.where(F.col("n") <= SHORT / similarity)
-    places = tables(long.count(), similarity, recall)
-    edges = []
-    for rows, bits in (
-        (long.select("id", "fp").mapInPandas(_asked(places), "bucket long, probe byte, id long, fp binary"), candidate_bits(similarity)),
-        (short.select("id", "fp", "least").mapInPandas(_filed_short(), "bucket long, probe byte, id long, fp binary"), candidate_bits(similarity, short=True)),
-    ):
-        edges.append(rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInPandas(_linked(bits), "u long, v long"))
-    maybe = components(edges[0].union(edges[1]))
-    maybe = staged(first.join(maybe, F.col("id") == F.col("node")).select("h1", "h2", "id", "label", "fp"), "wide-candidates")
+    first = found.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(*at)).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"))
+    first = staged(first.select("id", "first_id", "at.*", "n", "fp"), "wide-distinct")
+    prints_only = first.select("id", "n", "fp")
+    places = coarse(first.count(), similarity, recall, held)
+    crowds = prints_only.mapInPandas(_filed(places, True), "bucket long, n long").groupBy("bucket").agg(F.ceil(F.sum("n") / (2 * held)).alias("parts")).where("parts > 1")
+    met = dealt(prints_only.mapInPandas(_filed(places, False), "bucket long, id long, n long, fp binary"), "bucket", "id", staged(crowds, "wide-crowds"))
+    maybe = components(met.mapInPandas(_searched(similarity, recall, held), "u long, v long"))
+    maybe = staged(first.join(maybe, F.col("id") == F.col("node")).select("label", "id", *at, "n", "fp"), "wide-candidates")
 
     @F.pandas_udf("binary")
     def hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([shingle_set(t, shingle).tobytes() for t in batch], dtype=object)
 
-    # equal texts collapse before they are dealt out by component
-    texts = docs.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), "text").join(maybe.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    sets = maybe.join(texts.groupBy("h1", "h2").agg(F.first("text").alias("text")), ["h1", "h2"]).select("label", "id", "fp", hashes("text").alias("hashes"))
-    labels = sets.repartition("label").sortWithinPartitions("label", "id").mapInPandas(_verified(similarity), "node long, label long")
-    labels = staged(labels, "wide-verified")
-    return found, first.join(labels, F.col("id") == F.col("node"), "left").select("id", "first_id", F.coalesce("label", "id").alias("label"))
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id.
-
-    Rows of one doc_id stay or go together; rows without a doc_id stay.
-    """
-    gone = near_duplicates(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    texts = sieve(docs.select(*(v.alias(k) for k, v in at.items()), "text"), [*at], maybe.select(*at)).groupBy(*at).agg(F.first("text").alias("text"))
+    sets = maybe.join(texts, [*at]).select("label", "id", "fp", hashes("text").alias("hashes"))
+    large = staged(maybe.groupBy("label").agg(F.ceil(F.sum("n") / shingles).alias("parts")).where("parts > 1"), "wide-large")
+    labels = staged(dealt(sets, "label", "id", large).mapInPandas(_verified(similarity, 4096), "node long, label long, split boolean"), "wide-verified")
+    joined = labels.where("split")
+    whole = labels.where("not split").select("node", "label")
+    if large.limit(1).count():
+        whole = whole.union(components(joined.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    forget(maybe)
+    return found, first.join(whole, F.col("id") == F.col("node"), "left").select("id", "first_id", F.coalesce("label", "id").alias("label"))
 
 
-def keep_one_row(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def keep_one_row(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, **how) -> DataFrame:
     """``docs`` with exactly one row of each component: the smallest doc_id's, nulls last, then by hashes of text and other columns.
 
     Rows are told apart by their content, never by doc_id alone; of rows equal in all columns one stays.
@@ -317,12 +355,12 @@ def keep_one_row(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     text = F.coalesce("text", F.lit(""))
     rest = F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in docs.columns if c != "text"], F.col("text").isNull())
     keyed = docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text), "_rest": rest})
-    found, named = _labelled(keyed.select("doc_id", "text", F.col("_rest").alias("rest")), shingle, similarity, recall)
+    found, named = _labelled(keyed.select("doc_id", "text", F.col("_rest").alias("rest")), shingle, similarity, recall, **how)
     rows = found.groupBy("id", "doc_id", "h1", "h2", "rest").agg(F.count("*").alias("n"))
     rows = rows.join(named.select("id", "label"), "id").withColumn("at", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2", "rest"))
     best = rows.groupBy("label").agg(F.min("at").alias("best"))
-    chosen = rows.join(best, "label").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("rest").alias("_rest"), F.col("at").eqNullSafe(F.col("best")).alias("stays"), "n")
-    odd = staged(chosen.where("not stays or n > 1").select(*key, "stays"), "wide-odd")
-    once = keyed.join(odd, key, "left_anti")
-    again = keyed.join(odd.where("stays"), key, "left_semi").dropDuplicates(key)
-    return once.unionByName(again).select(docs.columns)
+    chosen = rows.join(best, "label").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("rest").alias("_rest"), F.col("at").eqNullSafe(F.col("best")).alias("_stays"), "n")
+    odd = staged(chosen.where("not _stays or n > 1").select(*key, "_stays"), "wide-odd")
+    forget(found)
+    touched = sieve(keyed, key, odd.select(*key)).join(odd, key, "left").where("coalesce(_stays, true)").dropDuplicates(key)
+    return touched.select(docs.columns).unionByName(sieve(keyed, key, odd.select(*key), out=True).select(docs.columns))

@@ -6,11 +6,12 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_format, decontaminate, embedding_index, html_text, language_id, mixing, quality, queries, simhash, similar_texts, suffix_array, suffix_dedup, toxicity
+from ledgerlens.llm import blocks, chat_format, decontaminate, embedding_index, html_text, language_id, mixing, quality, queries, simhash, similar_texts, store, suffix_array, suffix_dedup, toxicity
 from ledgerlens.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h1 string, size int, fp string, label double, score string"
@@ -66,16 +67,93 @@ def test_suffix_dedup(spark, group):
     shared, other = word(60), word(45)
     rows = [(i, word(rnd.randrange(0, 80)) + (shared if i % 2 else other) + word(rnd.randrange(0, 80))) for i in range(24)]
     rows += [(100, None), (101, ""), (102, "short"), (103, "a" * 200), (104, rows[0][1]), (104, rows[0][1]), (None, rows[3][1][:70]), (105, shared + shared)]
-    got = suffix_dedup.repeats(docs(spark, rows), width=40, gram=12, group=group, shard=500)
+    got = suffix_dedup.repeats(docs(spark, rows), suffix_dedup.Unit(False, 40, 12), group=group, shard=500)
     want = brute_repeats([(t or "").encode() for _, t in rows], 40)
     assert sorted(map(str, ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()))) == sorted(map(str, ((i, *w) for (i, _), w in zip(rows, want))))
-    kept = suffix_dedup.remove(docs(spark, rows), width=40, gram=12, group=group)
+    kept = suffix_dedup.remove(docs(spark, rows), suffix_dedup.Unit(False, 40, 12), group=group)
     assert kept.columns == docs(spark, rows).columns
     assert by_id(kept)[102].text == "short" and 104 not in by_id(kept)
 
 
+def brute_passages(texts, width):
+    """Words of each text in runs of ``width`` words that also start elsewhere."""
+    words = [re.findall("[^\x20\x09-\x0d]+", t) for t in texts]
+    seen = collections.Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
+    return [(w, [any(seen[tuple(w[i : i + width])] > 1 for i in range(max(0, j - width + 1), min(j, len(w) - width) + 1)) for j in range(len(w))]) for w in words]
+
+
+@pytest.mark.parametrize("group", [2, 10_000])
+def test_repeated_passages_of_words(spark, group):
+    """Runs of words, whatever their white space, also at unequal width in bytes; every byte of the rest stays."""
+    rnd = random.Random(21)
+    word = lambda n: [rnd.choice(["a", "bb", "éé", "dddd", "e" * rnd.choice([1, 9]), "x-y"]) for _ in range(n)]
+    join = lambda w: "".join(x + rnd.choice([" ", " ", "\n", " \t"]) for x in w)
+    shared, other = word(25), word(14)
+    texts = [join(word(rnd.randrange(0, 40)) + (shared if i % 2 else other) + word(rnd.randrange(0, 40))) for i in range(24)]
+    texts += [None, "", " \n", "short", "w " * 300, join(shared[3:16]), join(shared + shared), texts[0], "p" * 30 + " " + join(other)]
+    rows = list(enumerate(texts))
+    unit = suffix_dedup.Unit(True, 12, 4)
+    want = brute_passages([t or "" for t in texts], 12)
+    df = docs(spark, [*rows, (40, texts[3]), (40, texts[3])])
+    want_all = brute_passages([t or "" for _, t in [*rows, (40, texts[3]), (40, texts[3])]], 12)
+    got = by_id(suffix_dedup.repeats(df, suffix_dedup.Unit(False, 40, 12), passages=unit, group=group, shard=300))
+    assert [got[i].n_passage_words for i, _ in rows] == [sum(g) for _, g in want_all[: len(rows)]]
+    kept = by_id(suffix_dedup.remove(docs(spark, rows), unit, group=group))
+    for (i, t), (w, gone) in zip(rows, want):
+        left = [x for x, g in zip(w, gone) if not g]
+        if any(gone):
+            assert (re.findall("[^\x20\x09-\x0d]+", kept[i].text) if left else i not in kept) == (left or True)
+        else:
+            assert kept[i].text == t
+
+
+def test_no_passage_of_over_fifty_words_is_left():
+    """The stage's unit: whatever windows of 51 words two texts share, their anchors are equal."""
+    rnd = random.Random(22)
+    word = lambda n: ["".join(rnd.choices("abcdefgh", k=rnd.randrange(1, 9))) for _ in range(n)]
+    unit, shared = suffix_dedup.WORDS, word(51)
+    roller = suffix_dedup.Roller(1000)
+    seen = [set().union(*(set(key.tolist()) for _, _, key, _ in suffix_dedup.regions(np.frombuffer(unit.encode(" ".join(word(30) + shared + word(n))), np.uint8), roller, unit))) for n in (0, 10, 200)]
+    assert seen[0] & seen[1] & seen[2]
+
+
 def test_suffix_dedup_empty_table(spark):
-    assert suffix_dedup.repeats(docs(spark, [])).count() == 0
+    assert suffix_dedup.repeats(docs(spark, []), passages=suffix_dedup.WORDS).count() == 0
+    assert suffix_dedup.remove(docs(spark, []), suffix_dedup.WORDS).count() == 0
+
+
+def test_suffix_dedup_of_one_line_many_times(spark):
+    """A text that is one long line over and over is one row for each region, and goes whole."""
+    line = " ".join(f"word{i}" for i in range(70)) + "\n"
+    df = docs(spark, [(1, line * 4000), (2, "head " + line * 3 + "tail"), (3, None)])
+    got = by_id(suffix_dedup.repeats(df, passages=suffix_dedup.WORDS))
+    assert got[1].n_removed == got[1].n_bytes == 4000 * len(line) and got[1].n_spans == 1 and got[1].n_passage_words == 4000 * 70
+    assert got[2].n_passage_words == 210 and got[3].n_passage_words == 0
+    unit = suffix_dedup.WORDS
+    rows = pd.concat(suffix_dedup._anchored(unit)(iter([pd.DataFrame({"h1": [1], "h2": [2], "dk": [3], "text": [line * 4000]})])))
+    assert len(rows) < 300 and rows["n"].sum() > 4000
+    left = by_id(suffix_dedup.remove(df, unit))
+    assert set(left) == {2, 3} and left[2].text == "head tail" and left[3].text is None
+
+
+def test_common_prefixes_above_a_bound():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        texts = [rng.integers(0, 2, rng.integers(0, 60)).astype(np.uint8) for _ in range(4)]
+        t, _ = suffix_array.join([*texts, np.tile(texts[0], 3)])
+        order = suffix_array.suffix_array(t, 5)
+        _, every = suffix_array.common_prefixes(t, order, 512)
+        _, some = suffix_array.common_prefixes(t, order, 512, 6)
+        assert ((every >= 6) == (some >= 6)).all() and (some[every >= 6] == every[every >= 6]).all()
+
+
+def test_sieve_lets_no_match_out(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("h"), "id")
+    wanted = rows.where("id % 7 = 0").select(F.col("h").alias("w"))
+    assert store.sieve(rows, ["h"], wanted).where("id % 7 = 0").count() == 429
+    assert store.sieve(rows, ["h"], wanted, out=True).where("id % 7 = 0").count() == 0
+    assert store.sieve(rows, ["h"], wanted).count() + store.sieve(rows, ["h"], wanted, out=True).count() == 3000
+    assert store.sieve(rows, ["h"], wanted.limit(0)).count() == 0
 
 
 # --- decontamination
@@ -349,10 +427,13 @@ def test_similar_texts(spark):
     family[5000] = next(family[i] for i, t in rows if t == rows[-1][1])
     got = by_id(similar_texts.near_duplicates(docs(spark, rows)))
     assert {i: got[i].component_id for i in family} == family
-    kept = similar_texts.keep_one(docs(spark, rows))
+    kept = similar_texts.keep_one_row(docs(spark, rows))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(family.values())) and "fp" in kept.columns
-    assert similar_texts.keep_one(docs(spark, [])).count() == 0
-    assert similar_texts.keep_one(docs(spark, [(None, "a b c d e f")] * 2)).count() == 2
+    assert similar_texts.keep_one_row(docs(spark, [])).count() == 0
+    assert similar_texts.keep_one_row(docs(spark, [(None, "a b c d e f")] * 2)).count() == 1
+    # coarse groups of over 32 fingerprints and components of over 900 shingles are dealt out in blocks
+    split = by_id(similar_texts.near_duplicates(docs(spark, rows), held=16, shingles=900))
+    assert {i: split[i].component_id for i in family} == family
 
 
 def test_similar_texts_are_verified(spark):
@@ -409,24 +490,78 @@ def test_similar_sets_against_all_pairs():
 
 
 def test_tables_meet_at_the_least_similarity():
-    """At any number of fingerprints, pairs exactly at 0.8 meet in some table; the distance bound is the one documented."""
+    """At any number of fingerprints, pairs exactly at 0.8 meet in some coarse group and in some local table; so do short texts."""
     rng, p = np.random.default_rng(5), similar_texts.apart(0.8)
-    for rows in (1, 50_000, 10**9):
-        places = similar_texts.tables(rows)
-        differ = rng.random((2000, 512)) < p
-        met = np.any([differ[:, own].sum(1) <= 1 for own in places], axis=0)
-        assert met.mean() > 0.975
-    assert (differ.sum(1) <= similar_texts.most_bits()).mean() > 0.96
+    for share in (p, similar_texts.SPREAD * p):
+        differ = rng.random((2000, 512)) < share
+        for rows in (1, 50_000, 10**9):
+            met = np.any([~differ[:, own].any(1) for own in similar_texts.coarse(rows)], axis=0)
+            assert met.mean() > 0.99
+        for width in (8, 14, 20):
+            met = np.any([differ[:, own].sum(1) <= 1 for own in similar_texts.segments(width, 1, 0.8, 0.999, 7)], axis=0)
+            assert met.mean() > 0.99
+    differ = rng.random((2000, 512)) < p
+    assert (differ.sum(1) <= similar_texts.candidate_bits()).mean() > 0.998
+
+
+def family_of_prints(n, spread, rng):
+    bits = rng.integers(0, 2, 512, np.uint8)
+    return np.array([np.packbits(bits ^ (rng.random(512) < spread)).view(np.uint64) for _ in range(n)])
 
 
 def test_forest_joins_what_is_linked():
     rng = np.random.default_rng(2)
-    bits = rng.integers(0, 2, 512, np.uint8)
-    fps = np.array([np.packbits(bits ^ (rng.random(512) < 0.1)).view(np.uint64) for _ in range(200)])
-    u, v = similar_texts.forest(np.arange(200), fps, 94)
-    linked = {tuple(sorted(x)) for x in zip(u, v)}
-    want = brute_components(200, lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= 94)
-    assert len(u) < 200 and brute_components(200, lambda i, j: (j, i) in linked) == want
+    fps, size = family_of_prints(200, 0.1, rng), np.full(200, 500)
+    size[::7] = 300
+    u, v = similar_texts.Near(fps, size, 0.8).forest(np.arange(200))
+    linked = {tuple(sorted(x)) for x in zip(u.tolist(), v.tolist())}
+    bound = similar_texts.candidate_bits()
+    want = brute_components(200, lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= bound and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]))
+    assert len(u) < 200 and brute_components(200, lambda i, j: (j, i) in linked) == want and len(set(want)) > 1
+
+
+def test_local_search_against_all_pairs():
+    """Families at 0.8 and above, a hot one of near-equal prints, and strangers."""
+    rng = np.random.default_rng(3)
+    fps = np.concatenate([*(family_of_prints(3, 0.06, rng) for _ in range(150)), family_of_prints(400, 0.005, rng), *(family_of_prints(1, 0, rng) for _ in range(400))])
+    size = np.full(len(fps), 200)
+    e = similar_texts.near(fps, size)
+    got = brute_roots(len(fps), zip(e["u"], e["v"]))
+    all_of = similar_texts.Near(fps, size, 0.8)
+    want = brute_roots(len(fps), ((i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(all_of.candidates(np.arange(i), i)) if i))
+    assert len(e) < len(fps) and got == want
+
+
+def brute_roots(n, pairs):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        a, b = root(int(i)), root(int(j))
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def test_blocks_meet_pairwise(spark):
+    """Every two rows of a group meet in one block, whether it is split or not; a task never holds more than members and askers."""
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 1), (2, 5), (3, 40)) for i in range(n)], "key long, id long")
+    parts = spark.createDataFrame([(3, 4)], "key long, parts long")
+
+    def seen(batches):
+        for g in blocks.groups(batches, "key", 6):
+            yield pd.DataFrame({"key": g["key"].iloc[0], "ids": [g["id"].tolist()], "size": len(g)})
+
+    for given in (parts, parts.limit(0)):
+        got = blocks.dealt(rows, "key", "id", given).mapInPandas(seen, "key long, ids array<long>, size long").collect()
+        met = {k: {frozenset((a, b)) for r in got if r.key == k for a in r.ids for b in r.ids if a != b} for k in (1, 2, 3)}
+        assert [len(met[k]) for k in (1, 2, 3)] == [0, 10, 780]
+        assert {r.key for r in got} == {1, 2, 3}
+        if given is parts:
+            assert max(r["size"] for r in got) <= 30
 
 
 def test_components(spark):
