@@ -34,9 +34,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that also occur elsewhere go from every text; a text that loses all goes."""
+    """Passages of over 50 words that also occur elsewhere go from every text; a text that loses all goes."""
     small_batches(spark)
-    return suffix_dedup.remove(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    return suffix_dedup.remove(docs, suffix_dedup.WORDS).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
