@@ -1,17 +1,23 @@
 """Main text of HTML pages by composite text density.
 
 The page is parsed to a tree. Parts that are no article by their tag, role or
-class are cut. For every node left, the composite density is its characters for
-each tag, lowered by the share of link characters and link tags; a node's sum is
-the total over its children. The node of largest sum is the core. The smallest
-density on the path from the core to the body is the threshold: nodes at or
-above it count as text too. An ``article`` or ``main`` around the core is taken
-whole, so that short paragraphs stay.
+class (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, reader comments) are cut. For every node left, the composite density is
+its characters for each tag, lowered by the share of link characters and link
+tags; a node's sum is the total over its children, those inside a paragraph left
+out. The node of largest sum is the core, and the smallest density on the path from
+the core to the body is the threshold. The text is the smallest subtree below the
+body that holds the core and whatever around it reaches the threshold (or is a
+paragraph, heading or the like right beside it), with the body's other children
+that reach it. Inside, groups of links below the threshold are menus and go.
+Densities decide so on every page, whether it has an ``article`` or not.
 
 Defined cases: null and empty html give an empty text; broken markup is read
-leniently (unclosed tags, comments and scripts end as browsers end them); a page
-with nothing but menus gives an empty text; repeated rows give repeated rows;
-other columns pass through, one named as the output is replaced. Time and memory
+leniently (unclosed tags, comments and scripts end as browsers end them, a quote
+that never closes is a letter); nesting beyond ``DEPTH`` is read as siblings, as
+browsers do; a page with nothing but menus gives an empty text; equal sums go to
+the node that begins first; repeated rows give repeated rows; other columns pass
+through, one named as the output is replaced; no rows give no rows. Time and memory
 are linear in a page's length.
 """
 
@@ -20,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,12 +39,16 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CUT_TAGS = frozenset("head script style noscript template iframe svg math object embed canvas audio video nav aside footer form button input select textarea option label dialog menu title".split())
+CUT_TAGS = frozenset("head script style noscript template iframe svg math object embed canvas audio video nav aside footer button input select textarea option label dialog menu title".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Words of a class or id that mark what is no article.
+#: Words of a class or id that mark what is no article: menus; headers and footers; sidebars; notices; adverts; forms; comments.
 CUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond replies share sharing social related recommended recommendations skip search pagination pager".split()
+    "menu menus nav navbar navigation breadcrumb breadcrumbs toolbar topbar masthead footer sidebar sidebars cookie cookies consent gdpr notice notices popup modal overlay banner ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion newsletter subscribe subscription signup login search comment comments commentlist disqus respond replies".split()
 )
+#: Blocks that hold text themselves.
+TEXTS = frozenset("blockquote dl h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
+#: Whole class names and ids of a page's header.
+HEADERS = frozenset("header site-header page-header top-header".split())
 #: An end tag that is missing before such a start tag.
 CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -51,63 +62,141 @@ CLOSED_BY = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-MARKUP = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""")
+DEPTH = 512
+#: So many links, which are most of the text, are a menu.
+LINKS, LINKED = 3, 0.6
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
+ZEROS, LONG = re.compile("(&#[xX]?)0+(?=[0-9a-fA-F])"), re.compile("&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "keep")
+    __slots__ = ("tag", "attrs", "parent", "depth", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
         self.tag, self.parent, self.attrs, self.kids = tag, parent, attrs, []
+        self.depth = parent.depth + 1 if parent else 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.keep = False
+        self.holds = False
+
+
+def _unescape(text: str) -> str:
+    if "&#" in text:  # longer numbers are no characters, and too long to be read as numbers
+        text = LONG.sub("\ufffd", ZEROS.sub(r"\1", text))
+    return html.unescape(text) if "&" in text else text
+
+
+class Tree:
+    """A page's nodes and strings under one root named ``html``. Every letter is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.unclosed = page, {'"': False, "'": False}
+        self.root = self.here = Node("html", None, {})
+        self.open: dict[str, int] = defaultdict(int, html=1)
+        self._read()
+
+    def _read(self) -> None:
+        page, at, end = self.page, 0, len(self.page)
+        last = page.rfind(">")
+        while at < end:
+            lt = page.find("<", at)
+            while 0 <= lt < end - 1 and not (page[lt + 1] in "!?/" or page[lt + 1].isascii() and page[lt + 1].isalpha()):
+                lt = page.find("<", lt + 1)
+            stop = end if lt < 0 or lt >= end - 1 else lt
+            if stop > at:
+                self.here.kids.append(_unescape(page[at:stop]))
+            if stop == end:
+                return
+            at = self._comment(lt) if page[lt + 1] in "!?" else self._tag(lt, last)
+
+    def _comment(self, lt: int) -> int:
+        page = self.page
+        if page.startswith("<!--", lt):
+            if page.startswith((">", "->"), lt + 4):
+                return page.find(">", lt + 4) + 1
+            close = page.find("-->", lt + 4)
+            return close + 3 if close >= 0 else len(page)
+        close = page.find(">", lt)
+        return close + 1 if close >= 0 else len(page)
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, quoted values passed over; -1: none."""
+        page = self.page
+        while m := STOP.search(page, at):
+            q = m[0]
+            if q == ">":
+                return m.start()
+            at = m.end()
+            before = at - 2
+            while page[before].isspace():
+                before -= 1
+            if page[before] == "=" and not self.unclosed[q]:
+                close = page.find(q, at)
+                if close < 0:
+                    self.unclosed[q] = True
+                else:
+                    at = close + 1
+        return -1
+
+    def _tag(self, lt: int, last: int) -> int:
+        page, closing = self.page, self.page[lt + 1] == "/"
+        m = NAME.match(page, lt + 1 + closing) if lt < last else None
+        if not m:  # no tag: an odd end tag, or one that the page's end cuts off
+            close = page.find(">", lt) if lt < last else -1
+            return close + 1 if close >= 0 else len(page)
+        gt = self._tag_end(m.end())
+        if gt < 0:
+            return len(page)
+        tag, rest, at = m[0].lower(), page[m.end() : gt], gt + 1
+        if closing:
+            if self.open[tag] and tag != "html":
+                while self.here.tag != tag:
+                    self._up()
+                self._up()
+            return at
+        if tag in ("html", "body") and self.open[tag]:
+            return at
+        if tag in BLOCK and self.open["p"]:
+            self._close({"p"}, BLOCK - {"p"})
+        if tag in CLOSED_BY and any(self.open[t] for t in CLOSED_BY[tag][0]):
+            self._close(*CLOSED_BY[tag])
+        node = Node(tag, self.here, {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)} if rest and not rest.isspace() else {})
+        self.here.kids.append(node)
+        if tag in RAW:
+            if not rest.endswith("/"):
+                close = RAW_END[tag].search(page, at)
+                gt = page.find(">", close.end()) if close else -1
+                return gt + 1 if gt >= 0 else len(page)
+        elif tag not in VOID and node.depth < DEPTH:  # as browsers do, a slash does not close it
+            self.here = node
+            self.open[tag] += 1
+        return at
+
+    def _up(self) -> None:
+        if self.here.parent is not None:
+            self.open[self.here.tag] -= 1
+            self.here = self.here.parent
+
+    def _close(self, ends: set[str], within: set[str] | frozenset[str]) -> None:
+        """Closes the nearest of ``ends``, and those right around it, looked for inside the nearest of ``within``."""
+        node = self.here
+        while node.tag not in ends:
+            if node.tag in within or node.parent is None:
+                return
+            node = node.parent
+        while node.parent is not None and node.parent.tag in ends:
+            node = node.parent
+        while self.here is not node:
+            self._up()
+        self._up()
 
 
 def parse(page: str) -> Node:
-    """Tree of nodes and strings; always one root named ``html``."""
-    root = here = Node("html", None, {})
-    at, end = 0, len(page)
-    while at < end:
-        m = MARKUP.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            here.kids.append(html.unescape(page[at:stop]))
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            if m[0] == "<!--":
-                close = page.find("-->", at)
-                at = end if close < 0 else close + 3
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                # a paragraph's or cell's end does not close what stands around an inner block
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
-            continue
-        if tag in ("html", "body") and any(n.tag == tag for n in _path(here)):
-            continue
-        if tag in BLOCK:
-            here = _closed(here, {"p"}, BLOCK - {"p"})
-        if tag in CLOSED_BY:
-            here = _closed(here, *CLOSED_BY[tag])
-        node = Node(tag, here, {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3].rstrip(">"))} if len(m[3]) > 1 else {})
-        here.kids.append(node)
-        if tag in RAW and not m[3].endswith("/>"):
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-        elif tag not in VOID and not m[3].endswith("/>"):
-            here = node
-        elif m[3].endswith("/>") and tag not in VOID and tag not in ("svg", "math"):
-            here = node  # as browsers do, a slash does not close it
-    return root
+    return Tree(page).root
 
 
 def _path(node: Node | None) -> Iterator[Node]:
@@ -116,65 +205,62 @@ def _path(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _closed(here: Node, ends: set[str], within: set[str] | frozenset[str]) -> Node:
-    """Where a start tag goes once the nearest of ``ends``, looked for inside the nearest of ``within``, is closed."""
-    outer = None
-    for node in _path(here):
-        if node.tag in ends:
-            outer = node.parent
-            if outer is not None and outer.tag not in ends:
-                return outer
-        elif node.tag in within:
-            break
-    return outer or here
+def _marks(node: Node) -> set[str]:
+    return set(WORD.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())) if node.attrs else set()
+
 
+COMMENTS = frozenset({"comment", "comments"})
 
-def _cut(node: Node) -> bool:
-    if node.tag in CUT_TAGS:
+
+def _cut(node: Node, inside: bool) -> bool:
+    """``inside``: an ``article`` or ``main`` is around the node."""
+    tag, a = node.tag, node.attrs
+    if tag in CUT_TAGS:
         return True
-    if node.tag in ("html", "body", "article", "main"):
-        return node.tag == "article" and bool(_marks(node) & {"comment", "comments"})
-    if node.tag == "header":
-        return not any(n.tag in ("article", "main") for n in _path(node.parent))
-    a = node.attrs
+    if tag in ("html", "body", "main"):
+        return False
+    if tag == "article":
+        return bool(_marks(node) & COMMENTS)
+    if tag == "form":
+        return not node.holds
+    if tag == "header":
+        return not inside
     if not a:
         return False
     if a.get("role", "").lower() in CUT_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    return bool(_marks(node) & CUT_WORDS) and not _holds_article(node)
-
-
-def _marks(node: Node) -> set[str]:
-    return set(WORD.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())) if node.attrs else set()
-
-
-def _holds_article(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        n = todo.pop()
-        if n.tag == "main" or n.tag == "article" and not _marks(n) & {"comment", "comments"} and n is not node and not _marks(node) & {"comment", "comments", "related", "recommended"}:
-            return True
-        todo += [k for k in n.kids if isinstance(k, Node)]
-    return False
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    if not inside and not node.holds and not HEADERS.isdisjoint(names):
+        return True
+    marks = _marks(node) & CUT_WORDS
+    return bool(marks) and (not node.holds or bool(marks & COMMENTS))
 
 
 def _ordered(root: Node) -> list[Node]:
-    """Parents before children."""
+    """Parents before children, in page order."""
     out, todo = [], [root]
     while todo:
         n = todo.pop()
         out.append(n)
-        todo += [k for k in n.kids if isinstance(k, Node)]
+        todo += [k for k in reversed(n.kids) if isinstance(k, Node)]
     return out
 
 
+def _article(node: Node) -> bool:
+    return node.tag == "main" or node.tag == "article" and not _marks(node) & COMMENTS
+
+
 def measure(root: Node) -> list[Node]:
     """Cuts what is no article and sets every node's density and sum."""
-    todo = [root]
+    for n in reversed(_ordered(root)):
+        if n.parent is not None and (n.holds or _article(n)):
+            n.parent.holds = True
+    todo = [(root, False)]
     while todo:
-        n = todo.pop()
-        n.kids = [k for k in n.kids if not (isinstance(k, Node) and _cut(k))]
-        todo += [k for k in n.kids if isinstance(k, Node)]
+        n, inside = todo.pop()
+        inside = inside or n.tag in ("article", "main")
+        n.kids = [k for k in n.kids if isinstance(k, str) or not _cut(k, inside)]
+        todo += [(k, inside) for k in n.kids if isinstance(k, Node)]
     nodes = _ordered(root)
     for n in reversed(nodes):
         for k in n.kids:
@@ -194,43 +280,45 @@ def measure(root: Node) -> list[Node]:
             base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
             n.density = c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / base
     for n in nodes:
-        n.total = sum(k.density for k in n.kids if isinstance(k, Node))
+        n.total = sum(k.density for k in n.kids if isinstance(k, Node) and k.tag in BLOCK)
     return nodes
 
 
+def chosen(root: Node) -> tuple[list[Node], float]:
+    """The subtrees that are the text, in page order, and the threshold of their densities."""
+    nodes = measure(root)
+    if not root.chars:
+        return [], 0.0
+    core = max(nodes, key=lambda n: n.total)
+    if core.total <= 0:  # no node has children with text
+        return [root], 0.0
+    path = list(_path(core))
+    threshold = min(n.density for n in path if n.parent is not None or n is core)
+    inner = [n for n in path if n.tag not in ("html", "body")]
+    if not inner:
+        return [core], threshold
+    top = inner[0]
+    for low, high in zip(inner, inner[1:]):
+        if any(k is not low and (k.density >= threshold or k.tag in TEXTS and k.link_chars < LINKED * k.chars) for k in high.kids if isinstance(k, Node)):
+            top = high
+    body = inner[-1].parent
+    return [top if k is inner[-1] else k for k in body.kids if k is inner[-1] or isinstance(k, Node) and k.density >= threshold], threshold
+
+
 def extract(page: str | None) -> str:
     """The page's main text: blocks in page order, one line each."""
     if not page:
         return ""
-    root = parse(page)
-    nodes = measure(root)
-    if not root.chars:
-        return ""
-    core = max(nodes, key=lambda n: n.total)
-    if core.total <= 0:
-        core = root
-    around = [n for n in _path(core) if n.tag in ("article", "main")]
-    if around:
-        return "\n".join(_blocks(around[-1], True))
-    threshold = min(n.density for n in _path(core) if n.parent is not None or n is core)
-    best: dict[int, Node] = {}
-    for n in reversed(nodes):
-        top = n
-        for k in n.kids:
-            if isinstance(k, Node) and best[id(k)].total > top.total:
-                top = best[id(k)]
-        best[id(n)] = top
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        if n.density >= threshold or n is root or n in _path(core):
-            best[id(n)].keep = True
-            todo += [k for k in n.kids if isinstance(k, Node)]
-    return "\n".join(_blocks(root, False))
+    tops, threshold = chosen(parse(page))
+    return "\n".join(line for top in tops for line in _blocks(top, threshold))
+
 
+def _menu(node: Node, threshold: float) -> bool:
+    return node.tag in BLOCK and node.density < threshold and node.link_tags >= LINKS and node.link_chars >= LINKED * node.chars
 
-def _blocks(top: Node, kept: bool) -> list[str]:
-    """Texts of the blocks at or below kept nodes, white space collapsed, empty ones left out."""
+
+def _blocks(top: Node, threshold: float) -> list[str]:
+    """Texts of the blocks below ``top``, white space collapsed, empty ones left out."""
     out: list[str] = []
     line: list[str] = []
 
@@ -239,22 +327,20 @@ def _blocks(top: Node, kept: bool) -> list[str]:
             out.append(text)
         line.clear()
 
-    todo: list[tuple[Node | str | None, bool]] = [(top, kept)]
+    todo: list[Node | str | None] = [top]
     while todo:
-        n, kept = todo.pop()
+        n = todo.pop()
         if n is None:
             flush()
         elif isinstance(n, str):
-            if kept:
-                line.append(n)
+            line.append(n)
         elif n.tag == "br":
             line.append(" ")
-        else:
-            kept = kept or n.keep
+        elif n is top or not _menu(n, threshold):
             if n.tag in BLOCK:
                 flush()
-                todo.append((None, kept))
-            todo += [(k, kept) for k in reversed(n.kids)]
+                todo.append(None)
+            todo += reversed(n.kids)
     flush()
     return out
 
