@@ -3,15 +3,21 @@
 A conversation is a log of events ``(conv_id, seq, kind, message_id, role,
 text)``. Kinds:
 
-* ``message``: begins a message, or begins it anew if its id was seen;
-* ``delta``: appends text to the message of its id (without id: the latest);
+* ``message``: begins a message; if its id is there, its text is replaced in place;
+* ``delta``: appends text to the message;
 * ``edit``: replaces the message's text;
 * ``regenerate``: empties the message and drops every message begun since;
 * ``delete``: drops the message.
 
-Folding is a window over the log: the number of resets so far is a message's
-version, and only the last version's texts are kept and joined. One shuffle by
-``conv_id`` serves the windows and both aggregations.
+An event without an id means the message last begun or regenerated (a ``message``
+without an id is one of its own). The first event of an id begins it, whatever its
+kind. After a ``delete`` the id is free: a ``message`` begins a new one there, other
+events up to then are dropped. What a regeneration drops stays dropped, with late
+events of it: it is the branch that was left.
+
+Folding is a window over the log: the number of deletions so far is a message's
+life, the number of resets in it its version, and only the last version's texts are
+kept and joined. One shuffle by ``conv_id`` serves the windows and both aggregations.
 
 Defined cases: null texts and roles count as empty; a null kind is ``message``;
 events of equal ``seq`` are taken by kind, id, role and text, so ties and
@@ -74,18 +80,24 @@ def fold_events(events: DataFrame) -> DataFrame:
     ).withColumn("at", F.row_number().over(log))
     own = F.when(F.col("message_id").isNotNull(), F.concat(F.lit("id:"), "message_id")).when(F.col("kind") == "message", F.concat(F.lit("at:"), F.col("at")))
     so_far = Window.partitionBy("conv_id").orderBy("at")
-    e = e.withColumn("message", own).withColumn("message", F.coalesce("message", F.last(F.when(F.col("kind") == "message", F.col("message")), ignorenulls=True).over(so_far), F.lit("none")))
+    opened = F.last(F.when(F.col("kind").isin("message", "regenerate"), F.col("message")), ignorenulls=True).over(so_far)
+    e = e.withColumn("message", own).withColumn("message", F.coalesce("message", opened, F.lit("none")))
+    before = Window.partitionBy("conv_id", "message").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    life = Window.partitionBy("conv_id", "message", "life")
     e = (
-        e.withColumn("version", F.sum(F.col("kind").isin(*RESETS).cast("int")).over(message.orderBy("at")))
-        .withColumn("last_version", F.max("version").over(message))
-        .withColumn("start", F.min("at").over(message))
+        e.withColumn("life", F.coalesce(F.sum((F.col("kind") == "delete").cast("int")).over(before), F.lit(0)))
+        .withColumn("begun", (F.col("life") == 0) | F.max(F.col("kind") == "message").over(life.orderBy("at")))
+        .where("begun")
+        .withColumn("version", F.sum(F.col("kind").isin(*RESETS).cast("int")).over(life.orderBy("at")))
+        .withColumn("last_version", F.max("version").over(life))
+        .withColumn("start", F.min("at").over(life))
     )
     # a message is dropped if a later regenerate aims at one that began before it
     ahead = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     e = e.withColumn("back_to", F.min(F.when(F.col("kind") == "regenerate", F.col("start"))).over(ahead))
     piece = F.when((F.col("version") == F.col("last_version")) & (F.col("kind") != "delete"), F.struct("at", "text"))
     return (
-        e.groupBy("conv_id", "message")
+        e.groupBy("conv_id", "message", "life")
         .agg(
             F.min("at").alias("position"),
             F.min_by("role", F.when(F.col("role") != "", F.col("at"))).alias("role"),
