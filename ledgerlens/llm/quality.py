@@ -6,14 +6,16 @@ each filter's largest response is taken, and a small hidden layer gives the
 chunk's logit. The mean, smallest and largest chunk logit are combined into one
 probability.
 
-Fitting uses at most ``rows`` labelled rows (drawn by a hash of doc_id, so the
-bound holds at every size) and from each at most ``per_row`` chunks at evenly
-spread places of the whole text. Scoring covers every byte of every text.
-
-Defined cases: null and empty texts get the score of an empty chunk; labels that
-are null, or other than 0 and 1, teach nothing; repeated labels of a doc_id are
-averaged; with labels of one kind only, or none, the score is that kind's (0.5
-without any); extra columns pass through (``score`` is replaced).
+Fitting uses at most ``rows`` labelled doc_ids (drawn by a hash, so the bound holds
+at every size), every chunk of each of their texts; a text's chunks weigh together
+as much as another's. Scoring covers every byte of every text.
+
+Defined cases: null and empty texts get the score of an empty chunk; very long texts
+are read in blocks; labels that are null, or other than 0 and 1, teach nothing;
+repeated labels of a doc_id are averaged, a tie counts as 1; of rows that share a
+doc_id the smallest text teaches; with labels of one kind only, or none (also: no
+documents), the score is that kind's (0.5 without any); repeated rows are scored
+alike; no rows give no rows; extra columns pass through (``score`` is replaced).
 """
 
 from __future__ import annotations
@@ -101,16 +103,19 @@ class Network:
         return g
 
 
-def fit(chunks: np.ndarray, y: np.ndarray, doc: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 0) -> Network:
-    """``chunks``: rows of CHUNK + WIDTH - 1 bytes; ``doc``: which text each is of."""
+def fit(chunks: np.ndarray, y: np.ndarray, doc: np.ndarray, epochs: int = 8, steps: int = 300, batch: int = 128, rate: float = 0.01, seed: int = 0) -> Network:
+    """``chunks``: rows of CHUNK + WIDTH - 1 bytes; ``doc``: which text each is of. At least ``steps`` steps, so that few rows are learned too."""
     net = Network(seed)
     if len(set(y.tolist())) < 2:
         net.fixed = float(y[0]) if len(y) else 0.5
         return net
-    share = y.mean()
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5  # halfway between the true and equal shares
+    _, at, times = np.unique(doc, return_inverse=True, return_counts=True)
+    each = 1 / times[at]
+    share = (each * y).sum() / each.sum()
+    weight = each / each.mean() * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5  # halfway between the true and equal shares
     rng, m = np.random.default_rng(seed), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     t = 0
+    epochs = max(epochs, -(-steps // -(-len(y) // batch)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for i in range(0, len(y), batch):
@@ -132,25 +137,17 @@ def fit(chunks: np.ndarray, y: np.ndarray, doc: np.ndarray, epochs: int = 8, bat
     return net
 
 
-def _cut_chunks(per_row: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, label in zip(batch["doc_id"], batch["text"], batch["label"]):
-                b = to_bytes(text)
-                n = len(b) - WIDTH + 1
-                last = max(0, (n - 1) // HALF - 1)
-                for at in sorted({round(last * i / max(1, per_row - 1)) for i in range(per_row)}):
-                    x = b[at * HALF : at * HALF + CHUNK + WIDTH - 1]
-                    x = np.concatenate([x, np.full(CHUNK + WIDTH - 1 - len(x), NONE, np.int16)])
-                    rows.append((doc_id, label, x.astype("<i2").tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "label", "chunk"])
+def _cut_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for doc_id, text, label in zip(batch["doc_id"], batch["text"], batch["label"]):
+            b = to_bytes(text)
+            last = max(0, (len(b) - WIDTH) // HALF - 1)
+            b = np.concatenate([b, np.full(last * HALF + CHUNK + WIDTH - 1 - len(b), NONE, np.int16)]) if len(b) < last * HALF + CHUNK + WIDTH - 1 else b
+            yield pd.DataFrame([(doc_id, i, label, b[i * HALF : i * HALF + CHUNK + WIDTH - 1].astype("<i2").tobytes()) for i in range(last + 1)], columns=["doc_id", "i", "label", "chunk"])
 
-    return run
 
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, per_row: int = 4, seed: int = 42) -> Network:
-    """From ``docs`` (doc_id, text) and ``labels`` (doc_id, label): at most ``rows`` labels, ``rows * per_row`` chunks on the driver."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = 2000, seed: int = 42) -> Network:
+    """From ``docs`` (doc_id, text) and ``labels`` (doc_id, label): at most ``rows`` labelled texts, whose chunks come to the driver."""
     chosen = (
         labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -158,9 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, per_row: int = 4
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
         .limit(rows)
     )
-    chunks = docs.select("doc_id", "text").join(chosen, "doc_id").mapInPandas(_cut_chunks(per_row), "doc_id long, label double, chunk binary")
-    got = sorted((r["doc_id"], r["chunk"], r["label"]) for r in chunks.collect())
-    x = np.frombuffer(b"".join(r[1] for r in got), "<i2").reshape(-1, CHUNK + WIDTH - 1)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    got = sorted(tuple(r) for r in texts.mapInPandas(_cut_chunks, "doc_id long, i long, label double, chunk binary").collect())
+    x = np.frombuffer(b"".join(r[3] for r in got), "<i2").reshape(-1, CHUNK + WIDTH - 1)
     return fit(x, np.array([r[2] for r in got], np.float64), np.array([r[0] for r in got], np.int64), seed=seed)
 
 
