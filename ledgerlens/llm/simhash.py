@@ -8,11 +8,14 @@ segments; of two such fingerprints at least one segment differs in few bits only
 in tables of exact segments, and every match's complete distance is verified.
 Matches are made in sorted partitions: a bucket gives a spanning forest of its
 links, never its pairs, so a bucket of thousands of near copies stays linear in
-what it emits. Components are then joined up over all buckets.
+what it emits. A bucket of over ``CROWD`` distinct fingerprints is dealt out in blocks
+that meet pairwise (``blocks``), and those that ask a bucket come to it batch by
+batch. Components are then joined up over all buckets.
 
 Defined cases: null text is empty; texts with fewer words than a shingle hash the
-whole word sequence; texts without words have fingerprint zero and link as any
-other; repeated rows share a component; null doc_ids are kept as rows and never
+whole word sequence; texts of any length are read whole, in blocks; texts without
+words have fingerprint zero and link as any other; a bit set in exactly half of the
+hashes is 0; repeated rows share a component; null doc_ids are kept as rows and never
 name a component (a component of null ids only has a null id); extra columns are
 ignored; no rows give no rows.
 """
@@ -20,6 +23,7 @@ ignored; no rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,12 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.blocks import FEW, dealt, groups
 from ledgerlens.llm.components import components
 from ledgerlens.llm.store import staged
 
 SEED = 42
 #: Shingles hashed at once; bucket rows compared by shifts.
 BLOCK, SHIFTED = 1 << 14, 48
+#: Distinct fingerprints of a bucket, and rows that ask it, that a task holds at once.
+CROWD, ASKERS = 8192, 65_536
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -86,13 +93,19 @@ def balls(bits: int, segments: int) -> list[tuple[int, int, list[int]]]:
     return out
 
 
-def _linked(bits: int):
+def _linked(bits: int, askers: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[np.ndarray] = []  # rows of the last bucket so far
         for batch in batches:
             now = np.c_[batch["bucket"].to_numpy(), batch["probe"].to_numpy(), batch["fp"].to_numpy()]
+            if not len(now):
+                continue
             if rest and now[-1, 0] == rest[0][0, 0]:
                 rest.append(now)
+                if sum(map(len, rest)) > askers:
+                    whole = np.concatenate(rest)
+                    yield links(whole, bits)
+                    rest = [whole[whole[:, 1] == 0]]
                 continue
             now = np.concatenate([*rest, now])
             cut = np.searchsorted(now[:, 0], now[-1, 0])
@@ -104,6 +117,16 @@ def _linked(bits: int):
     return run
 
 
+def _linked_blocks(bits: int, askers: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in groups(batches, "bucket", askers):
+            found = [(np.full(len(y), x, np.uint64), y) for x, y in _forest(np.unique(rows["fp"].to_numpy().view(np.uint64)), bits)]
+            for u, v in found:
+                yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    return run
+
+
 def links(rows: np.ndarray, bits: int) -> pd.DataFrame:
     """``rows``: bucket, probe (0 before 1), fingerprint, sorted. Links that join what each bucket links."""
     key, probe, fp = rows[:, 0], rows[:, 1], rows[:, 2].astype(np.uint64)
@@ -143,41 +166,37 @@ def _forest(left: np.ndarray, bits: int) -> Iterator[tuple[np.uint64, np.ndarray
             yield x, found
 
 
-def link_fingerprints(prints: DataFrame, bits: int = 3, segments: int = 2) -> DataFrame:
+def link_fingerprints(prints: DataFrame, bits: int = 3, segments: int = 2, crowd: int = CROWD, askers: int = ASKERS) -> DataFrame:
     """Edges (u, v) between distinct fingerprints of ``prints`` (fp) at most ``bits`` apart; they connect all that is so linked."""
     fps = prints.select("fp").distinct()
-    rows = []
+    filed, asked = [], []
     for i, (shift, width, masks) in enumerate(balls(bits, segments)):
         segment = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col("fp")
         own = fps.withColumn("segment", segment)
         tag = F.lit(i << width) if width < 60 else F.lit(0)
-        rows.append(own.select((F.col("segment") + tag).alias("bucket"), F.lit(0).cast("bigint").alias("probe"), "fp"))
+        filed.append(own.select((F.col("segment") + tag).alias("bucket"), F.lit(0).cast("bigint").alias("probe"), "fp"))
         if masks:
             # of two fingerprints whose segments differ by a mask, the smaller one asks
-            asked = own.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks]))).withColumn("at", F.col("segment").bitwiseXOR(F.col("mask"))).where("at > segment")
-            rows.append(asked.select((F.col("at") + tag).alias("bucket"), F.lit(1).cast("bigint").alias("probe"), "fp"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInPandas(_linked(bits), "u long, v long")
+            asks = own.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks]))).withColumn("at", F.col("segment").bitwiseXOR(F.col("mask"))).where("at > segment")
+            asked.append(asks.select((F.col("at") + tag).alias("bucket"), F.lit(1).cast("bigint").alias("probe"), "fp"))
+    rows = reduce(DataFrame.union, [*filed, *asked])
+    hot = staged(reduce(DataFrame.union, filed).groupBy("bucket").agg(F.ceil(F.count("*") / crowd).alias("parts")).where("parts > 1"), "simhash-hot")
+    n = hot.limit(FEW + 1).count()
+    edges = "u long, v long"
+    few = F.broadcast(hot) if n <= FEW else hot
+    cold = rows.join(few, "bucket", "left_anti") if n else rows
+    out = cold.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInPandas(_linked(bits, askers), edges)
+    if n:
+        out = out.union(dealt(rows.join(few, "bucket", "left_semi"), "bucket", "fp", hot).mapInPandas(_linked_blocks(bits, crowd), edges))
+    return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, segments: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, segments: int = 2, **how) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs`` (doc_id, text)."""
     prints = staged(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "simhash-prints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     first = staged(first, "simhash-distinct")
-    labels = components(link_fingerprints(first, bits, segments))
+    labels = components(link_fingerprints(first, bits, segments, **how))
     named = first.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return prints.join(named.join(smallest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3, segments: int = 2) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id.
-
-    Rows of one doc_id stay or go together; rows without a doc_id stay.
-    """
-    found = near_duplicates(docs, shingle, bits, segments)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
