@@ -4,37 +4,45 @@ Tokens are lower-case runs of letters and digits. An overlap of ``SPAN`` tokens
 with at most a fifth of them substituted, cut into five equal blocks, has two
 blocks untouched; so the four masks *block, gap of 0 to 3 blocks, block* hash, at
 every position, the selected tokens only, and one of them agrees for every such
-overlap. Benchmark seeds are joined with the training text's seeds; around each
-hit the item is laid along the text and the best aligned stretch is taken (+1 for
-an equal token, -4 for another), which is reported if it has ``SPAN`` tokens, or
-the whole of a shorter item, and at most a fifth substituted.
-
-Items of 10 to 14 tokens use blocks of two, items below 10 tokens must occur
-exactly. The benchmark is the query set: its seeds go to the tasks in blocks of
-``block`` tokens (a bound on what is sent, at any size), and every block meets
-every row.
+overlap. Items of 10 to 14 tokens use blocks of two, items below 10 tokens must
+occur exactly.
+
+The benchmark is a table like any other: its seeds are rows (hash, item, place),
+and so are a text's seeds (hash, text, place), which are joined on the hash. Of a
+text's seeds only those come to the join that two bitmaps of fixed size let
+through, one of the benchmark's tokens and one of its seeds; at any size of the
+benchmark they change the join's input, never its result. Around each hit the item
+is laid along the text and the best aligned stretch is taken (+1 for an equal
+token, -4 for another), which is reported if it has ``SPAN`` tokens, or the whole of
+a shorter item, and at most a fifth substituted. Equal texts are verified once.
 
 Defined cases: null and empty texts and items match nothing; items of equal
-tokens are each reported; repeated documents are reported each; a null item_id is
-reported as null; extra columns pass through ``clean``; an empty benchmark
-matches nothing. Memory is linear in one text.
+tokens are each reported; of stretches with as many equal tokens the first is
+taken; repeated documents are reported each, and repeated items; a null item_id is
+reported as null, a null doc_id too; extra columns pass through ``clean``; an empty
+benchmark matches nothing; no documents give no rows. Memory is linear in one text
+and the items it meets. Tokens are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.store import among, bitmap, forget, sieve, staged
+
 SPAN, SHARE = 15, 0.8
 TOKEN = re.compile(r"[^\W_]+")
+#: Tokens whose hashes a task remembers.
+CACHE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-MATCH = "array<struct<item_id:bigint,start:int,length:int,matched:int>>"
+FOUND = "array<struct<key:bigint,start:int,length:int,matched:int>>"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -50,57 +58,58 @@ def masks(n: int) -> list[tuple[int, ...]]:
 
 
 def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Places where all selected tokens are known (id > 0), and their hashes."""
+    """Places where all selected tokens are known (id not 0), and their hashes."""
     n = len(ids) - mask[-1]
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    ok = ids[:n] > 0
+    ok = ids[:n] != 0
     for o in mask[1:]:
-        ok &= ids[o : o + n] > 0
+        ok &= ids[o : o + n] != 0
     at = np.flatnonzero(ok)
     h = np.full(len(at), len(mask) * 1_000_003 + mask[-1], np.uint64)
     with np.errstate(over="ignore"):
         for o in mask:
-            h = (h ^ ids[at + o].astype(np.uint64)) * _ODD
+            h = (h ^ ids[at + o]) * _ODD
             h ^= h >> np.uint64(29)
     return at, h
 
 
-class Seeds:
-    """A block of benchmark items: their tokens, and for each mask their seeds by hash."""
-
-    def __init__(self, items: list[tuple[int | None, list[str]]]):
-        self.names = [i for i, _ in items]
-        self.vocabulary: dict[str, int] = {}
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64) for _, words in items]
-        found: dict[tuple[int, ...], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for j, ids in enumerate(self.items):
-            for mask in masks(len(ids)):
-                at, h = seeds(ids, mask)
-                found.setdefault(mask, []).append((h, np.full(len(at), j), at))
-        self.seeds = {}
-        for mask, parts in found.items():
-            h, j, at = map(np.concatenate, zip(*parts))
-            order = np.argsort(h, kind="stable")
-            self.seeds[mask] = (h[order], j[order], at[order])
-
-    def matches(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
-        """(item_id, first token, tokens, equal tokens) of the best stretch for each item that overlaps."""
-        get = self.vocabulary.get
-        words = tokens(text)
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        pairs: set[tuple[int, int]] = set()
-        for mask, (table, item, place) in self.seeds.items():
-            at, h = seeds(ids, mask)
-            lo, hi = np.searchsorted(table, h), np.searchsorted(table, h, "right")
-            for k in np.flatnonzero(hi > lo):
-                pairs.update(zip(item[lo[k] : hi[k]].tolist(), (at[k] - place[lo[k] : hi[k]]).tolist()))
-        best: dict[int, tuple[int, int, int]] = {}
-        for j, shift in sorted(pairs):
-            found = stretch(ids, self.items[j], shift)
-            if found and (j not in best or found[2] > best[j][2]):
-                best[j] = found
-        return [(self.names[j], *b) for j, b in sorted(best.items())]
+class Hasher:
+    """Token hashes, 0 for tokens that a bitmap doesn't hold."""
+
+    def __init__(self, known: np.ndarray | None = None):
+        self.known, self.seen = known, {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words, seen = tokens(text), self.seen
+        new = [w for w in dict.fromkeys(words) if w not in seen]
+        if new:
+            h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) or 1 for w in new], np.uint64)
+            if self.known is not None:
+                h[~among(self.known, h)] = 0
+            if len(seen) + len(new) > CACHE:
+                seen.clear()
+                return self._some(words, dict(zip(new, h.tolist())))
+            seen.update(zip(new, h.tolist()))
+        return np.fromiter((seen[w] for w in words), np.uint64, len(words))
+
+    def _some(self, words: list[str], new: dict[str, int]) -> np.ndarray:
+        self.seen.update(new)
+        rest = {w for w in words if w not in self.seen}
+        for w in rest:
+            h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) or 1], np.uint64)
+            self.seen[w] = 0 if self.known is not None and not among(self.known, h)[0] else int(h[0])
+        return np.fromiter((self.seen[w] for w in words), np.uint64, len(words))
+
+
+def best(ids: np.ndarray, item: np.ndarray, shifts) -> tuple[int, int, int] | None:
+    """(first token, tokens, equal tokens) of the item's best stretch over these shifts, if any is an overlap."""
+    out = None
+    for shift in sorted(shifts):
+        found = stretch(ids, item, int(shift))
+        if found and (out is None or found[2] > out[2]):
+            out = found
+    return out
 
 
 def stretch(ids: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
@@ -135,41 +144,89 @@ def _windows(equal: np.ndarray, least: int) -> tuple[int, int] | None:
     return (k, k + least) if n[k] >= SHARE * least else None
 
 
-def blocks(benchmark: DataFrame, block: int = 1_000_000) -> Iterator[Seeds]:
-    """Items in blocks of about ``block`` tokens; the driver holds one block at a time."""
-    held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
-        if words := tokens(r["text"]):
-            held.append((r["item_id"], words))
-            size += len(words)
-        if size >= block:
-            yield Seeds(held)
-            held, size = [], 0
-    if held:
-        yield Seeds(held)
-
+def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashed = Hasher()
+    for batch in batches:
+        yield pd.DataFrame({"key": batch["key"], "ids": [hashed(t).view(np.int64) for t in batch["text"]]})
 
-def matched(text: Column, benchmark: DataFrame, block: int = 1_000_000) -> Column:
-    """All overlaps of a text, as an array of (item_id, start, length, matched)."""
 
-    def against(found: Seeds) -> Column:
-        @F.pandas_udf(MATCH)
-        def udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in texts:
-                yield pd.Series([[dict(zip(("item_id", "start", "length", "matched"), m)) for m in found.matches(t)] for t in batch], dtype=object)
-
-        return udf(text)
-
-    each = [against(s) for s in blocks(benchmark, block)]
-    return reduce(F.concat, each) if each else F.array().cast(MATCH)
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, block: int = 1_000_000) -> DataFrame:
+def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for key, ids in zip(batch["key"], batch["ids"]):
+            ids = np.asarray(ids, np.int64).view(np.uint64)
+            for mask in masks(len(ids)):
+                at, h = seeds(ids, mask)
+                yield pd.DataFrame({"hash": h.view(np.int64), "key": key, "place": at.astype(np.int32)})
+
+
+def _hits(used: list[tuple[int, ...]], known: np.ndarray, marked: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed = Hasher(known)
+        for batch in batches:
+            out = []
+            for h1, h2, text in zip(batch["h1"], batch["h2"], batch["text"]):
+                ids = hashed(text)
+                for mask in used:
+                    at, h = seeds(ids, mask)
+                    hit = among(marked, h)
+                    if hit.any():
+                        out.append((np.full(hit.sum(), h1), np.full(hit.sum(), h2), h[hit].view(np.int64), at[hit].astype(np.int32)))
+            if out:
+                yield pd.DataFrame(dict(zip(("h1", "h2", "hash", "at"), map(np.concatenate, zip(*out)))))
+
+    return run
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashed = Hasher()
+    for batch in batches:
+        out = []
+        for h1, h2, text, items in zip(batch["h1"], batch["h2"], batch["text"], batch["items"]):
+            ids, found = hashed(text), []
+            for i in items:
+                if b := best(ids, np.asarray(i["ids"], np.int64).view(np.uint64), i["shifts"]):
+                    found.append({"key": i["key"], "start": b[0], "length": b[1], "matched": b[2]})
+            if found:
+                out.append((h1, h2, sorted(found, key=lambda f: f["key"])))
+        yield pd.DataFrame(out, columns=["h1", "h2", "found"])
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)})
+
+
+def matched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (h1, h2) that overlap an item, with all overlaps ``found`` (key, start, length, matched); and the items' keys (key, item_id)."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null").withColumn("key", F.xxhash64("text"))
+    words = staged(items.groupBy("key").agg(F.min("text").alias("text")).mapInPandas(_items, "key long, ids array<long>").where(F.size("ids") > 0), "items")
+    table = staged(words.mapInPandas(_item_seeds, "hash long, key long, place int"), "item-seeds")
+    used = sorted({m for r in words.select(F.least(F.size("ids"), F.lit(SPAN)).alias("n")).distinct().collect() for m in masks(r["n"])})  # SPAN rows at most
+    if not used:
+        return spark.createDataFrame([], f"h1 long, h2 long, found {FOUND}"), items.select("key", "item_id")
+    known, marked = bitmap(words.select(F.explode("ids"))), bitmap(table.select("hash"))
+    texts = _named(docs.select("text")).select(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"), "text").where("text is not null")
+    hits = texts.mapInPandas(_hits(used, known, marked), "h1 long, h2 long, hash long, at int")
+    shifts = hits.join(table, "hash").groupBy("h1", "h2", "key").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
+    near = staged(shifts.join(words, "key").groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "ids", "shifts")).alias("items")), "seed-hits")
+    once = sieve(texts, ["h1", "h2"], near.select("h1", "h2")).groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    found = staged(once.join(near, ["h1", "h2"]).mapInPandas(_verified, f"h1 long, h2 long, found {FOUND}"), "overlaps")
+    forget(words, table, near)
+    return found, items.select("key", "item_id")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, length, matched, similarity``: a row for each document and item that overlap."""
-    found = docs.select("doc_id", F.explode(matched(F.col("text"), benchmark, block)).alias("m"))
-    return found.select("doc_id", "m.item_id", "m.start", "m.length", "m.matched", (F.col("m.matched") / F.col("m.length")).alias("similarity"))
+    found, items = matched(docs, benchmark)
+    rows = _named(docs.select("doc_id", "text")).select("doc_id", F.col("_h1").alias("h1"), F.col("_h2").alias("h2"))
+    each = rows.join(found, ["h1", "h2"]).select("doc_id", F.explode("found").alias("m")).join(items, F.col("m.key") == F.col("key"))
+    return each.select("doc_id", "item_id", "m.start", "m.length", "m.matched", (F.col("m.matched") / F.col("m.length")).alias("similarity"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block: int = 1_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that overlap any item."""
-    return docs.withColumn("_found", matched(F.col("text"), benchmark, block)).where(F.size("_found") == 0).select(docs.columns)
+    found, _ = matched(docs, benchmark)
+    keys, rows = found.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), _named(docs)
+    maybe = sieve(rows, ["_h1", "_h2"], keys).join(keys, ["_h1", "_h2"], "left_anti")
+    return maybe.select(docs.columns).unionByName(sieve(rows, ["_h1", "_h2"], keys, out=True).select(docs.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,22 @@ def sieve(rows: DataFrame, on: list[str], wanted: DataFrame, out: bool = False)
     return both.where(~held if out else held).drop("_h", "_word", "_mask")
 
 
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """The one column of 64-bit hashes as bits, a word of 64 for each value of the first ``SIEVE`` bits: 1 MB on the driver at any size."""
+    h = hashes.select(F.col(hashes.columns[0]).alias("_h"))
+    bit = f"shiftleft(1L, cast(shiftrightunsigned(_h, {58 - SIEVE}) & 63 as int))"
+    got = h.groupBy(F.expr(f"shiftrightunsigned(_h, {64 - SIEVE})").alias("word")).agg(F.bit_or(F.expr(bit)).alias("mask")).toPandas()
+    out = np.zeros(1 << SIEVE, np.uint64)
+    out[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of these unsigned hashes may be in a ``bitmap``."""
+    word, bit = hashes >> np.uint64(64 - SIEVE), (hashes >> np.uint64(58 - SIEVE)) & np.uint64(63)
+    return (bits[word.astype(np.int64)] >> bit) & np.uint64(1) != 0
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the Arrow batches of Python workers, since rows hold whole texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
