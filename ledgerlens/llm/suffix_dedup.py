@@ -26,8 +26,8 @@ compared by hash, aggregated before the shuffle, so such a group is split too.
 Which route a region takes changes no result. Hashes stand for bytes at 64 bits
 for an anchor and 64 more for a region, and 128 bits for a text.
 
-Texts are shuffled only where they may hold what is looked for (``store.sieve``),
-and a staged table goes as soon as what follows from it is written.
+Anchors and texts are shuffled only where they may hold what is looked for
+(``store.sieve``), and a staged table goes as soon as what follows from it is written.
 
 Defined cases: null text is empty; texts shorter than ``width`` lose nothing;
 equal texts of at least ``width`` units lose all; repeated rows are documents like
@@ -284,7 +284,7 @@ def repeated_runs(docs: DataFrame, unit: Unit = BYTES, group: int = GROUP, shard
     anchors = staged(texts.mapInPandas(_anchored(unit), _TEXT + ", lo int, hi int, key long, region long, n long, more binary"), "anchors")
     again = anchors.groupBy("key").agg(F.sum("n").alias("all"), F.min("region").alias("a"), F.max("region").alias("b")).where("all > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
     again = staged(again, "anchor-keys")  # read back, both sides of the join are plain exchanges, and a hot anchor's rows can be split
-    common = staged(anchors.join(again, "key"), "anchors-again")
+    common = staged(sieve(anchors, ["key"], again.select("key")).join(again, "key"), "anchors-again")
     forget(anchors, again)
     differ = common.where("differ").drop("differ")
     # one place for each distinct region
