@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -159,28 +160,72 @@ def test_sieve_lets_no_match_out(spark):
 # --- decontamination
 
 
+def brute_best(text, item):
+    """The best stretch over every alignment, without seeds."""
+    hashed = decontaminate.Hasher()
+    ids, own = hashed(text), hashed(" ".join(item))
+    return decontaminate.best(ids, own, range(-len(own), len(ids) + 1))
+
+
 def test_decontamination(spark):
+    """Every overlap of 15 tokens with three substituted is found, and what is found is what all alignments give."""
     rnd = random.Random(1)
     words = [f"w{i}" for i in range(500)]
     text = lambda n: [rnd.choice(words) for _ in range(n)]
     items = [(i, text(n)) for i, n in enumerate((3, 9, 12, 16, 30, 40))]
-    found = decontaminate.Seeds(items)
+    rows, want = [], {}
     for i, item in items:
-        for _ in range(30):
+        for _ in range(20):
             copy = list(item)
             if len(copy) >= 10:
                 for p in rnd.sample(range(len(copy)), min(len(copy), 15) // 5):
                     copy[p] = "changed"
-            assert i in [m[0] for m in found.matches(" ".join([*text(20), *copy, *text(20)]).upper())]
-    clean = [" ".join(text(200)) for _ in range(50)]
-    assert not [m for t in clean for m in found.matches(t) if m[0] > 0]
-    bench = spark.createDataFrame([*((i, " ".join(w)) for i, w in items), (7, None), (8, ""), (None, " ".join(items[4][1]))], "item_id long, text string")
-    rows = [(1, "x " + " ".join(items[5][1])), (1, "x " + " ".join(items[5][1])), (2, None), (3, ""), (4, " ".join(text(100))), (None, " ".join(items[4][1]))]
-    for block in (10, 1_000_000):
-        got = sorted((str(r.doc_id), str(r.item_id)) for r in decontaminate.overlaps(docs(spark, rows), bench, block).collect())
-        assert got == [("1", "5"), ("1", "5"), ("None", "4"), ("None", "None")]
-    assert sorted(r.doc_id for r in decontaminate.clean(docs(spark, rows), bench).collect()) == [2, 3, 4]
+            rows.append((len(rows), " ".join([*text(20), *copy, *text(20)]).upper()))
+            want[rows[-1][0]] = i
+    rows += [(len(rows) + k, " ".join(text(200))) for k in range(40)]
+    # stretches of an item, with substitutions, insertions and two items in one text
+    for _ in range(40):
+        part = list(items[5][1][rnd.randrange(0, 20) :])
+        for p in rnd.sample(range(len(part)), rnd.randrange(0, 5)):
+            part[p] = "other"
+        if rnd.random() < 0.5:
+            part.insert(rnd.randrange(len(part)), "inserted")
+        rows.append((len(rows), " ".join([*text(5), *part, *text(3), *items[rnd.randrange(6)][1]])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = collections.defaultdict(dict)
+    for r in decontaminate.overlaps(docs(spark, rows), bench).collect():
+        got[r.doc_id][r.item_id] = (r.start, r.length, r.matched)
+        assert r.similarity == r.matched / r.length
+    assert all(i in got[d] for d, i in want.items())
+    for d, t in rows:
+        for i, item in items:
+            brute = brute_best(t, item)
+            if i in got[d]:
+                assert got[d][i] == brute
+            else:  # what has no seed is no overlap of 15 tokens with a fifth substituted
+                assert brute is None or brute[2] < 0.8 * brute[1] or brute[1] < min(15, len(item))
+
+
+def test_decontamination_cases(spark):
+    rnd = random.Random(2)
+    text = lambda n: [f"w{rnd.randrange(500)}" for _ in range(n)]
+    items = [(i, text(n)) for i, n in enumerate((3, 9, 12, 16, 30, 40))]
+    bench = spark.createDataFrame([*((i, " ".join(w)) for i, w in items), (7, None), (8, ""), (9, "... !"), (None, " ".join(items[4][1])), (5, " ".join(items[5][1]))], "item_id long, text string").withColumn("h1", F.lit("x"))
+    long = " ".join(f"q{i % 977}" for i in range(200_000))
+    rows = [(1, "x " + " ".join(items[5][1])), (1, "x " + " ".join(items[5][1])), (2, None), (3, ""), (4, " ".join(text(100))), (None, " ".join(items[4][1])), (5, long + " " + " ".join(items[3][1])), (6, long)]
+    got = sorted((str(r.doc_id), str(r.item_id)) for r in decontaminate.overlaps(docs(spark, rows), bench).collect())
+    assert got == sorted([("1", "5")] * 4 + [("None", "4"), ("None", "None"), ("5", "3")])
+    kept = decontaminate.clean(docs(spark, rows), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6] and kept.columns == docs(spark, rows).columns
     assert decontaminate.clean(docs(spark, rows), bench.limit(0)).count() == len(rows)
+    assert decontaminate.clean(docs(spark, []), bench).count() == 0 and decontaminate.overlaps(docs(spark, []), bench).count() == 0
+
+
+def test_token_hashes_survive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(decontaminate, "CACHE", 10)
+    hashed, plain = decontaminate.Hasher(), decontaminate.Hasher
+    for t in ("a b c d e f", "g h a b i j k l", "a m n o p q r s t u v w x y z", "", None):
+        assert hashed(t).tolist() == plain()(t).tolist()
 
 
 # --- language
@@ -287,6 +332,47 @@ def test_toxicity(spark):
     assert {r.severity for r in toxicity.score(df, none).collect()} == {0}
 
 
+def test_severity_follows_the_rate_of_marked_words(spark):
+    """Of texts that are as long, those with more marked words are graded higher; as many in a longer text weigh less. Very long, repeated and doubled rows."""
+    rows, toxic, _ = labelled()
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    plain = ["tree", "river", "stone", "cloud", "walk", "green", "light"] * 10
+    mixed = lambda marked, n: " ".join((["idiot"] * marked + plain * 40)[:n])
+    odd = [(1000 + k, mixed(k, 40)) for k in range(6)] + [(1010, mixed(5, 2000)), (1011, "idiot tree " * 300_000), (0, rows[0][1]), (0, "idiot " + rows[0][1])]
+    df = docs(spark, rows + odd)
+    got = collections.defaultdict(list)
+    for r in toxicity.score(df, toxicity.train(df, labels)).collect():
+        got[r.doc_id].append(r)
+    level = [got[1000 + k][0].expected_severity for k in range(6)]
+    assert level == sorted(level) and level[5] > level[1] > level[0]
+    assert got[1010][0].expected_severity < level[5] < 3 and got[1011][0].severity == 3
+    assert len(got[0]) == 3 and got[0][0].p_toxic in {r.p_toxic for r in got[0]}
+    assert toxicity.score(docs(spark, []), toxicity.train(docs(spark, []), labels)).count() == 0
+
+
+def test_severity_gradient_descends():
+    """The fit reaches a lower loss than the thresholds alone, and grades are thirds of the rates."""
+    rng = np.random.default_rng(1)
+    rows, toxic = [], []
+    for i in range(300):
+        bad = 1 + i // 60 if i % 3 == 0 else 0
+        counts = {1: bad, **{2 + int(k): 1 for k in rng.integers(0, 40, 20)}}
+        rows.append((np.array([k for k, n in counts.items() if n]), np.array([n for n in counts.values() if n])))
+        toxic.append(int(bad > 0))
+    grades = toxicity.grade(rows, np.array(toxic))
+    assert set(grades[np.array(toxic) == 0]) == {0} and {1, 2, 3} == set(grades[np.array(toxic) == 1])
+    order = [grades[i] for i in range(0, 300, 3)]
+    assert np.mean(order[:20]) < np.mean(order[-20:])
+    m = toxicity.fit(rows, np.array(toxic))
+
+    def loss(weight):
+        z = np.array([sum(weight * m.weights.get(int(k), 0) * v for k, v in zip(i, toxicity.rates(c))) for i, c in rows])
+        f = np.c_[np.zeros(300), toxicity._sigmoid(m.thresholds - z[:, None]), np.ones(300)]
+        return -np.log(np.maximum(f[np.arange(300), grades + 1] - f[np.arange(300), grades], 1e-12)).mean()
+
+    assert loss(1) < 0.6 * loss(0)
+
+
 def test_ordinal_thresholds_are_ordered():
     rng = np.random.default_rng(0)
     rows = [(np.array([1, 2 + i % 50]), np.array([1 + (i % 4) * 3 if i % 4 else 1, 1])) if i % 4 else (np.array([2 + i % 50]), np.array([1])) for i in range(200)]
@@ -304,6 +390,30 @@ def test_quality(spark):
     assert sum((got[i].score >= 0.5) == bool(good[i]) for i in range(200, 300)) >= 97
     assert all(0 <= r.score <= 1 for r in got.values())
     assert quality.train(df, labels.limit(0)).score("any") == 0.5
+    assert quality.score(docs(spark, []), net).count() == 0
+    assert quality.train(docs(spark, []), labels).score("any") == 0.5
+
+
+def test_quality_fit_reads_whole_texts(spark):
+    """Every byte of a labelled text is in some chunk, and a repeated doc_id teaches once."""
+    text = "".join(chr(33 + i % 90) for i in range(5000))
+    rows = pd.DataFrame({"doc_id": [1, 2, 3], "text": [text, "", "short"], "label": [1.0, 0.0, 1.0]})
+    got = pd.concat(quality._cut_chunks(iter([rows])))
+    size = quality.CHUNK + quality.WIDTH - 1
+    chunks = [np.frombuffer(c, "<i2") for c in got["chunk"][got["doc_id"] == 1]]
+    assert all(len(np.frombuffer(c, "<i2")) == size for c in got["chunk"])
+    whole = np.concatenate([chunks[0][: quality.HALF], *(c[quality.HALF : 2 * quality.HALF] for c in chunks[:-1]), chunks[-1][quality.HALF :]])
+    assert bytes(whole[: len(text)].astype(np.uint8)) == text.encode() and set(whole[len(text) :].tolist()) <= {quality.NONE}
+    df = docs(spark, [(1, "good text " * 9)] * 50 + [(2, "bad!!! " * 9)])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    seen = []
+    real = quality.fit
+    quality.fit = lambda x, y, doc, **k: seen.append(len(y)) or real(x, y, doc, **k)
+    try:
+        quality.train(df, labels)
+    finally:
+        quality.fit = real
+    assert seen == [2]
 
 
 def test_quality_sees_every_byte():
@@ -387,8 +497,19 @@ def test_simhash(spark, bits, segments):
     assert [np.int64(got[i].fp).view(np.uint64) for i in ids] == fps
     roots = brute_components(len(rows), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= bits)
     assert [got[i].component_id for i in ids] == [min(ids[k] for k in range(len(ids)) if roots[k] == r) for r in roots]
-    kept = simhash.keep_one(docs(spark, rows), 3, bits, segments)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({got[i].component_id for i in ids})
+    # with buckets of over four fingerprints dealt out in blocks, and askers two by two
+    split = by_id(simhash.near_duplicates(docs(spark, rows), 3, bits, segments, crowd=4, askers=2))
+    assert {i: (r.fp, r.component_id) for i, r in split.items()} == {i: (r.fp, r.component_id) for i, r in got.items()}
+
+
+def test_simhash_cases(spark):
+    """Null doc_ids, repeated rows, a very long text, half of the hashes, no rows."""
+    long = " ".join(f"w{i % 5003}" for i in range(150_000))
+    rows = [(None, "a b c d"), (None, "a b c d"), (7, "A  B c\nd"), (8, "a b c d"), (9, long), (9, long), (None, "all alone here")]
+    got = [(r.doc_id, int(np.int64(r.fp).view(np.uint64)), r.component_id) for r in simhash.near_duplicates(docs(spark, rows)).collect()]
+    fp = brute_fingerprint("a b c d", 3)  # two shingles: a bit of one of them is exactly half
+    assert sorted(map(str, got)) == sorted(map(str, [(i, brute_fingerprint(t, 3), 7 if brute_fingerprint(t, 3) == fp else i) for i, t in rows]))
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
 def test_simhash_links_in_one_large_bucket():
@@ -617,10 +738,57 @@ def test_embeddings_of_small_groups_beside_hot_ones(spark):
 
 def test_visits_come_in_order():
     rng = np.random.default_rng(4)
-    a, b = rng.random(7), rng.random(5)
-    got = embedding_index.visits(a, b, 35)
-    total = [a[i] + b[j] for i, j in got]
-    assert len(set(got)) == 35 and total == sorted(total)
+    for k1, k2, cells in ((7, 5, 35), (7, 5, 9), (32, 32, 50), (3, 40, 20), (4, 4, 99)):
+        a, b = rng.random((20, k1)), rng.random((20, k2))
+        for x, y, got in zip(a, b, embedding_index.visits(a, b, cells)):
+            total = (x[:, None] + y).ravel()
+            assert got.tolist() == np.argsort(total, kind="stable")[: min(cells, k1 * k2)].tolist()
+
+
+def brute_links(x):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    return near
+
+
+def test_exact_embedding_search(spark):
+    """Without a calibrated number of visits every link is found, whatever the grid; repeated and null ids, another length, extra columns."""
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=(150, 24))
+    other = one + rng.normal(size=(150, 24)) * rng.choice([0.05, 0.22, 0.3], (150, 1))
+    x = np.concatenate([one, other, np.repeat(rng.normal(size=(1, 24)), 40, axis=0) + rng.normal(size=(40, 24)) * 0.02])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(None, x[0].tolist(), 1), (7, x[7].tolist(), 1), (800, [0.5], 1), (801, [0.25], 1), (802, [-0.25], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    near = brute_links(np.concatenate([x, x[[0]], x[[7]]]))
+    out = embedding_index.near_duplicates(df, k=9, block=32, exact=True).collect()
+    assert len(out) == len(rows)
+    got = collections.defaultdict(list)
+    for r in out:
+        got[r.vec_id].append(r)
+    for i in range(len(x)):
+        assert {r.n_links for r in got[i]} == {int(near[i].sum())}, i
+    assert got[None][0].n_links == near[0].sum() and got[None][0].component_id == got[0][0].component_id
+    assert [r.n_links for r in got[800] + got[801] + got[802]] == [1, 1, 0] and got[801][0].component_id == 800
+    roots = brute_components(len(near), lambda i, j: near[i, j])
+    ids = [*range(len(x)), 0, 7]
+    assert [got[i][0].component_id for i in range(len(x))] == [min(ids[k] for k in range(len(ids)) if roots[k] == roots[i]) for i in range(len(x))]
+
+
+def test_embedding_links_against_their_sql(spark, tmp_path):
+    """The query and its SQL on a table that has links: near copies of the driver's vectors, and a hot group."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(300, 16))
+    x = np.concatenate([base, base[:120] + rng.normal(size=(120, 16)) * 0.15, np.repeat(base[:1], 60, axis=0) + rng.normal(size=(60, 16)) * 0.01, base[5:9]])
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in queries.op10_embedding_dedup(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL["op10_embedding_dedup"]).fetchall())
+    assert sum(r[1] for r in want) > 3000
+    assert got == want
 
 
 # --- HTML
@@ -643,12 +811,50 @@ def test_html(page, want):
     assert html_text.extract(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # no article: densities find the text among unlabelled parts
+        ("<body><div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><div><h1>Head</h1><p>The first paragraph has a good many words in it.<p>And so has the second, which is as long as that.<p>Short.</div><div>(c) us</div></body>", "Head\nThe first paragraph has a good many words in it.\nAnd so has the second, which is as long as that.\nShort."),
+        # the article tag wraps an unlabelled menu and a labelled one
+        ("<body><article><ul><li><a href=1>Start</a><li><a href=2>News</a><li><a href=3>Sport</a><li><a href=4>More</a></ul><nav><a href=5>x</a></nav><h1>Head</h1><p>The first paragraph has a good many words in it.<p>And so has the second one.</article></body>", "Head\nThe first paragraph has a good many words in it.\nAnd so has the second one."),
+        # sections: the densest one is the core, the others reach the threshold
+        ("<body><div id=page><section><h2>A</h2><p>Some words that make a paragraph of a text here.<p>Some more words that make another paragraph.</section><section><h2>B</h2><p>Words that make a paragraph in the second section, longer than others here.</section></div></body>", "A\nSome words that make a paragraph of a text here.\nSome more words that make another paragraph.\nB\nWords that make a paragraph in the second section, longer than others here."),
+        # a list is the core, its introduction and the end stand beside it
+        ("<body><div><h1>List</h1><p>Intro.</p><ul><li>One long item of this list with many words in it<li>Another long item of this list with many words<li>And a third long item of the list, as long</ul><p>End.</p></div></body>", "List\nIntro.\nOne long item of this list with many words in it\nAnother long item of this list with many words\nAnd a third long item of the list, as long\nEnd."),
+        # a form around the page, an advert and reader comments inside the article
+        ("<body><form><input><main><p>Main text in here, with words and with more words.</p><div class='ad banner'>Buy this now, it is very cheap and good</div><p>Second part of the main text, with words.</p><section id=comments><p>I like this very much, thank you for it.</p></section></main></form></body>", "Main text in here, with words and with more words.\nSecond part of the main text, with words."),
+        ("plain text &amp; no markup", "plain text & no markup"),
+        ("<p>a &#0065;&#x1F600; &#xD800; &#99999999999999999999;&lt;b&gt;", "a A\U0001F600 \ufffd \ufffd<b>"),
+        ("<p title='a > b'>x <a href=\"y>z\">l</a> 1 < 2 <3</p>", "x l 1 < 2 <3"),
+    ],
+)
+def test_html_by_density(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_density_decides_on_every_page(spark):
+    """The core is no tag's doing: without the tags ``article`` and ``main`` the driver's pages give the same texts."""
+    for r in queries.table(spark, "/root/testdata/sf0.001", "pages").select("html").collect():
+        bare = re.sub("<(/?)(article|main)\\b", r"<\1div", r.html)
+        assert html_text.extract(bare) == html_text.extract(r.html) != ""
+
+
+@pytest.mark.parametrize("page", ["<a" * 400_000, "<div>" * 100_000 + "</x>" * 100_000, '<a "' * 200_000 + ">", "<a href='" * 100_000 + ">", "&#" + "9" * 900_000, "&#" + "0" * 900_000 + "65;", "<!-" * 300_000, "<script></script" * 60_000, "<ul><li><ul>" + "<div>" * 40_000 + "<li></li>" * 40_000, "<b>" * 90_000 + "<div></div>" * 40_000, "<" * 900_000, "<p class=comments>" * 50_000, "<p " + 'a="b" ' * 150_000 + ">", "<a " + (" " * 1000 + '"') * 900, "<p>text " + "<i>x</i> " * 90_000])
+def test_hostile_pages_are_read_in_linear_time(page):
+    began = time.perf_counter()
+    assert isinstance(html_text.extract(page), str)
+    assert time.perf_counter() - began < 5  # one second here, more where other tests run beside it
+
+
 def test_html_odd_input(spark):
     for page in ("<", "<p", "<!--", "<script>", "<a href='x", "&#x110000; &bogus;", "<p>" * 3000 + "deep", "<div>" * 3000 + "deep", "x" * 100_000):
         assert isinstance(html_text.extract(page), str)
     df = spark.createDataFrame([(1, "u", "<p>Hello there, reader.", "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     got = by_id(html_text.extract_pages(df), "page_id")
     assert (got[1].text, got[2].text) == ("Hello there, reader.", "")
+    assert [r.text for r in html_text.extract_pages(df.union(df)).orderBy("page_id").collect()] == ["Hello there, reader."] * 2 + ["", ""]
+    assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
 # --- chat
@@ -677,10 +883,58 @@ def test_chat_folding(spark):
     got = collections.defaultdict(list)
     for r in chat_format.fold_events(events(spark, rows)).orderBy("conv_id", "position").collect():
         got[r.conv_id].append((r.role, r.text))
-    assert got[1] == [("user", "hi!"), ("assistant", "fresh ")] or got[1] == [("user", "hi!"), ("assistant", "fresh end")]
+    assert got[1] == [("user", "hi!"), ("assistant", "fresh end")]
     assert got[2] == [("", "")]
 
 
+def fold(rows):
+    """The events one after another: position, role and text of what is left."""
+    lives, opened, every = {}, "none", []
+    for at, (_, _, kind, own, role, text) in enumerate(sorted(rows, key=lambda r: (r[1], r[2] or "message", r[3] or "", r[4] or "", r[5] or ""))):
+        kind, role, text = kind or "message", role or "", text or ""
+        key = f"id:{own}" if own is not None else f"at:{at}" if kind == "message" else opened
+        if kind in ("message", "regenerate"):
+            opened = key
+        now = lives.get(key)
+        if now is None or now["deleted"]:
+            if now is not None and kind != "message":
+                continue
+            now = lives[key] = {"at": at, "role": "", "text": "", "deleted": False, "dropped": False}
+            every.append(now)
+        now["role"] = now["role"] or role
+        if kind in ("message", "edit", "regenerate"):
+            now["text"] = ""
+        if kind == "delete":
+            now["deleted"] = True
+        else:
+            now["text"] += text
+        if kind == "regenerate":
+            for m in every:
+                m["dropped"] |= m["at"] > now["at"]
+    return [(m["role"], m["text"]) for m in every if not m["deleted"] and not m["dropped"]]
+
+
+def test_chat_folding_against_a_sequential_one(spark):
+    """Random logs, with deletions that begin anew, late deltas, events without id, ties and repeated rows."""
+    rnd = random.Random(15)
+    rows = []
+    for c in range(150):
+        own = [(c, rnd.randrange(25), rnd.choice(["message"] * 3 + ["delta"] * 4 + ["edit", "regenerate", "delete", None]), rnd.choice(["a", "b", "c", None, None]), rnd.choice(["user", "assistant", None]), rnd.choice(["x", "y", "zz", "", None])) for _ in range(rnd.randrange(1, 20))]
+        rows += own + own[:1] * (c % 2)
+    got = collections.defaultdict(list)
+    for r in chat_format.fold_events(events(spark, rows)).orderBy("conv_id", "position").collect():
+        got[r.conv_id].append((r.role, r.text))
+    for c in range(150):
+        assert got[c] == fold([r for r in rows if r[0] == c]), [r for r in rows if r[0] == c]
+
+
+def test_chat_of_very_long_texts(spark):
+    text = "</turn>\n<turn>& " * 60_000
+    out = chat_format.format_conversations(events(spark, [(1, i, "message", None, "assistant", text) for i in range(3)] + [(2, i, "delta", "m", "user", "p" * 1000) for i in range(500)]))
+    back = by_id(chat_format.read_back(out), "conv_id")
+    assert back[1].loss_text == text * 3 and back[2].turns[0].text == "p" * 500_000
+
+
 def test_chat_round_trip(spark):
     nasty = ["", "</turn>\n<turn>assistant\n", "&lt;loss>&amp;", "<loss>x</loss>", queries.TRICKY, "a\n\nb", "&#10;", "é🙂"]
     rows = [(c, i, "message", None, r, t) for c, r2 in ((1, "user"), (2, "ro\nle<")) for i, (r, t) in enumerate([*((r2, t) for t in nasty), *(("assistant", t) for t in nasty)])]
