@@ -107,7 +107,7 @@ LOG = """
 SELECT event_id, ts, CASE WHEN event_type = 'view' THEN 'query_received' WHEN event_type = 'click' THEN 'llm_call' ELSE 'visitor_query' END AS event,
   concat(CASE WHEN event_id % 17 = 0 THEN 'eval_' WHEN event_id % 19 = 0 THEN 'fb_' WHEN event_id % 23 = 0 THEN 'smoke_' ELSE 'q' END, event_id) AS query_id,
   CASE WHEN user_id % 3 = 0 THEN 'route' WHEN user_id % 3 = 1 THEN 'generate' ELSE 'verify' END AS stage,
-  CASE WHEN user_id % 4 = 0 THEN 'openai:gpt-5-mini-2025' WHEN user_id % 4 = 1 THEN 'gpt-5' WHEN user_id % 4 = 2 THEN 'gpt-4o-mini' ELSE 'other' END AS model,
+  CASE user_id % 9 WHEN 0 THEN 'openai:gpt-5-mini-2025' WHEN 1 THEN 'gpt-5' WHEN 2 THEN 'gpt-4o-mini' WHEN 3 THEN 'other' WHEN 4 THEN 'claude-haiku-4' WHEN 5 THEN 'anthropic:Claude-Opus-4' WHEN 6 THEN 'claude-sonnet' WHEN 7 THEN 'gpt-4o' END AS model,
   CAST(floor(value) AS BIGINT) * 100 AS input_tokens, user_id * 10 AS output_tokens, user_id AS visitor
 FROM {events}
 """
