@@ -45,8 +45,8 @@ def ratios(p: Points) -> DataFrame:
     spark = p.years.sparkSession
     names = spark.createDataFrame([(n, a, b) for n, (a, b) in registry.RATIOS.items()], "ratio string, num string, den string")
     den = p.years.withColumn("newest", F.lit(False)).unionByName(p.newest.withColumn("newest", F.lit(True)))
-    den = den.select("cik", F.col("metric").alias("den"), "fy", "newest", F.col("value").alias("den_value"), F.col("accn").alias("den_accn")).where("den_value <> 0")
-    num = p.years.select("cik", F.col("metric").alias("num"), "fy", F.col("value").alias("num_value"), F.col("accn").alias("num_accn"))
+    den = den.select("cik", F.col("metric").alias("den"), "fy", "newest", F.col("value").alias("den_value"), F.col("unit").alias("den_unit"), F.col("accn").alias("den_accn"), F.col("tag").alias("den_tag"), F.col("period_end").alias("den_end")).where("den_value <> 0")
+    num = p.years.select("cik", F.col("metric").alias("num"), "fy", F.col("value").alias("num_value"), F.col("unit").alias("num_unit"), F.col("accn").alias("num_accn"), F.col("tag").alias("num_tag"), F.col("period_end").alias("num_end"))
     return den.join(F.broadcast(names), "den").join(num, ["cik", "num", "fy"]).withColumn("value", F.col("num_value") / F.col("den_value"))
 
 
@@ -93,11 +93,22 @@ def fourth_quarter(facts: DataFrame, p: Points) -> DataFrame:
     """Year less its three reported quarters, of the first tag that reports exactly three; for every year."""
     reports = fx.tagged(fx.latest_filed(facts, registry.REPORT_FORMS)).where("kind = 'duration'")
     quarters = reports.where(fx.period_class(F.col("start_date"), F.col("end_date")) == "quarterly").select("cik", "metric", "priority", "start_date", "end_date", F.col("val").cast("double").alias("q"))
-    year = p.years.where("period_start is not null").select("cik", "metric", "fy", "value", "period_start", "period_end", "accn")
+    own = ("cik", "metric", "fy", "value", "unit", "period_end", "accn", "tag")
+    year = p.years.where("period_start is not null").select(*own, "period_start")
     inside = year.join(quarters, ["cik", "metric"]).where("start_date >= period_start and end_date <= period_end")
-    by_tag = inside.groupBy("cik", "metric", "fy", "value", "period_end", "accn", "priority").agg(F.countDistinct("start_date", "end_date").alias("n"), F.sum("q").alias("total"), F.max("end_date").alias("last_end")).where("n = 3")
-    first = by_tag.groupBy("cik", "metric", "fy", "value", "period_end", "accn").agg(F.min_by(F.struct("total", "last_end"), "priority").alias("t"))
-    return first.select("cik", "metric", "fy", (F.col("value") - F.col("t.total")).alias("q4"), F.col("t.last_end").alias("period_start"), "period_end", "accn")
+    by_tag = inside.groupBy(*own, "priority").agg(F.countDistinct("start_date", "end_date").alias("n"), F.sum("q").alias("total"), F.max("end_date").alias("last_end")).where("n = 3")
+    first = by_tag.groupBy(*own).agg(F.min_by(F.struct("total", "last_end"), "priority").alias("t"))
+    return first.select("cik", "metric", "fy", (F.col("value") - F.col("t.total")).alias("q4"), "unit", F.col("t.last_end").alias("period_start"), "period_end", "accn", "tag")
+
+
+def components(p: Points) -> DataFrame:
+    """``cik, fy`` with a point for every component of a derived formula, and last year's as ``..@prev``: one row for each company and year."""
+    parts = list(dict.fromkeys(x for f in registry.DERIVED.values() for x in f[0]))
+    names = list(dict.fromkeys(x.partition("@")[0] for x in parts))
+    point = F.struct("metric", "value", "unit", "accn", "tag", "period_end")
+    wide = p.years.where(F.col("metric").isin(*names)).groupBy("cik", "fy").agg(*[F.max(F.when(F.col("metric") == n, point)).alias(n) for n in names])
+    before = wide.select("cik", (F.col("fy") + 1).alias("fy"), *[F.col(x.partition("@")[0]).alias(x) for x in parts if "@" in x])
+    return wide.join(before, ["cik", "fy"], "left")
 
 
 def series_steps(got: DataFrame) -> DataFrame:
@@ -144,6 +155,6 @@ def series_shape(got: DataFrame) -> DataFrame:
 
 
 def compare(p: Points, metric: str, fy: int | None = None) -> DataFrame:
-    """Companies by value, largest first; equal values by cik."""
+    """Companies by value, largest first; equal values by cik. One row for each company: their places are one ordering, so one task's work."""
     points = (p.newest if fy is None else p.years.where(F.col("fy") == fy)).where(F.col("metric") == metric)
     return points.select("cik", "fy", "value", "unit").withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "cik")))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import registry, render
+from ledgerlens.operators import evals, numeric
 from ledgerlens.operators import facts as fx
-from ledgerlens.operators import numeric
 from ledgerlens.plans.projection import FACTS, as_sql, project
 from ledgerlens.sources.staging import ingested
 
@@ -161,13 +161,11 @@ def provenance_links(spark, sf_dir):
 
 
 def numeric_probes(spark, sf_dir):
-    """Margin plausibility and staleness of each company's latest figures."""
+    """Margin plausibility and staleness of every company's latest figures, with what is wrong; the tables end in 2001."""
     p = stored_points(spark, sf_dir)
-    rev = p.newest.where("metric = 'revenue'").select("cik", "fy", F.col("value").alias("rev"))
-    ni = p.years.where("metric = 'net_income'").select("cik", "fy", F.col("value").alias("ni"))
-    both = rev.join(ni, ["cik", "fy"], "left").withColumn("margin", F.when(F.col("rev") > 0, F.col("ni") / F.col("rev")))
-    odd = (F.abs("margin") > 1) | ((F.abs("margin") > 0) & (F.abs("margin") < 0.001))
-    return both.select("cik", "fy", r6("margin"), (F.col("ni").isNotNull() & ~F.coalesce(odd, F.lit(False)) & (F.col("fy") >= 1999)).alias("numeric_ok"))
+    companies = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("cik")).union(spark.range(100, 102).select(F.col("id").alias("cik")))
+    got = evals.numeric_probes(companies, p.newest, p.years, 2001)
+    return got.select("cik", "fy", r6("margin"), F.array_join("notes", "; ").alias("notes"), "numeric_ok")
 
 
 _REG = f"(VALUES {registry.sql_values()}) AS reg(metric, kind, unit, taxonomy, tag, priority)"
@@ -314,9 +312,14 @@ SELECT cik, metric, first_fy, last_fy, steps, CASE WHEN steps >= 2 AND least > 0
     WHEN cik % 3 = 0 AND accn = 'K-' || cik || '-2000' AND metric IN ('total_assets', 'current_assets', 'current_liabilities', 'inventory', 'accounts_payable') THEN 'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(accn, '-', '') || '/R4.htm' ELSE '' END AS stmt_url
 FROM newest""",
     "numeric_probes": P
-    + """SELECT r.cik, r.fy, round(CASE WHEN r.value > 0 THEN n.value / r.value END, 6) AS margin,
-  n.value IS NOT NULL AND NOT coalesce(abs(n.value / r.value) > 1 OR (abs(n.value / r.value) > 0 AND abs(n.value / r.value) < 0.001), false) AND r.fy >= 1999 AS numeric_ok
-FROM newest AS r LEFT JOIN years AS n ON n.cik = r.cik AND n.fy = r.fy AND n.metric = 'net_income' WHERE r.metric = 'revenue'""",
+    + """, companies AS (SELECT CAST(n_nationkey AS BIGINT) AS cik FROM nation UNION ALL SELECT 100 UNION ALL SELECT 101),
+met AS (SELECT c.cik, r.fy, r.value AS rev, CASE WHEN r.cik IS NOT NULL THEN y.value ELSE i.value END AS ni FROM companies AS c LEFT JOIN newest AS r ON r.cik = c.cik AND r.metric = 'revenue'
+  LEFT JOIN years AS y ON y.cik = c.cik AND y.fy = r.fy AND y.metric = 'net_income' LEFT JOIN newest AS i ON i.cik = c.cik AND i.metric = 'net_income'),
+m AS (SELECT *, CASE WHEN rev > 0 THEN ni / rev END AS margin FROM met),
+told AS (SELECT *, list_filter([CASE WHEN rev IS NULL THEN 'revenue not resolvable from official data' END, CASE WHEN ni IS NULL THEN 'net income not resolvable from official data' END,
+  CASE WHEN abs(margin) > 1 OR (abs(margin) > 0 AND abs(margin) < 0.001) THEN 'net margin ' || CASE WHEN margin < 0 THEN '-' ELSE '' END || format('{:,.2f}', abs(margin) * 100) || '% implausible — scale pollution suspected' END,
+  CASE WHEN fy < 1999 THEN 'latest annual revenue is FY' || fy || ' — stale tag?' END], lambda x: x IS NOT NULL) AS notes FROM m)
+SELECT cik, fy, round(margin, 6) AS margin, array_to_string(notes, '; ') AS notes, len(notes) = 0 AS numeric_ok FROM told""".replace(", companies", ",\ncompanies"),
 }
 
 _FUNCTIONS = (
