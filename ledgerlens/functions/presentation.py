@@ -42,3 +42,8 @@ def best_sentence(claim: Column, text: Column) -> Column:
 def feedback(claims: Column) -> Column:
     """What a second try is told of the claims (text, reason) that were contradicted."""
     return F.array_join(F.transform(claims, lambda c: F.concat(F.lit("- "), c["text"], F.lit(" ("), F.coalesce(c["reason"], F.lit("")), F.lit(")"))), "\n")
+
+
+def links(sources: str) -> Column:
+    """``form accession`` for each filing among the sources (array of accn, form), in order, each once."""
+    return F.array_distinct(F.transform(sources, lambda s: F.concat(s["form"], F.lit(" "), s["accn"])))

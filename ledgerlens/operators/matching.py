@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +24,51 @@ def probes(text: Column) -> Column:
     return F.when(n >= SHINGLE, runs).when(n > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
 
 
+#: Evidence rows that may be broadcast: each below 300 bytes.
+FEW = 50_000
+
+
 def containment(evidence: DataFrame, docs: DataFrame) -> DataFrame:
-    """``item_id, doc_id`` where some run of the evidence is in the document, word for word.
+    """``item_id, doc_id`` where some run of the evidence is in the document's words joined by blanks, as plain text.
 
-    Runs of eight words meet the documents' own runs by hash, verified by text, so
-    it is an equi-join. Shorter evidence is met on its first word's place.
+    So a run's first word may end a longer word there, and its last word begin one;
+    the words between are whole. Runs meet the documents' runs of as many words by the
+    hash of those, an equi-join, and the outer two are compared. Runs of one or two
+    words have none between: those few meet each document's text itself.
+    """
+    words_ = name_words(F.col("text"))
+    ev = evidence.select("item_id", F.explode(probes(F.col("text"))).alias("run")).withColumn("w", F.split("run", " ")).withColumn("n", F.size("w"))
+    inner = ev.where("n > 2").select("item_id", "n", F.xxhash64(F.slice("w", 2, F.col("n") - 2)).alias("key"), F.col("w")[0].alias("first"), F.element_at("w", -1).alias("last"))
+    sizes = sorted(r["n"] for r in inner.select("n").distinct().collect())  # at most SHINGLE of them
+    dw = docs.select("doc_id", words_.alias("w"))
+    out = []
+    if sizes:
+        some = inner.limit(FEW + 1).count() <= FEW
+
+        def runs(n: int) -> Column:
+            each = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", i + 2, n - 2)).alias("key"), F.get("w", i).alias("a"), F.get("w", i + n - 1).alias("z")))
+            return F.when(F.size("w") >= n, each).otherwise(F.array().cast("array<struct<n:int,key:bigint,a:string,z:string>>"))
+
+        own = dw.select("doc_id", F.inline(F.flatten(F.array(*map(runs, sizes)))))
+        met = own.join(F.broadcast(inner) if some else inner, ["n", "key"])
+        out.append(met.where(F.endswith("a", F.col("first")) & F.startswith("z", F.col("last"))).select("item_id", "doc_id"))
+    short = ev.where("n <= 2").select("item_id", "run")
+    if short.limit(1).count():
+        out.append(dw.select("doc_id", F.array_join("w", " ").alias("all")).join(short, F.contains("all", "run")).select("item_id", "doc_id"))
+    if not out:
+        return evidence.select("item_id").crossJoin(docs.select("doc_id")).limit(0)
+    return reduce(DataFrame.union, out).distinct()
+
+
+def evidence_equivalent(asked: DataFrame, words_: DataFrame, least: float) -> DataFrame:
+    """``id, equivalent``: whether some retrieved text holds at least this share of the source's words.
+
+    ``asked``: id, retrieved (array of ids); ``words_``: id, w (distinct words).
     """
-    ev = evidence.select("item_id", "text").withColumn("n", F.size(name_words(F.col("text"))))
-    long = ev.where(F.col("n") >= SHINGLE).select("item_id", F.explode(probes(F.col("text"))).alias("run"))
-    dw = docs.select("doc_id", name_words(F.col("text")).alias("w"))
-    own = dw.where(F.size("w") >= SHINGLE).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.array_join(F.slice(F.col("w"), i + 1, F.lit(SHINGLE)), " "))).alias("run"))
-    first = long.join(own, "run").select("item_id", "doc_id")
-    short = ev.where((F.col("n") < SHINGLE) & (F.col("n") > 0)).select("item_id", F.array_join(name_words(F.col("text")), " ").alias("run"), name_words(F.col("text"))[0].alias("first"))
-    heads = dw.select("doc_id", F.explode(F.array_distinct("w")).alias("first"), F.array_join("w", " ").alias("all"))
-    second = short.join(heads, "first").where(F.col("all").contains(F.col("run"))).select("item_id", "doc_id")
-    return first.union(second).distinct()
+    pairs = asked.select("id", F.explode("retrieved").alias("other")).join(words_, "id").join(words_.select(F.col("id").alias("other"), F.col("w").alias("o")), "other")
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect("w", "o")), F.size("w")), F.lit(0.0))
+    met = pairs.groupBy("id").agg((F.max(share) >= least).alias("equivalent"))
+    return asked.select("id").join(met, "id", "left").select("id", F.coalesce("equivalent", F.lit(False)).alias("equivalent"))
 
 
 def normalized_name(name: Column) -> Column:

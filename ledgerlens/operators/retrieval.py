@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.staging import kept
+
 #: Results, their doubling for coverage questions, the most, and the pool for diversification.
 K, MOST, POOL, RELEVANCE = 6, 24, 3, 0.7
 
@@ -26,17 +30,70 @@ def coverage_k(k: int = K, coverage: bool = True) -> int:
     return min(k * 2, MOST) if coverage else k
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """For each query its k nearest vectors within its scope, ranked; ties by id.
-
-    ``vectors``: vec_id, scope, embedding; ``queries``: query_id, scope, query
-    (the query set, small by its nature). A scope's candidates are cut to k in
-    each task before the shuffle (window group limit), so a large scope is no
-    large task.
+#: Queries that are sent to the tasks at once; queries and vectors that a task multiplies at once.
+QUERIES, AT_ONCE, ROWS = 20_000, 1024, 4096
+
+
+def _nearest(queries: pd.DataFrame, k: int):
+    """Of each task's rows (vec_id, scope, embedding) the k nearest to each query of their scope."""
+    asked = {}
+    for scope, own in queries.groupby("scope", dropna=False):
+        q = np.stack(own["query"].to_numpy()).astype(np.float64)
+        asked[scope] = (own["query_id"].to_numpy(), q / np.linalg.norm(q, axis=1, keepdims=True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = {scope: (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)) for scope in asked}
+        for batch in batches:
+            for scope, rows in batch.groupby("scope", dropna=False):
+                if scope not in asked:
+                    continue
+                _, q = asked[scope]
+                v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+                v, ids, found = v / np.linalg.norm(v, axis=1, keepdims=True), rows["vec_id"].to_numpy(np.int64), [best[scope]]
+                for i in range(0, len(q), AT_ONCE):
+                    for j in range(0, len(v), ROWS):
+                        far = np.round(1 - q[i : i + AT_ONCE] @ v[j : j + ROWS].T, 12)  # equal vectors are equally far, however they were multiplied
+                        last = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
+                        at, row = np.nonzero(far <= last[:, None])
+                        found.append((at + i, ids[row + j], far[at, row]))
+                at, got, far = map(np.concatenate, zip(*found))
+                order = np.lexsort((got, far, at))
+                at, got, far = at[order], got[order], far[order]
+                first = np.searchsorted(at, at)
+                kept_ = np.arange(len(at)) - first < k
+                best[scope] = at[kept_], got[kept_], far[kept_]
+        for scope, (at, got, far) in best.items():
+            for i in range(0, len(at), 100_000):
+                part = slice(i, i + 100_000)
+                yield pd.DataFrame({"query_id": asked[scope][0][at[part]], "vec_id": got[part], "distance": far[part]})
+
+    return run
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERIES) -> DataFrame:
+    """``query_id, vec_id, distance, place``: for each query its k nearest vectors within its scope, by cosine distance; ties by id.
+
+    ``vectors``: vec_id, scope, embedding; ``queries``: query_id, scope, query, of any
+    number. Every query meets every row of its scope (an exact search). Queries come in
+    blocks of ``block``, so what is sent to the tasks is bounded; a task keeps k rows for
+    each query, which are merged after one shuffle. Zero and null vectors, and vectors
+    of another length than the queries', are met by none.
     """
-    near = vectors.join(F.broadcast(queries), "scope").withColumn("distance", distance(F.col("embedding"), F.col("query")))
+    usable = lambda c: F.col(c).isNotNull() & (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x)) & F.exists(c, lambda x: x != 0)
+    asked = queries.where(usable("query"))
+    sizes = asked.agg(F.count("*").alias("n"), F.min(F.size("query")).alias("a"), F.max(F.size("query")).alias("b")).first()
+    if sizes["n"] and sizes["a"] != sizes["b"]:
+        raise ValueError("queries of one search have one length")
+    rows = vectors.where(usable("embedding") & (F.size("embedding") == (sizes["a"] or 0))).select("vec_id", "scope", "embedding")
+    blocks = max(1, math.ceil(sizes["n"] / block))
+    found = []
+    for i in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "scope", "query").toPandas()
+        found.append(rows.mapInPandas(_nearest(some, k), "query_id long, vec_id long, distance double"))
+        if blocks > 1:
+            found[-1] = kept(found[-1], "nearest")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return near.where("distance is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return reduce(DataFrame.union, found).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def mmr(candidates: DataFrame, k: int = K, relevance: float = RELEVANCE) -> DataFrame:
@@ -73,9 +130,27 @@ def top_up(rounds: DataFrame, k: int = K) -> DataFrame:
     return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "vec_id", "place", F.col("at.turn").alias("turn"))
 
 
-def normalized(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Rows scaled to length 1, zero rows as they are."""
-    for v in vectors:
-        x = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.empty((0, 0))
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        yield pd.Series(list(x / np.where(n > 0, n, 1)))
+#: What stands before a text that is embedded, by model family, for queries and for passages.
+PREFIXES = {"e5": ("query: ", "passage: "), "bge": ("Represent this sentence for searching relevant passages: ", "")}
+
+
+def prefixed(text: Column, model: str, query: bool) -> Column:
+    """The text as this model's family wants it."""
+    mark = next((p for family, p in PREFIXES.items() if family in model.lower()), ("", ""))
+    return F.concat(F.lit(mark[0] if query else mark[1]), text)
+
+
+def embedded(texts: DataFrame, embed, model: str, query: bool = False, batch: int = 128) -> DataFrame:
+    """``texts`` (text) with ``embedding`` of length 1: ``embed`` is called with at most ``batch`` prefixed texts at once, one call at a time in a task."""
+
+    @F.pandas_udf("array<float>")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in series:
+            out = []
+            for at in range(0, len(s), batch):
+                x = np.asarray(embed(s.iloc[at : at + batch].tolist()), np.float64)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                out += [row.astype(np.float32) for row in x / np.where(n > 0, n, 1)]
+            yield pd.Series(out, dtype=object)
+
+    return texts.withColumn("embedding", run(prefixed(F.coalesce("text", F.lit("")), model, query)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ledgerlens.functions import figures, presentation
 from ledgerlens.operators import chunking, claims, evals, matching, retrieval
 from ledgerlens.plans.numeric_queries import BASE, POINTS, facts, stored_points
 from ledgerlens.plans.projection import FIGURES, FILINGS, JUDGED, LOG, as_sql, project
+from ledgerlens.sources import sinks
+from ledgerlens.sources.staging import folder, ingested
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +49,13 @@ def corpus_live(spark, sf_dir):
 # --- retrieval
 
 def _queries(spark, sf_dir, scoped):
+    """Every vector whose id is divisible by 50 asks all vectors, or those of each scope."""
     v = _table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("query"))
-    scopes = v.select(F.col("label").alias("scope")).distinct() if scoped else spark.range(1).select(F.lit(0).alias("scope"))
-    q = q.crossJoin(scopes) if scoped else q.withColumn("scope", F.lit(0))
-    return v.withColumn("scope", F.col("label") if scoped else F.lit(0)), q.select((F.col("query_id") * 1000 + F.col("scope")).alias("query_id"), "scope", "query")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    if not scoped:
+        return v.withColumn("scope", F.lit(0)), q.select(F.col("query_id") * 1000, F.lit(0).alias("scope"), "query").toDF("query_id", "scope", "query")
+    scopes = v.select(F.col("label").alias("scope")).distinct()  # a handful of labels, and each query asks each
+    return v.withColumn("scope", F.col("label")), q.join(scopes, F.lit(True)).select((F.col("query_id") * 1000 + F.col("scope")).alias("query_id"), "scope", "query")
 
 
 def vector_topk(spark, sf_dir):
@@ -66,13 +72,14 @@ def vector_mmr(spark, sf_dir):
     """Coverage questions: twice the results, chosen from three times as many."""
     v, q = _queries(spark, sf_dir, True)
     k = retrieval.coverage_k()
-    return retrieval.mmr(retrieval.topk(v, q, retrieval.POOL * k), k)
+    return retrieval.mmr(retrieval.topk(v, q, retrieval.POOL * k).join(v.select("vec_id", "embedding"), "vec_id"), k)
 
 
 def _rounds(spark, sf_dir):
+    """A first round, and a second with the query rewritten (here: read backwards); both search all vectors."""
     v, q = _queries(spark, sf_dir, False)
     first = retrieval.topk(v, q, 6).select("query_id", F.lit(1).alias("round"), "place", "vec_id")
-    second = retrieval.topk(v.where("vec_id % 3 = 0"), q, 3).select("query_id", F.lit(2).alias("round"), "place", "vec_id")
+    second = retrieval.topk(v, q.withColumn("query", F.reverse("query")), 3).select("query_id", F.lit(2).alias("round"), "place", "vec_id")
     return first.union(second)
 
 
@@ -111,12 +118,23 @@ def fact_rescue(spark, sf_dir):
     return claims.rescue(c, facts(spark, sf_dir).select("cik", "val"))
 
 
+def _hits(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    words = ingested(spark, f"{sf_dir}/documents.parquet", "document-words", lambda: d.select(F.col("doc_id").alias("id"), figures.words(F.col("text")).alias("w")))
+    asked = d.select(F.col("doc_id").alias("id"), F.array(F.col("doc_id") + 20, F.col("doc_id") + 40, F.when(F.col("doc_id") % 10 == 0, F.col("doc_id")).otherwise(-1)).alias("retrieved"))
+    return asked, matching.evidence_equivalent(asked, words, evals.EVIDENCE_LEAST)
+
+
 def evidence_equivalent(spark, sf_dir):
-    """Whether the document 20 ids on covers 60 % of a document's words."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", figures.words(F.col("text")).alias("w"))
-    other = d.select((F.col("doc_id") - 20).alias("doc_id"), F.col("w").alias("o"))
-    share = F.try_divide(F.size(F.array_intersect("w", "o")), F.size("w"))
-    return d.join(other, "doc_id").select("doc_id", (F.coalesce(share, F.lit(0.0)) >= evals.EVIDENCE_LEAST).alias("hit"))
+    """Whether some of the documents retrieved (20 and 40 ids on, and every tenth itself) covers 60 % of a document's words."""
+    _, met = _hits(spark, sf_dir)
+    return met.select(F.col("id").alias("doc_id"), F.col("equivalent").alias("hit"))
+
+
+def hit_types(spark, sf_dir):
+    """How retrieval met each document: by its id, by its words, or not."""
+    asked, met = _hits(spark, sf_dir)
+    return asked.join(met, "id").groupBy(evals.hit_type(F.col("id"), F.col("retrieved"), F.col("equivalent")).alias("hit_type")).agg(F.count("*").alias("n"))
 
 
 def risk_phrase(spark, sf_dir):
@@ -157,7 +175,9 @@ def credibility_report(spark, sf_dir):
 
 
 def verdict_distribution(spark, sf_dir):
-    return project(spark, sf_dir, JUDGED).groupBy("verdict").agg(F.count("*").alias("n"))
+    """Claims that are shown and those held back, as one bag."""
+    j = project(spark, sf_dir, JUDGED)
+    return evals.verdict_counts(j.where("verdict <> 'CONTRADICTED'"), j.where("verdict = 'CONTRADICTED'").drop("kind"))
 
 
 def gate_decision(spark, sf_dir):
@@ -270,22 +290,24 @@ def sample_deterministic(spark, sf_dir):
 
 def upsert_latest(spark, sf_dir):
     """Two writes of a key: the later one stands."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).alias("seq"))
-    again = d.where("doc_id % 4 = 0").select("doc_id", F.lit("new").alias("source"), F.lit(2).alias("seq"))
-    both = d.union(again)
-    return both.groupBy("doc_id").agg(F.max_by("source", "seq").alias("source")).groupBy("source").agg(F.count("*").alias("n"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    again = d.where("doc_id % 4 = 0").select("doc_id", F.lit("new").alias("source"))
+    return sinks.upserted(d, again, ["doc_id"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
 def ingest_missing(spark, sf_dir):
+    """Documents whose id no label has: what an interrupted run still has to take in."""
     d, l = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return d.join(l, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("missing"))
+    return sinks.absent(l, d.select("doc_id", "source"), ["doc_id"]).groupBy("source").agg(F.count("*").alias("missing"))
 
 
 def replace_by_key(spark, sf_dir):
-    """Rows of the keys written again are replaced whole."""
+    """Facts are stored by company, then those of some companies are written again; their old rows are gone, others stay."""
     f = facts(spark, sf_dir).select("cik", "tag", "accn")
-    fresh = f.where("cik % 5 = 0 and accn like 'K-%'")
-    return f.join(fresh.select("cik").distinct(), "cik", "left_anti").union(fresh).groupBy("cik").agg(F.count("*").alias("n"))
+    path = f"{folder(spark)}/ledgerlens/replaced-{uuid.uuid4().hex}"
+    sinks.replace_by_key(f, path, "cik")
+    sinks.replace_by_key(f.where("cik % 5 = 0 and accn like 'K-%'"), path, "cik")
+    return spark.read.parquet(path).groupBy(F.col("cik").cast("bigint").alias("cik")).agg(F.count("*").alias("n"))
 
 
 def _cards(spark, sf_dir):
@@ -369,18 +391,17 @@ chunks AS (
   WHERE k.pass = CASE WHEN s.n1 > 0 AND s.l1 < 0.3 * s.n1 AND s.l2 > s.l1 THEN 2 ELSE 1 END)
 """
 _DIST = "round(list_cosine_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
-_TOPK = """SELECT q.vec_id * 1000{scope_id} AS query_id, v.vec_id, list_cosine_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM embeddings AS v, embeddings AS q WHERE q.vec_id < 5{extra}"""
+_TOPK = """SELECT CAST(q.vec_id * 1000{scope_id} AS BIGINT) AS query_id, v.vec_id, list_cosine_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM embeddings AS v, embeddings AS q WHERE q.vec_id % 50 = 0{extra}"""
 _RANK = "SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place, distance FROM ({0}) QUALIFY place <= {1}"
 _ALLQ = _TOPK.format(scope_id="", extra="")
-_PRICES = " UNION ALL ".join(f"SELECT '{k}' AS prefix, CAST({a} AS DOUBLE) AS price_in, CAST({b} AS DOUBLE) AS price_out" for k, (a, b) in evals.PRICES.items())
-_PRICED = f"""prices AS ({_PRICES}), models AS (
+_PRICED = """prices AS (SELECT * FROM (VALUES ('claude-sonnet', 3.0::DOUBLE, 15.0::DOUBLE), ('claude-haiku', 1.0, 5.0), ('claude-opus', 15.0, 75.0), ('gpt-5-mini', 0.25, 2.0), ('gpt-5', 1.25, 10.0), ('gpt-4o-mini', 0.15, 0.6), ('gpt-4o', 2.5, 10.0)) AS t(prefix, price_in, price_out)), models AS (
   SELECT m.model, coalesce(p.price_in, 3.0) AS price_in, coalesce(p.price_out, 15.0) AS price_out FROM (SELECT DISTINCT model FROM log) AS m
   LEFT JOIN prices AS p ON starts_with(lower(regexp_replace(m.model, '^[^:]*:', '')), p.prefix) QUALIFY row_number() OVER (PARTITION BY m.model ORDER BY length(p.prefix) DESC NULLS LAST) = 1)"""
 _WORD = matching.WORD
 _RUNS = f"""WITH ew AS (SELECT item_id, regexp_extract_all(text, '{_WORD}') AS w FROM benchmark),
 er AS (SELECT item_id, unnest(CASE WHEN len(w) >= 8 THEN list_transform(range(0, len(w) - 7, CAST(greatest(1, (len(w) - 8) // 40) AS BIGINT)), lambda i: array_to_string(w[i + 1:i + 8], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS run FROM ew),
-dw AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(text, '{_WORD}'), ' ') || ' ' AS all_words FROM documents),
-met AS (SELECT DISTINCT item_id, doc_id FROM er JOIN dw ON contains(all_words, ' ' || run || ' '))
+dw AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '{_WORD}'), ' ') AS all_words FROM documents),
+met AS (SELECT DISTINCT item_id, doc_id FROM er JOIN dw ON contains(all_words, run))
 """
 _REPORT = """SELECT query_id, count(*) FILTER (verdict <> 'CONTRADICTED') AS displayed, count(*) FILTER (verdict = 'NOT_ENOUGH_INFO') AS unverified, count(*) FILTER (verdict = 'CONTRADICTED') AS blocked,
   count(*) FILTER (kind = 'risk' AND verdict = 'SUPPORTED') AS risk_flags, round(avg(CASE WHEN verdict = 'SUPPORTED' THEN 0.0 ELSE 1.0 END), 6) AS unsupported_rate,
@@ -394,6 +415,10 @@ cards AS (
   UNION ALL SELECT cik, 'gross_profit:1999', 'old', [accn || '|' || tag || '|' || fy], [period_end], cik % 2 = 0 FROM years WHERE metric = 'gross_profit' AND fy = 1999)
 """
 
+_EVIDENCE = f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+met AS (SELECT a.doc_id, coalesce(bool_or(len(list_filter(a.w, lambda x: list_contains(b.w, x))) >= 0.6 * len(a.w) AND len(a.w) > 0), false) AS equivalent
+  FROM d AS a LEFT JOIN d AS b ON b.doc_id = a.doc_id + 20 OR b.doc_id = a.doc_id + 40 OR (a.doc_id % 10 = 0 AND b.doc_id = a.doc_id) GROUP BY a.doc_id)
+"""
 _CARD = presentation.CARD
 _TILE = "'ACME net income FY' || y || ': $' || cik || CASE WHEN y % 2 = 0 THEN '.5B, +' || cik || '.1% YoY (FY1: $2B)' ELSE 'M' END"
 SQL = {
@@ -412,7 +437,7 @@ SELECT cik, y, CASE WHEN score >= 0.3 THEN p END AS sentence FROM r QUALIFY row_
     "corpus_live": f"SELECT ticker, count(*) AS docs FROM ({as_sql(FILINGS)}) WHERE corpus = 'live' AND length(text) >= 500 GROUP BY ticker",
     "vector_topk": f"SELECT query_id, vec_id, place, round(distance, 6) AS distance FROM ({_RANK.format(_ALLQ, 6)})",
     "vector_topk_scoped": "SELECT query_id, vec_id, place, round(distance, 6) AS distance FROM (" + _RANK.format(_TOPK.format(scope_id=" + v.label", extra=""), 6) + ")",
-    "refine_topup": f"""WITH r AS (SELECT query_id, 1 AS round, place, vec_id FROM ({_RANK.format(_ALLQ, 6)}) UNION ALL SELECT query_id, 2, place, vec_id FROM ({_RANK.format(_TOPK.format(scope_id='', extra=' AND v.vec_id % 3 = 0'), 3)})),
+    "refine_topup": f"""WITH r AS (SELECT query_id, 1 AS round, place, vec_id FROM ({_RANK.format(_ALLQ, 6)}) UNION ALL SELECT query_id, 2, place, vec_id FROM ({_RANK.format(_TOPK.format(scope_id='', extra='').replace('CAST(q.embedding AS DOUBLE[])', 'list_reverse(CAST(q.embedding AS DOUBLE[]))'), 3)})),
 f AS (SELECT query_id, vec_id, min((CASE WHEN round = 2 THEN 0 ELSE round END) * 1000 + place) AS turn FROM r GROUP BY query_id, vec_id)
 SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY turn, vec_id) AS place FROM f QUALIFY place <= 6""",
     "claim_figures": _FIG + "SELECT cik, y, unnest(range(0, len(cv))) AS pos, unnest(cv) AS v FROM c",
@@ -421,7 +446,8 @@ SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY turn,
     "claim_token_overlap": _FIG + "SELECT cik, y, CASE WHEN len(cw) >= 3 THEN round(len(list_filter(cw, lambda w: list_contains(ew, w))) / len(cw), 6) END AS token_overlap FROM c",
     "claim_check": _FIG + f"SELECT cik, y, coalesce({_MATCH} < 1.0, false) OR coalesce(NOT ({_ARITH}), false) AS flagged FROM c",
     "fact_rescue": _FIG.rstrip() + f",\n{BASE},\nvals AS (SELECT cik, list(DISTINCT CAST(val AS DOUBLE)) AS fv FROM facts GROUP BY cik)\nSELECT c.cik, c.cik || '-' || c.y AS claim_id FROM c JOIN vals ON vals.cik = c.cik WHERE len(cv) > 0 AND len(list_filter(cv, lambda v: {_found('v', 'fv')})) = len(cv)",
-    "evidence_equivalent": f"WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents) SELECT a.doc_id, coalesce(len(list_filter(a.w, lambda x: list_contains(b.w, x))) / nullif(len(a.w), 0), 0) >= 0.6 AS hit FROM d AS a JOIN d AS b ON b.doc_id = a.doc_id + 20",
+    "evidence_equivalent": _EVIDENCE + "SELECT doc_id, equivalent AS hit FROM met",
+    "hit_types": _EVIDENCE + "SELECT CASE WHEN doc_id % 10 = 0 THEN 'exact' WHEN equivalent THEN 'equivalent' ELSE 'none' END AS hit_type, count(*) AS n FROM met GROUP BY 1",
     "risk_phrase": f"SELECT doc_id, phrase FROM (SELECT doc_id, regexp_extract(text, '{figures.REALIZED}', 0) AS phrase FROM ({as_sql(FILINGS)})) WHERE phrase <> ''",
     "risk_echo_sections": _J + f"""SELECT claim_id, array_to_string(list_sort(list(DISTINCT trim(section)))[1:3], '|') AS echoes FROM (
   SELECT claim_id, {_SECTION.format('doc_id')} AS cited, {_SECTION.format('(doc_id + d)')} AS section FROM j, (SELECT unnest(range(1, 6)) AS d) WHERE kind = 'risk') WHERE section IS NOT NULL AND lower(trim(section)) <> lower(trim(coalesce(cited, ''))) GROUP BY claim_id""",
@@ -450,7 +476,7 @@ FROM (SELECT *, doc_id % 13 <> 0 AND doc_id % 11 <> 0 AS ok FROM j) GROUP BY que
 FROM (SELECT 't' || (doc_id % 4) AS question_type, CASE WHEN doc_id % 17 = 0 THEN 'crash' WHEN verdict = 'SUPPORTED' THEN 'correct' WHEN verdict = 'CONTRADICTED' THEN 'incorrect' ELSE 'abstain' END AS grade FROM j) GROUP BY ROLLUP (question_type)""",
     "judge_agreement": _J + "SELECT count(*) AS n, round(avg(CASE WHEN doc_id % 7 <> 0 OR verdict = 'SUPPORTED' THEN 1.0 ELSE 0.0 END), 6) AS agreement, avg(CASE WHEN doc_id % 7 <> 0 OR verdict = 'SUPPORTED' THEN 1.0 ELSE 0.0 END) >= 0.85 AS passed FROM j",
     "number_hit_rates": _FIG + f"SELECT cik, round(avg({_MATCH}), 6) AS mean_match, count(*) FILTER ({_MATCH} < 1) AS flagged FROM c GROUP BY cik",
-    "llm_cost": _L + f", {_PRICED}\nSELECT CAST(ts AS DATE) AS day, stage, log.model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(round(CAST((sum(input_tokens) * any_value(price_in) + sum(output_tokens) * any_value(price_out)) / 1e6 AS DECIMAL(28,8)), 4) AS DOUBLE) AS est_cost_usd FROM log JOIN models ON models.model = log.model WHERE event = 'llm_call' GROUP BY 1, 2, 3",
+    "llm_cost": _L + f", {_PRICED}\nSELECT CAST(ts AS DATE) AS day, stage, log.model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(round(CAST((sum(input_tokens) * any_value(price_in) + sum(output_tokens) * any_value(price_out)) / 1e6 AS DECIMAL(28,8)), 4) AS DOUBLE) AS est_cost_usd FROM log JOIN models ON models.model IS NOT DISTINCT FROM log.model WHERE event = 'llm_call' GROUP BY 1, 2, 3",
     "longest_prefix_price": _L + f", {_PRICED}\nSELECT * FROM models",
     "queries_per_day": _L + "SELECT CAST(ts AS DATE) AS day, count(*) AS queries, greatest(0, 100 - count(*)) AS budget_left FROM log WHERE event = 'query_received' AND NOT regexp_matches(query_id, '^(eval|fb_|smoke_)') GROUP BY 1",
     "visitor_budget": _L + "SELECT CAST(ts AS DATE) AS day, visitor, count(*) AS queries, greatest(0, 10 - count(*)) AS \"left\" FROM log WHERE event = 'visitor_query' GROUP BY 1, 2",
@@ -476,7 +502,7 @@ FROM nation AS a JOIN nation AS b ON b.n_nationkey = a.n_nationkey + 1 JOIN nati
 
 _FUNCTIONS = (
     chunk_pack, chunk_sections, chunk_noise, corpus_live, vector_topk, vector_topk_scoped, vector_mmr, refine_topup, claim_figures, claim_number_match, claim_arithmetic, claim_token_overlap,
-    claim_check, fact_rescue, evidence_equivalent, risk_phrase, risk_echo_sections, claim_verdicts, claim_citations, credibility_report, verdict_distribution, gate_decision, boilerplate_rate,
+    claim_check, fact_rescue, evidence_equivalent, hit_types, risk_phrase, risk_echo_sections, claim_verdicts, claim_citations, credibility_report, verdict_distribution, gate_decision, boilerplate_rate,
     smoke_score, benchmark_summary, judge_agreement, number_hit_rates, llm_cost, longest_prefix_price, queries_per_day, visitor_budget, shingle_containment, shingle_suspects, name_to_entity,
     mentioned_company, history_last3, sample_deterministic, upsert_latest, ingest_missing, replace_by_key, drop_stale_cards, subsume_cards, golden_checks, kpi_tiles, best_sentence, visitor_ids,
 )

@@ -1,14 +1,18 @@
-"""Tables that are ingested once in a session and then read by every query."""
+"""Tables that are ingested once in a session and then read by every query, until they expire or their source changes."""
 
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_INGESTED: dict[tuple[str, str, str], str] = {}
+#: Where a table is, what its source looked like, and when it was written.
+_INGESTED: dict[tuple[str, str, str], tuple[str, str, float]] = {}
+#: Seconds after which a table is made again.
+EXPIRY = 600
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,16 +27,44 @@ def folder(spark: SparkSession) -> str:
     return made
 
 
-def ingested(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` of ``source``, written as Parquet the first time a session asks; ``forget`` after the source has changed."""
+def state(spark: SparkSession, source: str) -> str:
+    """What tells that a folder's files have changed: newest time, size and number of its files, by the file system that Spark uses."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return "none"
+    newest = max((s.getModificationTime() for s in files.listStatus(path)), default=0)
+    return f"{newest} {files.getContentSummary(path).getLength()} {files.getContentSummary(path).getFileCount()}"
+
+
+def ingested(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], expiry: float = EXPIRY) -> DataFrame:
+    """The table ``name`` of ``source``, written as Parquet when a session first asks, and again after ``expiry`` seconds or once the source's files have changed."""
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _INGESTED:
+    now = state(spark, source)
+    known = _INGESTED.get(key)
+    if known is None or known[1] != now or time.time() - known[2] > expiry:
         path = f"{folder(spark)}/ledgerlens/{name}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
-        _INGESTED[key] = path
-    return spark.read.parquet(_INGESTED[key])
+        made = make()
+        made.write.parquet(path)
+        _INGESTED[key] = known = (path, now, time.time())
+    return spark.read.parquet(known[0])
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, so what several branches read is made once."""
+    path = f"{folder(df.sparkSession)}/ledgerlens/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def forget(source: str | None = None) -> None:
     for key in [k for k in _INGESTED if source in (None, k[1])]:
         del _INGESTED[key]
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, such as a payload as it was received, by the file system that Spark uses."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
