@@ -12,10 +12,16 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import presentation, registry
 from ledgerlens.operators import claims as cl
+from ledgerlens.operators import matching
+from ledgerlens.operators.facts import Points
+from ledgerlens.plans import planner
+from ledgerlens.sources import filings
+from ledgerlens.sources.staging import kept
 
 #: Question patterns and the bounds of loops and batches.
 FINANCIAL = r"(?i)revenue|net sales|income|profit|margin|earnings|eps|cash flow|debt|dividend|buyback|capex|expense|assets|liabilit|equity|营收|收入|利润|毛利|现金流|负债|回购|股息"
@@ -28,6 +34,8 @@ COVERAGE = (
     r"|what are (?:the |its |their )?(?:biggest|largest|main|key|top|major|primary)|list (?:the|all|its)\b|最大的|主要的|哪些"
 )
 ROUNDS, BATCH = 3, 60
+#: What is said where no claim came out of two tries.
+UNANSWERED = "No answer could be made this time; please ask again."
 
 
 class Provider(Protocol):
@@ -35,7 +43,7 @@ class Provider(Protocol):
 
     def route(self, question: str) -> dict: ...
     def assess(self, question: str, previews: list[str]) -> dict: ...
-    def generate(self, question: str, chunks: list[tuple[str, str]]) -> list[dict]: ...
+    def generate(self, question: str, chunks: list[tuple[str, str]], feedback: str = "", figures: str = "") -> list[dict]: ...
     def verify(self, claims: list[dict]) -> list[dict]: ...
     def boilerplate(self, texts: list[str]) -> list[bool]: ...
     def ask(self, chunks: list[tuple[str, str]]) -> list[dict]: ...
@@ -50,12 +58,16 @@ class RuleProvider:
         import re
 
         numeric = bool(re.search(NUMERIC, question))
-        return {"route": "numeric" if numeric else "narrative", "n_queries": int(numeric), "refusal": "", "fully_answers": numeric}
+        if not numeric and not re.search(FINANCIAL, question) and not re.search(COVERAGE, question):
+            return {"route": "out_of_scope", "queries": [], "refusal": "This is no question about a filing.", "fully_answers": False}
+        op = next((o for o, words in (("cagr", "CAGR"), ("average", "average|mean"), ("yoy", "growth|change"), ("ratio", "ratio|margin")) if re.search(words, question, re.I)), "value")
+        asked = [{"op": op, "metric": m} for m in (*registry.METRICS, *registry.RATIOS, *registry.DERIVED) if re.search(rf"\b{m.replace('_', ' ')}\b", question, re.I)]
+        return {"route": "numeric" if numeric else "narrative", "queries": asked if numeric else [], "refusal": "", "fully_answers": numeric}
 
     def assess(self, question: str, previews: list[str]) -> dict:
         return {"decision": "ENOUGH" if len(previews) >= 3 else "EXPAND"}
 
-    def generate(self, question: str, chunks: list[tuple[str, str]]) -> list[dict]:
+    def generate(self, question: str, chunks: list[tuple[str, str]], feedback: str = "", figures: str = "") -> list[dict]:
         return [{"text": text.split(". ")[0][:200], "cited": [cid], "kind": "risk" if "risk" in text.lower() else "insight"} for cid, text in chunks[:3]]
 
     def verify(self, claims: list[dict]) -> list[dict]:
@@ -89,23 +101,28 @@ def settled_route(route: Column, n_queries: Column, refusal: Column, fully: Colu
     return F.when((second == "out_of_scope") & ((F.coalesce(refusal, F.lit("")) == "") | question.rlike(FINANCIAL)), "narrative").otherwise(second)
 
 
+_QUERIES = "array<struct<op:string,metric:string,fy:int,years:int>>"
+
+
 def routed(questions: DataFrame, provider: Provider) -> DataFrame:
-    """``questions`` (query_id, ticker, question) with ``route``; a failing router means narrative."""
+    """``questions`` (query_id, ticker, question) with ``route``, numeric ``queries``, named ``companies`` and a ``refusal``; a failing router means narrative."""
 
-    @F.pandas_udf("route string, n_queries int, refusal string, fully_answers boolean")
+    @F.pandas_udf(f"route string, queries {_QUERIES}, companies array<string>, refusal string, fully_answers boolean")
     def ask(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []
             for t in batch:
                 try:
                     r = provider.route(t)
-                    rows.append((r["route"], r["n_queries"], r.get("refusal", ""), r.get("fully_answers", False)))
+                    queries = [{"op": q.get("op"), "metric": q["metric"], "fy": q.get("fy"), "years": q.get("years")} for q in r.get("queries", [])]
+                    rows.append((r["route"], queries, list(r.get("companies", [])), r.get("refusal", ""), bool(r.get("fully_answers", False))))
                 except Exception:  # noqa: BLE001
-                    rows.append(("narrative", 0, "", False))
-            yield pd.DataFrame(rows, columns=["route", "n_queries", "refusal", "fully_answers"])
+                    rows.append(("narrative", [], [], "", False))
+            yield pd.DataFrame(rows, columns=["route", "queries", "companies", "refusal", "fully_answers"])
 
     r = questions.withColumn("_r", ask("question"))
-    return r.withColumn("route", settled_route(F.col("_r.route"), F.col("_r.n_queries"), F.col("_r.refusal"), F.col("_r.fully_answers"), F.col("question"))).drop("_r")
+    settled = settled_route(F.col("_r.route"), F.size("_r.queries"), F.col("_r.refusal"), F.col("_r.fully_answers"), F.col("question"))
+    return r.withColumns({"route": settled, "queries": F.col("_r.queries"), "companies": F.col("_r.companies"), "refusal": F.col("_r.refusal")}).drop("_r")
 
 
 def next_step(decision: Column, new_query: Column, query: Column, k: Column, most: int = 24) -> tuple[Column, Column, Column]:
@@ -120,7 +137,8 @@ def refined(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], pr
     """Up to three rounds of retrieval, unrolled; each round runs for the questions that go on.
 
     ``retrieve``: (query_id, query, k) to (query_id, chunk_id, place, text). Gives
-    ``query_id, round, place, chunk_id, text``.
+    ``query_id, round, k, place, chunk_id, text``. A round's results and its assessment
+    are staged, so each is asked for once.
     """
 
     @F.pandas_udf("decision string, new_query string")
@@ -137,38 +155,53 @@ def refined(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], pr
     going = questions.select("query_id", "question", F.col("question").alias("query"), "k")
     rounds = []
     for n in range(1, ROUNDS + 1):
-        hits = retrieve(going.select("query_id", "query", "k")).withColumn("round", F.lit(n))
-        rounds.append(hits.select("query_id", "round", "place", "chunk_id", "text"))
+        hits = retrieve(going.select("query_id", "query", "k")).join(going.select("query_id", "k"), "query_id").withColumn("round", F.lit(n))
+        hits = kept(hits.select("query_id", "round", "k", "place", "chunk_id", "text"), "round")
+        rounds.append(hits)
         if n < ROUNDS:
             seen = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: F.substring(x["text"], 1, 300)).alias("previews"))
             judged = going.join(seen, "query_id", "left").withColumn("a", assess("question", F.coalesce("previews", F.array().cast("array<string>"))))
             stop, query, k = next_step(F.col("a.decision"), F.col("a.new_query"), F.col("query"), F.col("k"))
-            going = judged.select("query_id", "question", query.alias("query"), k.alias("k"), stop.alias("stop")).where("not stop").drop("stop")
+            going = kept(judged.select("query_id", "question", query.alias("query"), k.alias("k"), stop.alias("stop")).where("not stop").drop("stop"), "going")
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
     return out
 
 
-def generated(questions: DataFrame, chunks: DataFrame, provider: Provider) -> DataFrame:
-    """Claims ``query_id, claim_id, text, kind, cited_chunk_ids`` for each question from its chunks; citations outside them go. Two tries, then none."""
+def chosen(rounds: DataFrame) -> DataFrame:
+    """``query_id, place, chunk_id, text``: the last round's results, filled up to its k with those of earlier rounds, in their order."""
+    last = Window.partitionBy("query_id")
+    turn = F.when(F.col("round") == F.max("round").over(last), 0).otherwise(F.col("round"))
+    first = rounds.withColumn("turn", turn).groupBy("query_id", "chunk_id").agg(F.min_by(F.struct("turn", "place", "text"), F.struct("turn", "place")).alias("x"), F.max_by("k", "round").alias("_k"))
+    ranked = first.withColumns({"place": F.row_number().over(last.orderBy("x.turn", "x.place", "chunk_id")), "k": F.max("_k").over(last)})
+    return ranked.where("x.turn = 0 or place <= k").select("query_id", "place", "chunk_id", "x.text")
+
+
+def generated(questions: DataFrame, chunks: DataFrame, provider: Provider, suffix: str = "") -> DataFrame:
+    """Claims ``query_id, claim_id, text, kind, cited_chunk_ids`` for each question from its chunks; citations outside them go. Two tries, then none.
+
+    ``questions`` may have ``feedback`` on an earlier try and ``figures`` that the answer shows; ``suffix`` tells tries apart.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
         known = list(zip(group["chunk_id"], group["text"]))
+        told = {k: v for k in ("feedback", "figures") if (v := group[k].iloc[0])}
         got: list[dict] = []
         for _ in range(2):
             try:
-                got = provider.generate(group["question"].iloc[0], known)
+                got = provider.generate(group["question"].iloc[0], known, **told)
                 break
             except Exception:  # noqa: BLE001
                 continue
         ids = set(group["chunk_id"])
         qid = group["query_id"].iloc[0]
-        rows = [(qid, f"{qid}_claim{i}", c["text"], c.get("kind") if c.get("kind") in ("risk", "insight") else "insight", [x for x in c.get("cited", []) if x in ids]) for i, c in enumerate(got, 1)]
+        rows = [(qid, f"{qid}{suffix}_claim{i}", c["text"], c.get("kind") if c.get("kind") in ("risk", "insight") else "insight", [x for x in c.get("cited", []) if x in ids]) for i, c in enumerate(got, 1)]
         return pd.DataFrame(rows, columns=["query_id", "claim_id", "text", "kind", "cited_chunk_ids"])
 
-    met = questions.select("query_id", "question").join(chunks.select("query_id", "place", "chunk_id", "text"), "query_id")
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in questions.columns else F.lit("").alias(c) for c in ("feedback", "figures")]
+    met = questions.select("query_id", "question", *told).join(chunks.select("query_id", "place", "chunk_id", "text"), "query_id")
     return met.groupBy("query_id").applyInPandas(run, "query_id string, claim_id string, text string, kind string, cited_chunk_ids array<string>")
 
 
@@ -189,13 +222,78 @@ def verified(claims: DataFrame, chunks: DataFrame, provider: Provider) -> DataFr
 
 
 def narrative(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], provider: Provider) -> DataFrame:
-    """Judged claims of all questions; those of a question with a contradicted claim are made once more."""
-    chunks = refined(questions.withColumn("k", F.when(is_coverage(F.col("question")), 12).otherwise(6)), retrieve, provider).dropDuplicates(["query_id", "chunk_id"])
-    first = verified(generated(questions, chunks, provider), chunks, provider)
-    bad = first.where("verdict = 'CONTRADICTED'").select("query_id").distinct()
-    again = questions.join(bad, "query_id", "left_semi")
-    second = verified(generated(again, chunks, provider), chunks, provider)
-    return first.join(bad, "query_id", "left_anti").unionByName(second)
+    """Judged claims of all questions; those of a question with a contradicted claim are made once more, told what was wrong.
+
+    What a model has said is staged before it is read, so no branch asks it again.
+    """
+    rounds = refined(questions.withColumn("k", F.when(is_coverage(F.col("question")), 12).otherwise(6)), retrieve, provider)
+    chunks = kept(chosen(rounds), "chunks")
+    first = kept(verified(kept(generated(questions, chunks, provider), "claims"), chunks, provider), "verdicts")
+    bad = first.where("verdict = 'CONTRADICTED'").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("claim_id", "text", F.col("judge_reason").alias("reason")))).alias("wrong"))
+    told = bad.select("query_id", presentation.feedback(F.col("wrong")).alias("feedback"))
+    again = questions.join(told, "query_id")
+    second = verified(kept(generated(again, chunks, provider, "r"), "claims"), chunks, provider)
+    return first.join(bad.select("query_id"), "query_id", "left_anti").unionByName(second)
+
+
+def answer(questions: DataFrame, provider: Provider, retrieve: Callable[[DataFrame], DataFrame], points: Points, facts: DataFrame, companies: DataFrame, corpus: DataFrame, listed: DataFrame) -> DataFrame:
+    """Every question answered: one row ``query_id, ticker, route, degraded, needs_onboarding, summary, figures, displayed, blocked, unsupported_rate``.
+
+    ``questions``: query_id, ticker, question, and with ``doc_id, scope_cik, scope_accn``
+    those that are held to a document (no other company is looked for, nothing is
+    refused, and figures come from its filing or not at all). ``companies``: cik,
+    ticker; ``corpus`` and ``listed``: ticker. A question is routed; numeric ones get
+    cards, and without any go on as narrative ones (``degraded``); hybrid ones get both,
+    and their texts are written with the cards in view.
+    """
+    held = [c for c in ("doc_id", "scope_cik", "scope_accn") if c in questions.columns]
+    asked = routed(questions, provider)
+    if held:
+        own = F.col("doc_id").isNotNull()
+        free = own & F.col("scope_accn").isNull()
+        asked = asked.withColumn("route", F.when(free | (own & (F.col("route") == "out_of_scope")), "narrative").otherwise(F.col("route")))
+        asked = asked.withColumns({"queries": F.when(free, F.array().cast(_QUERIES)).otherwise(F.col("queries")), "companies": F.when(own, F.array().cast("array<string>")).otherwise(F.col("companies"))})
+    asked = kept(asked, "routed")
+    about = matching.mentioned(asked.select("query_id", "ticker", F.col("companies").alias("mentions")), corpus, listed)
+    asked = kept(asked.drop("ticker").join(about, "query_id"), "about")
+    here = asked.where("needs_onboarding is null and route <> 'out_of_scope'")
+    numeric = here.where("route in ('numeric', 'hybrid')").select("query_id", "ticker", *held, F.posexplode("queries").alias("pos", "q")).join(companies.select("cik", "ticker"), "ticker")
+    scopes = [c for c in held if c != "doc_id"]
+    cards = planner.answered(numeric.select(F.col("query_id").alias("answer_id"), "pos", "cik", "ticker", "q.op", "q.metric", "q.fy", "q.years", *scopes), points, facts)
+    figures = kept(cards.groupBy(F.col("answer_id").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("query_id").alias("at"), "text"))), lambda x: x["text"]).alias("cards")), "figures")
+    told = kept(here.join(figures, "query_id", "left").withColumn("degraded", (F.col("route") == "numeric") & F.col("cards").isNull()), "told")
+    texts = told.where("route <> 'numeric' or degraded").withColumn("figures", F.array_join("cards", "\n"))
+    judged = kept(narrative(texts.select("query_id", "ticker", "question", "figures"), retrieve, provider), "judged")
+    out = asked.join(told.select("query_id", "cards", "degraded"), "query_id", "left").join(cl.report(judged), "query_id", "left")
+    degraded = F.coalesce("degraded", F.lit(False))
+    summary = (
+        F.when(F.col("needs_onboarding").isNotNull(), F.concat("needs_onboarding", F.lit(" is not in the corpus yet.")))
+        .when(F.col("route") == "out_of_scope", F.col("refusal"))
+        .when((F.col("route") == "numeric") & ~degraded, F.array_join("cards", "\n"))
+        .when(F.col("displayed").isNull(), UNANSWERED)
+    )
+    route = F.when(F.col("needs_onboarding").isNotNull(), "onboard").when(degraded, "narrative").otherwise(F.col("route"))
+    return out.select(
+        "query_id", "ticker", route.alias("route"), degraded.alias("degraded"), "needs_onboarding", summary.alias("summary"), F.coalesce("cards", F.array().cast("array<string>")).alias("figures"),
+        F.coalesce("displayed", F.lit(0)).alias("displayed"), F.coalesce("blocked", F.lit(0)).alias("blocked"), F.coalesce("unsupported_rate", F.lit(0.0)).alias("unsupported_rate"),
+    )
+
+
+def onboarding(wanted: DataFrame, corpus: DataFrame, listing: DataFrame, submissions: DataFrame, most: int = 0) -> DataFrame:
+    """What is to be taken in: ``ticker, status, cik, title, accn, filed`` for each wanted ticker.
+
+    ``exists`` if it is in the corpus; ``full`` if that holds ``most`` companies (0: no
+    bound); ``malformed`` or ``unknown`` if it is no listed ticker; ``no filing`` without an
+    annual report; else ``add``, with the filing to fetch.
+    """
+    known = corpus.select("ticker", F.lit(True).alias("known")).distinct()
+    full = known.agg((F.lit(most > 0) & (F.count("*") >= most)).alias("full"))
+    met = filings.resolve_tickers(wanted.select(F.upper(F.trim("ticker")).alias("ticker")).distinct(), listing).join(known, "ticker", "left").join(full, F.lit(True))  # one row
+    last = filings.latest_filing(submissions).select(F.lpad("cik", 10, "0").alias("cik"), "accn", "filed")
+    met = met.join(last, "cik", "left")
+    status = F.when(F.col("known"), "exists").when(F.col("full"), "full").when(F.col("error").isNotNull(), F.col("error")).when(F.col("accn").isNull(), "no filing").otherwise("add")
+    own = lambda c: F.when(F.col("status") == "add", F.col(c)).alias(c)
+    return met.withColumn("status", status).select("ticker", "status", *map(own, ("cik", "title", "accn", "filed")))
 
 
 def boilerplate(claims: DataFrame, provider: Provider) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import re
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import figures, render
 from ledgerlens.operators import chunking, claims, evals, facts as fx, matching, numeric, retrieval
-from ledgerlens.plans import answers, planner
-from ledgerlens.sources import filings, sinks
+from ledgerlens.plans import answers, planner, schema
+from ledgerlens.sources import filings, sinks, staging
 from ledgerlens.streaming import events
 
 FACTS = "cik long, taxonomy string, tag string, unit string, start_date date, end_date date, val decimal(28,2), accn string, fy int, fp string, form string, filed date, frame string"
@@ -277,8 +279,138 @@ def test_names_and_probes(spark):
     assert sorted(map(tuple, matching.containment(ev, docs).collect())) == [(1, 10), (2, 11)]
 
 
-def test_unit_vectors():
-    import pandas as pd
+def test_containment_is_plain_text(spark):
+    """A run's outer words may be parts of longer ones, those between are whole; also short runs."""
+    ev = spark.createDataFrame([(1, "is a"), (2, "s a b"), (3, "one two three four five six seven eight"), (4, "two"), (5, "a b c d"), (6, "is not this a"), (7, None), (8, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "is not this a"), (11, "this a b"), (12, "xone two three four five six seven eightfold"), (13, "one twox three four five six seven eight"), (14, None), (15, "aa b c dd")], "doc_id long, text string")
+
+    def plain(t):
+        return " ".join(re.findall(matching.WORD, t or ""))
+
+    want = sorted((i, d) for i, t in [tuple(r) for r in ev.collect()] for d, x in [tuple(r) for r in docs.collect()] if plain(t) and plain(t) in plain(x))
+    assert sorted(map(tuple, matching.containment(ev, docs).collect())) == want and (1, 10) in want and (3, 12) in want and (3, 13) not in want
+    assert matching.containment(ev.limit(0), docs).count() == 0
+
+
+def test_embedded_vectors(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, text string")
+    seen = lambda texts: [[float(t.startswith("query: ")), float(len(t)) - 7] for t in texts]
+    got = {r.id: r.embedding for r in retrieval.embedded(df, seen, "multilingual-e5-small", query=True).collect()}
+    assert np.allclose(got[1], np.array([1, 2]) / 5**0.5) and np.allclose(got[2], [1, 0])
+
+
+def test_topk_in_blocks(spark):
+    """Every query against every row of its scope, by brute force; zero, null and shorter vectors are met by none; ties by id."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 8))
+    x[7] = x[3]
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(x)] + [(900, 0, None), (901, 0, [0.0] * 8), (902, 1, [1.0]), (903, 1, [float("nan")] * 8)]
+    v = spark.createDataFrame(rows, "vec_id long, scope int, embedding array<double>")
+    q = v.where("vec_id % 5 = 0 and vec_id < 400").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("scope"), F.col("embedding").alias("query"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for block in (20_000, 9):
+        got = {}
+        for r in retrieval.topk(v, q, 4, block).orderBy("query_id", "place").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        for i in range(0, 400, 5):
+            assert got[i] == sorted(range(0, 400, 3), key=lambda j: (round(1 - float(u[i] @ u[j]), 12), j))[:4]
+
+
+def test_prices_and_missing_models(spark):
+    models = ["claude-haiku-4", "anthropic:Claude-Opus-4", "claude-sonnet", "gpt-5-mini-x", "gpt-5", "gpt-4o-mini", "gpt-4o", "other", None]
+    got = {r.model: (r.price_in, r.price_out) for r in evals.priced(spark.createDataFrame([(m,) for m in models], "model string")).collect()}
+    assert got == {"claude-haiku-4": (1, 5), "anthropic:Claude-Opus-4": (15, 75), "claude-sonnet": (3, 15), "gpt-5-mini-x": (0.25, 2), "gpt-5": (1.25, 10), "gpt-4o-mini": (0.15, 0.6), "gpt-4o": (2.5, 10), "other": (3, 15), None: (3, 15)}
+
+
+def test_ingested_again_once_the_source_has_changed(spark, tmp_path):
+    source, made = tmp_path / "src", []
+    source.mkdir()
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    (source / "a").write_text("x")
+    assert staging.ingested(spark, str(source), "t", make).count() == staging.ingested(spark, str(source), "t", make).count() == 1
+    (source / "b").write_text("more")
+    assert staging.ingested(spark, str(source), "t", make).count() == 2
+    assert staging.ingested(spark, str(source), "t", make, expiry=-1).count() == 3
+
+
+def test_answers_are_capped_fresh_and_not_contained(spark):
+    """Seven queries, of which six count; a stale one goes unless it names its year; a value goes with its growth. Earnings a share keep their unit in the fourth quarter."""
+    eps, day = "EarningsPerShareDiluted", dt.date
+    rows = []
+    for fy in (2023, 2024):
+        rows += [(1, "us-gaap", "Revenues", "USD", day(fy, 1, 1), day(fy, 12, 31), 100.0 * fy, f"K{fy}", fy, "FY", "10-K", day(fy + 1, 2, 1), None)]
+        rows += [(1, "us-gaap", "NetIncomeLoss", "USD", day(fy, 1, 1), day(fy, 12, 31), 10.0 * fy, f"K{fy}", fy, "FY", "10-K", day(fy + 1, 2, 1), None)]
+        rows += [(1, "us-gaap", eps, "USD/shares", day(fy, 1, 1), day(fy, 12, 31), 4.5, f"K{fy}", fy, "FY", "10-K", day(fy + 1, 2, 1), None)]
+        rows += [(1, "us-gaap", eps, "USD/shares", day(fy, m, 1), day(fy, m + 2, 28), 1.0, f"Q{fy}{m}", fy, "Q", "10-Q", day(fy, m + 3, 20), None) for m in (1, 4, 7)]
+    rows += [(1, "us-gaap", "LongTermDebt", "USD", None, day(2021, 12, 31), 7e9, "K2021", 2021, "FY", "10-K", day(2022, 2, 1), None)]
+    facts = spark.createDataFrame([(*r[:6], Decimal(str(r[6])), *r[7:]) for r in rows], FACTS)
+    p = fx.points(facts)
+    ask = [("value", "revenue", None), ("yoy", "revenue", None), ("value", "long_term_debt", None), ("value", "long_term_debt", 2021), ("q4", "eps_diluted", None), ("value", "net_income", None), ("yoy", "net_income", None)]
+    q = spark.createDataFrame([("A", i, 1, "ACME", o, m, fy, None) for i, (o, m, fy) in enumerate(ask)], "answer_id string, pos int, cik long, ticker string, op string, metric string, fy int, years int")
+    got = [r.text for r in planner.answered(q, p, facts).orderBy("query_id").collect()]
+    assert len(got) == 4
+    assert "YoY" in got[0] and got[1].startswith("ACME long term debt FY2021: $7.00B")
+    assert got[2].startswith("ACME eps diluted FY2024 Q4 (derived): $1.50 — ")
+    assert got[3].startswith("ACME net income FY2024: ")
+    held = q.where("pos in (0, 5)").withColumns({"scope_cik": F.lit(1).cast("long"), "scope_accn": F.lit("K2023")})
+    assert sorted(r.fy for r in planner.answered(held, p, facts).collect()) == [2023, 2023]
+
+
+def test_series_text_has_its_extras(spark):
+    def line(values):
+        df = spark.createDataFrame([([{"fy": fy, "value": v, "unit": "USD"} for fy, v in values],)], "pts array<struct<fy:int,value:double,unit:string>>")
+        return df.select(planner.series_text(F.col("pts"), F.lit("revenue"), F.lit("A"))).first()[0]
+
+    assert line([(2020, 1e9)]) == "A revenue: FY2020 $1.00B"
+    assert line([(2020, 1e9), (2022, 2e9), (2023, 1e9)]) == "A revenue: FY2020 $1.00B; FY2022 $2.00B (+100.0%); FY2023 $1.00B (-50.0%) — FY2021 not in the official data; 2-yr CAGR +0.0%; growth slowed in FY2023; declined in FY2023"
+    assert line([(2020, 5e6), (2021, 0.0), (2022, 5e6)]) == "A revenue: FY2020 $5.0M; FY2021 $0 (halted); FY2022 $5.0M (resumed)"
+    assert "growth accelerated in FY2022" in line([(2020, 1e9), (2021, 1e9), (2022, 2e9)])
+
+
+def test_models_are_asked_once_and_told_what_was_wrong(spark, tmp_path):
+    """A contradicted question is answered again with feedback; earlier rounds fill up the last; nothing is asked twice."""
+    log = tmp_path / "calls"
+
+    class Counting(answers.RuleProvider):
+        def generate(self, question, chunks, feedback="", figures=""):
+            with log.open("a") as f:
+                f.write(f"{question}|{feedback}\n")
+            return [{"text": "revised" if feedback else "wrong", "cited": [chunks[0][0]], "kind": "odd"}]
 
-    out = next(retrieval.normalized(iter([pd.Series([[3.0, 4.0], [0.0, 0.0]])])))
-    assert np.allclose(out[0], [0.6, 0.8]) and np.allclose(out[1], 0)
+        def verify(self, claims_):
+            return [{"claim_id": c["claim_id"], "verdict": "CONTRADICTED" if c["text"] == "wrong" else "SUPPORTED", "reason": "no such thing"} for c in claims_]
+
+    q = spark.createDataFrame([("1", "T", "What are the main risks?")], "query_id string, ticker string, question string")
+    store = spark.createDataFrame([(f"c{i}", i, f"text {i}") for i in range(30)], "chunk_id string, place int, text string")
+    retrieve = lambda asked: asked.crossJoin(store).where("place < k").select("query_id", "chunk_id", "place", "text")
+    got = answers.narrative(q, retrieve, Counting()).collect()
+    assert [(r.claim_id, r.text, r.kind, r.verdict) for r in got] == [("1r_claim1", "revised", "insight", "SUPPORTED")]
+    assert log.read_text().splitlines() == ["What are the main risks?|", "What are the main risks?|- wrong (no such thing)"]
+    rounds = spark.createDataFrame([("q", 1, 4, i, f"a{i}") for i in range(4)] + [("q", 2, 4, i, f"b{i}") for i in range(2)] + [("q", 2, 4, 2, "a1")], "query_id string, round int, k int, place int, chunk_id string").withColumn("text", F.col("chunk_id"))
+    assert [r.chunk_id for r in answers.chosen(rounds).orderBy("place").collect()] == ["b0", "b1", "a1", "a0"]
+
+
+def test_held_to_a_document(spark, store):
+    """A question held to a document is never refused and meets no other company; without a filing it has no figures."""
+
+    class Refusing(answers.RuleProvider):
+        def route(self, question):
+            return {"route": "out_of_scope", "queries": [{"op": "value", "metric": "revenue"}], "companies": ["ELSE"], "refusal": "no", "fully_answers": True}
+
+    f, p = store
+    q = spark.createDataFrame([("1", "AAPL", "Tell me", "D1", None, None), ("2", "AAPL", "Tell me", None, None, None)], "query_id string, ticker string, question string, doc_id string, scope_cik long, scope_accn string")
+    chunks = spark.createDataFrame([("c1", 0, "One text. More")], "chunk_id string, place int, text string")
+    retrieve = lambda asked: asked.crossJoin(chunks).select("query_id", "chunk_id", "place", "text")
+    listed = spark.createDataFrame([("ELSE",)], "ticker string")
+    got = {r.query_id: r for r in answers.answer(q, Refusing(), retrieve, p, f, spark.createDataFrame([(1, "AAPL")], "cik long, ticker string"), listed.limit(0), listed).collect()}
+    assert (got["1"].route, got["1"].displayed, got["1"].figures, got["1"].ticker) == ("narrative", 1, [], "AAPL")
+    assert (got["2"].route, got["2"].needs_onboarding) == ("onboard", "ELSE")
+
+
+def test_schema_can_be_made_again(spark):
+    one_, two = schema.create(spark).collect(), schema.create(spark).collect()
+    assert one_ == two and spark.table("claims").columns[0] == "claim_id"
