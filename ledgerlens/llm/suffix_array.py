@@ -20,6 +20,11 @@ import numpy as np
 _ODD = 0x9E3779B97F4A7C15
 
 
+def of_names(t: np.ndarray) -> np.ndarray:
+    """Suffix array of joined texts whose letters are dense numbers instead of bytes."""
+    return _sorted_names(t.astype(np.int64))
+
+
 def join(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Letters of all texts with their end marks, and where each text starts. The last end mark is 0."""
     m = len(texts)

@@ -67,8 +67,12 @@ class Unit:
         """Where units start, and the end; None: at every byte."""
         return np.flatnonzero(b == 32) if self.words else None
 
-    def size(self, b: np.ndarray) -> int:
-        return int((b == 32).sum()) - 1 if self.words else len(b)
+    def letters(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The units of encoded texts as numbers: bytes, or words as they first come."""
+        if not self.words:
+            return [np.frombuffer(b, np.uint8) for b in texts]
+        known: dict[bytes, int] = {}
+        return [np.array([known.setdefault(w, len(known)) for w in b.split()], np.int32) for b in texts]
 
     def places(self, text: str) -> np.ndarray | None:
         """Starts of the units in the text's own bytes, and its end; None: at every byte."""
@@ -195,25 +199,15 @@ def _fetched(unit: Unit):
 
 
 def repeated_windows(texts: list[np.ndarray], unit: Unit) -> list[np.ndarray]:
-    """For each text its windows (first units) that occur twice or more in all of them."""
+    """For each text its windows (first units) that occur twice or more in all of them. A text's letters are its units."""
     t, starts = sa.join(texts)
-    order = sa.suffix_array(t, len(texts))
-    width, longest = unit.width, max(map(len, texts))
-    if not unit.words:
-        phi, prefix = sa.common_prefixes(t, order, longest, width)
-        long = np.flatnonzero(prefix >= width)
-    else:
-        cuts = [unit.cuts(x) for x in texts]
-        where = np.concatenate([at + c[:-width] for at, c in zip(starts, cuts)])
-        size = np.concatenate([c[width:] + 1 - c[:-width] for c in cuts])
-        phi, prefix = sa.common_prefixes(t, order, longest, int(size.min()))
-        long = where[prefix[where] >= size]
+    order = sa.of_names(t) if unit.words else sa.suffix_array(t, len(texts))
+    phi, prefix = sa.common_prefixes(t, order, max(map(len, texts)), unit.width)
     found = np.zeros(len(t), bool)
+    long = np.flatnonzero(prefix >= unit.width)
     found[long] = True
     found[phi[long]] = True
-    if not unit.words:
-        return [np.flatnonzero(found[at : at + len(x)]) for at, x in zip(starts, texts)]
-    return [np.flatnonzero(found[at + c[:-width]]) for at, c in zip(starts, cuts)]
+    return [np.flatnonzero(found[at : at + len(x)]) for at, x in zip(starts, texts)]
 
 
 def _runs(places: np.ndarray, width: int) -> list[list[int]]:
@@ -229,9 +223,9 @@ def _sharded(unit: Unit, shard: int):
 
     def solved(rows: list[tuple]) -> pd.DataFrame:
         one = list({(r[0], r[1]): r for r in rows}.values())
-        texts = [np.frombuffer(r[3], np.uint8) for r in one]
+        texts = unit.letters([r[3] for r in one])
         places = repeated_windows(texts, unit)
-        spans = [[[0, unit.size(t)]] if r[2] > 1 else _runs(p, unit.width) for r, t, p in zip(one, texts, places)]
+        spans = [[[0, len(t)]] if r[2] > 1 else _runs(p, unit.width) for r, t, p in zip(one, texts, places)]
         return pd.DataFrame([(r[0], r[1], s) for r, s in zip(one, spans) if s], columns=["key", "region", "spans"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
