@@ -47,6 +47,20 @@ def test_suffix_array_and_prefixes():
                 assert phi[i] == before and prefix[i] == n
 
 
+def test_suffix_array_of_names():
+    rng = np.random.default_rng(9)
+    for k in (1, 2, 5, 400):
+        for _ in range(60):
+            texts = [rng.integers(0, k, rng.integers(0, 60)) for _ in range(rng.integers(1, 5))]
+            if rng.random() < 0.4:
+                texts.append(np.tile(texts[0], 4))
+            _, dense = np.unique(np.concatenate(texts), return_inverse=True)
+            texts = np.split(dense, np.cumsum([len(x) for x in texts])[:-1])
+            t, _ = suffix_array.join(texts)
+            letters = t.tolist()
+            assert suffix_array.of_names(t).tolist() == sorted(range(len(letters)), key=lambda i: letters[i:])
+
+
 def brute_repeats(texts, width):
     seen = collections.Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
     out = []
