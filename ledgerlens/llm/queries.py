@@ -18,16 +18,22 @@ def fold_of(doc_id, n: int):
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text that lie in 400-byte strings which also start elsewhere, and words in passages of over 50 words that do.
+
+    Null texts are empty; equal rows are documents like others; no rows give no rows (so in all ten queries, where nothing else is said).
+    """
     small_batches(spark)
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"), passages=suffix_dedup.WORDS)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap, with the best stretch; documents without any have no row."""
     small_batches(spark)
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned outside the held-out fold; ``und`` without a letter, ties to the first name. A null doc_id is not held out."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False)))
     profiles = language_id.learn(docs.where(~F.col("held_out")))
@@ -35,10 +41,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, and its source's size and target."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every whole text, learned from ``labels`` outside the held-out fold; null and wordless texts are scored by the thresholds alone."""
     small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(fold_of("doc_id", 3) != 1))
@@ -47,12 +55,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: three-word shingles, three of 64 bits."""
     small_batches(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from ``labels`` outside the held-out fold; empty texts get an empty chunk's score."""
     small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = quality.train(docs, labels.where(fold_of("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label")))
@@ -61,6 +71,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; empty where there is none, or no html."""
     small_batches(spark)
     pages = html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
@@ -71,6 +82,7 @@ TRICKY = "\\### Assistant: </turn> ok"
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, with one whose texts hold control strings; rows of equal turn are ordered by role and text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
     added = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
     events = rows.unionByName(added).withColumns({"kind": F.lit("message"), "message_id": F.lit(None).cast("string")})
@@ -87,6 +99,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; unusable ones link with nothing and are kept."""
     return embedding_index.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 

@@ -283,9 +283,67 @@ def test_language_counts_by_brute_force(monkeypatch):
         assert got == want
 
 
+def test_language_by_brute_force(spark):
+    """Out-of-place distances and the choice, on whole texts; of equally near languages the first name, with no rows too."""
+    rnd = random.Random(16)
+    langs = {"aa": "abcab", "bb": "bcdbc", "cc": "xyzab"}
+    rows = [(i, " ".join("".join(rnd.choices(letters, k=rnd.randrange(1, 7))) for _ in range(60)), lang) for i, (lang, letters) in enumerate(list(langs.items()) * 12)]
+    df = docs(spark, rows)
+    size = 40
+    profiles = language_id.learn(df, size)
+
+    def top(texts):
+        n = collections.Counter()
+        for t in texts:
+            for k, c in zip(*(x.tolist() for x in language_id.count(t))):
+                n[k] += c
+        return [k for k, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:size]]
+
+    want = {lang: top(t for _, t, own in rows if own == lang) for lang in langs}
+    assert {k: list(v) for k, v in profiles.items()} == want
+    got = by_id(language_id.predict(df, profiles, size))
+    for i, t, _ in rows:
+        own = top([t])
+        far = {lang: sum(abs(p.index(g) - r) if g in p else size for r, g in enumerate(own)) for lang, p in want.items()}
+        assert got[i].lang_pred == min(sorted(far), key=far.get)
+        assert got[i].score == pytest.approx(1 - min(far.values()) / (size * len(own)))
+    tie = language_id.Ranker({"zz": want["aa"], "aa": want["aa"]}, size)
+    assert tie.predict("abc abc")[0] == "aa"
+    assert language_id.predict(docs(spark, []), profiles).count() == 0 and language_id.learn(docs(spark, [])) == {}
+    long = "abcab " * 200_000
+    assert language_id.Ranker(profiles, size).predict(long)[0] == "aa"
+
+
 # --- mixing
 
 
+def test_mixing_by_brute_force(spark):
+    """Targets by the rule itself, and multiples: every document a whole number of times, at most three; also a very long text."""
+    rnd = random.Random(17)
+    rows = [(i, " ".join(["w"] * rnd.choice([1, 3, 40])), "en", rnd.choice(["a", "b", "b", "c", "d", None])) for i in range(400)] + [(900, "w " * 300_000, "en", "b"), (901, None, None, "e")]
+    got = mixing.mix(docs(spark, rows)).collect()
+    size = collections.Counter()
+    for _, t, _, s in rows:
+        size[s] += len((t or "").split())
+    names = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, free = {}, float(sum(size.values())), set(names)
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * size[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+        free -= over
+    assert all(r.target == pytest.approx(target[r.source]) and r.source_size == size[r.source] for r in got)
+    assert {(r.doc_id, r.size) for r in got} == {(i, len((t or "").split())) for i, t, _, _ in rows}
+    assert all(r.taken % max(1, r["size"]) == 0 and r.taken <= 3 * r["size"] for r in got)
+
+
+
 def test_mixing(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join(["w"] * rnd.choice([1, 2, 5, 30, 200])), "en", rnd.choice(["a", "a", "a", "b", "c", None])) for i in range(600)]
@@ -971,6 +1029,70 @@ def test_chat_plan_is_native(spark):
 # --- the whole
 
 
+def odd_documents(spark):
+    """Rows with nulls in every column, empties, a very long text, repeated rows, and further columns with clashing names."""
+    rnd = random.Random(18)
+    word = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(n))
+    long, plain, passage = word(60_000), [word(200) for _ in range(6)], word(60)
+    rows = [(1, None, "en", "s"), (None, None, None, None), (2, "", "en", "s"), (3, " \n\t", None, "s"), (4, long, "en", "s"), (5, plain[0], "en", None), (5, plain[0], "en", None), (None, plain[1], "en", "s"), (6, plain[2] + " " + passage, None, "t"), (7, passage + " " + plain[3], "en", "t"), (8, plain[4], "en", "t"), (9, passage, "en", "t")]
+    return docs(spark, rows), {"long": long, "plain": plain, "passage": passage}
+
+
+def test_every_stage_on_odd_documents(spark):
+    """Stages by themselves, without the others: what each keeps of such rows, and no rows."""
+    import corpus_pipeline
+
+    at, columns = "/root/testdata/sf0.001", list(corpus_pipeline.COLUMNS)
+    df, made = odd_documents(spark)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), at).count() == 0, name
+        got = stage(spark, df, at)
+        kept[name] = got.collect()
+        if name != "mixture":
+            assert got.columns == columns, name
+    assert {(r.doc_id, r.text) for r in kept["quality"]} <= {(r.doc_id, r.text) for r in df.collect()}
+    near = sorted((r.doc_id or 0, r.text or "") for r in kept["near_duplicates"])
+    assert near == sorted([(1, ""), (4, made["long"]), (5, made["plain"][0]), (0, made["plain"][1]), (6, made["plain"][2] + " " + made["passage"]), (7, made["passage"] + " " + made["plain"][3]), (8, made["plain"][4]), (9, made["passage"])])
+    cut = {(r.doc_id, (r.text or "").strip(), r.n_chars) for r in kept["repeats"]}
+    assert {(4, made["long"]), (8, made["plain"][4]), (6, made["plain"][2]), (7, made["plain"][3])} <= {(i, t) for i, t, _ in cut}
+    assert {i for i, _, _ in cut} == {1, None, 2, 3, 4, 6, 7, 8}  # equal rows and the passage alone lose all
+    assert len(kept["benchmark_leaks"]) == 12
+    assert len(kept["mixture"]) == 12 and sum(r.taken for r in kept["mixture"]) > 0
+    again = [sorted(map(str, stage(spark, df.repartition(3), at).collect())) for _, stage in corpus_pipeline.STAGES[1:]]
+    assert again == [sorted(map(str, kept[name])) for name, _ in corpus_pipeline.STAGES[1:]]
+
+
+def brute_near(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := [x.lower() for x in re.findall("[^\x20\x09-\x0d]+", t or "")]) else set() for t in texts]
+    return lambda i, j: sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """On the smallest tables: near duplicates by all pairs, passages of over 50 words by counting them, leaks by every alignment."""
+    import corpus_pipeline
+
+    at = "/root/testdata/sf0.001"
+    raw = queries.table(spark, at, "documents")
+    rows = raw.collect()
+    roots = brute_components(len(rows), brute_near([r.text for r in rows]))
+    kept = corpus_pipeline.drop_near_duplicates(spark, raw, at).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(min(rows[k].doc_id for k in range(len(rows)) if roots[k] == g) for g in set(roots))
+    want = brute_passages([r.text or "" for r in rows], 51)
+    left = by_id(corpus_pipeline.cut_repeats(spark, raw, at))
+    for r, (w, gone) in zip(rows, want):
+        rest = [x for x, g in zip(w, gone) if not g]
+        assert (r.doc_id in left) == (not any(gone) or bool(rest))
+        if r.doc_id in left:
+            assert re.findall("[^\x20\x09-\x0d]+", left[r.doc_id].text or "") == (rest if any(gone) else w)
+    items = [decontaminate.tokens(r.text) for r in queries.table(spark, at, "benchmark").collect()]
+    clean = {r.doc_id for r in corpus_pipeline.drop_benchmark_leaks(spark, raw, at).collect()}
+    for r in rows[:60]:
+        words = set(decontaminate.tokens(r.text))
+        met = [i for i in items if len(words & set(i)) >= min(12, len(set(i)) * 0.8) and brute_best(r.text, i)]
+        assert (r.doc_id in clean) == (not met), r.doc_id
+
+
 def test_pipeline_and_queries(spark):
     import corpus_pipeline
 
