@@ -5,6 +5,12 @@ with the columns of ``documents``; the last returns the mixture: for each docume
 how many words of it the mix takes. ``run`` writes every stage's result as Parquet
 to the shared folder and reads it back for the next, so a lost executor repeats
 one stage at most.
+
+Defined cases, of every stage: nulls in any column are kept as they are, a null text
+counts as empty; very long texts are read whole; extra columns, also of clashing
+names, are ignored and not returned; repeated rows and ties give the same result on
+every run; no rows give no rows. Without labels or a benchmark nothing is rejected
+by them.
 """
 
 from __future__ import annotations
@@ -20,34 +26,44 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of probable quality 0 go. The classifier learns from ``labels`` outside its held-out fold."""
+    """Documents of probable quality 0 go. The classifier learns from ``labels`` outside its held-out fold.
+
+    A null or empty text has the score of an empty chunk; with labels of one kind only all documents stay or go.
+    """
     small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 3) != 1)
     net = quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
-    return quality.score(docs, net).where("score >= 0.5").select(*COLUMNS)
+    return quality.score(docs.select(*COLUMNS), net).where("score >= 0.5").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links of exact similarity 0.8 or more over five-word shingles, one row stays: the smallest doc_id's."""
+    """Of documents joined by links of exact similarity 0.8 or more over five-word shingles, one row stays: the smallest doc_id's.
+
+    Texts without words are one group; rows without a doc_id come after those with one; of repeated rows one stays.
+    """
     small_batches(spark)
-    return similar_texts.keep_one_row(docs).select(*COLUMNS)
+    return similar_texts.keep_one_row(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words that also occur elsewhere go from every text; a text that loses all goes."""
+    """Passages of over 50 words that also occur elsewhere, in another document or the same, go from every text.
+
+    Words are compared whatever white space is between them. A text that loses all its
+    words goes; others stay, null and empty ones too, with ``n_chars`` of what is left.
+    """
     small_batches(spark)
-    return suffix_dedup.remove(docs, suffix_dedup.WORDS).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    return suffix_dedup.remove(docs.select(*COLUMNS), suffix_dedup.WORDS).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go; null and empty texts stay."""
     small_batches(spark)
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture over what is left."""
-    return mixing.mix(docs)
+    """The mixture over what is left; a null source is one of its own, a text without words is taken with 0 words."""
+    return mixing.mix(docs.select(*COLUMNS))
 
 
 STAGES = [
