@@ -11,9 +11,11 @@ VALUE = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*(trillion|billion|bn|million|mn|thousand|
 LADDER = (1e-9, 1e-6, 1e-3, 1.0, 1e3, 1e6, 1e9)
 TOLERANCE = 0.002
 STOPWORDS = (
-    "that this these those with from have been were will would could should their there which while during compared company companys fiscal year years "
-    "including such other more than also into over under about between primarily certain may and the"
-).split()
+    "that", "this", "these", "those", "with", "from", "have", "been", "were", "will", "would", "could",
+    "should", "their", "there", "which", "while", "during", "compared", "company", "companys", "fiscal", "year", "years",
+    "including", "such", "other", "more", "than", "also", "into", "over", "under", "about", "between", "primarily",
+    "certain", "may", "and", "the",
+)
 CHANGE = (
     r"(?is)from\s+\$?([\d,]+(?:\.\d+)?)\s*(billion|million|bn|mn)?.{0,40}?to\s+\$?([\d,]+(?:\.\d+)?)\s*(billion|million|bn|mn)?"
     r".{0,40}?(?:up|down|increase[d]? of|decrease[d]? of|[+\-])\s*([\d.]+)\s*%"

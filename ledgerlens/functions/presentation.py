@@ -10,6 +10,12 @@ from ledgerlens.functions import figures
 #: A card's wording, where sentences end, the least overlap that is shown.
 CARD = r"^\w+ (.+?) FY(\d{4}): ([^,(]+?)(?: \(= .*\))?(?:, ([+\-][\d.]+%) YoY.*)?$"
 SENTENCE_END, LEAST = r"(?<=[.!?。？！])\s+", 0.3
+#: Where table cells lost what stood between them, and what goes there.
+CELLS = (
+    (r"(?<=\d)Change(?=\d)", "  |  Change  |  "),
+    (r"(?<=[A-Za-z)])(?=\$?\d)", "   "),
+    (r"(?<=%)[^\S\n]*(?=\(?\$?\d)", "   |   "),
+)
 
 
 def tile(text: Column) -> Column:
@@ -20,9 +26,9 @@ def tile(text: Column) -> Column:
 
 def readable_rows(text: Column) -> Column:
     """Separators between table cells that lost theirs."""
-    t = F.regexp_replace(text, r"(?<=\d)Change(?=\d)", "  |  Change  |  ")
-    t = F.regexp_replace(t, r"(?<=[A-Za-z)])(?=\$?\d)", "   ")
-    return F.regexp_replace(t, r"(?<=%)[^\S\n]*(?=\(?\$?\d)", "   |   ")
+    for place, between in CELLS:
+        text = F.regexp_replace(text, place, between)
+    return text
 
 
 def visitor_id(address: Column, salt: str) -> Column:

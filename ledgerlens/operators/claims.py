@@ -104,6 +104,12 @@ def drop_stale(cards: DataFrame, anchors: DataFrame) -> DataFrame:
     return met.where(F.col("fy_given") | F.col("anchor_fy").isNull() | (newest >= F.col("anchor_fy"))).drop("anchor_fy")
 
 
+def risk_signals(claims: DataFrame) -> DataFrame:
+    """``claims`` (claim, evidence) with ``quantified``, that all its figures are in the evidence, and the phrase there that says a risk has come true."""
+    match = figures.number_match(figures.values(F.col("claim")), figures.values(F.col("evidence")))
+    return claims.withColumns({"quantified": F.coalesce(match == 1.0, F.lit(False)), "realized": figures.realized_risk(F.col("evidence"))})
+
+
 def echo_sections(hits: DataFrame) -> DataFrame:
     """Up to three other sections, in name order, that resemble a risk claim: ``claim_id, cited_section, section``."""
     norm = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))

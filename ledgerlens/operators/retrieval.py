@@ -26,6 +26,16 @@ def distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def searchable(chunks: DataFrame, doc_id: str | None = None) -> DataFrame:
+    """What a question may meet: the live corpus, or one pinned document, whichever corpus it is of."""
+    return chunks.where(F.col("corpus") == "live") if doc_id is None else chunks.where(F.col("doc_id") == doc_id)
+
+
+def by_id(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Chunks of these ids (chunk_id)."""
+    return chunks.join(wanted.select("chunk_id"), "chunk_id", "left_semi")
+
+
 def coverage_k(k: int = K, coverage: bool = True) -> int:
     return min(k * 2, MOST) if coverage else k
 

@@ -25,14 +25,22 @@ from ledgerlens.sources.staging import kept
 
 #: Question patterns and the bounds of loops and batches.
 FINANCIAL = r"(?i)revenue|net sales|income|profit|margin|earnings|eps|cash flow|debt|dividend|buyback|capex|expense|assets|liabilit|equity|营收|收入|利润|毛利|现金流|负债|回购|股息"
-NUMERIC = (
-    r"(?i)CAGR|复合增长率|年均增长|平均|\baverage\b|\bmean\b|\bmedian\b|中位数|环比|合计|总和|\bsum\b|计算|算一下|\bcalculate\b|\bcompute\b|增长率是多少|增长了百分之多少"
-    r"|growth rate|percent(?:age)? change|多少倍|比率是多少|\bratio\b|利润率是多少|毛利率是多少"
-)
-COVERAGE = (
-    r"(?i)risk factors?|\brisks\b|风险|competitors?|competition|competitive|竞争|segments?|business lines?|product lines?|板块|业务线"
-    r"|what are (?:the |its |their )?(?:biggest|largest|main|key|top|major|primary)|list (?:the|all|its)\b|最大的|主要的|哪些"
-)
+NUMERIC_PATTERNS = (
+    r"CAGR", r"复合增长率", r"年均增长",
+    r"平均", r"\baverage\b", r"\bmean\b", r"\bmedian\b", r"中位数",
+    r"环比", r"合计", r"总和", r"\bsum\b",
+    r"计算", r"算一下", r"\bcalculate\b", r"\bcompute\b",
+    r"增长率是多少", r"增长了百分之多少", r"growth rate", r"percent(?:age)? change",
+    r"多少倍", r"比率是多少", r"\bratio\b", r"利润率是多少", r"毛利率是多少",
+)
+COVERAGE_PATTERNS = (
+    r"risk factors?", r"\brisks\b", r"风险",
+    r"competitors?|competition|competitive", r"竞争",
+    r"segments?|business lines?|product lines?", r"板块|业务线",
+    r"what are (?:the |its |their )?(?:biggest|largest|main|key|top|major|primary)",
+    r"list (?:the|all|its)\b", r"最大的|主要的|哪些",
+)
+NUMERIC, COVERAGE = ("(?i)" + "|".join(p) for p in (NUMERIC_PATTERNS, COVERAGE_PATTERNS))
 ROUNDS, BATCH = 3, 60
 #: What is said where no claim came out of two tries.
 UNANSWERED = "No answer could be made this time; please ask again."

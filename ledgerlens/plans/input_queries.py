@@ -9,12 +9,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import presentation
-from ledgerlens.operators import benchmarks, evals, retrieval
-from ledgerlens.plans import answers, schema
+from ledgerlens.operators import benchmarks, claims, evals, retrieval
+from ledgerlens.plans import answers, narrative_queries, schema
 from ledgerlens.plans.numeric_queries import BASE, POINTS, facts, stored_points
-from ledgerlens.plans.projection import JUDGED, as_sql, project
+from ledgerlens.plans.projection import FIGURES, FILINGS, JUDGED, LOG, as_sql, project
 from ledgerlens.sources import filings
 from ledgerlens.sources.staging import folder, put
+from ledgerlens.streaming import events as stream
 
 
 def _place(spark, name: str) -> str:
@@ -187,6 +188,45 @@ def exhibits_appended(spark, sf_dir):
     return benchmarks.with_exhibits(d.select("doc_name", "text"), exhibits).select("doc_name", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+# --- claims and scopes
+
+def citation_whitelist(spark, sf_dir):
+    """Citations of a claim that were retrieved, order and repeats kept."""
+    j = project(spark, sf_dir, JUDGED)
+    cited = F.transform(F.array(*[(F.col("doc_id") + d) % 7 for d in (0, 3, 5, 0, 1)]), lambda x: F.concat(F.lit("c"), x))
+    return j.select("claim_id", F.array_join(claims.whitelisted(cited, F.array(*[F.lit(f"c{i}") for i in (0, 2, 3, 6)])), ",").alias("kept"))
+
+
+def risk_signals(spark, sf_dir):
+    """Claims whose figures are all in their evidence, and phrases that say a risk has come true."""
+    c = project(spark, sf_dir, FIGURES).withColumn("evidence", F.concat("evidence", F.when(F.col("cik") % 3 == 0, " which has declined since").otherwise("")))
+    return claims.risk_signals(c).select("cik", "y", "quantified", "realized")
+
+
+def pinned_documents(spark, sf_dir):
+    """Texts that a question may meet: the live ones, or the pinned one of either corpus."""
+    f = project(spark, sf_dir, FILINGS).withColumn("doc_id", F.col("doc_id").cast("string"))
+    some = [retrieval.searchable(f, pin).select(F.lit(pin or "none").alias("pinned"), "corpus") for pin in (None, "10", "11")]
+    return some[0].union(some[1]).union(some[2]).groupBy("pinned", "corpus").agg(F.count("*").alias("n"))
+
+
+def chunks_by_id(spark, sf_dir):
+    """The texts of a claim's citations, by their ids."""
+    f = project(spark, sf_dir, FILINGS).withColumn("chunk_id", F.col("doc_id").cast("string"))
+    wanted = project(spark, sf_dir, JUDGED).where("kind = 'risk'").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    return retrieval.by_id(f, wanted).groupBy("corpus").agg(F.count("*").alias("n"))
+
+
+def stages_once_stream(spark, sf_dir):
+    """The first event of each stage of a query, by Structured Streaming over the log, run until all is processed."""
+    at = _place(spark, "stages")
+    log = project(spark, sf_dir, LOG).select(F.col("ts").cast("timestamp").alias("ts"), "event", "query_id", "stage")
+    log.union(log).write.json(f"{at}/log")
+    tail = stream.tail(spark, f"{at}/log", "ts timestamp, event string, query_id string, stage string")
+    stream.to_table(stream.stages_once(tail, "3000 days"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("stage").agg(F.count("*").alias("n"))
+
+
 # --- report parts
 
 def run_summary(spark, sf_dir):
@@ -274,6 +314,11 @@ SELECT CAST(r.cik AS VARCHAR) AS query_id, ticker, CASE WHEN has THEN 'numeric'
     "suspect_documents": _BENCH.rstrip() + """,
 w AS (SELECT case_id, q.doc_name, regexp_extract_all(text, '[A-Za-z0-9.,$%()\\-]+') AS ws FROM q JOIN docs ON docs.doc_name = q.doc_name)
 SELECT w.doc_name, count(*) AS n_cases, count(*) FILTER (any_value_id % 3 = 0 AND len(ws) > 0) AS n_found, count(*) FILTER (any_value_id % 3 = 0 AND len(ws) > 0) = 0 AS suspect FROM (SELECT w.*, d.id AS any_value_id FROM w JOIN docs AS d ON d.doc_name = w.doc_name) AS w GROUP BY w.doc_name""",
+    "citation_whitelist": f"WITH j AS ({as_sql(JUDGED)}) SELECT claim_id, array_to_string(list_filter(list_transform([0, 3, 5, 0, 1], lambda d: 'c' || ((doc_id + d) % 7)), lambda c: list_contains(['c0', 'c2', 'c3', 'c6'], c)), ',') AS kept FROM j",
+    "risk_signals": narrative_queries._FIG + f"SELECT cik, y, coalesce({narrative_queries._MATCH} = 1.0, false) AS quantified, CASE WHEN cik % 3 = 0 THEN 'has declined' END AS realized FROM c",
+    "pinned_documents": f"WITH f AS ({as_sql(FILINGS)}) SELECT 'none' AS pinned, corpus, count(*) AS n FROM f WHERE corpus = 'live' GROUP BY corpus UNION ALL SELECT CAST(doc_id AS VARCHAR), corpus, count(*) FROM f WHERE doc_id IN (10, 11) GROUP BY doc_id, corpus",
+    "chunks_by_id": f"WITH f AS ({as_sql(FILINGS)}), j AS ({as_sql(JUDGED)}) SELECT corpus, count(*) AS n FROM f WHERE doc_id IN (SELECT doc_id FROM j WHERE kind = 'risk') GROUP BY corpus",
+    "stages_once_stream": f"SELECT stage, count(*) AS n FROM (SELECT DISTINCT query_id, stage FROM ({as_sql(LOG)})) GROUP BY stage",
     "exhibits_appended": "SELECT CAST(doc_id AS VARCHAR) AS doc_name, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'exhibit 1' || chr(10) || chr(10) || 'exhibit 2' ELSE '' END AS t FROM documents)",
     "run_summary": f"""WITH j AS ({as_sql(JUDGED)}),
 c AS (SELECT query_id, 'c' || (min(doc_id) % 5) AS e, list(DISTINCT 'c' || (doc_id % 4)) AS r, sum((doc_id % 5) / 4.0) FILTER (doc_id % 3 > 0) AS total, count(*) FILTER (doc_id % 3 > 0) AS k, count(*) FILTER (doc_id % 6 = 0) AS flagged, count(*) FILTER (n_chars < 900) AS generic, count(*) AS n FROM j GROUP BY query_id)
@@ -290,6 +335,6 @@ SELECT cik, string_agg(form || ' ' || accn, ' · ' ORDER BY pos) AS links FROM f
 
 _FUNCTIONS = (
     company_payloads, listed_tickers, latest_annual_filing, filing_of_year, filing_documents, onboarding_status, answer_reports, statement_pages, filing_texts, event_lines, golden_cases, benchmark_documents, benchmark_cases, suspect_documents,
-    exhibits_appended, run_summary, digest_scorecard, section_order, source_links, embedding_prefixes, judge_models, schema_tables,
+    citation_whitelist, risk_signals, pinned_documents, chunks_by_id, stages_once_stream, exhibits_appended, run_summary, digest_scorecard, section_order, source_links, embedding_prefixes, judge_models, schema_tables,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
