@@ -1,7 +1,8 @@
 """Filing texts to chunks: paragraphs, sections, greedy packing.
 
 Packing is sequential within a text, so it is one fold over the text's own array
-of pieces, inside the JVM; texts are independent.
+of pieces, inside the JVM, which tells where chunks begin; their texts are cut out
+afterwards. Texts are independent.
 """
 
 from __future__ import annotations
@@ -54,25 +55,37 @@ def _pieces(text: Column, bare: bool) -> Column:
     return F.flatten(F.transform(paragraphs(text), cut))
 
 
-_STATE = "struct<done:array<struct<section:string,text:string>>,section:string,buf:string,size:int>"
+_STATE = "struct<cuts:array<int>,size:int,at:int>"
 
 
-def pack(text: Column, bare: bool = False) -> Column:
-    """Chunks (section, text): a chunk ends before it would pass the target, and at headings; short ones go."""
-
-    def flushed(s: Column) -> Column:
-        long = F.coalesce(F.length(s["buf"]), F.lit(0)) >= SHORTEST
-        return F.when(long, F.array_append(s["done"], F.struct(s["section"].alias("section"), s["buf"].alias("text")))).otherwise(s["done"])
+def cuts(pieces: Column) -> Column:
+    """Places of the pieces that begin a chunk: a chunk ends before it would pass the target, and at headings. The fold holds places, no texts."""
 
     def step(s: Column, x: Column) -> Column:
-        end = s["buf"].isNotNull() & (x["label"].isNotNull() | (s["size"] + F.length(x["piece"]) > TARGET))
-        return F.when(
-            end | s["buf"].isNull(),
-            F.struct(flushed(s).alias("done"), F.coalesce(x["label"], s["section"]).alias("section"), x["piece"].alias("buf"), F.length(x["piece"]).alias("size")),
-        ).otherwise(F.struct(s["done"].alias("done"), s["section"].alias("section"), F.concat(s["buf"], F.lit("\n\n"), x["piece"]).alias("buf"), (s["size"] + F.length(x["piece"])).alias("size")))
+        n = F.length(x["piece"])
+        new = (s["at"] == 0) | x["label"].isNotNull() | (s["size"] + n > TARGET)
+        return F.struct(F.when(new, F.array_append(s["cuts"], s["at"])).otherwise(s["cuts"]).alias("cuts"), F.when(new, n).otherwise(s["size"] + n).alias("size"), (s["at"] + 1).alias("at"))
+
+    empty = F.struct(F.array().alias("cuts"), F.lit(0).alias("size"), F.lit(0).alias("at")).cast(_STATE)
+    return F.aggregate(pieces, empty, step, lambda s: s["cuts"])
+
+
+def sections(pieces: Column, at: Column) -> Column:
+    """For each place of ``at`` the label last given there or before."""
+    none = F.array().cast("array<string>")
+    return F.aggregate(F.transform(at, lambda c: F.get(pieces, c)["label"]), none, lambda s, label: F.array_append(s, F.coalesce(label, F.get(s, F.size(s) - 1))))
+
+
+def packed(filings: DataFrame, output: str, bare: bool, where: Column | None = None) -> DataFrame:
+    """Adds ``output``: chunks (section, text) of ``text``, short ones left out; null where ``where`` is not so."""
+    pieces = _pieces(F.col("text"), bare)
+    df = filings.withColumn("_pieces", pieces if where is None else F.when(where, pieces)).withColumn("_cuts", cuts(F.col("_pieces"))).withColumn("_sections", sections(F.col("_pieces"), F.col("_cuts")))
+
+    def text(c: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("_cuts", i + 1), F.size("_pieces"))
+        return F.struct(F.get("_sections", i).alias("section"), F.array_join(F.transform(F.slice("_pieces", c + 1, end - c), lambda x: x["piece"]), "\n\n").alias("text"))
 
-    empty = F.struct(F.array().alias("done"), F.lit(None).alias("section"), F.lit(None).alias("buf"), F.lit(0).alias("size")).cast(_STATE)
-    return F.aggregate(_pieces(text, bare), empty, step, flushed)
+    return df.withColumn(output, F.filter(F.transform("_cuts", text), lambda x: F.length(x["text"]) >= SHORTEST)).drop("_pieces", "_cuts", "_sections")
 
 
 def chunk(filings: DataFrame) -> DataFrame:
@@ -81,7 +94,8 @@ def chunk(filings: DataFrame) -> DataFrame:
     def labelled(chunks: Column) -> Column:
         return F.size(F.filter(chunks, lambda c: c["section"].isNotNull()))
 
-    both = filings.withColumn("one", pack(F.col("text"))).withColumn("two", F.when((F.size("one") > 0) & (labelled(F.col("one")) < 0.3 * F.size("one")), pack(F.col("text"), True)))
+    one = packed(filings, "one", False)
+    both = packed(one, "two", True, (F.size("one") > 0) & (labelled(F.col("one")) < 0.3 * F.size("one")))
     best = F.when(F.col("two").isNotNull() & (labelled(F.col("two")) > labelled(F.col("one"))), F.col("two")).otherwise(F.col("one"))
     out = both.select("doc_id", "ticker", "corpus", F.posexplode(best).alias("ordinal", "c"))
     return out.select("doc_id", "ticker", "corpus", chunk_id(F.col("doc_id"), F.col("ordinal")).alias("chunk_id"), "ordinal", "c.section", "c.text")

@@ -330,6 +330,7 @@ s AS (SELECT cik, accn, form, row_number() OVER (PARTITION BY cik ORDER BY tag,
 first AS (SELECT cik, accn, arg_min(form, pos) AS form, min(pos) AS pos FROM s GROUP BY cik, accn)
 SELECT cik, string_agg(form || ' ' || accn, ' · ' ORDER BY pos) AS links FROM first GROUP BY cik""",
     "embedding_prefixes": "SELECT CAST(n_nationkey AS BIGINT) AS cik, 'query: ' || n_name AS mul_query, 'passage: ' || n_name AS mul_passage, 'Represent this sentence for searching relevant passages: ' || n_name AS bge_query, n_name AS bge_passage, n_name AS min_query, n_name AS min_passage FROM nation",
+    "schema_tables": "SELECT t AS \"table\", CAST(p AS INT) AS position, c AS \"column\", y AS type FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c.split(' ')[0]}', '{c.split(' ')[1]}')" for t, cs in schema.TABLES.items() for i, c in enumerate(cs.split(", "))) + ") AS v(t, p, c, y)",
     "judge_models": "SELECT CAST(n_nationkey AS BIGINT) AS cik, CASE WHEN n_nationkey % 3 = 0 THEN 'own-judge' WHEN n_nationkey % 2 = 0 THEN 'one-small' ELSE 'two-small' END AS model FROM nation",
 }
 

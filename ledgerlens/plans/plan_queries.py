@@ -183,7 +183,15 @@ SELECT cik, count(*) AS figures, string_agg(cik || '-' || i, ',' ORDER BY cik ||
   SELECT c.cik, CASE c.metric WHEN 'revenue' THEN 0 WHEN 'net_income' THEN 1 WHEN 'research_and_development' THEN 3 ELSE 4 END AS i FROM newest AS c JOIN years AS p ON p.cik = c.cik AND p.metric = c.metric AND p.fy = c.fy - 1 WHERE p.value <> 0 AND c.metric IN ('revenue', 'net_income', 'research_and_development', 'operating_cash_flow')
   UNION ALL SELECT cik, 2 FROM ratios WHERE newest AND ratio = 'net_margin' AND abs(value) BETWEEN 0.0005 AND 1.5) GROUP BY cik"""
 
+_BLOCK_TAGS = "p|div|tr|table|br|li|h1|h2|h3|h4|h5|h6"
+_PAGE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g')"
+_PAGE = rf"regexp_replace(regexp_replace(regexp_replace({_PAGE}, '(?s)<!--.*?-->', '', 'g'), '(?i)</?(?:{_BLOCK_TAGS})\b[^>]*>', chr(10), 'g'), '<[!/a-zA-Z][^>]*>', '', 'g')"
+for _name, _code in (("&nbsp;", 32), ("&#160;", 32), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&copy;", 169), ("&middot;", 183), ("&amp;", 38)):
+    _PAGE = f"replace({_PAGE}, '{_name}', chr({_code}))"
+_PAGE = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({_PAGE}, chr(160), ' '), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
 SQL = {
+    "html_to_text": f"SELECT page_id, {_PAGE} AS text FROM pages",
     "numeric_cards": _SQL_CARDS,
     "answer_cards": _SQL_ANSWER,
     "scoped_cards": _SQL_SCOPED,
