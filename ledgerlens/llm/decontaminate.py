@@ -57,20 +57,26 @@ def masks(n: int) -> list[tuple[int, ...]]:
     return [tuple([*range(b), *range(b * gap, b * gap + b)]) for gap in range(1, 5)]
 
 
-def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Places where all selected tokens are known (id not 0), and their hashes."""
-    n = len(ids) - mask[-1]
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    ok = ids[:n] != 0
-    for o in mask[1:]:
-        ok &= ids[o : o + n] != 0
-    at = np.flatnonzero(ok)
-    h = np.full(len(at), len(mask) * 1_000_003 + mask[-1], np.uint64)
-    with np.errstate(over="ignore"):
-        for o in mask:
-            h = (h ^ ids[at + o]) * _ODD
+def seeds(ids: np.ndarray, mask: tuple[int, ...], known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places where all selected tokens are known (id not 0), and their hashes. ``known`` keeps what masks that begin alike share."""
+    known = {} if known is None else known
+
+    def upto(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``k`` selected tokens at each place, and whether all are known."""
+        part = mask[:k]
+        if part not in known:
+            at = ids[part[-1] :]
+            h, ok = (np.uint64(7), True) if k == 1 else (x[: len(at)] for x in upto(k - 1))
+            h = (h ^ at) * _ODD
             h ^= h >> np.uint64(29)
+            known[part] = h, ok & (at != 0)
+        return known[part]
+
+    with np.errstate(over="ignore"):
+        h, ok = upto(len(mask))
+        at = np.flatnonzero(ok)
+        h = (h[at] ^ np.uint64(len(mask) * 1_000_003 + mask[-1])) * _ODD
+        h ^= h >> np.uint64(29)
     return at, h
 
 
@@ -81,25 +87,19 @@ class Hasher:
         self.known, self.seen = known, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words, seen = tokens(text), self.seen
-        new = [w for w in dict.fromkeys(words) if w not in seen]
-        if new:
+        words = tokens(text)
+        got = list(map(self.seen.get, words))
+        if None in got:
+            if len(self.seen) > CACHE:
+                self.seen.clear()
+                got = [None] * len(words)
+            new = list({w for w, i in zip(words, got) if i is None})
             h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) or 1 for w in new], np.uint64)
             if self.known is not None:
                 h[~among(self.known, h)] = 0
-            if len(seen) + len(new) > CACHE:
-                seen.clear()
-                return self._some(words, dict(zip(new, h.tolist())))
-            seen.update(zip(new, h.tolist()))
-        return np.fromiter((seen[w] for w in words), np.uint64, len(words))
-
-    def _some(self, words: list[str], new: dict[str, int]) -> np.ndarray:
-        self.seen.update(new)
-        rest = {w for w in words if w not in self.seen}
-        for w in rest:
-            h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) or 1], np.uint64)
-            self.seen[w] = 0 if self.known is not None and not among(self.known, h)[0] else int(h[0])
-        return np.fromiter((self.seen[w] for w in words), np.uint64, len(words))
+            self.seen.update(zip(new, h.tolist()))
+            got = list(map(self.seen.get, words))
+        return np.array(got, np.uint64)
 
 
 def best(ids: np.ndarray, item: np.ndarray, shifts) -> tuple[int, int, int] | None:
@@ -165,9 +165,9 @@ def _hits(used: list[tuple[int, ...]], known: np.ndarray, marked: np.ndarray):
         for batch in batches:
             out = []
             for h1, h2, text in zip(batch["h1"], batch["h2"], batch["text"]):
-                ids = hashed(text)
+                ids, shared = hashed(text), {}
                 for mask in used:
-                    at, h = seeds(ids, mask)
+                    at, h = seeds(ids, mask, shared)
                     hit = among(marked, h)
                     if hit.any():
                         out.append((np.full(hit.sum(), h1), np.full(hit.sum(), h2), h[hit].view(np.int64), at[hit].astype(np.int32)))
