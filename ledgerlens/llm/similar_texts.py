@@ -51,7 +51,7 @@ BLOCK, _ADDED = 1 << 12, 255
 #: Texts of at most so many shingles differ in up to ``SPREAD`` times the bits.
 SHORT, SPREAD = 64, 1.27
 #: Fingerprints, and shingles, that a task holds at once.
-HELD, SHINGLES = 1 << 15, 1 << 22
+HELD, SHINGLES = 1 << 15, 1 << 21
 
 
 def apart(similarity: float) -> float:
@@ -161,7 +161,7 @@ class Near:
 
 
 #: Pairs compared at once; equal segments of more rows are joined as a forest.
-PAIRS, RUN = 400_000, 512
+PAIRS, RUN = 200_000, 512
 
 
 def near(fps: np.ndarray, size: np.ndarray, similarity: float = SIMILARITY, recall: float = RECALL) -> pd.DataFrame:
