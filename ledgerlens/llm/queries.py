@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_format, decontaminate, embedding_index, html_text, language_id, mixing, quality, simhash, suffix_dedup, toxicity
+from ledgerlens.llm import chat_format, decontaminate, embedding_index, fill_middle, html_text, language_id, mixing, quality, simhash, suffix_dedup, toxicity
 from ledgerlens.llm.store import small_batches
 
 
@@ -103,6 +103,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_index.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut into lines and put out as prefix, suffix, middle in either order, with digests of the output and of the text rebuilt from it."""
+    small_batches(spark)
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 _OP9_SQL = """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -136,5 +142,30 @@ SELECT m.vec_id, (SELECT count(*) FROM pairs WHERE u = m.vec_id) AS n_links,
 FROM embeddings AS m
 """
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_language_id, op4_mixing, op5_toxicity, op6_simhash, op7_quality, op8_html_extraction, op9_chat_formatting, op10_embedding_dedup)}
-ORACLE_SQL = {"op9_chat_formatting": _OP9_SQL, "op10_embedding_dedup": _OP10_SQL}
+#: Units by splitting at line feeds, parts by counting characters: not the way the operator takes.
+_OP13_SQL = """
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), split AS (
+  SELECT *, string_split(t, chr(10)) AS pieces FROM texts
+), lines AS (
+  SELECT *, list_concat(list_transform(pieces[:-2], lambda x: x || chr(10)), list_filter(pieces[-1:], lambda x: x <> '')) AS u FROM split
+), cuts AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+    CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 AS suffix_first
+  FROM lines
+), sizes AS (
+  SELECT *, CAST(coalesce(list_sum(list_transform(u[:least(a, b)], lambda x: length(x))), 0) AS BIGINT) AS p, CAST(coalesce(list_sum(list_transform(u[:greatest(a, b)], lambda x: length(x))), 0) AS BIGINT) AS q,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain
+  FROM cuts
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN p END AS prefix_chars, CASE WHEN NOT plain THEN q - p END AS middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN suffix_first THEN '<S>' || substr(t, q + 1) || '<P>' || substr(t, 1, p) || '<M>' || substr(t, p + 1, q - p)
+    ELSE '<P>' || substr(t, 1, p) || '<S>' || substr(t, q + 1) || '<M>' || substr(t, p + 1, q - p) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM sizes
+"""
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_language_id, op4_mixing, op5_toxicity, op6_simhash, op7_quality, op8_html_extraction, op9_chat_formatting, op10_embedding_dedup, op13_fill_in_middle)}
+ORACLE_SQL = {"op9_chat_formatting": _OP9_SQL, "op10_embedding_dedup": _OP10_SQL, "op13_fill_in_middle": _OP13_SQL}

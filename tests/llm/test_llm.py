@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import blocks, chat_format, decontaminate, embedding_index, html_text, language_id, mixing, quality, queries, simhash, similar_texts, store, suffix_array, suffix_dedup, toxicity
+from ledgerlens.llm import blocks, chat_format, decontaminate, embedding_index, fill_middle, html_text, language_id, mixing, quality, queries, simhash, similar_texts, store, suffix_array, suffix_dedup, toxicity
 from ledgerlens.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h1 string, size int, fp string, label double, score string"
@@ -1108,3 +1108,66 @@ def test_pipeline_and_queries(spark):
     for name, query in queries.QUERIES.items():
         assert query(spark, at).schema.names, name
     assert queries.QUERIES["op8_html_extraction"](spark, at).where(F.col("text") == "").count() == 0
+
+
+# --- fill in the middle
+
+
+def brute_middle(doc_id, text, seed=7):
+    """form, number of lines, prefix, middle and output, with Python's own regular expressions."""
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    h = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, _, h4 = (int(h[i : i + 8], 16) for i in (0, 8, 16, 24))
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    if not text or any(s in text for s in ("<P>", "<S>", "<M>")):
+        return "plain", len(units), None, None, text
+    p, m, s = ("".join(units[i:j]) for i, j in ((0, a), (a, b), (b, None)))
+    form = "spm" if h4 % 100 < 50 else "psm"
+    return form, len(units), len(p), len(m), f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}"
+
+
+def middle_rows():
+    rnd = random.Random(13)
+    text = lambda: "".join(rnd.choice(["a", "é", "日本", "\n", "\r\n", "<", "P", "S>", "𝄞", "\x00", " ", " "]) for _ in range(rnd.randrange(0, 60)))
+    rows = [(i, text()) for i in range(300)]
+    return rows + [(300, None), (301, ""), (302, "a<P>b\n"), (303, "<S>"), (304, "x<M>"), (305, "\n"), (None, "a\nb\nc"), (5, rows[5][1]), (5, rows[5][1]), (306, "line\n" * 40_000), (307, "w" * 300_000)]
+
+
+def test_fill_in_middle(spark):
+    rows = middle_rows()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = []
+    for i, t in rows:
+        form, n, p, m, out = brute_middle(i, t)
+        want.append((i, n, form, p, m, sha(out), sha(t or "")))
+    got = fill_middle.digests(docs(spark, rows))
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+    assert {w[2] for w in want} == {"plain", "psm", "spm"}
+    assert fill_middle.digests(docs(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("unit", ["line", "word", "char"])
+def test_fill_in_middle_round_trip(spark, unit):
+    rows = [r for r in middle_rows() if len(r[1] or "") < 1000]
+    made = fill_middle.transform(docs(spark, rows), unit=unit, rate=70, spm=20, seed=3, sentinels=("[pre]", "[suf]", "[mid]"))
+    back = fill_middle.restore(made, ("[pre]", "[suf]", "[mid]"))
+    assert sorted(map(repr, [(i, t or "") for i, t in rows])) == sorted(repr(tuple(r)) for r in back.collect())
+    forms = collections.Counter(r.form for r in made.collect())
+    assert len(forms) == 3 and forms["psm"] > forms["spm"]
+
+
+@pytest.mark.parametrize("bad", [("<P>", "<P>", "<M>"), ("<P>", "", "<M>"), ("ab", "ba", "c"), ("x", "axb", "c")])
+def test_fill_in_middle_refuses_ambiguous_sentinels(spark, bad):
+    with pytest.raises(ValueError):
+        fill_middle.transform(docs(spark, []), sentinels=bad)
+
+
+def test_fill_in_middle_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r for r in middle_rows() if r[0] is not None and "\x00" not in (r[1] or "")], columns=["doc_id", "text"]))
+    rows = con.execute(queries.ORACLE_SQL["op13_fill_in_middle"]).fetchall()
+    want = {i: brute_middle(i, t) for i, t in middle_rows()}
+    assert len(rows) > 50 and all((r[2], r[1], r[3], r[4], r[5]) == (*want[r[0]][:4], hashlib.sha256(want[r[0]][4].encode()).hexdigest()) for r in rows)
