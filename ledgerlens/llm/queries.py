@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_format, decontaminate, embedding_index, fill_middle, html_text, language_id, mixing, quality, simhash, suffix_dedup, toxicity
+from ledgerlens.llm import chat_format, decontaminate, embedding_index, fill_middle, html_text, language_id, mixing, packing, quality, simhash, suffix_dedup, toxicity
 from ledgerlens.llm.store import small_batches
 
 
@@ -103,6 +103,22 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_index.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+#: A vocabulary of the public tokenizers' package.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence of 4,096 tokens, and the place there, of every piece of every whole text; null texts are an end id alone."""
+    small_batches(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text cut into lines and put out as prefix, suffix, middle in either order, with digests of the output and of the text rebuilt from it."""
     small_batches(spark)
@@ -167,5 +183,5 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN suffix_
 FROM sizes
 """
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_language_id, op4_mixing, op5_toxicity, op6_simhash, op7_quality, op8_html_extraction, op9_chat_formatting, op10_embedding_dedup, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_language_id, op4_mixing, op5_toxicity, op6_simhash, op7_quality, op8_html_extraction, op9_chat_formatting, op10_embedding_dedup, op12_best_fit_packing, op13_fill_in_middle)}
 ORACLE_SQL = {"op9_chat_formatting": _OP9_SQL, "op10_embedding_dedup": _OP10_SQL, "op13_fill_in_middle": _OP13_SQL}

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import blocks, chat_format, decontaminate, embedding_index, fill_middle, html_text, language_id, mixing, quality, queries, simhash, similar_texts, store, suffix_array, suffix_dedup, toxicity
+from ledgerlens.llm import blocks, chat_format, decontaminate, embedding_index, fill_middle, html_text, language_id, mixing, packing, quality, queries, simhash, similar_texts, store, suffix_array, suffix_dedup, toxicity
 from ledgerlens.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h1 string, size int, fp string, label double, score string"
@@ -1171,3 +1171,92 @@ def test_fill_in_middle_sql(spark):
     rows = con.execute(queries.ORACLE_SQL["op13_fill_in_middle"]).fetchall()
     want = {i: brute_middle(i, t) for i, t in middle_rows()}
     assert len(rows) > 50 and all((r[2], r[1], r[3], r[4], r[5]) == (*want[r[0]][:4], hashlib.sha256(want[r[0]][4].encode()).hexdigest()) for r in rows)
+
+
+# --- best-fit packing
+
+
+@pytest.fixture(scope="module")
+def whole_tokens():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    return lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+def odd_text(rnd, n):
+    """Letters, marks that compose, case that changes length, all kinds of white space, runs of punctuation, strings like special tokens."""
+    parts = ["a", "B", "é", "É", "İ", "ß", "\u212a", "Σ", "ς", " ", " ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u200b", ".", ",", "...", "'s", "'T", "'ll", "?!", "1", "23", "日本", "𝄞", "\u0301", "\u0338"]
+    parts += ["<|endoftext|>", "</w>", "<", "=", "x.", "x,", "ﬁ", "Ⅷ", "\x00", "が", "가", "don't", "\""]
+    return "".join(rnd.choice(parts) for _ in range(n))
+
+
+def test_tokens_word_by_word_equal_whole_texts(whole_tokens):
+    import pyarrow as pa
+
+    rnd = random.Random(12)
+    words = packing.Words(open(queries.tokenizer_path(), encoding="utf-8").read())
+    for _ in range(3):
+        texts = [odd_text(rnd, rnd.randrange(0, 40)) for _ in range(4000)] + [None, ""]
+        flat, cuts = words.ids(pa.array(texts).slice(1))
+        assert [flat[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [whole_tokens(t)[:-1] for t in texts[1:]]
+
+
+def test_best_fit():
+    rnd = random.Random(4)
+    for capacity in (1, 7, 100):
+        sizes = [rnd.randrange(1, capacity + 1) for _ in range(rnd.randrange(0, 400))]
+        first, offset, held = packing.best_fit(sizes, capacity)
+        bins: list[list[int]] = []  # the plain way: all bins, the fullest that fits
+        for i, s in enumerate(sizes):
+            fits = [b for b in bins if b[1] + s <= capacity]
+            if fits:
+                b = max(fits, key=lambda b: b[1])
+                b[1] += s
+            else:
+                bins.append([i, s])
+        assert sorted(held[i] for i, f in enumerate(first) if f == i) == sorted(b[1] for b in bins)
+        spans = collections.defaultdict(list)
+        for f, o, s in zip(first, offset, sizes):
+            spans[f].append((o, s))
+        for f, got in spans.items():
+            got.sort()
+            assert [o for o, _ in got] == [sum(s for _, s in got[:k]) for k in range(len(got))] and held[f] == sum(s for _, s in got) <= capacity
+
+
+@pytest.mark.parametrize("bucket", [10, 16_384])
+def test_packing(spark, whole_tokens, bucket):
+    import zlib
+
+    rnd = random.Random(8)
+    rows = [(i, odd_text(rnd, int(rnd.expovariate(1 / 60)))) for i in range(250)]
+    rows += [(300, None), (301, ""), (302, "word " * 700), (303, " \n"), (None, "no id"), (None, "no id"), (5, rows[5][1]), (5, rows[5][1]), (306, "x" * 3000), *[(400, "a b c d e")] * 60]
+    capacity = 128
+    whole = packing.pack(docs(spark, rows), queries.tokenizer_path(), capacity=capacity, bucket=bucket, ids=True)
+    got = whole.drop("ids").collect()
+    want = []
+    for i, t in rows:
+        ids = whole_tokens(t)
+        want += [(i, k, lo, len(ids[lo : lo + capacity]), zlib.crc32(np.array(ids[lo : lo + capacity], "<u4").tobytes())) for k, lo in enumerate(range(0, len(ids), capacity))]
+    assert sorted(map(str, want)) == sorted(str(tuple(r[:5])) for r in got)
+    spans = collections.defaultdict(list)
+    for r in got:
+        spans[r.sequence_id].append((r.offset, r.length))
+    for span in spans.values():
+        span.sort()
+        assert [o for o, _ in span] == [sum(n for _, n in span[:k]) for k in range(len(span))] and sum(n for _, n in span) <= capacity
+    least = -(-sum(w[3] for w in want) // capacity)
+    assert len(spans) <= least + 1 + (bucket == 10) * 0.1 * least
+    # the sequences themselves
+    made = packing.sequences(whole).collect()
+    assert sum(r.length for r in made) == sum(w[3] for w in want) and all(len(r.ids) == 4 * r.length for r in made)
+    assert sum(np.frombuffer(r.ids, "<u4").sum() for r in made) == sum(sum(whole_tokens(t)) for _, t in rows)
+    assert packing.pack(docs(spark, []), queries.tokenizer_path()).collect() == []
+
+
+def test_packing_of_pieces_that_cannot_share(spark):
+    """Bins that never fill: rounds end, and nothing is lost."""
+    rows = [(i, "word " * 70) for i in range(90)] + [(200, "word")]
+    got = packing.pack(docs(spark, rows), queries.tokenizer_path(), capacity=128, bucket=8).collect()
+    assert len(got) == 91 and len({r.sequence_id for r in got}) == 90
