@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_format, decontaminate, embedding_index, fill_middle, html_text, language_id, mixing, packing, quality, simhash, suffix_dedup, toxicity
+from ledgerlens.llm import chat_format, decontaminate, embedding_index, fill_middle, html_text, language_id, mixing, packing, quality, simhash, spelling, suffix_dedup, toxicity
 from ledgerlens.llm.store import small_batches
 
 
@@ -103,6 +103,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_index.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven letters or more that occurs twice, one letter in some of its runs gone, with the frequent word that it is one edit from, and where such steps end."""
+    return spelling.variants(table(spark, sf_dir, "documents"), every=31)
+
+
 #: A vocabulary of the public tokenizers' package.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -158,6 +163,39 @@ SELECT m.vec_id, (SELECT count(*) FROM pairs WHERE u = m.vec_id) AS n_links,
 FROM embeddings AS m
 """
 
+#: CRC-32 by a table of 256 values, made by its polynomial; near words by what is left without one letter.
+_OP11_SQL = """
+WITH RECURSIVE step AS (
+  SELECT list(list_reduce(list_prepend(i, CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{7,}')) AS run FROM documents
+), each AS (
+  SELECT run, count(*) AS k, list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(encode(id || ':' || run)) + 1), lambda i: CAST('0x' || substr(hex(encode(id || ':' || run)), 2 * i - 1, 2) AS BIGINT))) AS b
+  FROM runs GROUP BY run, id
+), hashed AS (
+  SELECT run, k, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM each, step
+), cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), without AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS u(i)
+), pairs AS (
+  SELECT a.word AS word, b.word AS other, b.n AS m FROM without AS a JOIN without AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM without AS a JOIN words AS b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM without AS a JOIN words AS b ON a.rest = b.word
+), ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place FROM pairs
+), forms AS (
+  SELECT w.word, w.n, CAST(coalesce(r.n_near, 0) AS BIGINT) AS n_near, CASE WHEN r.m >= 10 * w.n THEN r.other END AS form, CASE WHEN r.m >= 10 * w.n THEN r.m END AS form_n
+  FROM words AS w LEFT JOIN ranked AS r ON r.word = w.word AND r.place = 1
+), steps AS (
+  SELECT word, word AS root FROM forms UNION ALL SELECT s.word, f.form FROM steps AS s JOIN forms AS f ON f.word = s.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n
+FROM forms AS f JOIN steps AS s ON s.word = f.word JOIN forms AS e ON e.word = s.root AND e.form IS NULL
+"""
+
 #: Units by splitting at line feeds, parts by counting characters: not the way the operator takes.
 _OP13_SQL = """
 WITH texts AS (
@@ -183,5 +221,5 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN suffix_
 FROM sizes
 """
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_language_id, op4_mixing, op5_toxicity, op6_simhash, op7_quality, op8_html_extraction, op9_chat_formatting, op10_embedding_dedup, op12_best_fit_packing, op13_fill_in_middle)}
-ORACLE_SQL = {"op9_chat_formatting": _OP9_SQL, "op10_embedding_dedup": _OP10_SQL, "op13_fill_in_middle": _OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_language_id, op4_mixing, op5_toxicity, op6_simhash, op7_quality, op8_html_extraction, op9_chat_formatting, op10_embedding_dedup, op11_spelling_variants, op12_best_fit_packing, op13_fill_in_middle)}
+ORACLE_SQL = {"op9_chat_formatting": _OP9_SQL, "op10_embedding_dedup": _OP10_SQL, "op11_spelling_variants": _OP11_SQL, "op13_fill_in_middle": _OP13_SQL}

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import blocks, chat_format, decontaminate, embedding_index, fill_middle, html_text, language_id, mixing, packing, quality, queries, simhash, similar_texts, store, suffix_array, suffix_dedup, toxicity
+from ledgerlens.llm import blocks, chat_format, decontaminate, embedding_index, fill_middle, html_text, language_id, mixing, packing, quality, queries, simhash, similar_texts, spelling, store, suffix_array, suffix_dedup, toxicity
 from ledgerlens.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h1 string, size int, fp string, label double, score string"
@@ -1260,3 +1260,107 @@ def test_packing_of_pieces_that_cannot_share(spark):
     rows = [(i, "word " * 70) for i in range(90)] + [(200, "word")]
     got = packing.pack(docs(spark, rows), queries.tokenizer_path(), capacity=128, bucket=8).collect()
     assert len(got) == 91 and len({r.sequence_id for r in got}) == 90
+
+
+# --- spelling variants
+
+
+def one_edit(word, alphabet):
+    out = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    out |= {word[:i] + x + word[i + 1 :] for i in range(len(word)) for x in alphabet}
+    return (out | {word[:i] + x + word[i:] for i in range(len(word) + 1) for x in alphabet}) - {word}
+
+
+def made_words(seed, letters, n):
+    rnd = random.Random(seed)
+    return sorted({"".join(rnd.choice(letters) for _ in range(rnd.randrange(7, 11))) for _ in range(n)})
+
+
+@pytest.mark.parametrize("letters", ["ab", "abé", "abcdefgh"])
+def test_automaton(letters):
+    words = made_words(1, letters, 1500)
+    a = spelling.Automaton(words)
+    assert [a.number(w) for w in words] == list(range(len(words))) and a.number("zz") == a.number(words[0][:-1] + "zz") == -1
+    # minimal: no two states lead to the same endings
+    endings = {}
+    for state in sorted(range(len(a.edges)), key=lambda s: a.words[s]):
+        endings.setdefault((a.final[state], *sorted(a.edges[state].items())), []).append(state)
+    live, todo = set(), [0]
+    while todo:
+        if (s := todo.pop()) not in live:
+            live.add(s)
+            todo += a.edges[s].values()
+    assert all(len([s for s in same if s in live]) < 2 for same in endings.values())
+    known = set(words)
+    for w in words[:200]:
+        for exact in (0, 3, len(w)):
+            assert {words[i] for i in a.near(w, exact)} == {v for v in one_edit(w, letters) & known if len(v) >= len(w) and v[:exact] == w[:exact]}
+    assert spelling.Automaton([]).near("abc", 0) == set()
+
+
+@pytest.mark.parametrize("crowd", [20_000, 40, 5])
+def test_near_words(spark, crowd):
+    """Also where groups are split down to one letter."""
+    words, rnd = made_words(2, "abé", 2500), random.Random(2)
+    words += ["a" * 30 + x for x in ("", "b", "c", "bb")]
+    n = {w: rnd.randrange(1, 40) for w in words}
+    got = {r.word: (r.n_near, r.best, r.best_n) for r in spelling.near_words(spark.createDataFrame(list(n.items()), "word string, n long"), crowd).collect()}
+    want = {}
+    for w in n:
+        if near := one_edit(w, "abéc") & set(n):
+            best = min(near, key=lambda v: (-n[v], v))
+            want[w] = len(near), best, n[best]
+    assert got == want and len(got) > 1000
+
+
+def brute_variants(rows, every=31, times=10):
+    import zlib
+
+    n = collections.Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % every == 0 else run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
+    alphabet, out = {x for w in n for x in w}, {}
+    for w, k in n.items():
+        near = one_edit(w, alphabet) & set(n)
+        best = min(near, key=lambda v: (-n[v], v), default=None)
+        out[w] = (best, n[best], len(near)) if best and n[best] >= times * k else (None, None, len(near))
+    rows = []
+    for w, (form, form_n, near) in out.items():
+        root = w
+        while out[root][0]:
+            root = out[root][0]
+        rows.append((w, form, root, n[w], near, form_n))
+    return rows
+
+
+def spelling_rows():
+    rnd = random.Random(6)
+    common = ["Étoilesque", "bananas", "Strawberry", "ÀÉÎõüÿþß", "strawbery", "queueing", "x×y÷zabc", "short"]
+    rows = [(i, "".join(rnd.choice(common) + rnd.choice([" ", "1", ", ", "\u0301", "日", "Ā", "\n"]) for _ in range(rnd.randrange(0, 80)))) for i in range(150)]
+    # a chain: some 3, 40 and 600 occurrences, one edit apart each, and a tie for the form
+    chain = [(500 + i, " ".join(["abcdefghi"] * 30 + ["abcdefgxi"] * 2 + ["abcdefgxyi"] * (i % 7 == 0))) for i in range(20)]
+    return rows + chain + [(900, None), (901, ""), (902, "no words 1234567"), (None, "bananas bananas"), (5, rows[5][1]), (5, rows[5][1]), (903, "tiedfora tiedfora tiedforb tiedforb"), (904, "tiedforc " * 30 + "tiedford " * 30)]
+
+
+def test_spelling_variants(spark):
+    rows = spelling_rows()
+    got = spelling.variants(docs(spark, rows), every=31)
+    want = brute_variants(rows)
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+    assert any(w[1] and w[2] != w[1] for w in want) and any(w[3] > 200 for w in want)
+    assert spelling.variants(docs(spark, [])).collect() == []
+    whole = spelling.words_of(docs(spark, [(1, "ABCDEFGabcdefg" * 20_000)]), None)
+    assert [(len(r.word), r.n) for r in whole.collect()] == [(280_000, 1)]
+
+
+def test_spelling_variants_sql():
+    import duckdb
+
+    rows = [r for r in spelling_rows() if r[0] is not None]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert sorted(map(repr, con.execute(queries.ORACLE_SQL["op11_spelling_variants"]).fetchall())) == sorted(map(repr, brute_variants(rows)))
