@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import figures
+from ledgerlens.operators import retrieval
 
 #: Verdicts with their status and credibility.
 VERDICTS = {"SUPPORTED": ("OK", 0.9), "NOT_ENOUGH_INFO": ("WARNING", 0.4), "CONTRADICTED": ("ERROR", 0.0)}
@@ -110,11 +111,25 @@ def risk_signals(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"quantified": F.coalesce(match == 1.0, F.lit(False)), "realized": figures.realized_risk(F.col("evidence"))})
 
 
-def echo_sections(hits: DataFrame) -> DataFrame:
-    """Up to three other sections, in name order, that resemble a risk claim: ``claim_id, cited_section, section``."""
-    norm = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    other = hits.where((norm(F.col("section")) != "") & (norm(F.col("section")) != norm(F.col("cited_section"))))
-    return other.groupBy("claim_id").agg(F.slice(F.array_sort(F.collect_set(F.trim("section"))), 1, 3).alias("echoes"))
+def echoes(claims: DataFrame, chunks: DataFrame, k: int = 5, most: int = 3, apart: bool = False) -> DataFrame:
+    """``claim_id, neighbours, echoes``: up to ``most`` other sections, in name order, in which what a risk claim says comes up again.
+
+    ``claims``: claim_id, scope, embedding, cited_sections (array); ``chunks``: chunk_id,
+    scope, embedding, section. The k chunks of the scope nearest to each claim are
+    looked for, of all sections (then those cited, and those of none, are no echo), or
+    with ``apart`` among the other sections only, so all k are. ``neighbours`` are the
+    chunks in order. A claim without a usable vector, or without neighbours, has no row.
+    """
+    asked = claims.select(F.col("claim_id").alias("query_id"), "scope", F.col("embedding").alias("query"), *([F.col("cited_sections").alias("sections")] if apart else []))
+    rows = chunks.select(F.col("chunk_id").alias("vec_id"), "scope", "embedding", "section")
+    hits = retrieval.topk(rows, asked, k).select(F.col("query_id").alias("claim_id"), F.col("vec_id").alias("chunk_id"), "place")
+    met = hits.join(chunks.select("chunk_id", "section"), "chunk_id").join(claims.select("claim_id", "cited_sections"), "claim_id")
+    own = F.transform(F.coalesce("cited_sections", F.array().cast("array<string>")), retrieval.section_key)
+    other = (retrieval.section_key(F.col("section")) != "") & ~F.array_contains(own, retrieval.section_key(F.col("section")))
+    return met.groupBy("claim_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("neighbours"),
+        F.slice(F.array_sort(F.collect_set(F.when(other, F.trim("section")))), 1, most).alias("echoes"),
+    )
 
 
 def last_turns(turns: DataFrame, n: int = 3) -> DataFrame:

@@ -44,27 +44,54 @@ def coverage_k(k: int = K, coverage: bool = True) -> int:
 QUERIES, AT_ONCE, ROWS = 20_000, 1024, 4096
 
 
+def section_key(section: Column) -> Column:
+    """A section's name as sections are compared; null is the empty one."""
+    return F.lower(F.trim(F.coalesce(section, F.lit(""))))
+
+
+def _unit(vectors) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class _Apart:
+    """Which sections' rows a query must not meet: those that it names, and rows of none."""
+
+    def __init__(self, sections: pd.Series):
+        self.codes = {s: i for i, s in enumerate(sorted({s for own in sections for s in own}))}
+        self.met = np.ones((len(sections), len(self.codes) + 1), bool)
+        for at, own in enumerate(sections):
+            self.met[at, [self.codes[s] for s in own]] = False
+
+    def of(self, sections: pd.Series) -> np.ndarray:
+        """For each row its column in ``met``; -2 for rows of no section."""
+        return np.array([self.codes.get(s, len(self.codes)) if s else -2 for s in sections], np.int64)
+
+
 def _nearest(queries: pd.DataFrame, k: int):
-    """Of each task's rows (vec_id, scope, embedding) the k nearest to each query of their scope."""
+    """Of each task's rows (vec_id, scope, embedding, section) the k nearest to each query of their scope."""
     asked = {}
     for scope, own in queries.groupby("scope", dropna=False):
-        q = np.stack(own["query"].to_numpy()).astype(np.float64)
-        asked[scope] = (own["query_id"].to_numpy(), q / np.linalg.norm(q, axis=1, keepdims=True))
+        asked[scope] = own["query_id"].to_numpy(), _unit(own["query"]), _Apart(own["sections"]) if "sections" in own else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = {scope: (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)) for scope in asked}
+        best = {}
         for batch in batches:
             for scope, rows in batch.groupby("scope", dropna=False):
                 if scope not in asked:
                     continue
-                _, q = asked[scope]
-                v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-                v, ids, found = v / np.linalg.norm(v, axis=1, keepdims=True), rows["vec_id"].to_numpy(np.int64), [best[scope]]
+                _, q, apart = asked[scope]
+                v, ids = _unit(rows["embedding"]), rows["vec_id"].to_numpy()
+                codes = apart.of(rows["section"]) if apart else None
+                found = [best[scope]] if scope in best else []
                 for i in range(0, len(q), AT_ONCE):
                     for j in range(0, len(v), ROWS):
                         far = np.round(1 - q[i : i + AT_ONCE] @ v[j : j + ROWS].T, 12)  # equal vectors are equally far, however they were multiplied
+                        if apart:
+                            here = codes[j : j + ROWS]
+                            far[~(apart.met[i : i + AT_ONCE, np.maximum(here, 0)] & (here >= 0))] = np.inf
                         last = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
-                        at, row = np.nonzero(far <= last[:, None])
+                        at, row = np.nonzero((far <= last[:, None]) & np.isfinite(far))
                         found.append((at + i, ids[row + j], far[at, row]))
                 at, got, far = map(np.concatenate, zip(*found))
                 order = np.lexsort((got, far, at))
@@ -87,19 +114,24 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERIE
     number. Every query meets every row of its scope (an exact search). Queries come in
     blocks of ``block``, so what is sent to the tasks is bounded; a task keeps k rows for
     each query, which are merged after one shuffle. Zero and null vectors, and vectors
-    of another length than the queries', are met by none.
+    of another length than the queries', are met by none. If queries have ``sections``,
+    names compared by ``section_key``, they meet rows of other sections only (``section``
+    of the vectors; rows of none are met by no such query): left out before the k nearest
+    are chosen, so none of the k is lost to them.
     """
     usable = lambda c: F.col(c).isNotNull() & (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x)) & F.exists(c, lambda x: x != 0)
-    asked = queries.where(usable("query"))
+    apart = "sections" in queries.columns
+    asked = queries.where(usable("query")).select("query_id", "scope", "query", *([F.transform(F.coalesce("sections", F.array().cast("array<string>")), section_key).alias("sections")] if apart else []))
     sizes = asked.agg(F.count("*").alias("n"), F.min(F.size("query")).alias("a"), F.max(F.size("query")).alias("b")).first()
     if sizes["n"] and sizes["a"] != sizes["b"]:
         raise ValueError("queries of one search have one length")
-    rows = vectors.where(usable("embedding") & (F.size("embedding") == (sizes["a"] or 0))).select("vec_id", "scope", "embedding")
+    rows = vectors.where(usable("embedding") & (F.size("embedding") == (sizes["a"] or 0))).select("vec_id", "scope", "embedding", *([section_key(F.col("section")).alias("section")] if apart else []))
     blocks = max(1, math.ceil(sizes["n"] / block))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, distance double"
     found = []
     for i in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "scope", "query").toPandas()
-        found.append(rows.mapInPandas(_nearest(some, k), "query_id long, vec_id long, distance double"))
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
+        found.append(rows.mapInPandas(_nearest(some, k), schema))
         if blocks > 1:
             found[-1] = kept(found[-1], "nearest")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")

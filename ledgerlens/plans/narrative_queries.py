@@ -142,13 +142,16 @@ def risk_phrase(spark, sf_dir):
     return f.where("phrase is not null")
 
 
-_SECTION = "CASE {0} % 4 WHEN 0 THEN 'Item 1A. Risk Factors' WHEN 1 THEN ' item 7 ' WHEN 2 THEN 'Item 7' ELSE NULL END"
+#: Sections by label: neighbours mostly share one, some are worded differently, some have none.
+_SECTION = "CASE label % 6 WHEN 0 THEN 'Item 1A. Risk Factors' WHEN 1 THEN ' item 7 ' WHEN 2 THEN 'Item 7' WHEN 4 THEN 'Legal Proceedings' WHEN 5 THEN 'ITEM 1A. RISK FACTORS ' END"
 
 
 def risk_echo_sections(spark, sf_dir):
-    c = project(spark, sf_dir, JUDGED).where("kind = 'risk'").select("claim_id", F.expr(_SECTION.format("doc_id")).alias("cited_section"), F.explode(F.sequence(F.col("doc_id") + 1, F.col("doc_id") + 5)).alias("near"))
-    got = claims.echo_sections(c.withColumn("section", F.expr(_SECTION.format("near"))))
-    return got.select("claim_id", F.array_join("echoes", "|").alias("echoes"))
+    """Other sections near each claim (a vector whose id is divisible by 50): among its five nearest of all, and among its five nearest elsewhere."""
+    chunks = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit(0).alias("scope"), "embedding", F.expr(_SECTION).alias("section"))
+    asked = chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("claim_id"), "scope", "embedding", F.array("section").alias("cited_sections"))
+    got = [claims.echoes(asked, chunks, 5, apart=apart).withColumn("apart", F.lit(apart)) for apart in (False, True)]
+    return got[0].unionByName(got[1]).select("claim_id", "apart", F.array_join("neighbours", ",").alias("neighbours"), F.array_join("echoes", "|").alias("echoes"))
 
 
 def _judge(spark, sf_dir):
@@ -449,8 +452,11 @@ SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY turn,
     "evidence_equivalent": _EVIDENCE + "SELECT doc_id, equivalent AS hit FROM met",
     "hit_types": _EVIDENCE + "SELECT CASE WHEN doc_id % 10 = 0 THEN 'exact' WHEN equivalent THEN 'equivalent' ELSE 'none' END AS hit_type, count(*) AS n FROM met GROUP BY 1",
     "risk_phrase": f"SELECT doc_id, phrase FROM (SELECT doc_id, regexp_extract(text, '{figures.REALIZED}', 0) AS phrase FROM ({as_sql(FILINGS)})) WHERE phrase <> ''",
-    "risk_echo_sections": _J + f"""SELECT claim_id, array_to_string(list_sort(list(DISTINCT trim(section)))[1:3], '|') AS echoes FROM (
-  SELECT claim_id, {_SECTION.format('doc_id')} AS cited, {_SECTION.format('(doc_id + d)')} AS section FROM j, (SELECT unnest(range(1, 6)) AS d) WHERE kind = 'risk') WHERE section IS NOT NULL AND lower(trim(section)) <> lower(trim(coalesce(cited, ''))) GROUP BY claim_id""",
+    "risk_echo_sections": f"""WITH v AS (SELECT vec_id, {_SECTION} AS section, lower(trim(coalesce({_SECTION}, ''))) AS key, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+met AS (SELECT q.vec_id AS claim_id, v.vec_id, v.section, v.key, q.key AS cited, list_cosine_distance(v.e, q.e) AS distance FROM v, v AS q WHERE q.vec_id % 50 = 0),
+near AS (SELECT *, false AS apart, row_number() OVER (PARTITION BY claim_id ORDER BY distance, vec_id) AS place FROM met
+  UNION ALL SELECT *, true, row_number() OVER (PARTITION BY claim_id ORDER BY distance, vec_id) FROM met WHERE key <> '' AND key <> cited)
+SELECT claim_id, apart, string_agg(vec_id, ',' ORDER BY place) AS neighbours, array_to_string(coalesce(list_sort(list(DISTINCT trim(section)) FILTER (key <> '' AND key <> cited)), [])[1:3], '|') AS echoes FROM near WHERE place <= 5 GROUP BY claim_id, apart""",
     "claim_verdicts": _J
     + """SELECT claim_id, CASE WHEN doc_id % 8 = 3 THEN 'SUPPORTED' WHEN doc_id % 9 = 0 OR doc_id % 10 = 1 THEN 'NOT_ENOUGH_INFO' ELSE verdict END AS verdict,
   CASE WHEN doc_id % 8 = 3 THEN 'again' WHEN doc_id % 9 = 0 THEN 'no verdict' WHEN doc_id % 10 = 1 THEN 'invalid verdict' ELSE 'ok' END AS judge_reason FROM j""",
