@@ -141,11 +141,13 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERIE
 def mmr(candidates: DataFrame, k: int = K, relevance: float = RELEVANCE) -> DataFrame:
     """Greedy choice of relevant rows that resemble the chosen ones least; at most POOL * MOST rows for each query.
 
-    ``candidates``: query_id, vec_id, place, distance, embedding. Sequential by nature, so each query's pool is one pandas group.
+    ``candidates``: query_id, vec_id, place, distance, embedding, and ``k`` where queries differ in it. Sequential by nature, so each query's pool is one pandas group.
     """
+    most = k
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
+        k = int(group["k"].iloc[0]) if "k" in group else most
         x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         x = x / np.where(norm > 0, norm, 1.0)
@@ -160,7 +162,9 @@ def mmr(candidates: DataFrame, k: int = K, relevance: float = RELEVANCE) -> Data
             picked.append(best)
         return pd.DataFrame({"query_id": group["query_id"].iloc[0], "vec_id": group["vec_id"].to_numpy()[picked], "pick": np.arange(1, len(picked) + 1)})
 
-    return candidates.select("query_id", "vec_id", "place", "distance", "embedding").groupBy("query_id").applyInPandas(choose, "query_id long, vec_id long, pick long")
+    columns = ["query_id", "vec_id", "place", "distance", "embedding", *(["k"] if "k" in candidates.columns else [])]
+    ids = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in ("query_id", "vec_id"))
+    return candidates.select(*columns).groupBy("query_id").applyInPandas(choose, f"{ids}, pick long")
 
 
 def top_up(rounds: DataFrame, k: int = K) -> DataFrame:

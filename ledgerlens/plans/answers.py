@@ -9,6 +9,7 @@ with a bound are unrolled over the questions that still need them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import presentation, registry
 from ledgerlens.operators import claims as cl
-from ledgerlens.operators import matching
+from ledgerlens.operators import matching, retrieval
 from ledgerlens.operators.facts import Points
 from ledgerlens.plans import planner
 from ledgerlens.sources import filings
@@ -142,11 +143,17 @@ def next_step(decision: Column, new_query: Column, query: Column, k: Column, mos
 
 
 def refined(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], provider: Provider) -> DataFrame:
+    """The hits of ``refinement``."""
+    return refinement(questions, retrieve, provider)[0]
+
+
+def refinement(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], provider: Provider) -> tuple[DataFrame, DataFrame]:
     """Up to three rounds of retrieval, unrolled; each round runs for the questions that go on.
 
-    ``retrieve``: (query_id, query, k) to (query_id, chunk_id, place, text). Gives
-    ``query_id, round, k, place, chunk_id, text``. A round's results and its assessment
-    are staged, so each is asked for once.
+    ``retrieve``: (query_id, query, k) to (query_id, chunk_id, place, text). Gives the hits,
+    ``query_id, round, k, place, chunk_id, text``, and what was asked in each round,
+    ``query_id, round, query, k, decision`` (null in the last one, which nobody judges). A
+    round's results and its assessment are staged, so each is asked for once.
     """
 
     @F.pandas_udf("decision string, new_query string")
@@ -160,21 +167,20 @@ def refined(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], pr
                 rows.append(("ENOUGH", None))
         return pd.DataFrame(rows, columns=["decision", "new_query"])
 
-    going = questions.select("query_id", "question", F.col("question").alias("query"), "k")
-    rounds = []
+    going = questions.select("query_id", "question", F.col("question").alias("query"), F.least("k", F.lit(retrieval.MOST)).alias("k"))
+    rounds, asked = [], []
     for n in range(1, ROUNDS + 1):
         hits = retrieve(going.select("query_id", "query", "k")).join(going.select("query_id", "k"), "query_id").withColumn("round", F.lit(n))
         hits = kept(hits.select("query_id", "round", "k", "place", "chunk_id", "text"), "round")
         rounds.append(hits)
+        told = going.withColumn("round", F.lit(n))
         if n < ROUNDS:
             seen = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: F.substring(x["text"], 1, 300)).alias("previews"))
-            judged = going.join(seen, "query_id", "left").withColumn("a", assess("question", F.coalesce("previews", F.array().cast("array<string>"))))
-            stop, query, k = next_step(F.col("a.decision"), F.col("a.new_query"), F.col("query"), F.col("k"))
-            going = kept(judged.select("query_id", "question", query.alias("query"), k.alias("k"), stop.alias("stop")).where("not stop").drop("stop"), "going")
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+            told = kept(told.join(seen, "query_id", "left").withColumn("a", assess("question", F.coalesce("previews", F.array().cast("array<string>")))).drop("previews"), "judged")
+            stop, query, k = next_step(F.col("a.decision"), F.col("a.new_query"), F.col("query"), F.col("k"), retrieval.MOST)
+            going = kept(told.select("query_id", "question", query.alias("query"), k.alias("k"), stop.alias("stop")).where("not stop").drop("stop"), "going")
+        asked.append(told.select("query_id", "round", "query", "k", F.col("a.decision").alias("decision") if n < ROUNDS else F.lit(None).cast("string").alias("decision")))
+    return reduce(DataFrame.unionByName, rounds), reduce(DataFrame.unionByName, asked)
 
 
 def chosen(rounds: DataFrame) -> DataFrame:
@@ -187,30 +193,37 @@ def chosen(rounds: DataFrame) -> DataFrame:
 
 
 def generated(questions: DataFrame, chunks: DataFrame, provider: Provider, suffix: str = "") -> DataFrame:
-    """Claims ``query_id, claim_id, text, kind, cited_chunk_ids`` for each question from its chunks; citations outside them go. Two tries, then none.
+    """Claims ``query_id, claim_id, text, kind, cited_chunk_ids`` for each question from its chunks; see ``generation``."""
+    return generation(questions, chunks, provider, suffix).where("claim_id is not null").drop("error")
+
 
-    ``questions`` may have ``feedback`` on an earlier try and ``figures`` that the answer shows; ``suffix`` tells tries apart.
+def generation(questions: DataFrame, chunks: DataFrame, provider: Provider, suffix: str = "") -> DataFrame:
+    """Claims ``query_id, claim_id, text, kind, cited_chunk_ids, error`` for each question from its chunks; citations outside them go.
+
+    The provider is asked twice at most. A question that it fails on both times has one
+    row without a claim, whose ``error`` says why; one that has no answer has no row.
+    ``questions`` may have ``feedback`` on an earlier try and ``figures`` that the answer
+    shows; ``suffix`` tells tries apart.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
         known = list(zip(group["chunk_id"], group["text"]))
         told = {k: v for k in ("feedback", "figures") if (v := group[k].iloc[0])}
-        got: list[dict] = []
+        qid, ids = group["query_id"].iloc[0], set(group["chunk_id"])
+        rows: list[tuple] = []
         for _ in range(2):
             try:
                 got = provider.generate(group["question"].iloc[0], known, **told)
+                rows = [(qid, f"{qid}{suffix}_claim{i}", c["text"], c.get("kind") if c.get("kind") in ("risk", "insight") else "insight", [x for x in c.get("cited", []) if x in ids], None) for i, c in enumerate(got, 1)]
                 break
-            except Exception:  # noqa: BLE001
-                continue
-        ids = set(group["chunk_id"])
-        qid = group["query_id"].iloc[0]
-        rows = [(qid, f"{qid}{suffix}_claim{i}", c["text"], c.get("kind") if c.get("kind") in ("risk", "insight") else "insight", [x for x in c.get("cited", []) if x in ids]) for i, c in enumerate(got, 1)]
-        return pd.DataFrame(rows, columns=["query_id", "claim_id", "text", "kind", "cited_chunk_ids"])
+            except Exception as e:  # noqa: BLE001
+                rows = [(qid, None, None, None, None, f"{type(e).__name__}: {e}")]
+        return pd.DataFrame(rows, columns=["query_id", "claim_id", "text", "kind", "cited_chunk_ids", "error"])
 
     told = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in questions.columns else F.lit("").alias(c) for c in ("feedback", "figures")]
     met = questions.select("query_id", "question", *told).join(chunks.select("query_id", "place", "chunk_id", "text"), "query_id")
-    return met.groupBy("query_id").applyInPandas(run, "query_id string, claim_id string, text string, kind string, cited_chunk_ids array<string>")
+    return met.groupBy("query_id").applyInPandas(run, "query_id string, claim_id string, text string, kind string, cited_chunk_ids array<string>, error string")
 
 
 def verified(claims: DataFrame, chunks: DataFrame, provider: Provider) -> DataFrame:
@@ -230,16 +243,23 @@ def verified(claims: DataFrame, chunks: DataFrame, provider: Provider) -> DataFr
 
 
 def narrative(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], provider: Provider) -> DataFrame:
-    """Judged claims of all questions; those of a question with a contradicted claim are made once more, told what was wrong.
+    """Judged claims of all questions, from what is found for them in up to three rounds. What a model has said is staged before it is read, so no branch asks it again."""
+    rounds = refined(questions.withColumn("k", asked_k(F.col("question"))), retrieve, provider)
+    return judged(questions, kept(chosen(rounds), "chunks"), provider)
 
-    What a model has said is staged before it is read, so no branch asks it again.
-    """
-    rounds = refined(questions.withColumn("k", F.when(is_coverage(F.col("question")), 12).otherwise(6)), retrieve, provider)
-    chunks = kept(chosen(rounds), "chunks")
-    first = kept(verified(kept(generated(questions, chunks, provider), "claims"), chunks, provider), "verdicts")
+
+def asked_k(question: Column) -> Column:
+    """How many chunks a question is first answered from: twice as many if it wants breadth."""
+    return F.when(is_coverage(question), retrieval.coverage_k()).otherwise(retrieval.K)
+
+
+def judged(questions: DataFrame, chunks: DataFrame, provider: Provider, made: DataFrame | None = None) -> DataFrame:
+    """Claims of all questions from their chunks (or those already ``made``), with verdicts; those of a question with a contradicted one are made once more, told what was wrong."""
+    made = kept(generated(questions, chunks, provider), "claims") if made is None else made
+    first = kept(verified(made, chunks, provider), "verdicts")
     bad = first.where("verdict = 'CONTRADICTED'").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("claim_id", "text", F.col("judge_reason").alias("reason")))).alias("wrong"))
     told = bad.select("query_id", presentation.feedback(F.col("wrong")).alias("feedback"))
-    again = questions.join(told, "query_id")
+    again = questions.drop("feedback").join(told, "query_id")
     second = verified(kept(generated(again, chunks, provider, "r"), "claims"), chunks, provider)
     return first.join(bad.select("query_id"), "query_id", "left_anti").unionByName(second)
 
@@ -271,8 +291,8 @@ def answer(questions: DataFrame, provider: Provider, retrieve: Callable[[DataFra
     figures = kept(cards.groupBy(F.col("answer_id").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("query_id").alias("at"), "text"))), lambda x: x["text"]).alias("cards")), "figures")
     told = kept(here.join(figures, "query_id", "left").withColumn("degraded", (F.col("route") == "numeric") & F.col("cards").isNull()), "told")
     texts = told.where("route <> 'numeric' or degraded").withColumn("figures", F.array_join("cards", "\n"))
-    judged = kept(narrative(texts.select("query_id", "ticker", "question", "figures"), retrieve, provider), "judged")
-    out = asked.join(told.select("query_id", "cards", "degraded"), "query_id", "left").join(cl.report(judged), "query_id", "left")
+    texts_judged = kept(narrative(texts.select("query_id", "ticker", "question", "figures"), retrieve, provider), "judged")
+    out = asked.join(told.select("query_id", "cards", "degraded"), "query_id", "left").join(cl.report(texts_judged), "query_id", "left")
     degraded = F.coalesce("degraded", F.lit(False))
     summary = (
         F.when(F.col("needs_onboarding").isNotNull(), F.concat("needs_onboarding", F.lit(" is not in the corpus yet.")))

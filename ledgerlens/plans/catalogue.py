@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerlens.plans import input_queries, narrative_queries, numeric_queries, plan_queries
+from ledgerlens.plans import flow_queries, input_queries, narrative_queries, numeric_queries, plan_queries
 
-_AREAS = (numeric_queries, narrative_queries, plan_queries, input_queries)
+_AREAS = (numeric_queries, narrative_queries, plan_queries, input_queries, flow_queries)
 QUERIES = {k: v for area in _AREAS for k, v in area.QUERIES.items()}
 SQL = {k: v for area in _AREAS for k, v in area.SQL.items()}

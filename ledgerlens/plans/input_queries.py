@@ -5,12 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import presentation
 from ledgerlens.operators import benchmarks, claims, evals, retrieval
-from ledgerlens.plans import answers, narrative_queries, schema
+from ledgerlens.plans import answers, flow_queries, narrative_queries, schema
 from ledgerlens.plans.numeric_queries import BASE, POINTS, facts, stored_points
 from ledgerlens.plans.projection import FIGURES, FILINGS, JUDGED, LOG, as_sql, project
 from ledgerlens.sources import filings
@@ -138,13 +137,11 @@ def onboarding_status(spark, sf_dir):
 
 
 def answer_reports(spark, sf_dir):
-    """A question for every company, answered end to end: figures, texts, or a refusal. Each document is a text of one company."""
+    """A question for every company, answered end to end: figures, texts found by vectors, or a refusal. Each document is a chunk of one company."""
     nations = _nations(spark, sf_dir)
     question = F.element_at(F.array(*map(F.lit, ("What is the average revenue?", "Write a poem about the sea", "What are the main risks?", "What is the median age?"))), (F.col("cik") % 4 + 1).cast("int"))
     asked = nations.select(F.col("cik").cast("string").alias("query_id"), "ticker", question.alias("question"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 25).cast("string").alias("query_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chunks = docs.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).withColumn("chunk_id", F.col("doc_id").cast("string"))
-    retrieve = lambda q: q.join(chunks, "query_id").where("place <= k").select("query_id", "chunk_id", "place", "text")
+    retrieve = flow_queries.retriever(spark, sf_dir, asked)
     got = answers.answer(asked, answers.RuleProvider(), retrieve, stored_points(spark, sf_dir), facts(spark, sf_dir), nations, nations.select("ticker"), nations.select("ticker"))
     return got.select("query_id", "ticker", "route", "degraded", F.when(F.col("route") == "out_of_scope", F.col("summary")).alias("refusal"), F.size("figures").alias("n_figures"), "displayed", "blocked", F.round("unsupported_rate", 6).alias("unsupported_rate"))
 
@@ -297,8 +294,9 @@ s AS (SELECT m.most, w.ticker, w.cik, CASE WHEN w.cik < 25 AND w.cik % 5 = 0 THE
 SELECT s.most, s.ticker, s.status, CASE WHEN s.status = 'add' THEN last.accn END AS accn FROM s LEFT JOIN last ON last.cik = s.cik""",
     "answer_reports": f"""WITH {BASE},
 {POINTS},
-d AS (SELECT doc_id % 25 AS cik, coalesce(text, '') AS t, row_number() OVER (PARTITION BY doc_id % 25 ORDER BY doc_id) AS place FROM documents),
-c AS (SELECT cik, count(*) AS n, count(*) FILTER (split_part(t, '. ', 1) = '') AS blank FROM d WHERE place <= 3 GROUP BY cik),
+q AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS scope, ['What is the average revenue?', 'Write a poem about the sea', 'What are the main risks?', 'What is the median age?'][n_nationkey % 4 + 1] AS t FROM nation),
+{flow_queries.PICKS},
+c AS (SELECT CAST(qid AS BIGINT) AS cik, count(*) AS n, count(*) FILTER (said = '') AS blank FROM picks GROUP BY qid),
 r AS (SELECT CAST(n_nationkey AS BIGINT) AS cik, n_name AS ticker, n_nationkey % 4 AS k, n_nationkey % 4 = 0 AND EXISTS (SELECT 1 FROM newest WHERE newest.cik = n_nationkey AND metric = 'revenue') AS has FROM nation)
 SELECT CAST(r.cik AS VARCHAR) AS query_id, ticker, CASE WHEN has THEN 'numeric' WHEN k = 1 THEN 'out_of_scope' ELSE 'narrative' END AS route, k = 0 AND NOT has AS degraded, CASE WHEN k = 1 THEN 'This is no question about a filing.' END AS refusal, CASE WHEN has THEN 1 ELSE 0 END AS n_figures,
   CASE WHEN has OR k = 1 THEN 0 ELSE coalesce(c.n, 0) END AS displayed, 0 AS blocked, CASE WHEN has OR k = 1 THEN 0.0 ELSE coalesce(round(c.blank / c.n, 6), 0.0) END AS unsupported_rate FROM r LEFT JOIN c ON c.cik = r.cik""",

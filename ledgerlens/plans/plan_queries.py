@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import registry
-from ledgerlens.plans import answers, planner
+from ledgerlens.plans import answers, digest, planner
 from ledgerlens.plans.numeric_queries import BASE, POINTS, RATIOS, _money, facts, stored_points
 from ledgerlens.plans.projection import LOG, as_sql, project
 from ledgerlens.sources import filings
@@ -82,11 +82,10 @@ def html_to_text(spark, sf_dir):
 
 
 def digest_panel(spark, sf_dir):
-    """The five figures of a company's digest, in their fixed order."""
-    panel = spark.createDataFrame([(0, "yoy", "revenue"), (1, "yoy", "net_income"), (2, "ratio", "net_margin"), (3, "yoy", "research_and_development"), (4, "yoy", "operating_cash_flow")], "i int, op string, metric string")
-    q = _nations(spark, sf_dir).crossJoin(F.broadcast(panel)).select(F.concat("cik", F.lit("-"), "i").alias("query_id"), "cik", "ticker", "op", "metric", F.lit(None).cast("int").alias("fy"), F.lit(None).cast("int").alias("years"))
-    cards = planner.execute(q, stored_points(spark, sf_dir), facts(spark, sf_dir))
-    return cards.groupBy("cik").agg(F.count("*").alias("figures"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("query_id", F.round("value", 6).alias("v")))), lambda x: x["query_id"]), ",").alias("ids"))
+    """The figures of a company's digest, in their fixed order."""
+    asked = digest.figure_queries(_nations(spark, sf_dir))
+    cards = planner.execute(asked.drop("place"), stored_points(spark, sf_dir), facts(spark, sf_dir))
+    return cards.join(asked.select("query_id", "place"), "query_id").select("cik", F.col("place").cast("bigint").alias("place"), "fy", F.round("value", 6).alias("value"), "text")
 
 
 def events_daily_stream(spark, sf_dir):
@@ -176,12 +175,12 @@ SELECT op, metric, CASE WHEN metric = 'quick_ratio' THEN 'derived' WHEN metric =
   WHEN op = 'q4' THEN CASE WHEN metric = 'revenue' THEN 'q4' END WHEN op IN ('yoy', 'cagr', 'average', 'series', 'compare') THEN op ELSE 'value' END AS path FROM q"""
 _ROUTE_SQL = """WITH q AS (SELECT * FROM (SELECT unnest(['numeric', 'hybrid', 'narrative', 'out_of_scope', 'odd']) AS route), (SELECT unnest([0, 2]) AS n), (SELECT unnest(['', 'no advice']) AS refusal), (SELECT unnest([false, true]) AS fully), (SELECT unnest(['What was revenue?', 'Write a poem']) AS question))
 SELECT *, CASE WHEN route IN ('numeric', 'hybrid') AND n = 0 THEN 'narrative' WHEN route = 'numeric' AND NOT fully THEN 'hybrid' WHEN route = 'out_of_scope' AND (refusal = '' OR contains(lower(question), 'revenue')) THEN 'narrative' WHEN route = 'odd' THEN 'narrative' ELSE route END AS settled FROM q"""
-_PANEL = f"""WITH {BASE},
-{POINTS},
-{RATIOS}
-SELECT cik, count(*) AS figures, string_agg(cik || '-' || i, ',' ORDER BY cik || '-' || i) AS ids FROM (
-  SELECT c.cik, CASE c.metric WHEN 'revenue' THEN 0 WHEN 'net_income' THEN 1 WHEN 'research_and_development' THEN 3 ELSE 4 END AS i FROM newest AS c JOIN years AS p ON p.cik = c.cik AND p.metric = c.metric AND p.fy = c.fy - 1 WHERE p.value <> 0 AND c.metric IN ('revenue', 'net_income', 'research_and_development', 'operating_cash_flow')
-  UNION ALL SELECT cik, 2 FROM ratios WHERE newest AND ratio = 'net_margin' AND abs(value) BETWEEN 0.0005 AND 1.5) GROUP BY cik"""
+#: ``panel``: the five figures of every company.
+PANEL_CARDS = _CARDS.rstrip() + f""",
+panel AS (
+  SELECT c.cik, CASE c.metric WHEN 'revenue' THEN 0 WHEN 'net_income' THEN 1 WHEN 'research_and_development' THEN 3 ELSE 4 END AS i, c.fy, (c.value - p.value) / abs(p.value) AS value, {_GROWN} AS text
+    FROM newest AS c JOIN n ON n.cik = c.cik JOIN years AS p ON p.cik = c.cik AND p.metric = c.metric AND p.fy = c.fy - 1 WHERE p.value <> 0 AND c.metric IN ('revenue', 'net_income', 'research_and_development', 'operating_cash_flow')
+  UNION ALL SELECT r.cik, 2, r.fy, r.value, {_ONE} FROM rat AS r JOIN n ON n.cik = r.cik WHERE r.newest AND r.ratio = 'net_margin' AND abs(r.value) BETWEEN 0.0005 AND 1.5)"""
 
 _BLOCK_TAGS = "p|div|tr|table|br|li|h1|h2|h3|h4|h5|h6"
 _PAGE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g')"
@@ -197,7 +196,7 @@ SQL = {
     "scoped_cards": _SQL_SCOPED,
     "query_precedence": _PATHS,
     "route_contract": _ROUTE_SQL,
-    "digest_panel": _PANEL,
+    "digest_panel": PANEL_CARDS + "\nSELECT cik, i AS place, fy, round(value, 6) AS value, text FROM panel",
     "events_daily_stream": f"SELECT CAST(ts AS DATE) AS day, event, count(*) AS n FROM ({as_sql(LOG)}) GROUP BY 1, 2",
 }
 QUERIES = {f.__name__: f for f in (numeric_cards, answer_cards, scoped_cards, query_precedence, route_contract, html_to_text, digest_panel, events_daily_stream)}
