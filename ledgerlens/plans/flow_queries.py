@@ -6,11 +6,13 @@ import re
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import payloads
 from ledgerlens.operators import search
 from ledgerlens.operators import claims as cl
 from ledgerlens.plans import answers, digest, planner
 from ledgerlens.plans.numeric_queries import facts, stored_points
 from ledgerlens.plans.plan_queries import PANEL_CARDS
+from ledgerlens.plans.projection import ANSWERS, KINDS, as_sql, project
 from ledgerlens.sources.staging import ingested, kept
 
 EMBED = search.HashedWords()
@@ -109,6 +111,29 @@ def digest_report(spark, sf_dir):
     return got.select("ticker", F.array_join("figures", "; ").alias("figures"), F.array_join(line, "; ").alias("sections"), "sections_ok", "sections_failed", "summary")
 
 
+def payload_answers(spark, sf_dir):
+    """What is saved of an answer in each of the shapes that it comes in; null if it cannot be used."""
+    got = project(spark, sf_dir, ANSWERS).select("conv_id", "turn", payloads.answer(F.col("raw")).alias("a"))
+    line = F.transform("a.claims", lambda c: F.concat_ws("|", c["text"], F.array_join(c["cited_chunk_ids"], ","), c["kind"]))
+    return got.select("conv_id", "turn", F.col("a").isNotNull().alias("usable"), F.col("a.summary").alias("summary"), F.md5(F.array_join(line, ";")).alias("claims"))
+
+
+def payload_kinds(spark, sf_dir):
+    """What is saved of verdicts, assessments, routes and questions."""
+    got = project(spark, sf_dir, KINDS).select(
+        "conv_id", "turn", payloads.verdicts(F.col("verdicts")).alias("v"), payloads.assessment(F.col("assessment")).alias("a"), payloads.route(F.col("route")).alias("r"), payloads.questions(F.col("items")).alias("i")
+    )
+    return got.select(
+        "conv_id", "turn",
+        F.array_join(F.transform("v", lambda x: F.concat_ws("|", x["claim_id"], x["verdict"], F.md5(x["reason"]))), ";").alias("verdicts"),
+        F.concat_ws("|", "a.decision", F.md5("a.new_query"), "a.reason").alias("assessment"),
+        F.col("r.route").alias("route"),
+        F.array_join(F.transform("r.queries", lambda q: F.concat_ws("|", q["op"], q["metric"], F.coalesce(q["fy"].cast("string"), F.lit("-")), F.coalesce(q["years"].cast("string"), F.lit("-")), F.array_join(q["tickers"], ","))), ";").alias("queries"),
+        F.array_join("r.companies", ",").alias("companies"), F.col("r.refusal").alias("refusal"), F.col("r.fully_answers").alias("fully_answers"),
+        F.array_join(F.transform("i", lambda x: F.concat_ws("|", x["chunk_id"], F.md5(x["question"]))), ";").alias("questions"),
+    )
+
+
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 #: From ``q`` (id, scope, t) and ``docs`` (id, scope, t) to ``ranked``: every document of the scope by its vector's distance from the question's.
 VECTORS = f"""docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, n_name AS scope, coalesce(text, '') AS t FROM documents JOIN nation ON n_nationkey = doc_id % 25),
@@ -155,5 +180,11 @@ company AS (SELECT ticker, string_agg(key || ':' || attempt || ':' || CASE WHEN
   list(title || ': ' || substr(summary, 1, 200) ORDER BY place) FILTER (coalesce(summary, '') <> '') AS said FROM parts GROUP BY ticker),
 lines AS (SELECT n.name AS ticker, list(text ORDER BY i) AS figures FROM panel JOIN n ON n.cik = panel.cik GROUP BY n.name)
 SELECT c.ticker, coalesce(array_to_string(l.figures, '; '), '') AS figures, c.sections, c.sections_ok, c.sections_failed, array_to_string(list_concat(coalesce(l.figures, [])[1:3], coalesce(c.said, [])), ' | ') AS summary FROM company AS c LEFT JOIN lines AS l ON l.ticker = c.ticker""",
+    "payload_answers": f"""SELECT conv_id, turn, shape <= 10 AS usable, CASE WHEN shape IN (0, 1, 4, 5, 7) THEN 's' WHEN shape <= 10 THEN '' END AS summary, CASE WHEN shape <= 10 THEN md5(CASE WHEN trim(text) = '' THEN '' ELSE
+  concat(text, '|', CASE shape WHEN 6 THEN 'c1|risk' WHEN 8 THEN '|insight' WHEN 10 THEN 'c9|insight' ELSE 'c1,c2|risk' END) END) END AS claims FROM ({as_sql(ANSWERS)})""",
+    "payload_kinds": f"""SELECT conv_id, turn, CASE shape WHEN 0 THEN 'a' || conv_id || '|SUPPORTED|' || md5(text) ELSE '' END AS verdicts,
+  CASE shape WHEN 0 THEN 'REWRITE|' || md5(text) || '|' WHEN 1 THEN 'EXPAND|' || md5('') || '|' WHEN 3 THEN '5|' || md5('') || '|' ELSE '|' || md5('') || '|' END AS assessment,
+  CASE shape WHEN 0 THEN 'numeric' WHEN 2 THEN 'hybrid' ELSE 'narrative' END AS route, CASE shape WHEN 0 THEN 'cagr|revenue|-|3|' WHEN 2 THEN 'value|m|2024|-|A,B' ELSE '' END AS queries, CASE shape WHEN 0 THEN 'AAPL' ELSE '' END AS companies, '' AS refusal, shape = 0 AS fully_answers,
+  CASE shape WHEN 0 THEN CASE WHEN trim(text) = '' THEN '' ELSE 'k' || conv_id || '|' || md5(text) END ELSE '' END AS questions FROM ({as_sql(KINDS)})""",
 }
-QUERIES = {f.__name__: f for f in (retrieved_texts, answer_rounds, digest_report)}
+QUERIES = {f.__name__: f for f in (retrieved_texts, answer_rounds, digest_report, payload_answers, payload_kinds)}

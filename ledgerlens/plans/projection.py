@@ -113,12 +113,82 @@ FROM {events}
 """
 
 
+TABLES = ("orders", "customer", "documents", "labels", "events", "conversations")
+
+
+def _json(text: str) -> str:
+    """A text as a JSON string."""
+    back = "chr(92)"
+    for plain, then in ((back, back), ("chr(34)", "chr(34)"), ("chr(10)", "'n'"), ("chr(13)", "'r'"), ("chr(9)", "'t'")):
+        text = f"replace({text}, {plain}, concat({back}, {then}))"
+    return f"concat(chr(34), {text}, chr(34))"
+
+
+def _q(text: str) -> str:
+    """As SQL text."""
+    return f"'{text}'"
+
+
+def _object(*parts: str) -> str:
+    """A JSON object of literal and other parts. Braces are spelled out, since they mark tables here."""
+    return "concat(chr(123), " + ", ".join(parts) + ", chr(125))"
+
+
+_CLAIM = _object(_q('"text": '), "js", _q(', "cited_chunk_ids": ["c1", "c2"], "kind": "risk"'))
+_WHOLE = _object(_q('"summary": "s", "claims": ['), "claim", "']'")
+#: Turns of conversations as what a model may send for an answer, in sixteen shapes: ten that can be read, five that cannot, one with parts that go.
+ANSWERS = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, {_json("coalesce(text, '')")} AS js, CAST((conv_id * 7 + turn) % 16 AS INT) AS shape FROM {{conversations}}
+), k AS (
+  SELECT *, {_CLAIM} AS claim FROM c
+), e AS (
+  SELECT *, {_WHOLE} AS whole, {_json("concat('[', claim, ']')")} AS listed, {_json("claim")} AS quoted FROM k
+)
+SELECT conv_id, turn, text, shape, CASE shape
+  WHEN 0 THEN whole
+  WHEN 1 THEN {_object(_q('"parameter": '), "whole")}
+  WHEN 2 THEN {_object(_q('"parameter name": ['), "claim", "']'")}
+  WHEN 3 THEN {_object(_q('"input": '), "listed")}
+  WHEN 4 THEN {_object(_q('"input": '), _json("whole"))}
+  WHEN 5 THEN {_object(_q('"summary": "s", "claims": '), "listed")}
+  WHEN 6 THEN {_object(_q('"claims": '), "js", _q(', "cited_chunk_ids": ["c1"], "kind": "risk"'))}
+  WHEN 7 THEN {_object(_q('"summary": "s", "claims": '), "claim")}
+  WHEN 8 THEN {_object(_q('"summary": null, "claims": ['), "js", _q(', "  "]'))}
+  WHEN 9 THEN {_object(_q('"claims": ['), "quoted", "']'")}
+  WHEN 10 THEN {_object(_q('"claims": ['), _object(_q('"text": '), "js", _q(', "cited_chunk_ids": "c9", "kind": "prophecy"')), "','", _object(_q('"text": "  "')), "']'")}
+  WHEN 11 THEN {_object(_q('"summary": '), "js")}
+  WHEN 12 THEN {_object(_q('"claims": 42'))}
+  WHEN 13 THEN {_object(_q('"weird": "not json "'))}
+  WHEN 14 THEN concat('no payload: ', text)
+  ELSE {_object(_q('"claims": ['), _object(_q('"text": 5')), "']'")} END AS raw
+FROM e
+"""
+
+#: And as a judge's, a router's, a reader's and an examiner's, in four shapes each.
+KINDS = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, {_json("coalesce(text, '')")} AS js, CAST(turn % 4 AS INT) AS shape FROM {{conversations}}
+)
+SELECT conv_id, turn, text, shape,
+  CASE shape WHEN 0 THEN {_object(_q('"verdicts": ['), _object(_q('"claim_id": "a'), "conv_id", _q('", "verdict": "SUPPORTED", "reason": '), "js"), _q(', "junk", '), _object(_q('"verdict": "X"')), "','", _object(_q('"claim_id": " "')), "']'")}
+    WHEN 1 THEN {_object(_q('"verdicts": 5'))} WHEN 2 THEN 'oops' ELSE {_object(_q('"verdicts": ['), _object(_q('"claim_id": 7')), "']'")} END AS verdicts,
+  CASE shape WHEN 0 THEN {_object(_q('"decision": "REWRITE", "new_query": '), "js", _q(', "reason": null'))} WHEN 1 THEN {_object(_q('"decision": "EXPAND"'))} WHEN 2 THEN '[1]' ELSE {_object(_q('"decision": 5'))} END AS assessment,
+  CASE shape WHEN 0 THEN {_object(_q('"route": "numeric", "queries": ['), _object(_q('"op": "cagr", "metric": "revenue", "years": 3')), "','", _object(_q('"op": "value"')), _q('], "companies": [" aapl ", "", 5], "fully_answers": true'))}
+    WHEN 1 THEN {_object(_q('"route": "sql", "queries": "x"'))} WHEN 2 THEN {_object(_q('"route": "hybrid", "queries": ['), _object(_q('"metric": "m", "fy": "2024", "tickers": ["A", "B"]')), _q('], "refusal": 9, "fully_answers": 0'))}
+    ELSE {_object(_q('"route": "hybrid", "queries": ['), _object(_q('"metric": "m", "fy": 2024.5')), "']'")} END AS route,
+  CASE shape WHEN 0 THEN {_object(_q('"items": ['), _object(_q('"chunk_id": "k'), "conv_id", _q('", "question": '), "js"), "','", _object(_q('"chunk_id": "", "question": "Q"')), "','", _object(_q('"chunk_id": "x"')), _q(', "junk"]'))}
+    WHEN 1 THEN {_object(_q('"items": null'))} WHEN 2 THEN 'text' ELSE {_object(_q('"items": ['), _object(_q('"chunk_id": 1, "question": "q"')), "']'")} END AS items
+FROM c
+"""
+
+
 def project(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
-    names = [n for n in ("orders", "customer", "documents", "labels", "events") if "{" + n + "}" in select]
+    names = [n for n in TABLES if "{" + n + "}" in select]
     return spark.sql(select, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
 def as_sql(select: str) -> str:
-    for n in ("orders", "customer", "documents", "labels", "events"):
+    for n in TABLES:
         select = select.replace("{" + n + "}", n)
     return select.strip()

@@ -25,32 +25,62 @@ def test_visitors_and_sentences(spark):
     assert a.s == "Services revenue grew again!" and b.s is None
 
 
-@pytest.mark.parametrize(
-    "raw, want",
-    [
-        ({"summary": "s", "claims": [{"text": "a", "cited_chunk_ids": ["1"], "kind": "risk"}]}, [("a", ["1"], "risk")]),
-        ({"input": json.dumps({"claims": [{"text": "a", "kind": "odd"}]})}, [("a", [], "insight")]),
-        ({"anything": [{"text": "a", "cited_chunk_ids": "7"}]}, [("a", ["7"], "insight")]),
-        ({"claims": json.dumps([{"text": "a"}])}, [("a", [], "insight")]),
-        ({"claims": "flat text", "cited_chunk_ids": ["2"], "kind": "risk"}, [("flat text", ["2"], "risk")]),
-        ({"claims": {"text": "one"}}, [("one", [], "insight")]),
-        ({"claims": ["bare", '{"text": "inner", "cited_chunk_ids": ["3"]}', "  ", {"no": 1}]}, [("bare", [], "insight"), ("inner", ["3"], "insight")]),
-        ({"claims": "no citations"}, None),
-        ([1, 2], None),
-        ("not json", None),
-    ],
-)
-def test_salvage(raw, want):
-    got = payloads.answer(raw if raw == "not json" else json.dumps(raw))
-    assert (got and [(c["text"], c["cited_chunk_ids"], c["kind"]) for c in got["claims"]]) == want
-
-
-def test_salvage_of_verdicts_and_columns(spark):
-    assert payloads.verdicts(json.dumps({"verdicts": [{"claim_id": "a", "verdict": "SUPPORTED"}, {"claim_id": ""}, 3]})) == [{"claim_id": "a", "verdict": "SUPPORTED", "reason": ""}]
-    assert payloads.verdicts(None) == []
-    df = spark.createDataFrame([(json.dumps({"claims": ["x"]}),), (None,)], "raw string").select(payloads.answers(F.col("raw")).alias("a"))
-    good, bad = df.collect()
-    assert good.a.claims[0].text == "x" and bad.a.claims is None
+CLAIM = {"text": "t", "cited_chunk_ids": ["c1"], "kind": "risk"}
+NEAT = ("t", ["c1"], "risk")
+#: Payloads of answers, and what is saved: summary and claims, or nothing.
+SHAPES = [
+    ({"summary": "s", "claims": [CLAIM]}, ("s", [NEAT])),
+    ({"parameter": {"summary": "s", "claims": [CLAIM]}}, ("s", [NEAT])),
+    ({"parameter name": [CLAIM]}, ("", [NEAT])),
+    ({"input": json.dumps([CLAIM])}, ("", [NEAT])),
+    ({"input": json.dumps({"summary": "s", "claims": [CLAIM]})}, ("s", [NEAT])),
+    ({"summary": "s", "claims": json.dumps([CLAIM])}, ("s", [NEAT])),
+    ({"summary": "s", "claims": json.dumps(CLAIM)}, ("s", [NEAT])),
+    ({"claims": "flat text", "cited_chunk_ids": ["2"], "kind": "risk"}, ("", [("flat text", ["2"], "risk")])),
+    ({"claims": "flat text", "cited_chunk_ids": None}, ("", [("flat text", [], "insight")])),
+    ({"summary": None, "claims": CLAIM}, ("", [NEAT])),
+    ({"claims": ["bare", json.dumps(CLAIM), '{"text": " "}', "{broken", "  ", 7, {"no": 1}]}, ("", [("bare", [], "insight"), NEAT, ('{"text": " "}', [], "insight"), ("{broken", [], "insight")])),
+    ({"claims": [{"text": "a", "kind": "odd", "cited_chunk_ids": "7"}, {"text": " \n"}]}, ("", [("a", ["7"], "insight")])),
+    ({"claims": [], "summary": 0}, ("", [])),
+    ({"claims": [], "summary": 5}, None),
+    ({"claims": [{"text": 5}]}, None),
+    ({"claims": [CLAIM, {"text": "a", "cited_chunk_ids": [1]}]}, None),
+    ({"claims": [{"text": "a", "cited_chunk_ids": {"x": 1}}]}, None),
+    ({"claims": "no citations"}, None),
+    ({"claims": 42}, None),
+    ({"summary": "s"}, None),
+    ({"weird": "not json {"}, None),
+    ({"weird": 3}, None),
+    ([CLAIM], None),
+    ("text", None),
+    (None, None),
+]
+
+
+def test_salvage_of_answers(spark):
+    rows = [(i, json.dumps(p)) for i, (p, _) in enumerate(SHAPES)] + [(100, None), (101, ""), (102, "{"), (103, '{"claims": [], "claims": []}')]
+    df = spark.createDataFrame(rows, "i int, raw string").select("i", payloads.answer(F.col("raw")).alias("a"))
+    got = {r.i: r.a and (r.a.summary, [(c.text, c.cited_chunk_ids, c.kind) for c in r.a.claims]) for r in df.collect()}
+    assert got == {**{i: w for i, (_, w) in enumerate(SHAPES)}, 100: None, 101: None, 102: None, 103: None}
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salvage_of_other_kinds(spark):
+    def read(kind, *values):
+        rows = [(i, v if isinstance(v, str) or v is None else json.dumps(v)) for i, v in enumerate(values)]
+        return [r.p for r in spark.createDataFrame(rows, "i int, raw string").select("i", kind(F.col("raw")).alias("p")).orderBy("i").collect()]
+
+    got = read(payloads.verdicts, {"verdicts": [{"claim_id": "a", "verdict": "SUPPORTED", "reason": "ok"}, "junk", {"verdict": "X"}, {"claim_id": " "}, {"claim_id": "b"}]}, None, "[", {"verdicts": 1}, {"verdicts": [{"claim_id": "a"}, {"claim_id": 7}]}, {"verdicts": [{"claim_id": "a", "reason": None}]})
+    assert [[tuple(v) for v in g] for g in got] == [[("a", "SUPPORTED", "ok"), ("b", "", "")], [], [], [], [], []]
+    got = read(payloads.assessment, {"decision": "REWRITE", "new_query": None, "reason": "r"}, None, [1], {"decision": 5, "reason": ["x"]})
+    assert [tuple(g) for g in got] == [("REWRITE", "", "r"), ("", "", ""), ("", "", ""), ("5", "", '["x"]')]
+    got = read(payloads.questions, {"items": [{"chunk_id": "c1", "question": "Q?"}, {"chunk_id": "", "question": "Q?"}, {"chunk_id": "c2"}, "junk"]}, None, {"items": {}}, {"items": [{"chunk_id": 1, "question": "q"}]})
+    assert [[tuple(v) for v in g] for g in got] == [[("c1", "Q?")], [], [], []]
+    nothing = ("narrative", [], [], "", False)
+    full = {"route": "numeric", "queries": [{"op": "cagr", "metric": "revenue", "years": 3}, {"op": "value"}, 5, {"metric": "m", "fy": "2024", "tickers": ["A"]}], "companies": [" aapl ", "", 5], "refusal": 1, "fully_answers": "yes"}
+    got = read(payloads.route, full, None, {"route": "sql"}, {"route": "hybrid", "queries": [{"metric": "m", "fy": 2024.5}]}, {"route": "hybrid", "queries": [{"metric": "m", "fy": "x"}]}, {"route": "hybrid", "queries": [{"metric": 4}]}, {"route": "out_of_scope", "refusal": "no", "fully_answers": []}, [])
+    told = [(g.route, [(q.op, q.metric, q.fy, q.years, q.tickers) for q in g.queries], g.companies, g.refusal, g.fully_answers) for g in got]
+    assert told == [("numeric", [("cagr", "revenue", None, 3, []), ("value", "m", 2024, None, ["A"])], ["AAPL"], "", True), nothing, nothing, nothing, nothing, nothing, ("out_of_scope", [], [], "no", False), nothing]
 
 
 def test_golden_and_stored_results(spark):
