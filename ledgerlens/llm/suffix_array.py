@@ -109,7 +109,7 @@ def _induced(t: np.ndarray, low: np.ndarray, is_s: np.ndarray, marks: int, lms:
 
 
 def prefix_sums(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rolling sums and inverse powers; ``(s[b] - s[a]) * inverse[a]`` stands for t[a:b] modulo 2^64."""
+    """Rolling sums and inverse powers; ``(s[b] - s[a]) * inverse[a]`` hints at t[a:b] modulo 2^64: strings that differ in it differ, the others are compared."""
     n = len(t)
     with np.errstate(over="ignore"):
         power = np.full(n, _ODD, np.uint64)
@@ -128,6 +128,21 @@ def prefix_sums(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, inverse
 
 
+def agree(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """How many of the ``size`` letters from ``a`` and from ``b`` on agree before the first that does not, letter by letter; about ``most`` letters at once."""
+    out, upto, lo = size.astype(np.int64), np.cumsum(size, dtype=np.int64), 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - out[lo] + most, "right")))
+        n = out[lo:hi].copy()
+        which = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(which)) - (upto[lo:hi] - n - (upto[lo] - n[0]))[which]
+        off = np.flatnonzero(t[a[lo:hi][which] + step] != t[b[lo:hi][which] + step])
+        each, at = np.unique(which[off], return_index=True)
+        out[lo + each] = step[off[at]]
+        lo = hi
+    return out
+
+
 def suffix_array(t: np.ndarray, marks: int) -> np.ndarray:
     """Of joined texts; ``marks``: how many end marks there are."""
     n = len(t)
@@ -148,6 +163,9 @@ def suffix_array(t: np.ndarray, marks: int) -> np.ndarray:
         mark = (s[end[ordered]] - s[ordered]) * inverse[ordered]
     length = end[ordered] - ordered
     new = np.concatenate([[True], (mark[1:] != mark[:-1]) | (length[1:] != length[:-1])])
+    # an equal hash is a hint only
+    alike = np.flatnonzero(~new)
+    new[alike] = agree(t, ordered[alike - 1], ordered[alike], length[alike]) < length[alike]
     rank = np.empty(n, np.int64)
     rank[ordered] = np.cumsum(new) - 1
     del sa, at_lms, end, s, inverse, mark, length, new, ordered
@@ -255,7 +273,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, longest: int, least: int = 0)
             got += np.where(equal(at + got, other + got, step), step, 0)
             step >>= 1
     del s, inverse
-    plcp[at] = got
+    plcp[at] = agree(t, at, other, got)  # unequal hashes are proof, equal ones a hint
     here = np.arange(n, dtype=np.int32)
     last = np.maximum.accumulate(np.where(start, here, np.int32(0)))
     return phi, np.maximum(plcp[last] - (here - last), 0)

@@ -90,6 +90,65 @@ def test_suffix_dedup(spark, group):
     assert by_id(kept)[102].text == "short" and 104 not in by_id(kept)
 
 
+def thue_morse(level, a, b):
+    """A word and its complement, which every polynomial hash modulo a power of two takes for equal."""
+    for _ in range(level):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_agreement_is_told_by_letters():
+    rng = np.random.default_rng(3)
+    t = rng.integers(0, 2, 500)
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    size = rng.integers(0, 100, 300)
+    want = [next((k for k in range(n) if t[i + k] != t[j + k]), n) for i, j, n in zip(a.tolist(), b.tolist(), size.tolist())]
+    for most in (1, 50, 1 << 20):
+        assert suffix_array.agree(t, a, b, size, most).tolist() == want
+
+
+def test_suffix_arrays_of_texts_that_hash_alike():
+    """Common prefixes and order of Thue-Morse words: only letters tell them apart."""
+    words = [np.frombuffer(w.encode(), np.uint8) for level in (4, 9, 10) for w in thue_morse(level, "ab", "ba")]
+    t, _ = suffix_array.join([*words, words[2][100:900], np.concatenate(words[:4])])
+    order = suffix_array.suffix_array(t, 8)
+    letters = t.tolist()
+    assert order.tolist() == sorted(range(len(letters)), key=lambda i: letters[i:])
+    phi, prefix = suffix_array.common_prefixes(t, order, len(t), 16)
+    for before, i in zip(order[:-1].tolist(), order[1:].tolist()):
+        n = 0
+        while max(i, before) + n < len(t) and t[i + n] == t[before + n]:
+            n += 1
+        assert phi[i] == before and (prefix[i] == n or prefix[i] <= n < 16)
+
+
+@pytest.mark.parametrize("group", [2, 5000])
+def test_dedup_keeps_texts_that_hash_alike(spark, group):
+    """At the contract's sizes: words and their complements lose nothing to each other, real repeats go."""
+    rnd = random.Random(17)
+    a, b = thue_morse(9, "+", "2")
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = noise(700)
+    rows = [(1, a), (2, b), (3, noise(300) + a[:450]), (4, noise(900) + shared + noise(40)), (5, shared[100:650] + noise(500)), (6, shared[:399]), (7, "z" * 1500), (8, noise(200) + a + noise(10) + b), (9, thue_morse(8, "+", "2")[0] * 3)]
+    got = by_id(suffix_dedup.repeats(docs(spark, rows), group=group))
+    want = dict(zip([i for i, _ in rows], brute_repeats([t.encode() for _, t in rows], 400)))
+    assert {i: tuple(r)[1:] for i, r in got.items()} == want
+    assert by_id(suffix_dedup.repeats(docs(spark, rows[:2])))[1].n_removed == 0
+
+
+def test_passages_keep_texts_that_hash_alike(spark):
+    rnd = random.Random(18)
+    words = lambda n: [rnd.choice(["a", "bb", "ccc", "x-y"]) + str(rnd.randrange(50)) for _ in range(n)]
+    lead, (a, b) = words(50), thue_morse(10, "a", "b")
+    rows = [(1, " ".join([*lead[:25], a, *lead[25:]])), (2, " ".join([*lead[:25], b, *lead[25:]])), (3, " ".join(words(30) + lead + words(9))), (4, "\n".join(lead + ["end"])), (5, " ".join(lead + ["end"])), (6, " ".join(words(60)))]
+    want = brute_passages([t for _, t in rows], 51)
+    kept = by_id(suffix_dedup.remove(docs(spark, rows), suffix_dedup.WORDS))
+    for (i, _), (w, gone) in zip(rows, want):
+        left = [x for x, g in zip(w, gone) if not g]
+        assert (kept[i].text.split() if i in kept else []) == left
+    assert set(kept) == {1, 2, 3, 6}
+
+
 def brute_passages(texts, width):
     """Words of each text in runs of ``width`` words that also start elsewhere."""
     words = [re.findall("[^\x20\x09-\x0d]+", t) for t in texts]
