@@ -1,8 +1,11 @@
 """Main text of HTML pages by composite text density.
 
-The page is parsed to a tree. Parts that are no article by their tag, role or
-class (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) are cut. For every node left, the composite density is
+The page is parsed to a tree. Parts that are no article by their tag or role
+(menus, headers, footers, sidebars, notices, forms and their labels, dialogs, scripts, styles, what a
+canvas or a player shows in its stead) are cut. A class or id marks a part as no
+article only if one of its names says nothing else (``cookie-banner``, ``comment-list``,
+not ``search-results-page``), and only if the part does not hold most of the
+page's text outside links (nearly all of it, for names of one such word and for reader comments). For every node left, the composite density is
 its characters for each tag, lowered by the share of link characters and link
 tags; a node's sum is the total over its children, those inside a paragraph left
 out. The node of largest sum is the core, and the smallest density on the path from
@@ -35,16 +38,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CUT_TAGS = frozenset("head script style noscript template iframe svg math object embed canvas audio video nav aside footer button input select textarea option label dialog menu title".split())
+CUT_TAGS = frozenset("head script style noscript template iframe svg object embed canvas audio video nav aside footer button input select textarea option label dialog menu title".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Words of a class or id that mark what is no article: menus; headers and footers; sidebars; notices; adverts; forms; comments.
 CUT_WORDS = frozenset(
     "menu menus nav navbar navigation breadcrumb breadcrumbs toolbar topbar masthead footer sidebar sidebars cookie cookies consent gdpr notice notices popup modal overlay banner ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion newsletter subscribe subscription signup login search comment comments commentlist disqus respond replies".split()
 )
+#: Words that may stand beside those in one name without saying anything else.
+PLAIN_WORDS = frozenset(
+    "a an the of x site main page top left right bottom side bar box block list area section wrapper wrap container content widget panel post article entry blog user reader visitor form link links item inner outer global primary secondary header col column group holder unit slot text center mobile desktop sticky fixed app root js el block is has".split()
+)
+#: A part that holds more than this of the page's text is not cut for its class: for a name of several words; for one word, and for comments.
+HALF, NEARLY_ALL = 0.5, 0.95
 #: Blocks that hold text themselves.
 TEXTS = frozenset("blockquote dl h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 #: Whole class names and ids of a page's header.
@@ -74,12 +83,12 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "depth", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds")
+    __slots__ = ("tag", "attrs", "parent", "depth", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds", "plain")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
         self.tag, self.parent, self.attrs, self.kids = tag, parent, attrs, []
         self.depth = parent.depth + 1 if parent else 0
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.plain = 0
         self.density = self.total = 0.0
         self.holds = False
 
@@ -206,21 +215,29 @@ def _path(node: Node | None) -> Iterator[Node]:
 
 
 def _marks(node: Node) -> set[str]:
-    return set(WORD.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())) if node.attrs else set()
+    """Words of ``CUT_WORDS`` in those class names and ids that say nothing else."""
+    out: set[str] = set()
+    if node.attrs:
+        for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split():
+            words = set(WORD.findall(name))
+            if words <= CUT_WORDS | PLAIN_WORDS:
+                out |= words & CUT_WORDS
+    return out
 
 
-COMMENTS = frozenset({"comment", "comments"})
+COMMENTS = frozenset({"comment", "comments", "commentlist"})
 
 
-def _cut(node: Node, inside: bool) -> bool:
-    """``inside``: an ``article`` or ``main`` is around the node."""
+def _cut(node: Node, inside: bool, whole: int) -> bool:
+    """``inside``: an ``article`` or ``main`` is around the node; ``whole``: the page's characters outside links and cut tags."""
     tag, a = node.tag, node.attrs
     if tag in CUT_TAGS:
         return True
     if tag in ("html", "body", "main"):
         return False
+    marks = _marks(node)
     if tag == "article":
-        return bool(_marks(node) & COMMENTS)
+        return bool(marks & COMMENTS) and node.plain <= NEARLY_ALL * whole
     if tag == "form":
         return not node.holds
     if tag == "header":
@@ -232,8 +249,9 @@ def _cut(node: Node, inside: bool) -> bool:
     names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
     if not inside and not node.holds and not HEADERS.isdisjoint(names):
         return True
-    marks = _marks(node) & CUT_WORDS
-    return bool(marks) and (not node.holds or bool(marks & COMMENTS))
+    if marks & COMMENTS:
+        return node.plain <= NEARLY_ALL * whole
+    return bool(marks) and not node.holds and node.plain <= (HALF if CUT_WORDS.isdisjoint(names) else NEARLY_ALL) * whole
 
 
 def _ordered(root: Node) -> list[Node]:
@@ -255,11 +273,13 @@ def measure(root: Node) -> list[Node]:
     for n in reversed(_ordered(root)):
         if n.parent is not None and (n.holds or _article(n)):
             n.parent.holds = True
+        if n.tag != "a":
+            n.plain = sum(sum(map(len, k.split())) if isinstance(k, str) else k.plain for k in n.kids if isinstance(k, str) or k.tag not in CUT_TAGS)
     todo = [(root, False)]
     while todo:
         n, inside = todo.pop()
         inside = inside or n.tag in ("article", "main")
-        n.kids = [k for k in n.kids if isinstance(k, str) or not _cut(k, inside)]
+        n.kids = [k for k in n.kids if isinstance(k, str) or not _cut(k, inside, root.plain)]
         todo += [(k, inside) for k in n.kids if isinstance(k, Node)]
     nodes = _ordered(root)
     for n in reversed(nodes):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -964,6 +965,71 @@ def test_html_by_density(page, want):
     assert html_text.extract(page) == want
 
 
+LONG = "<p>" + "This is a sentence of the article, with a good many words in it. " * 5 + "</p>"
+SHORT = " ".join(("This is a sentence of the article, with a good many words in it. " * 5).split())
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<body><div class="search-results-page">{LONG}{LONG}</div></body>', [SHORT] * 2),
+        (f'<div class="post-with-comments">{LONG}{LONG}</div>', [SHORT] * 2),
+        (f'<article class="post comments-open">{LONG}{LONG}</article>', [SHORT] * 2),
+        (f'<article>{LONG}<div class="notice-board-history">{LONG}</div></article>', [SHORT] * 2),
+        (f'<div class="search"><div class="menu">{LONG}{LONG}</div></div>', [SHORT] * 2),
+        (f"<div>{LONG}<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b{LONG[3:]}</div>", [SHORT, "a x=2 b" + SHORT]),
+        (f'<body><div id="c">{LONG}{LONG}</div><div class="post-comments">{LONG * 5}</div><div class="site-footer"><p>foot</p></div></body>', [SHORT] * 2),
+        (f'<body><div class="cookie-banner">{LONG}</div><div>{LONG}{LONG}</div><section id="comments">{LONG}</section></body>', [SHORT] * 2),
+        (f'<body><div class="ad">{LONG}</div><div><h1>Short</h1><p>Only this one.</p></div></body>', ["Short", "Only this one."]),
+    ],
+)
+def test_class_names_that_say_more_are_no_cut(page, want):
+    assert html_text.extract(page).split("\n") == want
+
+
+def brute_densities(root):
+    """Every node's density and sum from its definition, a walk for each node."""
+    def walk(n):
+        yield n
+        for k in n.kids:
+            if not isinstance(k, str):
+                yield from walk(k)
+
+    def chars(n, linked=False):
+        return sum((len("".join(k.split())) if linked or not within else 0) if isinstance(k, str) else chars(k, linked or k.tag == "a") if within else chars(k) for k in n.kids)
+
+    out = {}
+    for n in walk(root):
+        within = False
+        c, tags = chars(n), max(len(list(walk(n))) - 1, 1)
+        within = True
+        lc = chars(n, n.tag == "a")
+        lt = sum(k.tag == "a" for k in walk(n)) - (n.tag == "a")
+        out[n] = c, tags, lc, lt
+    whole = out[root]
+    density = {}
+    for n, (c, t, lc, lt) in out.items():
+        base = math.log(c / max(c - lc, 1) * lc + whole[2] / max(whole[0], 1) * c + math.e)
+        density[n] = c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / base if c else 0.0
+    return {n: (density[n], sum(density[k] for k in n.kids if not isinstance(k, str) and k.tag in html_text.BLOCK)) for n in out}
+
+
+def test_densities_by_brute_force():
+    rnd = random.Random(31)
+
+    def made(depth):
+        kids = [rnd.choice(["words here ", "x", " "]) if depth == 0 or rnd.random() < 0.4 else made(depth - 1) for _ in range(rnd.randrange(0, 5))]
+        tag = rnd.choice(["div", "p", "a", "span", "section", "ul", "em"])
+        return f"<{tag}>{''.join(kids)}</{tag}>"
+
+    for _ in range(60):
+        root = html_text.parse("<body>" + "".join(made(4) for _ in range(4)))
+        nodes = html_text.measure(root)
+        want = brute_densities(root)
+        for n in nodes:
+            assert (n.density, n.total) == pytest.approx(want[n]), n.tag
+
+
 def test_density_decides_on_every_page(spark):
     """The core is no tag's doing: without the tags ``article`` and ``main`` the driver's pages give the same texts."""
     for r in queries.table(spark, "/root/testdata/sf0.001", "pages").select("html").collect():
