@@ -9,8 +9,8 @@ the two constraints (words and documents), until one is 0 or 1; so the words and
 the number of documents taken stay at their expectation. A source is dealt into
 buckets by a hash, each flies alone and leaves two fractional documents at most;
 these fly again together, until one bucket is left, whose at most two documents
-land on the outcome nearest to the totals (which may turn one other document). A hot source is many buckets, so no
-task holds more than ``bucket`` documents or so.
+land on the outcome nearest to the totals (which may turn one other document). A hot source is many buckets, and
+equal rows are numbered before they are dealt, so no task holds more than ``bucket`` documents or so.
 
 Defined cases: null text has size 0; empty texts are taken as any other, with 0
 words; a null source is a source of its own, the last; null or repeated doc_ids
@@ -110,6 +110,20 @@ def land(p: list[float], sizes: list[float], left: list[int]) -> None:
         p[best[3]] = 1.0 - p[best[3]]
 
 
+def numbered(sized: DataFrame, few: int = 1024) -> DataFrame:
+    """``sized`` (doc_id, source, size) with ``twin``: 0, 1, ... among equal rows, which may be any number, a third of the table too.
+
+    Equal rows are counted, which combines before the shuffle, and unfolded again;
+    many of them in blocks of ``few`` that are dealt out first, so no task holds or makes them all.
+    """
+    counted = staged(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-counted")
+    columns, start = ("doc_id", "source", "size"), F.lit(0).cast("bigint")
+    one = counted.where(F.col("n") <= few).select(*columns, F.explode(F.sequence(start, F.col("n") - 1)).alias("twin"))
+    blocks = counted.where(F.col("n") > few).select(*columns, "n", F.explode(F.sequence(start, F.floor((F.col("n") - 1) / few))).alias("block"))
+    spread = blocks.repartition(F.xxhash64(*columns, "block"))
+    return one.unionByName(spread.select(*columns, F.explode(F.sequence(F.col("block") * few, F.least(F.col("n"), (F.col("block") + 1) * few) - 1)).alias("twin")))
+
+
 def _fly(seed: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "spread", "doc_id"], ascending=[False, True, True], kind="stable")
@@ -129,9 +143,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, b
     targets = staged(targets, "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     ratio = F.when(F.abs(ratio - F.round(ratio)) < NEAR, F.round(ratio)).otherwise(ratio)
-    spread = F.xxhash64(F.lit(seed), "doc_id", "size")
+    spread = F.when(F.col("twin") == 0, F.xxhash64(F.lit(seed), "doc_id", "size")).otherwise(F.xxhash64(F.lit(seed), "doc_id", "size", "twin"))
     rows = (
-        sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        numbered(sized).join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         .withColumn("copies", F.floor(ratio))
         .withColumn("p", ratio - F.col("copies"))
         .withColumn("spread", spread)

@@ -425,6 +425,31 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mixing_splits_equal_rows(spark, monkeypatch):
+    """Twenty thousand rows equal in everything, without an id: many buckets, none too large, and the target met."""
+    fly = mixing._fly
+
+    def small(seed):
+        inner = fly(seed)
+
+        def run(group):
+            assert len(group) < 1500, len(group)
+            return inner(group)
+
+        return run
+
+    monkeypatch.setattr(mixing, "_fly", small)
+    many = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    some = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("t").alias("source"))
+    got = mixing.mix(many.unionByName(some), bucket=1000).groupBy("source", "taken").agg(F.count("*").alias("n"), F.max("target").alias("target")).collect()
+    for source, size in (("s", 3), ("t", 2)):
+        rows = [r for r in got if r.source == source]
+        assert sum(r.n for r in rows) == {"s": 20_000, "t": 900}[source]
+        assert abs(sum(r.n * r.taken for r in rows) - rows[0].target) <= 2 * size and all(r.taken <= 3 * size for r in rows)
+    twins = mixing.numbered(many.select("doc_id", "source", F.lit(3).alias("size")))
+    assert twins.agg(F.count("*"), F.countDistinct("twin"), F.max("twin")).first() == (20_000, 20_000, 19_999)
+
+
 def test_flight_keeps_totals():
     rnd = random.Random(3)
     sizes = [float(rnd.choice([1, 1, 7, 90])) for _ in range(200)]
