@@ -21,7 +21,7 @@ tokens are each reported; of stretches with as many equal tokens the first is
 taken; repeated documents are reported each, and repeated items; a null item_id is
 reported as null, a null doc_id too; extra columns pass through ``clean``; an empty
 benchmark matches nothing; no documents give no rows. Memory is linear in one text
-and the items it meets. Tokens are told apart by 64-bit hashes.
+and ``ITEMS`` items; places in a row that have one seed are one row, so tokens said over and over are not multiplied. Tokens are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from ledgerlens.llm.store import among, bitmap, forget, sieve, staged
 
 SPAN, SHARE = 15, 0.8
 TOKEN = re.compile(r"[^\W_]+")
-#: Tokens whose hashes a task remembers.
-CACHE = 1 << 20
+#: Tokens whose hashes a task remembers; items that a text is verified against in one row.
+CACHE, ITEMS = 1 << 20, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "array<struct<key:bigint,start:int,length:int,matched:int>>"
 
@@ -150,13 +150,21 @@ def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": batch["key"], "ids": [hashed(t).view(np.int64) for t in batch["text"]]})
 
 
+def runs(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes with the first and last of consecutive places that have them: a token said over and over is one row."""
+    order = np.lexsort((at, h))
+    at, h = at[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.empty(0, np.int64)
+    return h[first].view(np.int64), at[first].astype(np.int32), at[np.append(first[1:], len(at)) - 1].astype(np.int32) if len(at) else at.astype(np.int32)
+
+
 def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for key, ids in zip(batch["key"], batch["ids"]):
             ids = np.asarray(ids, np.int64).view(np.uint64)
             for mask in masks(len(ids)):
-                at, h = seeds(ids, mask)
-                yield pd.DataFrame({"hash": h.view(np.int64), "key": key, "place": at.astype(np.int32)})
+                h, first, last = runs(*seeds(ids, mask))
+                yield pd.DataFrame({"hash": h, "key": key, "first": first, "last": last})
 
 
 def _hits(used: list[tuple[int, ...]], known: np.ndarray, marked: np.ndarray):
@@ -170,9 +178,10 @@ def _hits(used: list[tuple[int, ...]], known: np.ndarray, marked: np.ndarray):
                     at, h = seeds(ids, mask, shared)
                     hit = among(marked, h)
                     if hit.any():
-                        out.append((np.full(hit.sum(), h1), np.full(hit.sum(), h2), h[hit].view(np.int64), at[hit].astype(np.int32)))
+                        found = runs(at[hit], h[hit])
+                        out.append((np.full(len(found[0]), h1), np.full(len(found[0]), h2), *found))
             if out:
-                yield pd.DataFrame(dict(zip(("h1", "h2", "hash", "at"), map(np.concatenate, zip(*out)))))
+                yield pd.DataFrame(dict(zip(("h1", "h2", "hash", "lo", "hi"), map(np.concatenate, zip(*out)))))
 
     return run
 
@@ -184,7 +193,8 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for h1, h2, text, items in zip(batch["h1"], batch["h2"], batch["text"], batch["items"]):
             ids, found = hashed(text), []
             for i in items:
-                if b := best(ids, np.asarray(i["ids"], np.int64).view(np.uint64), i["shifts"]):
+                shifts = np.unique(np.concatenate([np.arange(s["a"], s["b"] + 1) for s in i["shifts"]]))
+                if b := best(ids, np.asarray(i["ids"], np.int64).view(np.uint64), shifts):
                     found.append({"key": i["key"], "start": b[0], "length": b[1], "matched": b[2]})
             if found:
                 out.append((h1, h2, sorted(found, key=lambda f: f["key"])))
@@ -197,22 +207,26 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def matched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts (h1, h2) that overlap an item, with all overlaps ``found`` (key, start, length, matched); and the items' keys (key, item_id)."""
+    """Texts (h1, h2) that overlap an item, with overlaps ``found`` (key, start, length, matched), in several rows for many; and the items' keys (key, item_id)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null").withColumn("key", F.xxhash64("text"))
     words = staged(items.groupBy("key").agg(F.min("text").alias("text")).mapInPandas(_items, "key long, ids array<long>").where(F.size("ids") > 0), "items")
-    table = staged(words.mapInPandas(_item_seeds, "hash long, key long, place int"), "item-seeds")
+    table = staged(words.mapInPandas(_item_seeds, "hash long, key long, first int, last int"), "item-seeds")
     used = sorted({m for r in words.select(F.least(F.size("ids"), F.lit(SPAN)).alias("n")).distinct().collect() for m in masks(r["n"])})  # SPAN rows at most
     if not used:
         return spark.createDataFrame([], f"h1 long, h2 long, found {FOUND}"), items.select("key", "item_id")
     known, marked = bitmap(words.select(F.explode("ids"))), bitmap(table.select("hash"))
     texts = _named(docs.select("text")).select(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"), "text").where("text is not null")
-    hits = texts.mapInPandas(_hits(used, known, marked), "h1 long, h2 long, hash long, at int")
-    shifts = hits.join(table, "hash").groupBy("h1", "h2", "key").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
-    near = staged(shifts.join(words, "key").groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "ids", "shifts")).alias("items")), "seed-hits")
+    hits = texts.mapInPandas(_hits(used, known, marked), "h1 long, h2 long, hash long, lo int, hi int")
+    # a run of a text's places and one of an item's meet in a range of shifts
+    met = hits.join(table, "hash").groupBy("h1", "h2", "key").agg(F.collect_set(F.struct((F.col("lo") - F.col("last")).alias("a"), (F.col("hi") - F.col("first")).alias("b"))).alias("shifts"))
+    met = staged(met, "seed-ranges")
+    parts = met.groupBy("h1", "h2").agg(F.ceil(F.count("*") / ITEMS).alias("parts")).where("parts > 1")
+    part = met.join(parts, ["h1", "h2"], "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))))
+    near = staged(part.join(words, "key").groupBy("h1", "h2", "part").agg(F.collect_list(F.struct("key", "ids", "shifts")).alias("items")), "seed-hits")
     once = sieve(texts, ["h1", "h2"], near.select("h1", "h2")).groupBy("h1", "h2").agg(F.first("text").alias("text"))
     found = staged(once.join(near, ["h1", "h2"]).mapInPandas(_verified, f"h1 long, h2 long, found {FOUND}"), "overlaps")
-    forget(words, table, near)
+    forget(words, table, met, near)
     return found, items.select("key", "item_id")
 
 
@@ -227,6 +241,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that overlap any item."""
     found, _ = matched(docs, benchmark)
-    keys, rows = found.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), _named(docs)
+    keys, rows = found.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct(), _named(docs)
     maybe = sieve(rows, ["_h1", "_h2"], keys).join(keys, ["_h1", "_h2"], "left_anti")
     return maybe.select(docs.columns).unionByName(sieve(rows, ["_h1", "_h2"], keys, out=True).select(docs.columns))

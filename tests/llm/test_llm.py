@@ -1514,3 +1514,19 @@ def test_spelling_variants_sql():
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
     assert sorted(map(repr, con.execute(queries.ORACLE_SQL["op11_spelling_variants"]).fetchall())) == sorted(map(repr, brute_variants(rows)))
+
+
+def test_repeated_tokens_are_not_multiplied(spark):
+    """A text and an item of one token over and over: a few seed rows each, one overlap. And more items in a text than one row holds."""
+    at, h = np.arange(10, 2000), np.full(1990, 5, np.uint64)
+    assert [x.tolist() for x in decontaminate.runs(np.append(at, [3, 3000]), np.append(h, [5, 6]).astype(np.uint64))] == [[5, 5, 6], [3, 10, 3000], [3, 1999, 3000]]
+    items = [(1, "spam " * 500), (2, "the quick brown fox jumps over the lazy dog and runs far away from here now")]
+    texts = [(1, "spam " * 2000), (2, "ham " * 50 + "spam " * 30), (3, "ham " * 100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.length, r.matched) for r in decontaminate.overlaps(docs(spark, texts), bench).collect()}
+    assert got == {(1, 1): (0, 500, 500), (2, 1): (50, 30, 30)}
+    words = [f"w{i}" for i in range(40)]
+    rnd = random.Random(3)
+    many = [(i, " ".join(rnd.choice(words) for _ in range(16))) for i in range(600)]
+    got = decontaminate.overlaps(docs(spark, [(1, " . ".join(t for _, t in many))]), spark.createDataFrame(many, "item_id long, text string"))
+    assert sorted(r.item_id for r in got.collect()) == list(range(600))
