@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import matching
+from ledgerlens.operators import matching, numbering
 
 
 def documents(questions: DataFrame, meta: DataFrame, ciks: DataFrame, doc_types: tuple[str, ...] = ("10k",)) -> DataFrame:
@@ -51,7 +51,7 @@ def with_exhibits(main: DataFrame, exhibits: DataFrame) -> DataFrame:
 
 def ordered(results: DataFrame, key: str) -> DataFrame:
     """Results with their place by id, for a stable report."""
-    return results.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
+    return numbering.numbered(results, key)
 
 
 def section_place(section: Column, order: tuple[str, ...]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import registry
 from ledgerlens.operators import facts as fx
+from ledgerlens.operators import numbering
 from ledgerlens.operators.facts import Points
 
 
@@ -155,6 +156,6 @@ def series_shape(got: DataFrame) -> DataFrame:
 
 
 def compare(p: Points, metric: str, fy: int | None = None) -> DataFrame:
-    """Companies by value, largest first; equal values by cik. One row for each company: their places are one ordering, so one task's work."""
+    """Companies by value, largest first; equal values by cik."""
     points = (p.newest if fy is None else p.years.where(F.col("fy") == fy)).where(F.col("metric") == metric)
-    return points.select("cik", "fy", "value", "unit").withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "cik")))
+    return numbering.numbered(points.select("cik", "fy", "value", "unit"), F.desc("value"), F.col("cik"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import presentation, registry
 from ledgerlens.operators import claims as cl
-from ledgerlens.operators import matching, retrieval
+from ledgerlens.operators import matching, numbering, retrieval
 from ledgerlens.operators.facts import Points
 from ledgerlens.plans import planner
 from ledgerlens.sources import filings
@@ -324,22 +324,19 @@ def onboarding(wanted: DataFrame, corpus: DataFrame, listing: DataFrame, submiss
     return met.withColumn("status", status).select("ticker", "status", *map(own, ("cik", "title", "accn", "filed")))
 
 
-def boilerplate(claims: DataFrame, provider: Provider) -> DataFrame:
-    """Claims with ``boilerplate``, in batches; a failing call means none is."""
+def boilerplate(claims: DataFrame, provider: Provider, size: int = BATCH) -> DataFrame:
+    """Claims (claim_id, text) with ``batch`` and ``boilerplate``: every call holds ``size`` texts, in the order of their ids, the last one what is left; a failing call, or one with another number of answers, means none of its texts is."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in claims.schema.fields)
 
-    @F.pandas_udf("boolean")
-    def flags(texts: pd.Series) -> pd.Series:
-        out: list[bool] = []
-        for i in range(0, len(texts), BATCH):
-            part = texts.iloc[i : i + BATCH].tolist()
-            try:
-                got = list(provider.boilerplate(part))
-            except Exception:  # noqa: BLE001
-                got = []
-            out += got if len(got) == len(part) else [False] * len(part)
-        return pd.Series(out, dtype=bool)
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("claim_id")
+        try:
+            got = [bool(x) for x in provider.boilerplate(group["text"].tolist())]
+        except Exception:  # noqa: BLE001
+            got = []
+        return group.assign(boilerplate=got if len(got) == len(group) else False)
 
-    return claims.withColumn("boilerplate", flags("text"))
+    return numbering.batched(claims, size, "claim_id").groupBy("batch").applyInPandas(run, f"{schema}, batch long, boilerplate boolean")
 
 
 def questions_from(chunks: DataFrame, provider: Provider, longest: int = 2000) -> DataFrame:
@@ -358,6 +355,14 @@ def questions_from(chunks: DataFrame, provider: Provider, longest: int = 2000) -
     return got.where(~is_numeric(F.col("question")))
 
 
+GRADES = ("correct", "incorrect", "abstain")
+
+
+def _grade(provider: Provider, question: str, expected: str, got: str | None) -> str:
+    word = provider.grade(question, expected, got or "")
+    return word if word in GRADES else "incorrect"
+
+
 def graded(answers_: DataFrame, provider: Provider) -> DataFrame:
     """``answers_`` (question, expected, got) with ``grade``; an unknown grade is incorrect, a failing call a crash."""
 
@@ -366,8 +371,7 @@ def graded(answers_: DataFrame, provider: Provider) -> DataFrame:
         out = []
         for q, e, g in zip(question, expected, got):
             try:
-                word = provider.grade(q, e, g or "")
-                out.append(word if word in ("correct", "incorrect", "abstain") else "incorrect")
+                out.append(_grade(provider, q, e, g))
             except Exception:  # noqa: BLE001
                 out.append("crash")
         return pd.Series(out, dtype=object)
@@ -375,6 +379,36 @@ def graded(answers_: DataFrame, provider: Provider) -> DataFrame:
     return answers_.withColumn("grade", grade("question", "expected", "got"))
 
 
+def run_cases(cases: DataFrame, respond: Callable[[str], str | None], provider: Provider, tries: int = 2) -> DataFrame:
+    """``cases`` (question, expected) with ``outcome``: model_answer, grade, error, attempts.
+
+    A case is answered by ``respond`` in at most ``tries`` attempts. If none succeeds its
+    grade is crash, with the last error; else the answer is graded, and an answer that cannot be graded is incorrect.
+    """
+
+    @F.pandas_udf("model_answer string, grade string, error string, attempts int")
+    def run(question: pd.Series, expected: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q, e in zip(question, expected):
+            error, got, attempt = None, None, 0
+            for attempt in range(1, tries + 1):
+                try:
+                    got, error = respond(q) or "", None
+                    break
+                except Exception as x:  # noqa: BLE001
+                    error = f"{type(x).__name__}: {x}"
+            if error is not None:
+                rows.append((None, "crash", error, attempt))
+                continue
+            try:
+                rows.append((got, _grade(provider, q, e, got), None, attempt))
+            except Exception as x:  # noqa: BLE001
+                rows.append((got, "incorrect", f"{type(x).__name__}: {x}", attempt))
+        return pd.DataFrame(rows, columns=["model_answer", "grade", "error", "attempts"])
+
+    return cases.withColumn("outcome", run("question", "expected"))
+
+
 def condensed(turns: DataFrame, provider: Provider, history: int = 3) -> DataFrame:
     """The last user turn of each conversation (conv_id, turn, role, text) as a question of its own, from up to three turns before; alone, or if the call fails, it stays as it is."""
     last = turns.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"), F.max("turn").alias("asked"))

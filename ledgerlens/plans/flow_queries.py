@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import payloads
-from ledgerlens.operators import search
+from ledgerlens.operators import evals, search
 from ledgerlens.operators import claims as cl
 from ledgerlens.plans import answers, digest, planner
 from ledgerlens.plans.numeric_queries import facts, stored_points
 from ledgerlens.plans.plan_queries import PANEL_CARDS
-from ledgerlens.plans.projection import ANSWERS, KINDS, as_sql, project
-from ledgerlens.sources.staging import ingested, kept
+from ledgerlens.plans.projection import ANSWERS, KINDS, LOG, as_sql, project
+from ledgerlens.sources.staging import folder, ingested, kept
+from ledgerlens.streaming import events
 
 EMBED = search.HashedWords()
 
@@ -111,6 +113,78 @@ def digest_report(spark, sf_dir):
     return got.select("ticker", F.array_join("figures", "; ").alias("figures"), F.array_join(line, "; ").alias("sections"), "sections_ok", "sections_failed", "summary")
 
 
+class Wavering(answers.RuleProvider):
+    """A pipeline that is down for some questions, answers others only when asked again, some with nothing and some wrongly."""
+
+    def __init__(self):
+        self.asked: set[str] = set()
+
+    def __call__(self, question: str) -> str:
+        n = len(question)
+        if n % 7 == 0:
+            raise RuntimeError("down")
+        if n % 5 == 0 and question not in self.asked:
+            self.asked.add(question)
+            raise TimeoutError("slow")
+        return "" if n % 3 == 0 else question if n % 2 else "nothing of the kind"
+
+
+def graded_cases(spark, sf_dir):
+    """Every benchmark question answered in at most two attempts and graded; a case that crashes twice is a row like others, with its error."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    provider = Wavering()
+    got = answers.run_cases(items.select("item_id", F.col("text").alias("question"), F.substring_index("text", " ", 3).alias("expected")), provider, provider)
+    return got.select("item_id", "outcome.grade", "outcome.error", F.col("outcome.attempts").cast("bigint").alias("attempts"), F.md5("outcome.model_answer").alias("answer"))
+
+
+def graded_summary(spark, sf_dir):
+    """The summary of those cases, crashes counted."""
+    return evals.benchmark_summary(graded_cases(spark, sf_dir).select(F.concat(F.lit("t"), F.col("item_id") % 3).alias("question_type"), "grade"))
+
+
+class Short(answers.RuleProvider):
+    def boilerplate(self, texts):
+        return [len(t) % 3 == 0 for t in texts]
+
+
+def boilerplate_batches(spark, sf_dir):
+    """The calls that turns of conversations are flagged in: sixty texts each, all but the last, whatever partitions they came in."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    claims = turns.select(F.format_string("%012d-%06d", "conv_id", "turn").alias("claim_id"), "conv_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = answers.boilerplate(claims, Short())
+    return got.groupBy("batch").agg(F.count("*").alias("texts"), F.count_if("boilerplate").alias("flagged"), F.min("conv_id").alias("first"), F.max("conv_id").alias("last"))
+
+
+# --- the event log as a stream, in two runs of one checkpoint
+
+def _two_runs(log, more, at, make):
+    """``make`` of a stream over ``log``: half of it is there in the first run, the rest and ``more`` come before the second."""
+    half = F.to_date("ts") <= F.lit("2024-01-15").cast("date")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields)
+    for part in (log.where(half), log.where(~half).unionByName(more)):
+        part.write.mode("append").json(f"{at}/log")
+        stream = events.tail(log.sparkSession, f"{at}/log", schema, files_per_trigger=100_000)
+        events.to_batches(make(stream), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+
+
+def progress_stream(spark, sf_dir):
+    """What a reader is told of the evaluations' stages, each once, though the log was read in two runs."""
+    at = f"{folder(spark)}/ledgerlens/progress-{uuid.uuid4().hex}"
+    log = project(spark, sf_dir, LOG).select(F.col("ts").cast("timestamp").alias("ts"), "event", F.concat(F.regexp_extract("query_id", "^[a-z]+_?", 0), "visitor").alias("query_id"), "stage")
+    _two_runs(log, log.where("stage = 'route'"), at, lambda tail: events.progress(tail, "eval_", "3000 days"))
+    return spark.read.parquet(f"{at}/out").select("query_id", "stage", "label")
+
+
+def session_stream(spark, sf_dir):
+    """Visitors' sessions, by session windows over the log in two runs: one that is open when the first run ends goes on in the second."""
+    at = f"{folder(spark)}/ledgerlens/sessions-{uuid.uuid4().hex}"
+    log = project(spark, sf_dir, LOG).select(F.col("ts").cast("timestamp").alias("ts"), F.col("visitor").cast("string").alias("visitor"))
+    end = spark.sql("SELECT timestamp '2100-01-01' AS ts, 'end' AS visitor")
+    _two_runs(log, end, at, lambda tail: events.sessions(tail, gap="6 hours", late="12 hours"))
+    moment = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return spark.read.parquet(f"{at}/out").select("visitor", moment("start").alias("start"), moment("last").alias("last"), "n")
+
+
 def payload_answers(spark, sf_dir):
     """What is saved of an answer in each of the shapes that it comes in; null if it cannot be used."""
     got = project(spark, sf_dir, ANSWERS).select("conv_id", "turn", payloads.answer(F.col("raw")).alias("a"))
@@ -180,6 +254,15 @@ company AS (SELECT ticker, string_agg(key || ':' || attempt || ':' || CASE WHEN
   list(title || ': ' || substr(summary, 1, 200) ORDER BY place) FILTER (coalesce(summary, '') <> '') AS said FROM parts GROUP BY ticker),
 lines AS (SELECT n.name AS ticker, list(text ORDER BY i) AS figures FROM panel JOIN n ON n.cik = panel.cik GROUP BY n.name)
 SELECT c.ticker, coalesce(array_to_string(l.figures, '; '), '') AS figures, c.sections, c.sections_ok, c.sections_failed, array_to_string(list_concat(coalesce(l.figures, [])[1:3], coalesce(c.said, [])), ' | ') AS summary FROM company AS c LEFT JOIN lines AS l ON l.ticker = c.ticker""",
+    "graded_cases": "SELECT item_id, CASE WHEN n % 7 = 0 THEN 'crash' WHEN n % 3 = 0 THEN 'abstain' WHEN n % 2 = 1 OR contains('nothing of the kind', e) THEN 'correct' ELSE 'incorrect' END AS grade, CASE WHEN n % 7 = 0 THEN 'RuntimeError: down' END AS error, CASE WHEN n % 7 = 0 OR n % 5 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN n % 7 <> 0 THEN md5(CASE WHEN n % 3 = 0 THEN '' WHEN n % 2 = 1 THEN text ELSE 'nothing of the kind' END) END AS answer FROM (SELECT *, length(text) AS n, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS e FROM benchmark)",
+    "graded_summary": """WITH g AS (SELECT 't' || (item_id % 3) AS question_type, CASE WHEN n % 7 = 0 THEN 'crash' WHEN n % 3 = 0 THEN 'abstain' WHEN n % 2 = 1 OR contains('nothing of the kind', e) THEN 'correct' ELSE 'incorrect' END AS grade FROM (SELECT *, length(text) AS n, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS e FROM benchmark))
+SELECT question_type, count(*) AS total, count(*) FILTER (grade = 'correct') AS correct, count(*) FILTER (grade = 'incorrect') AS incorrect, count(*) FILTER (grade = 'abstain') AS abstain, count(*) FILTER (grade = 'crash') AS crash, round(count(*) FILTER (grade = 'correct') / count(*), 3) AS accuracy,
+  round(coalesce(count(*) FILTER (grade = 'correct') / nullif(count(*) FILTER (grade IN ('correct', 'incorrect')), 0), 0), 3) AS answered_accuracy, round(count(*) FILTER (grade = 'incorrect') / count(*), 3) AS hallucination_rate FROM g GROUP BY ROLLUP (question_type)""",
+    "boilerplate_batches": "SELECT batch, count(*) AS texts, count(*) FILTER (length(t) % 3 = 0) AS flagged, min(conv_id) AS first, max(conv_id) AS last FROM (SELECT *, coalesce(text, '') AS t, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 60 AS batch FROM conversations) GROUP BY batch",
+    "progress_stream": f"SELECT DISTINCT 'eval_' || visitor AS query_id, stage, CASE stage WHEN 'route' THEN '{events.STAGES['route']}' WHEN 'generate' THEN '{events.STAGES['generate']}' ELSE '{events.STAGES['verify']}' END AS label FROM ({as_sql(LOG)}) WHERE query_id LIKE 'eval\\_%' ESCAPE '\\' AND event = 'llm_call'",
+    "session_stream": f"""WITH l AS (SELECT visitor, ts, CASE WHEN lag(ts) OVER (PARTITION BY visitor ORDER BY ts) > ts - INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM ({as_sql(LOG)})),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY visitor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT CAST(visitor AS VARCHAR) AS visitor, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM s GROUP BY visitor, run""",
     "payload_answers": f"""SELECT conv_id, turn, shape <= 10 AS usable, CASE WHEN shape IN (0, 1, 4, 5, 7) THEN 's' WHEN shape <= 10 THEN '' END AS summary, CASE WHEN shape <= 10 THEN md5(CASE WHEN trim(text) = '' THEN '' ELSE
   concat(text, '|', CASE shape WHEN 6 THEN 'c1|risk' WHEN 8 THEN '|insight' WHEN 10 THEN 'c9|insight' ELSE 'c1,c2|risk' END) END) END AS claims FROM ({as_sql(ANSWERS)})""",
     "payload_kinds": f"""SELECT conv_id, turn, CASE shape WHEN 0 THEN 'a' || conv_id || '|SUPPORTED|' || md5(text) ELSE '' END AS verdicts,
@@ -187,4 +270,4 @@ SELECT c.ticker, coalesce(array_to_string(l.figures, '; '), '') AS figures, c.se
   CASE shape WHEN 0 THEN 'numeric' WHEN 2 THEN 'hybrid' ELSE 'narrative' END AS route, CASE shape WHEN 0 THEN 'cagr|revenue|-|3|' WHEN 2 THEN 'value|m|2024|-|A,B' ELSE '' END AS queries, CASE shape WHEN 0 THEN 'AAPL' ELSE '' END AS companies, '' AS refusal, shape = 0 AS fully_answers,
   CASE shape WHEN 0 THEN CASE WHEN trim(text) = '' THEN '' ELSE 'k' || conv_id || '|' || md5(text) END ELSE '' END AS questions FROM ({as_sql(KINDS)})""",
 }
-QUERIES = {f.__name__: f for f in (retrieved_texts, answer_rounds, digest_report, payload_answers, payload_kinds)}
+QUERIES = {f.__name__: f for f in (retrieved_texts, answer_rounds, digest_report, graded_cases, graded_summary, boilerplate_batches, progress_stream, session_stream, payload_answers, payload_kinds)}

@@ -11,7 +11,7 @@ from ledgerlens.functions import figures, presentation
 from ledgerlens.operators import chunking, claims, evals, matching, retrieval
 from ledgerlens.plans.numeric_queries import BASE, POINTS, facts, stored_points
 from ledgerlens.plans.projection import FIGURES, FILINGS, JUDGED, LOG, as_sql, project
-from ledgerlens.sources import sinks
+from ledgerlens.sources import sinks, versions
 from ledgerlens.sources.staging import folder, ingested
 
 
@@ -292,16 +292,21 @@ def sample_deterministic(spark, sf_dir):
 
 
 def upsert_latest(spark, sf_dir):
-    """Two writes of a key: the later one stands."""
+    """A table written twice: in the second version some keys come twice in one write, and the later one stands."""
     d = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    again = d.where("doc_id % 4 = 0").select("doc_id", F.lit("new").alias("source"))
-    return sinks.upserted(d, again, ["doc_id"]).groupBy("source").agg(F.count("*").alias("n"))
+    table = versions.Table(spark, f"{folder(spark)}/ledgerlens/upserted-{uuid.uuid4().hex}", ["doc_id"])
+    table.upsert(d.withColumn("seq", F.lit(0)), "seq")
+    some = d.where("doc_id % 4 = 0").select("doc_id", F.explode(F.array(F.struct(F.lit("old").alias("source"), F.lit(1).alias("seq")), F.struct(F.lit("new").alias("source"), F.lit(2).alias("seq")))).alias("x")).select("doc_id", "x.*")
+    table.upsert(some, "seq")
+    return table.read().select("doc_id", "source", F.col("seq").cast("bigint").alias("seq"))
 
 
 def ingest_missing(spark, sf_dir):
-    """Documents whose id no label has: what an interrupted run still has to take in."""
-    d, l = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return sinks.absent(l, d.select("doc_id", "source"), ["doc_id"]).groupBy("source").agg(F.count("*").alias("missing"))
+    """What an interrupted run still has to take in: documents whose id is not there are added, the others stay as they are."""
+    table = versions.Table(spark, f"{folder(spark)}/ledgerlens/taken-in-{uuid.uuid4().hex}", ["doc_id"])
+    table.upsert(_table(spark, sf_dir, "labels").select("doc_id", F.lit("labelled").alias("source"), F.lit(0).alias("seq")), "seq")
+    table.insert_absent(_table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).alias("seq")), "seq")
+    return table.read().select("doc_id", "source")
 
 
 def replace_by_key(spark, sf_dir):
@@ -497,8 +502,8 @@ SELECT n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN lpad(CAST(n_nationkey
 FROM nation AS a JOIN nation AS b ON b.n_nationkey = a.n_nationkey + 1 JOIN nation AS c ON c.n_nationkey = a.n_nationkey + 2""",
     "history_last3": "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "sample_deterministic": "SELECT doc_id, source FROM documents WHERE length(text) >= 500 QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('smoke' || doc_id), doc_id) <= 3",
-    "upsert_latest": "SELECT CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE source END AS source, count(*) AS n FROM documents GROUP BY 1",
-    "ingest_missing": "SELECT source, count(*) AS missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source",
+    "upsert_latest": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE max(source) END AS source, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END AS seq FROM documents GROUP BY doc_id",
+    "ingest_missing": "SELECT DISTINCT doc_id, 'labelled' AS source FROM labels UNION ALL SELECT doc_id, min(source) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id",
     "replace_by_key": f"WITH {BASE}\nSELECT cik, count(*) AS n FROM facts WHERE cik % 5 <> 0 OR accn LIKE 'K-%' GROUP BY cik",
     "drop_stale_cards": _CARDS + "SELECT c.cik, c.card_id FROM cards AS c LEFT JOIN newest AS a ON a.cik = c.cik AND a.metric = 'revenue' WHERE fy_given OR a.fy IS NULL OR list_max(list_transform(source_ends, lambda d: year(d))) >= a.fy",
     "subsume_cards": _CARDS
