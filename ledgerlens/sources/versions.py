@@ -85,6 +85,11 @@ class Table:
     def _dealt(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn(self._bucket, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
+    def _without(self, rows: DataFrame, others: DataFrame) -> DataFrame:
+        """``rows`` whose keys are none of ``others``'; null keys are equal to each other."""
+        named = others.select(*[F.col(k).alias(f"_other_{k}") for k in self.keys])
+        return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in self.keys], "left_anti")
+
     def _write(self, rows: DataFrame) -> dict[str, list[str]]:
         """New folders of ``rows`` (with their bucket), by bucket."""
         name = f"data-{uuid.uuid4().hex}"
@@ -105,7 +110,7 @@ class Table:
         dealt = self._dealt(last)
         touched = self._touched(dealt)
         old = self.read(now, touched)
-        whole = dealt if old is None else self._dealt(old.join(last.select(*self.keys), list(self.keys), "left_anti")).unionByName(dealt)
+        whole = dealt if old is None else self._dealt(self._without(old, last)).unionByName(dealt)
         made = self._write(whole)
         folders = {b: f for b, f in found["folders"].items() if int(b) not in touched} | made
         return self._commit(now + 1, {"schema": found["schema"] or schema, "folders": folders})
@@ -117,7 +122,7 @@ class Table:
         first = fresh.groupBy(*self.keys).agg(F.min(F.struct(seq, *rest)).alias("_r")).select(*self.keys, f"_r.{seq}", *[f"_r.{c}" for c in rest])
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields)
         old = self.read(now)
-        new = self._dealt(first if old is None else first.join(old.select(*self.keys), list(self.keys), "left_anti"))
+        new = self._dealt(first if old is None else self._without(first, old))
         made = self._write(new)
         if now and not made:
             return now
