@@ -185,8 +185,10 @@ panel AS (
 _BLOCK_TAGS = "p|div|tr|table|br|li|h1|h2|h3|h4|h5|h6"
 _PAGE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g')"
 _PAGE = rf"regexp_replace(regexp_replace(regexp_replace({_PAGE}, '(?s)<!--.*?-->', '', 'g'), '(?i)</?(?:{_BLOCK_TAGS})\b[^>]*>', chr(10), 'g'), '<[!/a-zA-Z][^>]*>', '', 'g')"
-for _name, _code in (("&nbsp;", 32), ("&#160;", 32), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&copy;", 169), ("&middot;", 183), ("&amp;", 38)):
+# the references that the pages hold, with their old forms; an ampersand last, so that what it begins is not decoded again
+for _name, _code in (("&nbsp;", 160), ("&#160;", 160), ("&amp;", 1), ("&amp", 1), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&quot", 34), ("&#39;", 39), ("&copy;", 169), ("&middot;", 183)):
     _PAGE = f"replace({_PAGE}, '{_name}', chr({_code}))"
+_PAGE = f"replace({_PAGE}, chr(1), '&')"
 _PAGE = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({_PAGE}, chr(160), ' '), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 SQL = {

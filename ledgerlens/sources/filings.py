@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerlens.functions import registry
 
@@ -87,16 +91,26 @@ def statement_pages(summaries: DataFrame) -> DataFrame:
     return told.groupBy("cik", "accn", "stmt").agg(F.min_by("r.HtmlFileName", "pos").alias("html_file"))
 
 
-def page_text(html: Column) -> Column:
-    """A filing page's text by rules: scripts and styles go, block tags break lines, blanks and empty lines collapse."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, rf"(?i)</?(?:{_BLOCKS})\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[!/a-zA-Z][^>]*>", "")
-    for name, to in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(to))
-    t = F.regexp_replace(F.replace(t, F.lit(" "), F.lit(" ")), r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+#: What may stand in a tag up to its end: quoted values may hold the sign that ends it.
+_INSIDE = r"""(?:[^>=]++|=[=\s]*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+#: Blanks at the ends of a text.
+_BLANK = r"[\s\x1c-\x1f\x85\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    """Character references, numbered, named, and the old ones without a semicolon, as HTML reads them."""
+    return pd.Series([html.unescape(t) if t and "&" in t else t for t in texts], dtype=object)
+
+
+def page_text(page: Column) -> Column:
+    """A filing page's text: scripts and styles go, to the page's end if they never close; comments and other markup go; block tags break lines; character references are decoded; blanks and empty lines collapse."""
+    t = F.regexp_replace(page, rf"(?is)<(script|style)(?=[\s/>]){_INSIDE}>.*?(?:</\1(?=[\s/>])[^>]*+>|\z)", "")
+    t = F.regexp_replace(t, r"(?s)<!--(?:-?>|.*?(?:--!?>|\z))", "")
+    t = F.regexp_replace(t, rf"(?is)</?(?:{_BLOCKS})(?=[\s/>]){_INSIDE}>", "\n")
+    t = F.regexp_replace(t, rf"(?s)</?[a-zA-Z]{_INSIDE}>|<[!?/][^>]*+>", "")
+    t = F.regexp_replace(F.translate(_decoded(t), "\u00a0", " "), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"), rf"^{_BLANK}|{_BLANK}$", "")
 
 
 def filing_texts(spark: SparkSession, path: str, meta: DataFrame | None = None, shortest: int = 10_000) -> DataFrame:

@@ -149,3 +149,54 @@ def test_digest_fails_softly(spark):
 def test_hashed_words(text):
     a, b = search.HashedWords(8)([text, text.upper() if text.isascii() else text])
     assert (a == b).all() and abs(a).sum() <= len(text.split()) * (2 if not text.isascii() else 1) + 1
+
+
+class Reader(__import__("html.parser").parser.HTMLParser):
+    """Page text by the standard library's parser, event by event."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.skip = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style")
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style") and self.skip > 0
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(data)
+
+    BLOCKS = frozenset("p div tr table br li h1 h2 h3 h4 h5 h6".split())
+
+
+def test_page_text_as_the_parser_reads_it(spark):
+    """Every page of a test table, and odd ones: quoted signs, what never closes, all kinds of character references."""
+    odd = ['<p title="a > b">x</p>y', "<p title='a > b' c=d>x", "<script>var a='<p>';</script>z", "a<script>never closed <p>x", "<style>x</style >t", "a <!-- c > d --> b", "a < b & c", "1 <2> 3"]
+    odd += ["&#8217;&#8220;x&#8221;&#8212;&nbsp;y&hellip;", "&notit; &#0; &#x110000; &#128; &amp;lt;b&amp;gt; &#X41;&#65", "<br/>x<BR>y<Li>z", "<!DOCTYPE html><p>a", "<?xml a?>b", "<a href=x>y</a>", "<div\nclass='a>b'\n>t", "x\x85", "<p/>q", "<scripty>x</scripty>"]
+    odd += ["&amp x &quot;", "<table><tr><td>1</td><td>2</td></tr></table>", "a\n\n\n\n b \t c\n", "<p " + "a=1 " * 20_000 + ">x", "<p " + "=" * 50_000 + ">x", "", "no markup"]
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()] if __import__("os").path.exists("/root/testdata/sf0.001") else []
+
+    def want(page):
+        import re
+
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        text = re.sub(r"[ \t]+", " ", "".join(reader.out).replace("\xa0", " "))
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", text)).strip()
+
+    from ledgerlens.sources import filings
+
+    rows = list(enumerate([*odd, *pages]))
+    got = {r.i: r.t for r in spark.createDataFrame([*rows, (9999, None)], "i int, h string").select("i", filings.page_text(F.col("h")).alias("t")).collect()}
+    assert got.pop(9999) is None
+    for i, page in rows:
+        assert got[i] == want(page), page[:200]
+    # browsers end what never closes where the page ends
+    assert spark.range(1).select(filings.page_text(F.lit("a <!-- open <p>b"))).first()[0] == "a"
