@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import presentation, registry
 from ledgerlens.operators import claims as cl
-from ledgerlens.operators import matching, numbering, retrieval
+from ledgerlens.operators import evals, matching, numbering, retrieval
 from ledgerlens.operators.facts import Points
 from ledgerlens.plans import planner
 from ledgerlens.sources import filings
@@ -339,8 +339,8 @@ def boilerplate(claims: DataFrame, provider: Provider, size: int = BATCH) -> Dat
     return numbering.batched(claims, size, "claim_id").groupBy("batch").applyInPandas(run, f"{schema}, batch long, boilerplate boolean")
 
 
-def questions_from(chunks: DataFrame, provider: Provider, longest: int = 2000) -> DataFrame:
-    """``ticker, chunk_id, question``: one call for each ticker's chunks; unknown chunks and numeric questions go."""
+def questions_from(chunks: DataFrame, provider: Provider, longest: int = 2000, n: int = 5, seed: str = "smoke") -> DataFrame:
+    """``ticker, chunk_id, question``: one call for each ticker, about ``n`` of its chunks (ticker, chunk_id, text), the same on every run; unknown chunks and numeric questions go."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         try:
@@ -351,7 +351,8 @@ def questions_from(chunks: DataFrame, provider: Provider, longest: int = 2000) -
         rows = [(group["ticker"].iloc[0], g["chunk_id"], g["question"].strip()) for g in got if g.get("chunk_id") in known and str(g.get("question", "")).strip()]
         return pd.DataFrame(rows, columns=["ticker", "chunk_id", "question"])
 
-    got = chunks.select("ticker", "chunk_id", "text").groupBy("ticker").applyInPandas(run, "ticker string, chunk_id string, question string")
+    some = evals.sample(chunks.select("ticker", "chunk_id", "text"), "chunk_id", "ticker", n, seed)
+    got = some.groupBy("ticker").applyInPandas(run, "ticker string, chunk_id string, question string")
     return got.where(~is_numeric(F.col("question")))
 
 

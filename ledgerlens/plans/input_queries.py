@@ -12,7 +12,7 @@ from ledgerlens.operators import benchmarks, claims, evals, retrieval
 from ledgerlens.plans import answers, flow_queries, narrative_queries, schema
 from ledgerlens.plans.numeric_queries import BASE, POINTS, facts, stored_points
 from ledgerlens.plans.projection import FIGURES, FILINGS, JUDGED, LOG, as_sql, project
-from ledgerlens.sources import filings
+from ledgerlens.sources import filings, sinks
 from ledgerlens.sources.staging import folder, put
 from ledgerlens.streaming import events as stream
 
@@ -112,19 +112,57 @@ def filing_texts(spark, sf_dir):
 
 
 def event_lines(spark, sf_dir):
-    """A log with blank and broken lines."""
+    """A log with blank and broken lines, read back."""
     path = _place(spark, "log")
-    lines = [json.dumps({"ts": f"2024-01-{1 + i % 5:02d}T00:00:00+00:00", "event": ("llm_call", "query_received")[i % 2], "query_id": f"q{i}"}) for i in range(200)]
-    put(spark, f"{path}/events.jsonl", "\n".join(x for i, line in enumerate(lines) for x in ((line, "", "{broken") if i % 50 == 7 else (line,))))
+    log = project(spark, sf_dir, LOG).select("event_id", F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "event", "query_id")).alias("line"))
+    lines = F.when(F.col("event_id") % 50 == 7, F.array("line", F.lit(""), F.lit("{broken"))).otherwise(F.array("line"))
+    log.select(F.explode(lines).alias("value")).write.text(path)
     got = filings.json_lines(spark, path, "ts string, event string, query_id string").where("event = 'llm_call'")
-    return got.groupBy(F.substring("ts", 1, 10).alias("day")).agg(F.count("*").alias("n"))
+    return got.groupBy(F.substring("ts", 1, 10).alias("day")).agg(F.count("*").alias("n"), F.min("query_id").alias("first"))
 
 
 def golden_cases(spark, sf_dir):
-    """The cases of a golden set."""
+    """The cases of a golden set, which is one file by nature, made of the benchmark's items."""
     path = _place(spark, "golden")
-    put(spark, f"{path}/golden.json", json.dumps({"about": "a set", "cases": [{"case_id": f"c{i}", "kind": ("narrative", "numeric")[i % 2], "question": f"What of {i}?"} for i in range(36)]}, indent=1))
-    return filings.cases(spark, path, "case_id:string,kind:string,question:string").groupBy("kind").agg(F.count("*").alias("n"), F.min("question").alias("first"))
+    case = F.struct(F.concat(F.lit("c"), "item_id").alias("case_id"), F.when(F.col("item_id") % 2 == 0, "narrative").otherwise("numeric").alias("kind"), F.col("text").alias("question"))
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").agg(F.to_json(F.struct(F.lit("a set").alias("about"), F.collect_list(case).alias("cases"))).alias("value")).write.text(path)
+    return filings.cases(spark, path, "case_id:string,kind:string,question:string").select("case_id", "kind", F.md5("question").alias("question"))
+
+
+def report_files(spark, sf_dir):
+    """Reports stored as JSON and read back."""
+    path = _place(spark, "reports")
+    sinks.reports_json(claims.report(project(spark, sf_dir, JUDGED)), path)
+    got = spark.read.schema("query_id string, displayed long, unverified long, blocked long, risk_flags long, unsupported_rate double, credibility double").json(path)
+    return got.withColumns({c: F.round(c, 6) for c in ("unsupported_rate", "credibility")})
+
+
+def rejudged_results(spark, sf_dir):
+    """Stored results under the present rule; what old files lack counts against them, but for the probes."""
+    j = project(spark, sf_dir, JUDGED).groupBy("query_id").agg(F.min("doc_id").alias("m"), claims.unsupported_rate(F.col("verdict")).alias("rate"))
+    stored = j.select("query_id", F.when(F.col("m") % 5 > 0, F.when(F.col("m") % 7 == 0, 1).otherwise(0)).alias("n_crashed"), F.when(F.col("m") % 11 > 0, F.col("rate") / 20).alias("unsupported_rate"), F.when(F.col("m") % 3 > 0, F.col("m") % 4 > 0).alias("numeric_ok"))
+    return evals.rejudged(stored).select("query_id", "passed")
+
+
+def smoke_questions(spark, sf_dir):
+    """Questions about three chunks of every source, numeric ones left out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) >= 500").select(F.col("source").alias("ticker"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    return answers.questions_from(docs, answers.RuleProvider(), n=3)
+
+
+def condensed_questions(spark, sf_dir):
+    """The last question of every conversation, told with what was said before it."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    return answers.condensed(turns, answers.RuleProvider()).select("conv_id", F.md5("question").alias("question"))
+
+
+#: Rows of tables whose cells lost what stood between them.
+_CELLS = """SELECT event_id, concat('Americas$', user_id, ' %$', event_id, CASE WHEN event_id % 3 = 0 THEN concat(chr(10), user_id, 'Change', event_id) ELSE ' (net)' END, event_id % 7, '%(', user_id, ')') AS text FROM {events}"""
+
+
+def table_rows(spark, sf_dir):
+    """Cells set apart again."""
+    return project(spark, sf_dir, _CELLS).select("event_id", presentation.readable_rows(F.col("text")).alias("text"))
 
 
 def onboarding_status(spark, sf_dir):
@@ -305,8 +343,18 @@ SELECT CAST(r.cik AS VARCHAR) AS query_id, ticker, CASE WHEN has THEN 'numeric'
     "filing_documents": _SUBS + "SELECT cik, deep, count(*) AS n FROM f, (VALUES (false), (true)) AS d(deep) WHERE has_doc AND (deep OR block = 0) GROUP BY cik, deep",
     "statement_pages": "SELECT CAST(n_nationkey AS BIGINT) AS cik, stmt, html_file FROM nation JOIN (VALUES (0, 'balance', 'R3.htm'), (0, 'income', 'R5.htm'), (0, 'cashflow', 'R7.htm'), (1, 'balance', 'R2.htm')) AS t(k, stmt, html_file) ON n_nationkey % 3 = t.k",
     "filing_texts": "SELECT 'N' || n_nationkey || '_10K' || CASE WHEN n_nationkey % 2 = 0 THEN '_20' || lpad(CAST(n_nationkey % 24 AS VARCHAR), 2, '0') ELSE '' END AS doc_id, CAST((n_nationkey + 1) * 1000 AS BIGINT) AS n_chars FROM nation WHERE (n_nationkey + 1) * 1000 >= 10000",
-    "event_lines": "SELECT '2024-01-0' || (1 + i % 5) AS day, count(*) AS n FROM (SELECT unnest(range(0, 200)) AS i) WHERE i % 2 = 0 GROUP BY 1",
-    "golden_cases": "SELECT CASE i % 2 WHEN 0 THEN 'narrative' ELSE 'numeric' END AS kind, count(*) AS n, min('What of ' || i || '?') AS first FROM (SELECT unnest(range(0, 36)) AS i) GROUP BY 1",
+    "event_lines": f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(query_id) AS first FROM ({as_sql(LOG)}) WHERE event = 'llm_call' GROUP BY 1",
+    "golden_cases": "SELECT 'c' || item_id AS case_id, CASE item_id % 2 WHEN 0 THEN 'narrative' ELSE 'numeric' END AS kind, md5(text) AS question FROM benchmark",
+    "report_files": narrative_queries.SQL["credibility_report"],
+    "rejudged_results": f"""SELECT query_id, CASE WHEN m % 5 > 0 AND m % 7 <> 0 AND m % 11 > 0 AND rate / 20 <= {evals.UNSUPPORTED_MOST} AND (m % 3 = 0 OR m % 4 > 0) THEN true ELSE false END AS passed
+FROM (SELECT query_id, min(doc_id) AS m, avg(CASE WHEN verdict = 'SUPPORTED' THEN 0.0 ELSE 1.0 END) AS rate FROM ({as_sql(JUDGED)}) GROUP BY query_id)""",
+    "smoke_questions": f"""SELECT ticker, chunk_id, question FROM (SELECT source AS ticker, CAST(doc_id AS VARCHAR) AS chunk_id, 'What is said of ' || array_to_string(list_filter(regexp_split_to_array(substr(text, 1, 2000), '\\s+'), lambda x: x <> '')[1:3], ' ') || '?' AS question
+  FROM documents WHERE length(text) >= 500 QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('smoke' || doc_id), CAST(doc_id AS VARCHAR)) <= 3) WHERE NOT regexp_matches(question, '{answers.NUMERIC}')""",
+    "condensed_questions": """WITH u AS (SELECT conv_id, max(turn) AS asked FROM conversations WHERE role = 'user' GROUP BY conv_id),
+p AS (SELECT c.conv_id, max(c.turn) AS before FROM conversations AS c JOIN u ON u.conv_id = c.conv_id AND c.turn < u.asked GROUP BY c.conv_id)
+SELECT u.conv_id, md5(coalesce(q.text, '') || CASE WHEN p.before IS NULL THEN '' ELSE ' (after: ' || coalesce(b.text, '') || ')' END) AS question
+FROM u JOIN conversations AS q ON q.conv_id = u.conv_id AND q.turn = u.asked LEFT JOIN p ON p.conv_id = u.conv_id LEFT JOIN conversations AS b ON b.conv_id = p.conv_id AND b.turn = p.before""",
+    "table_rows": f"""SELECT event_id, regexp_replace(regexp_replace(regexp_replace(text, '(\\d)Change(\\d)', '\\1  |  Change  |  \\2', 'g'), '([A-Za-z)])(\\$?\\d)', '\\1   \\2', 'g'), '(%)[^\\S\\n]*(\\(?\\$?\\d)', '\\1   |   \\2', 'g') AS text FROM ({as_sql(_CELLS)})""",
     "benchmark_documents": _BENCH + "SELECT doc_name, company, fy, cik, CASE WHEN id % 2 = 0 THEN cik END AS scope_cik, CASE WHEN id % 2 = 0 THEN 'acc-' || id END AS scope_accn FROM docs",
     "benchmark_cases": _BENCH + "SELECT case_id, doc_name, question_type, row_number() OVER (ORDER BY case_id) AS place FROM q WHERE question_type IN ('t0', 't1') AND doc_name IN (SELECT doc_name FROM docs) ORDER BY case_id LIMIT 30",
     "suspect_documents": _BENCH.rstrip() + """,
@@ -333,7 +381,7 @@ SELECT cik, string_agg(form || ' ' || accn, ' · ' ORDER BY pos) AS links FROM f
 }
 
 _FUNCTIONS = (
-    company_payloads, listed_tickers, latest_annual_filing, filing_of_year, filing_documents, onboarding_status, answer_reports, statement_pages, filing_texts, event_lines, golden_cases, benchmark_documents, benchmark_cases, suspect_documents,
+    company_payloads, listed_tickers, latest_annual_filing, filing_of_year, filing_documents, onboarding_status, answer_reports, statement_pages, filing_texts, event_lines, golden_cases, report_files, rejudged_results, smoke_questions, condensed_questions, table_rows, benchmark_documents, benchmark_cases, suspect_documents,
     citation_whitelist, risk_signals, pinned_documents, chunks_by_id, stages_once_stream, exhibits_appended, run_summary, digest_scorecard, section_order, source_links, embedding_prefixes, judge_models, schema_tables,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}

@@ -63,17 +63,31 @@ def scoped_cards(spark, sf_dir):
     return planner.answered(asked, stored_points(spark, sf_dir), facts(spark, sf_dir)).select("answer_id", "fy", F.round("value", 4).alias("value"), "text")
 
 
+def query_refusals(spark, sf_dir):
+    """Questions of eighteen kinds to every company that have no card, each with its reason."""
+    asked = _asked(spark, sf_dir)
+    return planner.refused(asked, planner.execute(asked, stored_points(spark, sf_dir), facts(spark, sf_dir)))
+
+
+_NAMES = {"op": ("value", "yoy", "cagr", "average", "q4", "series", "compare", "ratio", "guess"), "metric": ("revenue", "net_margin", "quick_ratio", "current_assets", "nonsense")}
+
+
 def query_precedence(spark, sf_dir):
-    q = spark.createDataFrame([(o, m) for o in ("value", "yoy", "cagr", "average", "q4", "series", "compare", "ratio", "guess") for m in ("revenue", "net_margin", "quick_ratio", "current_assets", "nonsense")], "op string, metric string")
-    return q.select("op", "metric", planner.route(F.col("op"), F.col("metric")).alias("path"))
+    """Which way answers what each order stands for: an operation by its key, a metric by its customer's."""
+    pick = lambda name, key: F.element_at(F.array(*map(F.lit, _NAMES[name])), (F.col(key) % len(_NAMES[name]) + 1).cast("int")).alias(name)
+    q = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", pick("op", "o_orderkey"), pick("metric", "o_custkey"))
+    return q.select("o_orderkey", "op", "metric", planner.route(F.col("op"), F.col("metric")).alias("path"))
 
 
-_ROUTES = [(r, n, w, f, q) for r in ("numeric", "hybrid", "narrative", "out_of_scope", "odd") for n in (0, 2) for w in ("", "no advice") for f in (False, True) for q in ("What was revenue?", "Write a poem")]
+#: A router's word on every turn of a conversation, worded for both engines.
+_ROUTED = """SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'numeric' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'narrative' WHEN 3 THEN 'out_of_scope' ELSE 'odd' END AS route, CASE WHEN turn % 2 = 0 THEN 0 ELSE 2 END AS n,
+  CASE WHEN (conv_id + turn) % 3 = 0 THEN 'no advice' ELSE '' END AS refusal, turn % 4 >= 2 AS fully, concat(substring(coalesce(text, ''), 1, 60), CASE WHEN conv_id % 4 < 2 THEN ' What was revenue?' ELSE ' Write a poem' END) AS question FROM {conversations}"""
 
 
 def route_contract(spark, sf_dir):
-    q = spark.createDataFrame(_ROUTES, "route string, n int, refusal string, fully boolean, question string")
-    return q.select("route", "n", "refusal", "fully", "question", answers.settled_route(F.col("route"), F.col("n"), F.col("refusal"), F.col("fully"), F.col("question")).alias("settled"))
+    """The router's word under its guards, for every turn of a conversation."""
+    settled = answers.settled_route(F.col("route"), F.col("n"), F.col("refusal"), F.col("fully"), F.col("question"))
+    return project(spark, sf_dir, _ROUTED).select("conv_id", "turn", "route", settled.alias("settled"))
 
 
 def html_to_text(spark, sf_dir):
@@ -170,11 +184,12 @@ cards AS (
   UNION ALL SELECT a.cik, 3, a.fy, a.value - l.value, n.name || ' working capital FY' || a.fy || ': ' || {_money('(a.value - l.value)')} || ' (= {registry.DERIVED['working_capital'][3]}; ' || {_PART('a')} || ', ' || {_PART('l')} || ')', [{_FACT.format('a')}, {_FACT.format('l')}]
     FROM newest AS a JOIN n ON n.cik = a.cik JOIN years AS l ON l.cik = a.cik AND l.fy = a.fy AND l.metric = 'current_liabilities' WHERE a.metric = 'current_assets')
 SELECT CAST(a.cik AS VARCHAR) AS answer_id, a.fy, round(a.value, 4) AS value, a.text FROM cards AS a WHERE NOT EXISTS (SELECT 1 FROM cards AS b WHERE b.cik = a.cik AND b.i <> a.i AND len(list_filter(a.sources, lambda s: NOT list_contains(b.sources, s))) = 0 AND len(list_filter(b.sources, lambda s: NOT list_contains(a.sources, s))) > 0)"""
-_PATHS = f"""WITH q AS (SELECT * FROM (SELECT unnest(['value', 'yoy', 'cagr', 'average', 'q4', 'series', 'compare', 'ratio', 'guess']) AS op), (SELECT unnest(['revenue', 'net_margin', 'quick_ratio', 'current_assets', 'nonsense']) AS metric))
-SELECT op, metric, CASE WHEN metric = 'quick_ratio' THEN 'derived' WHEN metric = 'net_margin' THEN CASE WHEN op IN ('average', 'series') THEN 'ratio_' || op ELSE 'ratio' END WHEN op = 'ratio' OR metric = 'nonsense' THEN NULL
+_PATHS = f"""WITH q AS (SELECT o_orderkey, {list(_NAMES['op'])}[o_orderkey % {len(_NAMES['op'])} + 1] AS op, {list(_NAMES['metric'])}[o_custkey % {len(_NAMES['metric'])} + 1] AS metric FROM orders)
+SELECT o_orderkey, op, metric, CASE WHEN metric = 'quick_ratio' THEN 'derived' WHEN metric = 'net_margin' THEN CASE WHEN op IN ('average', 'series') THEN 'ratio_' || op ELSE 'ratio' END WHEN op = 'ratio' OR metric = 'nonsense' THEN NULL
   WHEN op = 'q4' THEN CASE WHEN metric = 'revenue' THEN 'q4' END WHEN op IN ('yoy', 'cagr', 'average', 'series', 'compare') THEN op ELSE 'value' END AS path FROM q"""
-_ROUTE_SQL = """WITH q AS (SELECT * FROM (SELECT unnest(['numeric', 'hybrid', 'narrative', 'out_of_scope', 'odd']) AS route), (SELECT unnest([0, 2]) AS n), (SELECT unnest(['', 'no advice']) AS refusal), (SELECT unnest([false, true]) AS fully), (SELECT unnest(['What was revenue?', 'Write a poem']) AS question))
-SELECT *, CASE WHEN route IN ('numeric', 'hybrid') AND n = 0 THEN 'narrative' WHEN route = 'numeric' AND NOT fully THEN 'hybrid' WHEN route = 'out_of_scope' AND (refusal = '' OR contains(lower(question), 'revenue')) THEN 'narrative' WHEN route = 'odd' THEN 'narrative' ELSE route END AS settled FROM q"""
+_ROUTE_SQL = f"""SELECT conv_id, turn, route, CASE WHEN route IN ('numeric', 'hybrid') AND n = 0 THEN 'narrative' WHEN route = 'numeric' AND NOT fully THEN 'hybrid' WHEN route = 'out_of_scope' AND (refusal = '' OR regexp_matches(question, '{answers.FINANCIAL}')) THEN 'narrative' WHEN route = 'odd' THEN 'narrative' ELSE route END AS settled
+FROM ({as_sql(_ROUTED)})"""
+_REFUSED_SQL = _CARDS + "SELECT n.cik || '-' || i AS query_id, CASE i WHEN 17 THEN 'unknown metric: nonsense' WHEN 9 THEN 'ratio does not apply to revenue' WHEN 12 THEN 'q4 does not apply to current_assets' ELSE 'no figures' END AS error FROM n, range(18) AS r(i) WHERE NOT EXISTS (SELECT 1 FROM cards AS c WHERE c.cik = n.cik AND c.i = r.i)"
 #: ``panel``: the five figures of every company.
 PANEL_CARDS = _CARDS.rstrip() + f""",
 panel AS (
@@ -197,8 +212,9 @@ SQL = {
     "answer_cards": _SQL_ANSWER,
     "scoped_cards": _SQL_SCOPED,
     "query_precedence": _PATHS,
+    "query_refusals": _REFUSED_SQL,
     "route_contract": _ROUTE_SQL,
     "digest_panel": PANEL_CARDS + "\nSELECT cik, i AS place, fy, round(value, 6) AS value, text FROM panel",
     "events_daily_stream": f"SELECT CAST(ts AS DATE) AS day, event, count(*) AS n FROM ({as_sql(LOG)}) GROUP BY 1, 2",
 }
-QUERIES = {f.__name__: f for f in (numeric_cards, answer_cards, scoped_cards, query_precedence, route_contract, html_to_text, digest_panel, events_daily_stream)}
+QUERIES = {f.__name__: f for f in (numeric_cards, answer_cards, scoped_cards, query_precedence, query_refusals, route_contract, html_to_text, digest_panel, events_daily_stream)}

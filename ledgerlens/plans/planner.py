@@ -37,6 +37,15 @@ def route(op: Column, metric: Column) -> Column:
     )
 
 
+def refused(queries: DataFrame, cards: DataFrame) -> DataFrame:
+    """``query_id, error``: why each of ``queries`` (query_id, op, metric) has none among ``cards``: a name nobody knows, an operation that does not apply, or no figures for it."""
+    left = queries.select("query_id", "op", "metric").join(cards.select("query_id"), "query_id", "left_anti")
+    known = F.col("metric").isin(*registry.METRICS, *registry.RATIOS, *registry.DERIVED)
+    plain = F.coalesce("op", F.lit("value"))
+    error = F.when(~known, F.concat(F.lit("unknown metric: "), F.coalesce("metric", F.lit("")))).when(route(F.col("op"), F.col("metric")).isNull(), F.concat(plain, F.lit(" does not apply to "), "metric")).otherwise("no figures")
+    return left.select("query_id", error.alias("error"))
+
+
 def capped(queries: DataFrame, by: str, order: str) -> DataFrame:
     """The first six queries of each answer."""
     w = Window.partitionBy(by).orderBy(order)
