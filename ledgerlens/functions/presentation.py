@@ -53,3 +53,27 @@ def feedback(claims: Column) -> Column:
 def links(sources: str) -> Column:
     """``form accession`` for each filing among the sources (array of accn, form), in order, each once."""
     return F.array_distinct(F.transform(sources, lambda s: F.concat(s["form"], F.lit(" "), s["accn"])))
+
+
+def _or(text: Column, other: str) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(other)).otherwise(text)
+
+
+def chunk_prompt(chunks: Column) -> Column:
+    """The chunks (array of chunk_id, section, text) that an answer is written from, in their order."""
+    section = lambda c: F.when(F.coalesce(c["section"], F.lit("")) != "", F.concat(F.lit(" | section: "), c["section"])).otherwise("")
+    return F.array_join(F.transform(chunks, lambda c: F.concat(F.lit('<chunk id="'), c["chunk_id"], F.lit('"'), section(c), F.lit(">\n"), c["text"], F.lit("\n</chunk>"))), "\n\n")
+
+
+def judge_prompt(claims: Column) -> Column:
+    """The claims (array of claim_id, text, citations: array of chunk_id, chunk_text) that one call judges, each with its evidence."""
+    one = lambda e: F.concat(F.lit('<evidence chunk_id="'), e["chunk_id"], F.lit('">\n'), e["chunk_text"], F.lit("\n</evidence>"))
+    evidence = lambda c: _or(F.array_join(F.transform(c["citations"], one), "\n"), "(no evidence cited)")
+    return F.array_join(F.transform(claims, lambda c: F.concat(F.lit('<claim id="'), c["claim_id"], F.lit('">\nClaim: '), c["text"], F.lit("\n"), evidence(c), F.lit("\n</claim>"))), "\n\n")
+
+
+def composed(summary: Column, claims: Column, cards: Column) -> Column:
+    """What a reader sees of a report, as one text: the summary, the claims (array of text, unverified), the cards (array of texts)."""
+    told = F.transform(claims, lambda c: F.concat(F.lit("- "), c["text"], F.when(c["unverified"], " [unverified]").otherwise("")))
+    lines = F.concat(F.array(F.coalesce(summary, F.lit(""))), F.coalesce(told, F.array().cast("array<string>")), F.transform(F.coalesce(cards, F.array().cast("array<string>")), lambda c: F.concat(F.lit("- "), c)))
+    return F.trim(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))

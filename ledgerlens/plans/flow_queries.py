@@ -7,13 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import payloads
+from ledgerlens.functions import payloads, presentation
 from ledgerlens.operators import evals, search
 from ledgerlens.operators import claims as cl
 from ledgerlens.plans import answers, digest, planner
 from ledgerlens.plans.numeric_queries import facts, stored_points
 from ledgerlens.plans.plan_queries import PANEL_CARDS
-from ledgerlens.plans.projection import ANSWERS, KINDS, LOG, as_sql, project
+from ledgerlens.plans.projection import ANSWERS, JUDGED, KINDS, LOG, as_sql, project
 from ledgerlens.sources.staging import folder, ingested, kept
 from ledgerlens.streaming import events
 
@@ -155,6 +155,25 @@ def boilerplate_batches(spark, sf_dir):
     return got.groupBy("batch").agg(F.count("*").alias("texts"), F.count_if("boilerplate").alias("flagged"), F.min("conv_id").alias("first"), F.max("conv_id").alias("last"))
 
 
+def prompt_texts(spark, sf_dir):
+    """What a writer, a judge and a grader are given: a query's chunks, its claims with their evidence, and its report as one text. A document is a chunk."""
+    chunks = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("chunk_id"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Item "), F.col("doc_id") % 3)).alias("section"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    said = project(spark, sf_dir, JUDGED).select("query_id", "claim_id", "doc_id", "verdict", F.concat(F.lit("Claim on "), "doc_id").alias("text"), F.transform(F.array(*[F.col("doc_id") + d for d in (2, 0, -1_000_000)]), lambda x: x.cast("string")).alias("cited_chunk_ids"))
+    met = cl.cited(said.where("doc_id % 6 > 0"), chunks).unionByName(said.where("doc_id % 6 = 0"), allowMissingColumns=True)
+    shown = F.col("verdict") != "CONTRADICTED"
+    of = met.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("claim_id", "text", "citations"))).alias("claims"),
+        F.array_sort(F.collect_list(F.when(shown, F.struct("claim_id", "text", (F.col("verdict") == "NOT_ENOUGH_INFO").alias("unverified"))))).alias("shown"),
+    )
+    own = said.select("query_id", F.col("doc_id").cast("string").alias("chunk_id")).join(chunks, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "chunk_id", "section", "text"))).alias("chunks"))
+    return of.join(own, "query_id").select(
+        "query_id",
+        F.md5(presentation.chunk_prompt(F.col("chunks"))).alias("chunks"),
+        F.md5(presentation.judge_prompt(F.col("claims"))).alias("judged"),
+        presentation.composed(F.when(F.col("query_id") != "Q1", F.concat(F.lit("On "), "query_id")), F.col("shown"), F.array(F.concat(F.lit("card of "), "query_id"))).alias("composed"),
+    )
+
+
 # --- the event log as a stream, in two runs of one checkpoint
 
 def _two_runs(log, more, at, make):
@@ -259,6 +278,14 @@ SELECT c.ticker, coalesce(array_to_string(l.figures, '; '), '') AS figures, c.se
 SELECT question_type, count(*) AS total, count(*) FILTER (grade = 'correct') AS correct, count(*) FILTER (grade = 'incorrect') AS incorrect, count(*) FILTER (grade = 'abstain') AS abstain, count(*) FILTER (grade = 'crash') AS crash, round(count(*) FILTER (grade = 'correct') / count(*), 3) AS accuracy,
   round(coalesce(count(*) FILTER (grade = 'correct') / nullif(count(*) FILTER (grade IN ('correct', 'incorrect')), 0), 0), 3) AS answered_accuracy, round(count(*) FILTER (grade = 'incorrect') / count(*), 3) AS hallucination_rate FROM g GROUP BY ROLLUP (question_type)""",
     "boilerplate_batches": "SELECT batch, count(*) AS texts, count(*) FILTER (length(t) % 3 = 0) AS flagged, min(conv_id) AS first, max(conv_id) AS last FROM (SELECT *, coalesce(text, '') AS t, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 60 AS batch FROM conversations) GROUP BY batch",
+    "prompt_texts": f"""WITH j AS ({as_sql(JUDGED)}),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+said AS (SELECT j.*, 'Claim on ' || doc_id AS said, [doc_id + 2, doc_id] AS cites FROM j),
+e AS (SELECT s.claim_id, string_agg('<evidence chunk_id="' || d.doc_id || '">' || chr(10) || d.text || chr(10) || '</evidence>', chr(10) ORDER BY list_position(s.cites, d.doc_id)) AS evidence FROM said AS s JOIN d ON list_contains(s.cites, d.doc_id) WHERE s.doc_id % 6 > 0 GROUP BY s.claim_id)
+SELECT s.query_id, md5(string_agg('<chunk id="' || s.doc_id || '"' || CASE WHEN s.doc_id % 3 > 0 THEN ' | section: Item ' || s.doc_id % 3 ELSE '' END || '>' || chr(10) || d.text || chr(10) || '</chunk>', chr(10) || chr(10) ORDER BY s.doc_id)) AS chunks,
+  md5(string_agg('<claim id="' || s.claim_id || '">' || chr(10) || 'Claim: ' || said || chr(10) || coalesce(e.evidence, '(no evidence cited)') || chr(10) || '</claim>', chr(10) || chr(10) ORDER BY s.claim_id)) AS judged,
+  CASE WHEN s.query_id <> 'Q1' THEN 'On ' || s.query_id || chr(10) ELSE '' END || coalesce(string_agg('- ' || said || CASE WHEN verdict = 'NOT_ENOUGH_INFO' THEN ' [unverified]' ELSE '' END, chr(10) ORDER BY s.claim_id) FILTER (verdict <> 'CONTRADICTED') || chr(10), '') || '- card of ' || s.query_id AS composed
+FROM said AS s JOIN d ON d.doc_id = s.doc_id LEFT JOIN e ON e.claim_id = s.claim_id GROUP BY s.query_id""",
     "progress_stream": f"SELECT DISTINCT 'eval_' || visitor AS query_id, stage, CASE stage WHEN 'route' THEN '{events.STAGES['route']}' WHEN 'generate' THEN '{events.STAGES['generate']}' ELSE '{events.STAGES['verify']}' END AS label FROM ({as_sql(LOG)}) WHERE query_id LIKE 'eval\\_%' ESCAPE '\\' AND event = 'llm_call'",
     "session_stream": f"""WITH l AS (SELECT visitor, ts, CASE WHEN lag(ts) OVER (PARTITION BY visitor ORDER BY ts) > ts - INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM ({as_sql(LOG)})),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY visitor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM l)
@@ -270,4 +297,4 @@ SELECT CAST(visitor AS VARCHAR) AS visitor, strftime(min(ts), '%Y-%m-%d %H:%M:%S
   CASE shape WHEN 0 THEN 'numeric' WHEN 2 THEN 'hybrid' ELSE 'narrative' END AS route, CASE shape WHEN 0 THEN 'cagr|revenue|-|3|' WHEN 2 THEN 'value|m|2024|-|A,B' ELSE '' END AS queries, CASE shape WHEN 0 THEN 'AAPL' ELSE '' END AS companies, '' AS refusal, shape = 0 AS fully_answers,
   CASE shape WHEN 0 THEN CASE WHEN trim(text) = '' THEN '' ELSE 'k' || conv_id || '|' || md5(text) END ELSE '' END AS questions FROM ({as_sql(KINDS)})""",
 }
-QUERIES = {f.__name__: f for f in (retrieved_texts, answer_rounds, digest_report, graded_cases, graded_summary, boilerplate_batches, progress_stream, session_stream, payload_answers, payload_kinds)}
+QUERIES = {f.__name__: f for f in (retrieved_texts, answer_rounds, digest_report, graded_cases, graded_summary, boilerplate_batches, prompt_texts, progress_stream, session_stream, payload_answers, payload_kinds)}
