@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.store import among, bitmap, forget, sieve, staged
+from ledgerlens.llm.store import among, bitmap, forget, sieve, staged, unused
 
 SPAN, SHARE = 15, 0.8
 TOKEN = re.compile(r"[^\W_]+")
@@ -201,9 +201,9 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["h1", "h2", "found"])
 
 
-def _named(docs: DataFrame) -> DataFrame:
+def _named(docs: DataFrame, h1: str = "_h1", h2: str = "_h2") -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)})
+    return docs.withColumns({h1: F.xxhash64(text), h2: F.xxhash64(F.lit(7), text)})
 
 
 def matched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,6 +241,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that overlap any item."""
     found, _ = matched(docs, benchmark)
-    keys, rows = found.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct(), _named(docs)
-    maybe = sieve(rows, ["_h1", "_h2"], keys).join(keys, ["_h1", "_h2"], "left_anti")
-    return maybe.select(docs.columns).unionByName(sieve(rows, ["_h1", "_h2"], keys, out=True).select(docs.columns))
+    names = unused(docs.columns, "_h1", "_h2")
+    keys, rows = found.select("h1", "h2").distinct().toDF(*names), _named(docs, *names)
+    maybe = sieve(rows, names, keys).join(keys, names, "left_anti")
+    return maybe.select(docs.columns).unionByName(sieve(rows, names, keys, out=True).select(docs.columns))

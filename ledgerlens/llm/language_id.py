@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.store import unused
+
 UNKNOWN = "und"
 PROFILE = 400
 #: Letters counted at once; n-grams whose counts a task holds before it hands them on.
@@ -199,4 +201,5 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
         for batch in texts:
             yield pd.DataFrame([ranker.predict(t) for t in batch], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_found", udf("text")).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    (found,) = unused([*docs.columns, "lang_pred", "score"], "_found")
+    return docs.withColumn(found, udf("text")).withColumns({c: F.col(f"{found}.{c}") for c in ("lang_pred", "score")}).drop(found)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.blocks import dealt, groups
 from ledgerlens.llm.components import components, spanning
 from ledgerlens.llm.simhash import shingle_hashes
-from ledgerlens.llm.store import forget, sieve, staged
+from ledgerlens.llm.store import forget, sieve, staged, unused
 
 SHINGLE, SIMILARITY, WORDS, RECALL = 5, 0.8, 8, 0.999
 #: Shingles mixed at once; rows that are added up in one byte.
@@ -351,16 +351,16 @@ def keep_one_row(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
 
     Rows are told apart by their content, never by doc_id alone; of rows equal in all columns one stays.
     """
-    key = ["_h1", "_h2", "_rest"]
+    *key, stays = unused(docs.columns, "_h1", "_h2", "_rest", "_stays")
     text = F.coalesce("text", F.lit(""))
     rest = F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in docs.columns if c != "text"], F.col("text").isNull())
-    keyed = docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text), "_rest": rest})
-    found, named = _labelled(keyed.select("doc_id", "text", F.col("_rest").alias("rest")), shingle, similarity, recall, **how)
+    keyed = docs.withColumns(dict(zip(key, (F.xxhash64(text), F.xxhash64(F.lit(7), text), rest))))
+    found, named = _labelled(keyed.select("doc_id", "text", F.col(key[2]).alias("rest")), shingle, similarity, recall, **how)
     rows = found.groupBy("id", "doc_id", "h1", "h2", "rest").agg(F.count("*").alias("n"))
     rows = rows.join(named.select("id", "label"), "id").withColumn("at", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2", "rest"))
     best = rows.groupBy("label").agg(F.min("at").alias("best"))
-    chosen = rows.join(best, "label").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("rest").alias("_rest"), F.col("at").eqNullSafe(F.col("best")).alias("_stays"), "n")
-    odd = staged(chosen.where("not _stays or n > 1").select(*key, "_stays"), "wide-odd")
+    chosen = rows.join(best, "label").select(*[F.col(c).alias(k) for c, k in zip(("h1", "h2", "rest"), key)], F.col("at").eqNullSafe(F.col("best")).alias(stays), "n")
+    odd = staged(chosen.where(~F.col(stays) | (F.col("n") > 1)).select(*key, stays), "wide-odd")
     forget(found)
-    touched = sieve(keyed, key, odd.select(*key)).join(odd, key, "left").where("coalesce(_stays, true)").dropDuplicates(key)
+    touched = sieve(keyed, key, odd.select(*key)).join(odd, key, "left").where(F.coalesce(stays, F.lit(True))).dropDuplicates(key)
     return touched.select(docs.columns).unionByName(sieve(keyed, key, odd.select(*key), out=True).select(docs.columns))

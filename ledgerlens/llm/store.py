@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,17 @@ def forget(*tables: DataFrame) -> None:
 SIEVE = 17
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """These names, with as many underscores in front as it takes to be none of ``columns``, as Spark compares names."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def sieve(rows: DataFrame, on: list[str], wanted: DataFrame, out: bool = False) -> DataFrame:
     """``rows`` whose columns ``on`` may be among the rows of ``wanted`` (as many columns); with ``out`` the others, never among them.
 
@@ -55,11 +67,12 @@ def sieve(rows: DataFrame, on: list[str], wanted: DataFrame, out: bool = False)
     shuffle that the join proper needs. With many wanted rows it lets more through,
     which changes no result.
     """
-    word, bit = F.expr(f"shiftrightunsigned(_h, {64 - SIEVE})"), f"shiftleft(1L, cast(shiftrightunsigned(_h, {58 - SIEVE}) & 63 as int))"
-    marks = wanted.select(F.xxhash64(*wanted.columns).alias("_h")).groupBy(word.alias("_word")).agg(F.bit_or(F.expr(bit)).alias("_mask"))
-    both = rows.withColumn("_h", F.xxhash64(*on)).withColumn("_word", word).join(F.broadcast(marks), "_word", "left")
-    held = F.coalesce(F.expr(f"_mask & {bit}"), F.lit(0)) != 0
-    return both.where(~held if out else held).drop("_h", "_word", "_mask")
+    h, w, m = unused(rows.columns, "_h", "_word", "_mask")
+    word, bit = F.expr(f"shiftrightunsigned({h}, {64 - SIEVE})"), f"shiftleft(1L, cast(shiftrightunsigned({h}, {58 - SIEVE}) & 63 as int))"
+    marks = wanted.select(F.xxhash64(*wanted.columns).alias(h)).groupBy(word.alias(w)).agg(F.bit_or(F.expr(bit)).alias(m))
+    both = rows.withColumn(h, F.xxhash64(*on)).withColumn(w, word).join(F.broadcast(marks), w, "left")
+    held = F.coalesce(F.expr(f"{m} & {bit}"), F.lit(0)) != 0
+    return both.where(~held if out else held).drop(h, w, m)
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:

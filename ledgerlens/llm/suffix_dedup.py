@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import suffix_array as sa
-from ledgerlens.llm.store import forget, sieve, staged
+from ledgerlens.llm.store import forget, sieve, staged, unused
 
 
 @dataclass(frozen=True)
@@ -397,9 +397,10 @@ def remove(docs: DataFrame, unit: Unit = BYTES, **how) -> DataFrame:
     def kept(texts: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([t if r is None else cut(t, merged(r), unit).decode("utf-8", "ignore") for t, r in zip(texts, runs)], dtype=object)
 
-    runs = repeated_runs(docs, unit, **how).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("runs").alias("_runs"))
-    marked = docs.withColumns({f"_{k}": v for k, v in named(F.coalesce("text", F.lit(""))).items()})
-    maybe = sieve(marked, ["_h1", "_h2"], runs.select("_h1", "_h2")).join(runs, ["_h1", "_h2"], "left")
+    h1, h2, gone = unused(docs.columns, "_h1", "_h2", "_runs")
+    runs = repeated_runs(docs, unit, **how).select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("runs").alias(gone))
+    marked = docs.withColumns(dict(zip((h1, h2), named(F.coalesce("text", F.lit(""))).values())))
+    maybe = sieve(marked, [h1, h2], runs.select(h1, h2)).join(runs, [h1, h2], "left")
     # not deterministic as far as the planner goes, or the filter would cut a second time
-    left = maybe.withColumn("text", kept.asNondeterministic()("text", "_runs")).where(F.col("_runs").isNull() | F.regexp_like("text", F.lit("[^\\x20\\x09-\\x0D]")))
-    return left.select(docs.columns).unionByName(sieve(marked, ["_h1", "_h2"], runs.select("_h1", "_h2"), out=True).select(docs.columns))
+    left = maybe.withColumn("text", kept.asNondeterministic()("text", gone)).where(F.col(gone).isNull() | F.regexp_like("text", F.lit("[^\\x20\\x09-\\x0D]")))
+    return left.select(docs.columns).unionByName(sieve(marked, [h1, h2], runs.select(h1, h2), out=True).select(docs.columns))

@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.store import unused
+
 GRADES, BITS, LIFT, LEAST = 4, 18, 10.0, 3
 #: Words over which a feature's uses are counted.
 PER = 300
@@ -160,5 +162,6 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
                 out.append((float(p.sum()), float(p[0]), int(each.argmax())))
             yield pd.DataFrame(out, columns=["expected_severity", "p_toxic", "severity"])
 
-    found = docs.withColumn("_found", udf("text"))
-    return found.withColumns({c: F.col(f"_found.{c}") for c in ("expected_severity", "p_toxic", "severity")}).drop("_found")
+    columns = ("expected_severity", "p_toxic", "severity")
+    (found,) = unused([*docs.columns, *columns], "_found")
+    return docs.withColumn(found, udf("text")).withColumns({c: F.col(f"{found}.{c}") for c in columns}).drop(found)

@@ -1530,3 +1530,24 @@ def test_repeated_tokens_are_not_multiplied(spark):
     many = [(i, " ".join(rnd.choice(words) for _ in range(16))) for i in range(600)]
     got = decontaminate.overlaps(docs(spark, [(1, " . ".join(t for _, t in many))]), spark.createDataFrame(many, "item_id long, text string"))
     assert sorted(r.item_id for r in got.collect()) == list(range(600))
+
+
+def test_user_columns_named_like_internal_ones(spark):
+    """Every operator that passes columns through keeps those whose names it uses itself."""
+    names = ["_h1", "_h2", "_H", "_word", "_mask", "_runs", "_rest", "_stays", "_found", "__h1"]
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "alone in the world of many words"), (2, passage + " one"), (3, passage + " two and more"), (4, "alone in the world of many words"), (5, "the quick brown fox jumps over the lazy dog and runs far away")]
+    df = docs(spark, rows).select("doc_id", "text", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    profiles = language_id.learn(spark.createDataFrame([("some english text", "en"), ("du texte en langue", "fr")], "text string, lang string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, toxic int")
+    for got, ids in (
+        (decontaminate.clean(df, bench), {1, 2, 3, 4}),
+        (suffix_dedup.remove(df, suffix_dedup.WORDS), {1, 2, 3, 4, 5}),
+        (similar_texts.keep_one_row(df), {1, 2, 5}),
+        (language_id.predict(df, profiles).drop("lang_pred", "score"), {1, 2, 3, 4, 5}),
+        (toxicity.score(df, toxicity.train(df, labels)).drop("expected_severity", "p_toxic", "severity"), {1, 2, 3, 4, 5}),
+    ):
+        assert got.columns == df.columns
+        rows_ = got.collect()
+        assert {r.doc_id for r in rows_} == ids and all(r[n] == f"{n}{r.doc_id}" for r in rows_ for n in names)
