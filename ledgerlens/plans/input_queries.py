@@ -43,30 +43,49 @@ def company_payloads(spark, sf_dir):
     return filings.company_facts(spark, path).select("cik", "tag", "unit", "start_date", "end_date", F.col("val").cast("double").alias("val"), "accn", "fy", "form", "filed")
 
 
+def _filers(spark, sf_dir):
+    """Customers as companies that file."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("cik"), F.col("c_name").alias("ticker"))
+
+
 def _listing(spark, sf_dir, *more):
-    rows = {str(r["cik"]): {"cik_str": r["cik"], "ticker": f"N{r['cik']}", "title": f"{r['ticker']} Inc."} for r in _nations(spark, sf_dir).collect()}  # the 25 nations
-    rows |= {str(i): {"cik_str": i, "ticker": f"N{i}", "title": "Without filings"} for i in more}
+    """The listing as it is received: one file, a map of entries."""
+    entry = lambda cik, title: F.struct(cik.cast("string").alias("key"), F.struct(cik.alias("cik_str"), F.concat(F.lit("N"), cik).alias("ticker"), title.alias("title")).alias("value"))
+    rows = _filers(spark, sf_dir).select(entry(F.col("cik"), F.concat("ticker", F.lit(" Inc."))).alias("e"))
+    for cik in more:
+        rows = rows.unionByName(spark.range(1).select(entry(F.lit(cik).cast("long"), F.lit("Without filings")).alias("e")))
     path = _place(spark, "listing")
-    put(spark, f"{path}/listing.json", json.dumps(rows))
+    rows.agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).write.text(path)
     return filings.ticker_registry(spark, path)
 
 
 def listed_tickers(spark, sf_dir):
     """Names against the listing: malformed and unknown ones say so."""
-    wanted = _nations(spark, sf_dir).select(F.when(F.col("cik") % 4 == 0, F.concat(F.lit(" n"), "cik")).when(F.col("cik") % 4 == 1, F.concat(F.lit("9"), "cik")).otherwise(F.concat(F.lit("ZZ"), "cik")).alias("ticker"))
+    wanted = _filers(spark, sf_dir).select(F.when(F.col("cik") % 4 == 0, F.concat(F.lit(" n"), "cik")).when(F.col("cik") % 4 == 1, F.concat(F.lit("9"), "cik")).otherwise(F.concat(F.lit("ZZ"), "cik")).alias("ticker"))
     got = filings.resolve_tickers(wanted, _listing(spark, sf_dir))
     return got.select("ticker", "cik", "title", "error")
 
 
 def _submissions(spark, sf_dir):
-    def block(cik: int, first: int, forms: tuple[str, ...]) -> dict:
-        n = range(len(forms))
-        return {"form": list(forms), "accessionNumber": [f"{cik}-{first + i}" for i in n], "primaryDocument": ["" if (cik + i) % 7 == 3 else f"d{first + i}.htm" for i in n], "filingDate": [f"{2003 - first - i}-03-01" for i in n], "reportDate": [f"{2002 - first - i + (cik % 2)}-{'12' if cik % 2 == 0 else '01'}-31" for i in n]}
-
+    """Filing indexes as they are received, written by the tasks: recent filings, and one older file."""
+    cik = F.col("cik")
+
+    def block(first: int, *forms):
+        each = lambda make: F.transform(F.sequence(F.lit(0), F.lit(len(forms) - 1)), make)
+        return F.struct(
+            F.array(*forms).alias("form"),
+            each(lambda i: F.concat(cik, F.lit("-"), i + first)).alias("accessionNumber"),
+            each(lambda i: F.when((cik + i) % 7 == 3, "").otherwise(F.concat(F.lit("d"), i + first, F.lit(".htm")))).alias("primaryDocument"),
+            each(lambda i: F.concat(2003 - first - i, F.lit("-03-01"))).alias("filingDate"),
+            each(lambda i: F.concat(2002 - first - i + cik % 2, F.when(cik % 2 == 0, "-12-31").otherwise("-01-31"))).alias("reportDate"),
+        )
+
+    third = F.when(cik % 3 > 0, "10-K").otherwise("8-K")
+    recent, older = block(0, F.lit("10-Q"), F.lit("10-K/A"), third, F.lit("10-K")), block(4, F.lit("10-K"), F.lit("10-K"))
+    one = F.to_json(F.struct(cik.cast("string").alias("cik"), F.struct(recent.alias("recent"), F.array(older).alias("older")).alias("filings")))
     path = _place(spark, "submissions")
-    for r in _nations(spark, sf_dir).collect():  # the 25 nations
-        cik = r["cik"]
-        put(spark, f"{path}/{cik}.json", json.dumps({"cik": str(cik), "filings": {"recent": block(cik, 0, ("10-Q", "10-K/A", "10-K" if cik % 3 else "8-K", "10-K")), "older": [block(cik, 4, ("10-K", "10-K"))]}}))
+    # a file holds one JSON value, here a list of companies
+    _filers(spark, sf_dir).groupBy((cik % 16).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
     return filings.submissions(spark, path)
 
 
@@ -86,7 +105,7 @@ def filing_documents(spark, sf_dir):
     """Primary documents, of the recent filings and of all."""
     rows = _submissions(spark, sf_dir)
     recent, deep = filings.filing_docs(rows), filings.filing_docs(rows, deep=True)
-    return recent.withColumn("deep", F.lit(False)).union(deep.withColumn("deep", F.lit(True))).groupBy(F.col("cik").cast("bigint").alias("cik"), "deep").agg(F.count("*").alias("n"))
+    return recent.withColumn("deep", F.lit(False)).union(deep.withColumn("deep", F.lit(True))).select(F.col("cik").cast("bigint").alias("cik"), "deep", "accn", "primary_doc")
 
 
 def statement_pages(spark, sf_dir):
@@ -165,11 +184,15 @@ def table_rows(spark, sf_dir):
     return project(spark, sf_dir, _CELLS).select("event_id", presentation.readable_rows(F.col("text")).alias("text"))
 
 
+#: A company that is listed and has filed nothing.
+_LATE = 900_000_001
+
+
 def onboarding_status(spark, sf_dir):
     """What is to be taken in of the companies asked for, with no bound on the corpus and with a full one."""
-    wanted = _nations(spark, sf_dir).select(F.concat(F.lit("n"), "cik").alias("ticker")).union(spark.createDataFrame([("N90",), ("9X",), ("ZZZ",), (" n0 ",)], "ticker string"))
-    corpus = _nations(spark, sf_dir).where("cik % 5 = 0").select(F.concat(F.lit("N"), "cik").alias("ticker"))
-    listing, rows = _listing(spark, sf_dir, 90), _submissions(spark, sf_dir)
+    wanted = _filers(spark, sf_dir).select(F.concat(F.lit("n"), "cik").alias("ticker")).union(spark.createDataFrame([(f"N{_LATE}",), ("9X",), ("ZZZ",), (" n5 ",)], "ticker string"))
+    corpus = _filers(spark, sf_dir).where("cik % 5 = 0").select(F.concat(F.lit("N"), "cik").alias("ticker"))
+    listing, rows = _listing(spark, sf_dir, _LATE), _submissions(spark, sf_dir)
     got = [answers.onboarding(wanted, corpus, listing, rows, most).withColumn("most", F.lit(most)) for most in (0, 5)]
     return got[0].union(got[1]).select("most", "ticker", "status", "accn")
 
@@ -241,15 +264,15 @@ def risk_signals(spark, sf_dir):
 def pinned_documents(spark, sf_dir):
     """Texts that a question may meet: the live ones, or the pinned one of either corpus."""
     f = project(spark, sf_dir, FILINGS).withColumn("doc_id", F.col("doc_id").cast("string"))
-    some = [retrieval.searchable(f, pin).select(F.lit(pin or "none").alias("pinned"), "corpus") for pin in (None, "10", "11")]
-    return some[0].union(some[1]).union(some[2]).groupBy("pinned", "corpus").agg(F.count("*").alias("n"))
+    some = [retrieval.searchable(f, pin).select(F.lit(pin or "none").alias("pinned"), "doc_id", "corpus") for pin in (None, "10", "11")]
+    return some[0].union(some[1]).union(some[2])
 
 
 def chunks_by_id(spark, sf_dir):
     """The texts of a claim's citations, by their ids."""
     f = project(spark, sf_dir, FILINGS).withColumn("chunk_id", F.col("doc_id").cast("string"))
     wanted = project(spark, sf_dir, JUDGED).where("kind = 'risk'").select(F.col("doc_id").cast("string").alias("chunk_id"))
-    return retrieval.by_id(f, wanted).groupBy("corpus").agg(F.count("*").alias("n"))
+    return retrieval.by_id(f, wanted).select("chunk_id", "corpus", F.md5("text").alias("digest"))
 
 
 def stages_once_stream(spark, sf_dir):
@@ -259,7 +282,7 @@ def stages_once_stream(spark, sf_dir):
     log.union(log).write.json(f"{at}/log")
     tail = stream.tail(spark, f"{at}/log", "ts timestamp, event string, query_id string, stage string")
     stream.to_table(stream.stages_once(tail, "3000 days"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/out").groupBy("stage").agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{at}/out").select("query_id", "stage", "event")
 
 
 # --- report parts
@@ -314,7 +337,7 @@ def schema_tables(spark, sf_dir):
 
 
 _ACCN = "cik || '-' || i"
-_SUBS = """WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS cik FROM nation),
+_SUBS = """WITH n AS (SELECT CAST(c_custkey AS BIGINT) AS cik FROM customer),
 f AS (SELECT cik, i, CASE WHEN i = 0 THEN '10-Q' WHEN i = 1 THEN '10-K/A' WHEN i = 2 AND cik % 3 = 0 THEN '8-K' ELSE '10-K' END AS form, CASE WHEN i < 4 THEN 0 ELSE 1 END AS block, 2002 - i + (cik % 2) AS report_year, cik % 2 AS early, (cik + CASE WHEN i < 4 THEN i ELSE i - 4 END) % 7 <> 3 AS has_doc FROM n, (SELECT unnest(range(0, 6)) AS i))
 """
 _BENCH = """WITH q AS (SELECT item_id AS case_id, 'D' || (item_id % 20) AS doc_name, 't' || (item_id % 3) AS question_type, text FROM benchmark),
@@ -323,12 +346,12 @@ docs AS (SELECT doc_name, company, CAST(fy AS INT) AS fy, id, CASE WHEN id % 7 <
 """
 SQL = {
     "company_payloads": f"WITH {BASE}\nSELECT cik, tag, unit, start_date, end_date, CAST(val AS DOUBLE) AS val, accn, fy, form, filed FROM facts",
-    "listed_tickers": """WITH n AS (SELECT n_nationkey AS k, n_name AS name, 'N' || n_nationkey AS t FROM nation)
+    "listed_tickers": """WITH n AS (SELECT c_custkey AS k, c_name AS name, 'N' || c_custkey AS t FROM customer)
 SELECT CASE k % 4 WHEN 0 THEN t WHEN 1 THEN '9' || k ELSE 'ZZ' || k END AS ticker, CASE WHEN k % 4 = 0 THEN lpad(CAST(k AS VARCHAR), 10, '0') END AS cik, CASE WHEN k % 4 = 0 THEN name || ' Inc.' END AS title, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'malformed' ELSE 'unknown' END AS error FROM n""",
-    "onboarding_status": _SUBS.rstrip() + """,
-w AS (SELECT 'N' || cik AS ticker, cik FROM n UNION ALL SELECT 'N90', 90 UNION ALL SELECT '9X', NULL UNION ALL SELECT 'ZZZ', NULL),
+    "onboarding_status": _SUBS.rstrip() + f""",
+w AS (SELECT 'N' || cik AS ticker, cik FROM n UNION ALL SELECT 'N{_LATE}', {_LATE} UNION ALL SELECT '9X', NULL UNION ALL SELECT 'ZZZ', NULL),
 last AS (SELECT cik, cik || '-' || min(i) AS accn FROM f WHERE form = '10-K' AND block = 0 GROUP BY cik),
-s AS (SELECT m.most, w.ticker, w.cik, CASE WHEN w.cik < 25 AND w.cik % 5 = 0 THEN 'exists' WHEN m.most = 5 THEN 'full' WHEN ticker = '9X' THEN 'malformed' WHEN ticker = 'ZZZ' THEN 'unknown' WHEN w.cik = 90 THEN 'no filing' ELSE 'add' END AS status FROM w, (VALUES (0), (5)) AS m(most))
+s AS (SELECT m.most, w.ticker, w.cik, CASE WHEN w.cik <> {_LATE} AND w.cik % 5 = 0 THEN 'exists' WHEN m.most = 5 THEN 'full' WHEN ticker = '9X' THEN 'malformed' WHEN ticker = 'ZZZ' THEN 'unknown' WHEN w.cik = {_LATE} THEN 'no filing' ELSE 'add' END AS status FROM w, (VALUES (0), (5)) AS m(most))
 SELECT s.most, s.ticker, s.status, CASE WHEN s.status = 'add' THEN last.accn END AS accn FROM s LEFT JOIN last ON last.cik = s.cik""",
     "answer_reports": f"""WITH {BASE},
 {POINTS},
@@ -340,7 +363,7 @@ SELECT CAST(r.cik AS VARCHAR) AS query_id, ticker, CASE WHEN has THEN 'numeric'
   CASE WHEN has OR k = 1 THEN 0 ELSE coalesce(c.n, 0) END AS displayed, 0 AS blocked, CASE WHEN has OR k = 1 THEN 0.0 ELSE coalesce(round(c.blank / c.n, 6), 0.0) END AS unsupported_rate FROM r LEFT JOIN c ON c.cik = r.cik""",
     "latest_annual_filing": _SUBS + "SELECT cik, cik || '-' || min(i) AS accn, (2003 - min(i)) || '-03-01' AS filed FROM f WHERE form = '10-K' AND block = 0 GROUP BY cik",
     "filing_of_year": _SUBS + "SELECT cik, CAST(y.fy AS INT) AS fy, cik || '-' || i AS accn FROM f JOIN (VALUES (1997), (1998), (1999)) AS y(fy) ON f.report_year = y.fy OR (f.report_year = y.fy + 1 AND early = 1) WHERE form = '10-K' QUALIFY row_number() OVER (PARTITION BY cik, y.fy ORDER BY CASE WHEN report_year = y.fy THEN 1 ELSE 2 END, block, i) = 1",
-    "filing_documents": _SUBS + "SELECT cik, deep, count(*) AS n FROM f, (VALUES (false), (true)) AS d(deep) WHERE has_doc AND (deep OR block = 0) GROUP BY cik, deep",
+    "filing_documents": _SUBS + "SELECT cik, deep, cik || '-' || i AS accn, 'd' || i || '.htm' AS primary_doc FROM f, (VALUES (false), (true)) AS d(deep) WHERE has_doc AND (deep OR block = 0)",
     "statement_pages": "SELECT CAST(n_nationkey AS BIGINT) AS cik, stmt, html_file FROM nation JOIN (VALUES (0, 'balance', 'R3.htm'), (0, 'income', 'R5.htm'), (0, 'cashflow', 'R7.htm'), (1, 'balance', 'R2.htm')) AS t(k, stmt, html_file) ON n_nationkey % 3 = t.k",
     "filing_texts": "SELECT 'N' || n_nationkey || '_10K' || CASE WHEN n_nationkey % 2 = 0 THEN '_20' || lpad(CAST(n_nationkey % 24 AS VARCHAR), 2, '0') ELSE '' END AS doc_id, CAST((n_nationkey + 1) * 1000 AS BIGINT) AS n_chars FROM nation WHERE (n_nationkey + 1) * 1000 >= 10000",
     "event_lines": f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(query_id) AS first FROM ({as_sql(LOG)}) WHERE event = 'llm_call' GROUP BY 1",
@@ -362,9 +385,9 @@ w AS (SELECT case_id, q.doc_name, regexp_extract_all(text, '[A-Za-z0-9.,$%()\\-]
 SELECT w.doc_name, count(*) AS n_cases, count(*) FILTER (any_value_id % 3 = 0 AND len(ws) > 0) AS n_found, count(*) FILTER (any_value_id % 3 = 0 AND len(ws) > 0) = 0 AS suspect FROM (SELECT w.*, d.id AS any_value_id FROM w JOIN docs AS d ON d.doc_name = w.doc_name) AS w GROUP BY w.doc_name""",
     "citation_whitelist": f"WITH j AS ({as_sql(JUDGED)}) SELECT claim_id, array_to_string(list_filter(list_transform([0, 3, 5, 0, 1], lambda d: 'c' || ((doc_id + d) % 7)), lambda c: list_contains(['c0', 'c2', 'c3', 'c6'], c)), ',') AS kept FROM j",
     "risk_signals": narrative_queries._FIG + f"SELECT cik, y, coalesce({narrative_queries._MATCH} = 1.0, false) AS quantified, CASE WHEN cik % 3 = 0 THEN 'has declined' END AS realized FROM c",
-    "pinned_documents": f"WITH f AS ({as_sql(FILINGS)}) SELECT 'none' AS pinned, corpus, count(*) AS n FROM f WHERE corpus = 'live' GROUP BY corpus UNION ALL SELECT CAST(doc_id AS VARCHAR), corpus, count(*) FROM f WHERE doc_id IN (10, 11) GROUP BY doc_id, corpus",
-    "chunks_by_id": f"WITH f AS ({as_sql(FILINGS)}), j AS ({as_sql(JUDGED)}) SELECT corpus, count(*) AS n FROM f WHERE doc_id IN (SELECT doc_id FROM j WHERE kind = 'risk') GROUP BY corpus",
-    "stages_once_stream": f"SELECT stage, count(*) AS n FROM (SELECT DISTINCT query_id, stage FROM ({as_sql(LOG)})) GROUP BY stage",
+    "pinned_documents": f"WITH f AS ({as_sql(FILINGS)}) SELECT 'none' AS pinned, CAST(doc_id AS VARCHAR) AS doc_id, corpus FROM f WHERE corpus = 'live' UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR), corpus FROM f WHERE doc_id IN (10, 11)",
+    "chunks_by_id": f"WITH f AS ({as_sql(FILINGS)}), j AS ({as_sql(JUDGED)}) SELECT CAST(doc_id AS VARCHAR) AS chunk_id, corpus, md5(text) AS digest FROM f WHERE doc_id IN (SELECT doc_id FROM j WHERE kind = 'risk')",
+    "stages_once_stream": f"SELECT DISTINCT query_id, stage, event FROM ({as_sql(LOG)})",
     "exhibits_appended": "SELECT CAST(doc_id AS VARCHAR) AS doc_name, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'exhibit 1' || chr(10) || chr(10) || 'exhibit 2' ELSE '' END AS t FROM documents)",
     "run_summary": f"""WITH j AS ({as_sql(JUDGED)}),
 c AS (SELECT query_id, 'c' || (min(doc_id) % 5) AS e, list(DISTINCT 'c' || (doc_id % 4)) AS r, sum((doc_id % 5) / 4.0) FILTER (doc_id % 3 > 0) AS total, count(*) FILTER (doc_id % 3 > 0) AS k, count(*) FILTER (doc_id % 6 = 0) AS flagged, count(*) FILTER (n_chars < 900) AS generic, count(*) AS n FROM j GROUP BY query_id)

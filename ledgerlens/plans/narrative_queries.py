@@ -315,7 +315,7 @@ def replace_by_key(spark, sf_dir):
     path = f"{folder(spark)}/ledgerlens/replaced-{uuid.uuid4().hex}"
     sinks.replace_by_key(f, path, "cik")
     sinks.replace_by_key(f.where("cik % 5 = 0 and accn like 'K-%'"), path, "cik")
-    return spark.read.parquet(path).groupBy(F.col("cik").cast("bigint").alias("cik")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select(F.col("cik").cast("bigint").alias("cik"), "tag", "accn")
 
 
 def _cards(spark, sf_dir):
@@ -504,7 +504,7 @@ FROM nation AS a JOIN nation AS b ON b.n_nationkey = a.n_nationkey + 1 JOIN nati
     "sample_deterministic": "SELECT doc_id, source FROM documents WHERE length(text) >= 500 QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('smoke' || doc_id), doc_id) <= 3",
     "upsert_latest": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE max(source) END AS source, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END AS seq FROM documents GROUP BY doc_id",
     "ingest_missing": "SELECT DISTINCT doc_id, 'labelled' AS source FROM labels UNION ALL SELECT doc_id, min(source) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id",
-    "replace_by_key": f"WITH {BASE}\nSELECT cik, count(*) AS n FROM facts WHERE cik % 5 <> 0 OR accn LIKE 'K-%' GROUP BY cik",
+    "replace_by_key": f"WITH {BASE}\nSELECT cik, tag, accn FROM facts WHERE cik % 5 <> 0 OR accn LIKE 'K-%'",
     "drop_stale_cards": _CARDS + "SELECT c.cik, c.card_id FROM cards AS c LEFT JOIN newest AS a ON a.cik = c.cik AND a.metric = 'revenue' WHERE fy_given OR a.fy IS NULL OR list_max(list_transform(source_ends, lambda d: year(d))) >= a.fy",
     "subsume_cards": _CARDS
     + """SELECT cik, card_id FROM cards AS a WHERE NOT EXISTS (SELECT 1 FROM cards AS b WHERE b.cik = a.cik AND b.card_id <> a.card_id AND len(list_filter(a.sources, lambda s: NOT list_contains(b.sources, s))) = 0
