@@ -151,11 +151,11 @@ def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def runs(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes with the first and last of consecutive places that have them: a token said over and over is one row."""
-    order = np.lexsort((at, h))
-    at, h = at[order], h[order]
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.empty(0, np.int64)
-    return h[first].view(np.int64), at[first].astype(np.int32), at[np.append(first[1:], len(at)) - 1].astype(np.int32) if len(at) else at.astype(np.int32)
+    """Hashes with the first and last of consecutive places (``at``, ascending) that have them: a token said over and over is one row."""
+    starts = np.ones(len(at), bool)
+    starts[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)
+    ends = np.append(starts[1:], True)[: len(at)]
+    return h[starts].view(np.int64), at[starts].astype(np.int32), at[ends].astype(np.int32)
 
 
 def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

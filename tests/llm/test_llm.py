@@ -1519,7 +1519,8 @@ def test_spelling_variants_sql():
 def test_repeated_tokens_are_not_multiplied(spark):
     """A text and an item of one token over and over: a few seed rows each, one overlap. And more items in a text than one row holds."""
     at, h = np.arange(10, 2000), np.full(1990, 5, np.uint64)
-    assert [x.tolist() for x in decontaminate.runs(np.append(at, [3, 3000]), np.append(h, [5, 6]).astype(np.uint64))] == [[5, 5, 6], [3, 10, 3000], [3, 1999, 3000]]
+    assert [x.tolist() for x in decontaminate.runs(np.concatenate([[3], at, [2000, 3000]]), np.concatenate([[5], h, [7, 6]]).astype(np.uint64))] == [[5, 5, 7, 6], [3, 10, 2000, 3000], [3, 1999, 2000, 3000]]
+    assert [len(x) for x in decontaminate.runs(at[:0], h[:0])] == [0, 0, 0]
     items = [(1, "spam " * 500), (2, "the quick brown fox jumps over the lazy dog and runs far away from here now")]
     texts = [(1, "spam " * 2000), (2, "ham " * 50 + "spam " * 30), (3, "ham " * 100)]
     bench = spark.createDataFrame(items, "item_id long, text string")
