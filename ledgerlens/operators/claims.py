@@ -38,9 +38,9 @@ def unsupported_rate(verdict: Column) -> Column:
 
 
 def cited(claims: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The texts of each claim's citations (``cited_chunk_ids``) in their order, unknown ids left out."""
-    each = claims.select("claim_id", F.posexplode_outer("cited_chunk_ids").alias("pos", "chunk_id"))
-    met = each.join(chunks.select("chunk_id", "section", F.col("text").alias("chunk_text")), "chunk_id", "left").where("chunk_text is not null")
+    """The texts of each claim's citations (``cited_chunk_ids``) in their order, unknown ids left out; a known chunk without a text is cited too."""
+    each = claims.select("claim_id", F.posexplode("cited_chunk_ids").alias("pos", "chunk_id"))
+    met = each.join(chunks.select("chunk_id", "section", F.col("text").alias("chunk_text")), "chunk_id")
     texts = met.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "section", "chunk_text"))).alias("citations"))
     return claims.join(texts, "claim_id", "left")
 

@@ -50,3 +50,22 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, str(DATA)).count() > 0
+
+
+def test_cited_texts_of_many_documents(spark, tmp_path):
+    """Ids that are far apart, a text that is null, a document that is there twice: what is cited is what SQL says, and an unknown id stays unknown at any size."""
+    ids = [0, 1, 2, 7, 8, 100_000, 100_001, 100_002, 1_000_000, 1_000_007]
+    docs = [(i, None if i in (2, 7, 100_001) else f"text {i}", "en", "s", i % 50) for i in ids]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    twice = tmp_path / "twice"
+    spark.createDataFrame([*docs, docs[0]], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{twice}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{twice}/labels.parquet")
+    for folder, names in ((tmp_path, ("claim_citations", "prompt_texts")), (twice, ("claim_citations",))):
+        con = duckdb.connect()
+        for t in ("documents", "labels"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+        for name in names:
+            df = catalogue.QUERIES[name](spark, str(folder))
+            want = con.execute(catalogue.SQL[name])
+            assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in want.description], want.fetchall())
