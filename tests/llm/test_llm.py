@@ -1552,3 +1552,14 @@ def test_user_columns_named_like_internal_ones(spark):
         assert got.columns == df.columns
         rows_ = got.collect()
         assert {r.doc_id for r in rows_} == ids and all(r[n] == f"{n}{r.doc_id}" for r in rows_ for n in names)
+
+
+def test_op1_tells_passages_shorter_than_its_bytes(spark, tmp_path):
+    """A passage of 51 short words that two documents share is under 400 bytes: no byte goes, and the query says which documents hold it."""
+    rnd = random.Random(23)
+    word = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=4)) for _ in range(n))
+    shared = word(51)
+    rows = [(1, f"{word(80)} {shared} {word(20)}"), (2, f"{word(5)}\n{shared}"), (3, word(150)), (4, f"{word(30)} {shared.rpartition(' ')[0]} {word(9)}"), (5, None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(queries.op1_suffix_dedup(spark, str(tmp_path)))
+    assert len(shared) < 400 and {i: (r.n_removed, r.n_passage_words) for i, r in got.items()} == {1: (0, 51), 2: (0, 51), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
