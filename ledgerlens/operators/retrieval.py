@@ -40,8 +40,8 @@ def coverage_k(k: int = K, coverage: bool = True) -> int:
     return min(k * 2, MOST) if coverage else k
 
 
-#: Queries that are sent to the tasks at once; queries and vectors that a task multiplies at once.
-QUERIES, AT_ONCE, ROWS = 20_000, 1024, 4096
+#: Queries that are sent to the tasks at once; queries and vectors that a task multiplies at once (2 MB of distances); pairs that wait to be merged.
+QUERIES, AT_ONCE, ROWS, WAITING = 20_000, 256, 1024, 200_000
 
 
 def section_key(section: Column) -> Column:
@@ -68,6 +68,34 @@ class _Apart:
         return np.array([self.codes.get(s, len(self.codes)) if s else -2 for s in sections], np.int64)
 
 
+class _Best:
+    """The k nearest rows that each query of a scope has met so far. What it holds is bounded by the queries, however many rows are equally far."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.most = k, max(WAITING, n * k)
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+        #: How far the k-th is; a row beyond it is none of the nearest.
+        self.limit = np.full(n, np.inf)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, far: np.ndarray) -> None:
+        if len(at):
+            self.found.append((at, ids, far))
+            self.waiting += len(at)
+            if self.waiting > self.most:
+                self.merge()
+
+    def merge(self) -> None:
+        if self.waiting:
+            at, ids, far = map(np.concatenate, zip(*self.found))
+            order = np.lexsort((ids, far, at))
+            at, ids, far = at[order], ids[order], far[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            self.limit[at[place == self.k - 1]] = far[place == self.k - 1]
+            self.found = [tuple(x[place < self.k] for x in (at, ids, far))]
+            self.waiting = 0
+
+
 def _nearest(queries: pd.DataFrame, k: int):
     """Of each task's rows (vec_id, scope, embedding, section) the k nearest to each query of their scope."""
     asked = {}
@@ -75,7 +103,7 @@ def _nearest(queries: pd.DataFrame, k: int):
         asked[scope] = own["query_id"].to_numpy(), _unit(own["query"]), _Apart(own["sections"]) if "sections" in own else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = {}
+        best: dict = {}
         for batch in batches:
             for scope, rows in batch.groupby("scope", dropna=False):
                 if scope not in asked:
@@ -83,26 +111,28 @@ def _nearest(queries: pd.DataFrame, k: int):
                 _, q, apart = asked[scope]
                 v, ids = _unit(rows["embedding"]), rows["vec_id"].to_numpy()
                 codes = apart.of(rows["section"]) if apart else None
-                found = [best[scope]] if scope in best else []
-                for i in range(0, len(q), AT_ONCE):
-                    for j in range(0, len(v), ROWS):
-                        far = np.round(1 - q[i : i + AT_ONCE] @ v[j : j + ROWS].T, 12)  # equal vectors are equally far, however they were multiplied
+                own = best.setdefault(scope, _Best(len(q), k))
+                for j in range(0, len(v), ROWS):
+                    for i in range(0, len(q), AT_ONCE):
+                        far = q[i : i + AT_ONCE] @ v[j : j + ROWS].T
+                        np.round(np.subtract(1, far, out=far), 12, out=far)  # equal vectors are equally far, however they were multiplied
                         if apart:
                             here = codes[j : j + ROWS]
                             far[~(apart.met[i : i + AT_ONCE, np.maximum(here, 0)] & (here >= 0))] = np.inf
-                        last = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
+                        last = own.limit[i : i + AT_ONCE]
+                        if np.isinf(last).any():
+                            least = min(k, far.shape[1]) - 1
+                            last = np.minimum(last, np.partition(far, least, axis=1)[:, least])
                         at, row = np.nonzero((far <= last[:, None]) & np.isfinite(far))
-                        found.append((at + i, ids[row + j], far[at, row]))
-                at, got, far = map(np.concatenate, zip(*found))
-                order = np.lexsort((got, far, at))
-                at, got, far = at[order], got[order], far[order]
-                first = np.searchsorted(at, at)
-                kept_ = np.arange(len(at)) - first < k
-                best[scope] = at[kept_], got[kept_], far[kept_]
-        for scope, (at, got, far) in best.items():
-            for i in range(0, len(at), 100_000):
-                part = slice(i, i + 100_000)
-                yield pd.DataFrame({"query_id": asked[scope][0][at[part]], "vec_id": got[part], "distance": far[part]})
+                        own.add(at + i, ids[row + j], far[at, row])
+                    if np.isinf(own.limit).any():
+                        own.merge()
+        for scope, own in best.items():
+            own.merge()
+            for at, got, far in own.found:
+                for i in range(0, len(at), 100_000):
+                    part = slice(i, i + 100_000)
+                    yield pd.DataFrame({"query_id": asked[scope][0][at[part]], "vec_id": got[part], "distance": far[part]})
 
     return run
 

@@ -3,9 +3,11 @@
 import datetime as dt
 import json
 import re
+import tracemalloc
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,3 +416,23 @@ def test_held_to_a_document(spark, store):
 def test_schema_can_be_made_again(spark):
     one_, two = schema.create(spark).collect(), schema.create(spark).collect()
     assert one_ == two and spark.table("claims").columns[0] == "claim_id"
+
+
+@pytest.mark.parametrize("copies", [1, 4000])
+def test_nearest_rows_take_bounded_memory(copies):
+    """What a task of a search holds at its peak doesn't follow queries times rows, also where all rows are equally far; the result is that of brute force."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (8000 // copies, 8)).astype(np.float32) + np.float32(0.5)
+    ids, rows = rng.permutation(8000), np.repeat(x, copies, axis=0)
+    q = rng.integers(-3, 4, (1500, 8)) + 0.5
+    queries = pd.DataFrame({"query_id": np.arange(1500), "scope": 0, "query": list(q)})
+    batches = [pd.DataFrame({"vec_id": ids[i : i + 4000], "scope": 0, "embedding": list(rows[i : i + 4000])}) for i in (0, 4000)]
+    run = retrieval._nearest(queries, 3)
+    tracemalloc.start()
+    got = pd.concat(run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    far = np.round(1 - retrieval._unit(queries["query"]) @ retrieval._unit(pd.Series(list(rows))).T, 12)
+    want = [(i, int(ids[j])) for i in range(1500) for j in np.lexsort((ids, far[i]))[:3]]
+    assert list(zip(got["query_id"].tolist(), got["vec_id"].tolist())) == want
